@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import media, packing
+from graphloom.llm import media, mixing, packing, quality_rules
 from graphloom.sources import table
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixes all documents to the weights of their sources."""
+    return mixing.mix_digest(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences of 1024 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -18,9 +23,16 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and robust outliers by language and source."""
+    return quality_rules.quality_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op9_media_columns": op9_media_columns,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": mixing.ORACLE_MIX}
