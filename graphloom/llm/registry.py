@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import media, mixing, packing, quality_rules
+from graphloom.llm import media, mixing, packing, quality_rules, simhash
 from graphloom.sources import table
 
 
@@ -18,6 +18,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components of those at 3 bits or less."""
+    return simhash.simhash_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stores every text as 8-bit samples, reads it back and sniffs it."""
     return media.media_digest(table(spark, sf_dir, "documents"))
@@ -31,6 +36,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op9_media_columns": op9_media_columns,
     "op10_quality_rules": op10_quality_rules,
 }
