@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import media, mixing, packing, quality_rules, simhash
+from graphloom.llm import media, mixing, packing, preference, quality_rules, simhash
 from graphloom.sources import table
 
 
@@ -18,6 +18,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document by preference pairs of the labelled ones that aren't held out."""
+    return preference.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components of those at 3 bits or less."""
     return simhash.simhash_digest(table(spark, sf_dir, "documents"))
@@ -36,6 +41,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_quality_classifier": op3_quality_classifier,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op9_media_columns": op9_media_columns,
     "op10_quality_rules": op10_quality_rules,
