@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import media, mixing, packing, preference, quality_rules, simhash
+from graphloom.llm import media, mixing, packing, pii, preference, quality_rules, simhash
 from graphloom.sources import table
 
 
@@ -23,6 +23,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replaces personal data in every text by format-preserving pseudonyms."""
+    return pii.pii_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components of those at 3 bits or less."""
     return simhash.simhash_digest(table(spark, sf_dir, "documents"))
@@ -42,6 +47,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_pii_pseudonyms": op4_pii_pseudonyms,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op9_media_columns": op9_media_columns,
     "op10_quality_rules": op10_quality_rules,
