@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import media, mixing, packing, pii, preference, quality_rules, simhash
+from graphloom.llm import media, mixing, packing, pii, preference, quality_rules, secrets, simhash
 from graphloom.sources import table
 
 
@@ -33,6 +33,11 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text, with weak parts that complete a credential."""
+    return secrets.secrets_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stores every text as 8-bit samples, reads it back and sniffs it."""
     return media.media_digest(table(spark, sf_dir, "documents"))
@@ -49,6 +54,7 @@ QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_pii_pseudonyms": op4_pii_pseudonyms,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op8_secret_scan": op8_secret_scan,
     "op9_media_columns": op9_media_columns,
     "op10_quality_rules": op10_quality_rules,
 }
