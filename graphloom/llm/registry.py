@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import media, mixing, packing, pii, preference, quality_rules, secrets, simhash
+from graphloom.llm import html_text, media, mixing, packing, pii, preference, quality_rules, secrets, simhash
 from graphloom.sources import table
 
 
@@ -28,6 +28,11 @@ def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components of those at 3 bits or less."""
     return simhash.simhash_digest(table(spark, sf_dir, "documents"))
@@ -53,6 +58,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_pii_pseudonyms": op4_pii_pseudonyms,
+    "op5_html_extraction": op5_html_extraction,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_media_columns": op9_media_columns,
