@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import html_text, media, mixing, packing, pii, preference, quality_rules, secrets, simhash
+from graphloom.llm import html_text, media, mixing, packing, pii, preference, quality_rules, repeats, secrets, simhash
 from graphloom.sources import table
 
 
@@ -38,6 +38,11 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes 50-byte strings that start in a document with a smaller id."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text, with weak parts that complete a credential."""
     return secrets.secrets_digest(table(spark, sf_dir, "documents"))
@@ -60,6 +65,7 @@ QUERIES = {
     "op4_pii_pseudonyms": op4_pii_pseudonyms,
     "op5_html_extraction": op5_html_extraction,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_media_columns": op9_media_columns,
     "op10_quality_rules": op10_quality_rules,
