@@ -1,5 +1,6 @@
 """Plan helpers shared by all operators."""
 
+from .ranking import dense_index
 from .scratch import Scratch
 
-__all__ = ["Scratch"]
+__all__ = ["Scratch", "dense_index"]

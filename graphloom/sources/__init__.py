@@ -1,3 +1,5 @@
+"""Sources and sinks."""
+
 from .tables import table
 
 __all__ = ["table"]

@@ -1 +1,5 @@
+"""Streaming over append-only logs, an extension beyond the batch operators."""
 
+from .prediction_log import bucket_counts, latest_predictions, read_log
+
+__all__ = ["bucket_counts", "latest_predictions", "read_log"]
