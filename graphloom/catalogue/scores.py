@@ -1 +1,186 @@
-"""Queries."""
+"""Queries on scores, analysis and orchestration."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.functions import text as X
+from graphloom.operators import analysis as A
+from graphloom.operators import checks as C
+from graphloom.operators import metrics as M
+from graphloom.operators import orchestrate as O
+from graphloom.operators import sample as S
+from graphloom.sources import table
+
+from .registry import query
+from .views import KG_SMALL, PRED_LOG, QA_PAIRS, kg_small, pred_log, qa_pairs, sql_normalized, sql_tokens
+
+TEXTS = f"""texts AS (SELECT doc_id, {sql_normalized('text')} AS normalized FROM documents)"""
+
+
+@query(f"WITH {TEXTS} SELECT doc_id, normalized FROM texts")
+def normalize_answer(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", X.normalize_answer(F.col("text")).alias("normalized"))
+
+
+@query("SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_.-]+', '_', 'g') AS safe FROM pages")
+def safe_id(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", X.safe_id(F.col("url")).alias("safe"))
+
+
+@query("""SELECT page_id, array_to_string(regexp_extract_all(html, '<p>(.*?)</p>', 1), '; ') AS paragraphs,
+  array_to_string([trim(x, E' \\t\\n\\r') FOR x IN regexp_extract_all(html, '(?is)<H1>(.*?)</H1>', 1)], '; ') AS headings FROM pages""")
+def extract_tags(spark: SparkSession, sf: str) -> DataFrame:
+    html = F.col("html")
+    return table(spark, sf, "pages").select("page_id", X.tag_contents(html, "p").alias("paragraphs"), F.array_join(X.tag_list(html, "H1"), "; ").alias("headings"))
+
+
+NORMED = f"normed AS (SELECT id, pos, graph, question, prediction, targets, {sql_normalized('prediction')} AS p, [{sql_normalized('x')} FOR x IN targets] AS ts FROM qa_pairs)"
+SCORED = f"""tok AS (SELECT id, unnest(range(1, len(targets) + 1)) AS i, {sql_tokens('prediction')} AS a, targets FROM qa_pairs),
+pair AS (SELECT id, i, a, {sql_tokens('targets[i]')} AS b FROM tok),
+ca AS (SELECT id, i, w, count(*) AS n FROM (SELECT id, i, unnest(a) AS w FROM pair) GROUP BY id, i, w),
+cb AS (SELECT id, i, w, count(*) AS n FROM (SELECT id, i, unnest(b) AS w FROM pair) GROUP BY id, i, w),
+sh AS (SELECT ca.id, ca.i, sum(least(ca.n, cb.n))::BIGINT AS s FROM ca JOIN cb ON ca.id = cb.id AND ca.i = cb.i AND ca.w = cb.w GROUP BY ca.id, ca.i),
+f AS (SELECT pair.id, max(CASE WHEN coalesce(s, 0) > 0 THEN 2.0::DOUBLE * s / (len(a) + len(b)) ELSE 0.0::DOUBLE END) AS f1 FROM pair LEFT JOIN sh ON sh.id = pair.id AND sh.i = pair.i GROUP BY pair.id),
+{NORMED},
+scored AS (SELECT n.id, n.pos, n.graph, CASE WHEN list_contains(ts, p) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS em, f.f1,
+  CASE WHEN len([1 FOR x IN ts IF contains(p, x)]) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit FROM normed n JOIN f ON f.id = n.id)"""
+
+
+@query(f"WITH {QA_PAIRS}, {SCORED} SELECT id, em FROM scored")
+def em_score(spark: SparkSession, sf: str) -> DataFrame:
+    return qa_pairs(spark, sf).select("id", *M.metric_columns(["em"]))
+
+
+@query(f"WITH {QA_PAIRS}, {SCORED} SELECT id, round(f1, 9) AS f1 FROM scored")
+def f1_score(spark: SparkSession, sf: str) -> DataFrame:
+    return qa_pairs(spark, sf).select("id", *M.metric_columns(["f1"])).withColumn("f1", F.round("f1", 9))
+
+
+@query(f"WITH {QA_PAIRS}, {SCORED} SELECT id, hit FROM scored")
+def hit_score(spark: SparkSession, sf: str) -> DataFrame:
+    return qa_pairs(spark, sf).select("id", *M.metric_columns(["hit"]))
+
+
+@query(f"""WITH {QA_PAIRS}, {SCORED} SELECT 'v' || (pos % 2) AS variant, round(avg(em), 9) AS em, round(avg(f1), 9) AS f1, round(avg(hit), 9) AS hit FROM scored GROUP BY 1""")
+def metrics_by_variant(spark: SparkSession, sf: str) -> DataFrame:
+    rows = qa_pairs(spark, sf).withColumn("variant", F.concat(F.lit("v"), (F.col("pos") % 2).cast("string")))
+    names = ["em", "f1", "hit"]
+    return M.metric_means(rows, names, ["variant"]).select("variant", *[F.round(n, 9).alias(n) for n in names])
+
+
+@query("""WITH e AS (SELECT vec_id AS id, label, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings), u AS (SELECT id, label, [x / sqrt(list_inner_product(v, v)) FOR x IN v] AS v FROM e),
+b AS (SELECT s.id, max(list_inner_product(s.v, t.v)) AS best FROM u s, u t WHERE s.label = 0 AND t.label = 1 GROUP BY s.id)
+SELECT id, round(best, 6) AS best, best > 0.8 AS hit FROM b""")
+def retrieval_score(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", M.l2_normalized(F.col("embedding")).alias("vector"))
+    found = M.retrieval_score(e.filter("label = 0").select("id", "vector"), e.filter("label = 1").select("id", "vector"))
+    return found.select("id", F.round("best", 6).alias("best"), "hit")
+
+
+@query(f"""WITH {PRED_LOG}, d AS (SELECT *, coalesce(adapter_control, 'correct') AS c, coalesce(split, 'unknown') AS s FROM pred_log),
+r AS (SELECT 'hop' AS family, 'hop=' || true_hop || '|k=' || recurrence_k || '|adapter=' || c AS bucket, correct FROM d WHERE true_hop >= 1
+  UNION ALL SELECT 'k', 'k=' || recurrence_k || '|adapter=' || c, correct FROM d UNION ALL SELECT 'split', 'split=' || s || '|k=' || recurrence_k || '|adapter=' || c, correct FROM d)
+SELECT family, bucket, count(*) AS n, round(sum(correct::INT)::DOUBLE / count(*), 9) AS accuracy FROM r GROUP BY family, bucket""")
+def accuracy_by_bucket(spark: SparkSession, sf: str) -> DataFrame:
+    return A.accuracy_buckets(pred_log(spark, sf)).withColumn("accuracy", F.round("accuracy", 9))
+
+
+@query(f"""WITH {PRED_LOG} SELECT count(*) AS n, round(avg(correct::INT), 9) AS accuracy, round(avg(correct::INT) FILTER (WHERE coalesce(adapter_control, 'correct') = 'correct'), 9) AS correct_adapter_accuracy,
+  count(*) FILTER (WHERE true_hop >= 1) AS known_hop, count(*) FILTER (WHERE true_hop IS NULL OR true_hop < 1) AS unknown_hop FROM pred_log""")
+def overall_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return A.overall_summary(pred_log(spark, sf)).withColumns({c: F.round(c, 9) for c in ("accuracy", "correct_adapter_accuracy")})
+
+
+BEST = f"""WITH {PRED_LOG}, own AS (SELECT * FROM pred_log WHERE coalesce(adapter_control, 'correct') = 'correct'),
+best AS (SELECT question_id, arg_max(true_hop, pos) FILTER (WHERE true_hop IS NOT NULL) AS true_hop, min(recurrence_k) FILTER (WHERE correct) AS best_k FROM own GROUP BY question_id)"""
+
+
+@query(f"{BEST} SELECT * FROM best")
+def best_k(spark: SparkSession, sf: str) -> DataFrame:
+    return A.best_depths(pred_log(spark, sf))
+
+
+@query(f"{BEST} SELECT count(best_k) AS solved, count(*) FILTER (WHERE best_k IS NULL) AS unsolved FROM best")
+def solved_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return A.solved_counts(A.best_depths(pred_log(spark, sf)))
+
+
+@query(f"""{BEST}, u AS (SELECT true_hop AS x, best_k AS y FROM best WHERE best_k IS NOT NULL AND true_hop >= 1),
+r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS ry FROM u)
+SELECT count(*) AS n, round(coalesce(CASE WHEN count(*) > 1 AND var_pop(rx) * var_pop(ry) > 0 THEN covar_pop(rx, ry) / sqrt(var_pop(rx) * var_pop(ry)) END, 0), 9) AS rho FROM r""")
+def spearman(spark: SparkSession, sf: str) -> DataFrame:
+    return A.depth_correlation(pred_log(spark, sf)).withColumn("rho", F.round("rho", 9))
+
+
+@query("""WITH r AS (SELECT l_quantity AS q, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0::DOUBLE AS rank FROM lineitem)
+SELECT q, rank, count(*) AS n FROM r GROUP BY q, rank""")
+def average_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    return A.average_ranks(table(spark, sf, "lineitem").select(F.col("l_quantity").alias("q")), "q", "rank").groupBy("q", "rank").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {QA_PAIRS}, {NORMED} SELECT graph AS id, string_agg(pos || '/' || len(targets) || '/' || prediction, '|' ORDER BY pos) AS wrong FROM normed WHERE NOT list_contains(ts, p) GROUP BY graph""")
+def wrong_answers(spark: SparkSession, sf: str) -> DataFrame:
+    rows = qa_pairs(spark, sf).select(F.col("graph").alias("id"), "pos", F.col("pos").cast("string").alias("question"), F.col("targets").alias("target"), F.col("prediction").alias("response"))
+    found = A.wrong_answers(rows, M.em_score(F.col("response"), F.col("target")))
+    text = F.transform("wrong", lambda w: F.concat_ws("/", w["question"], F.size(w["target"]).cast("string"), w["response"]))
+    return found.select("id", F.array_join(text, "|").alias("wrong"))
+
+
+@query(f"""WITH {KG_SMALL} SELECT (SELECT count(DISTINCT n) FROM (SELECT src AS n FROM kg_small UNION ALL SELECT dst FROM kg_small)) AS n_nodes, count(*) AS n_edges, count(DISTINCT rel) AS n_relations FROM kg_small""")
+def graph_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return A.graph_sizes(kg_small(spark, sf))
+
+
+@query(f"""WITH {KG_SMALL}, s AS (SELECT * FROM kg_small ORDER BY md5('2026:train:' || idx), idx LIMIT 64), a AS (SELECT rel AS split, count(*) AS available FROM kg_small GROUP BY rel), b AS (SELECT rel AS split, count(*) AS selected FROM s GROUP BY rel)
+SELECT a.split, available, coalesce(selected, 0) AS selected FROM a LEFT JOIN b ON a.split = b.split""")
+def split_stats(spark: SparkSession, sf: str) -> DataFrame:
+    t = kg_small(spark, sf).withColumn("split", F.col("rel"))
+    return A.split_sizes(t, S.sample_rows(t, 2026, "train", ["idx"], 64))
+
+
+@query("SELECT event_id AS idx, (event_id % 8)::INT AS part, event_id // 8 AS place FROM events")
+def round_robin(spark: SparkSession, sf: str) -> DataFrame:
+    return O.round_robin(table(spark, sf, "events").select(F.col("event_id").alias("idx")), 8)
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY event_id // 7, event_id % 7) - 1 AS idx FROM events WHERE event_id % 7 <> 3 OR event_id < 200")
+def interleave(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").filter("event_id % 7 <> 3 or event_id < 200").select("event_id")
+    return O.interleave(O.round_robin(e, 7, "event_id")).select("event_id", "idx")
+
+
+@query("SELECT event_id FROM events ORDER BY event_id LIMIT 100")
+def prefix_limit(spark: SparkSession, sf: str) -> DataFrame:
+    return O.first_rows(table(spark, sf, "events").select("event_id"), 100, "event_id")
+
+
+@query("SELECT event_id, user_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events d WHERE d.user_id = e.user_id AND d.event_type = 'error')")
+def resume_remaining(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    return O.remaining(e, e.filter("event_type = 'error'").select("user_id").distinct(), ["user_id"]).drop("event_type")
+
+
+@query("""WITH g AS (SELECT c_custkey AS graph_id, coalesce(lead(c_custkey) OVER (ORDER BY c_custkey), first_value(c_custkey) OVER (ORDER BY c_custkey)) AS nxt FROM customer)
+SELECT graph_id, 'correct' AS adapter_control, graph_id AS adapter_graph FROM g UNION ALL SELECT graph_id, 'shuffled', nxt FROM g UNION ALL SELECT graph_id, 'none', NULL FROM g""")
+def shuffled_adapter(spark: SparkSession, sf: str) -> DataFrame:
+    return O.adapter_graphs(table(spark, sf, "customer").select(F.col("c_custkey").alias("graph_id"), F.col("c_custkey").alias("idx")))
+
+
+@query("SELECT o_orderkey AS question_id, c AS adapter_control, k::INT AS recurrence_k FROM orders, (SELECT unnest(['correct', 'shuffled', 'none']) AS c), (SELECT unnest(range(1, 6)) AS k)")
+def evaluation_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return O.evaluation_grid(table(spark, sf, "orders").select(F.col("o_orderkey").alias("question_id")), list(O.CONTROLS), [1, 2, 3, 4, 5])
+
+
+@query(f"""WITH {PRED_LOG}, v AS (SELECT pos, true_hop - 1 AS true_hop, recurrence_k - 1 AS recurrence_k, CASE WHEN pos % 9 = 0 THEN 'other' ELSE coalesce(adapter_control, 'none') END AS c, CASE WHEN pos % 50 = 0 THEN '' ELSE question_id END AS q FROM pred_log)
+SELECT 'true_hop >= 1' AS rule, pos::VARCHAR AS row_key FROM v WHERE true_hop < 1 UNION ALL SELECT 'recurrence_k >= 1', pos::VARCHAR FROM v WHERE recurrence_k < 1
+UNION ALL SELECT 'known control', pos::VARCHAR FROM v WHERE c = 'other' UNION ALL SELECT 'question_id', pos::VARCHAR FROM v WHERE q = '' UNION ALL SELECT 'latency >= 0', pos::VARCHAR FROM v WHERE pos % 11 = 0""")
+def prediction_violations(spark: SparkSession, sf: str) -> DataFrame:
+    pos = F.col("pos")
+    v = pred_log(spark, sf).select(
+        "pos", (F.col("true_hop") - 1).alias("true_hop"), (F.col("recurrence_k") - 1).alias("recurrence_k"),
+        F.when(pos % 9 == 0, "other").otherwise(F.coalesce("adapter_control", F.lit("none"))).alias("adapter_control"), F.lit("g").alias("graph_id"),
+        F.when(pos % 50 == 0, "").otherwise(F.col("question_id")).alias("question_id"), F.when(pos % 11 == 0, -1.0).otherwise(0.0).alias("latency_seconds"),
+    )
+    return C.violations(v, pos, C.prediction_rules())

@@ -45,7 +45,7 @@ def context_qa(draws: DataFrame, seed: int) -> DataFrame:
 
 def reasoning_contexts(weighted: DataFrame, n: int, seed: int, with_reference: bool = True) -> DataFrame:
     """``graph_id, sample, prompt_kind, context``: phrases of 6 edges drawn by weight with replacement."""
-    draws = sample_weighted_replace(weighted, ["graph_id"], ["edge_id"], "weight", n * CONTEXT_EDGES, seed, "reason")
+    draws = sample_weighted_replace(weighted, ["graph_id"], ["edge_id", "rel", "dst"], "weight", n * CONTEXT_EDGES, seed, "reason")
     phrase = F.format_string(EDGE_PHRASE, "src", "rel", "dst")
     phrases = F.transform(F.array_sort(F.collect_list(F.struct("draw", phrase.alias("p")))), lambda x: x["p"])
     rows = draws.groupBy("graph_id", F.floor(F.col("draw") / CONTEXT_EDGES).cast("int").alias("sample")).agg(F.array_join(phrases, "").alias("context"))
