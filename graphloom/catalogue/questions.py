@@ -194,7 +194,7 @@ def graph_filter(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH n AS (SELECT floor(0.2 * count(*))::BIGINT AS n FROM customer), r AS (SELECT c_custkey, row_number() OVER (ORDER BY md5('5:graphs:' || c_custkey), c_custkey) AS p FROM customer)
 SELECT c_custkey, CASE WHEN p <= n THEN 'train' ELSE 'test' END AS split FROM r, n""")
 def graph_split(spark: SparkSession, sf: str) -> DataFrame:
-    return S.bernoulli_split(table(spark, sf, "customer").select("c_custkey"), ["c_custkey"], 0.2, 5, "graphs")
+    return S.share_split(table(spark, sf, "customer").select("c_custkey"), ["c_custkey"], 0.2, 5, "graphs")
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') THEN 'train' WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') THEN 'val' ELSE 'test' END AS split FROM customer""")
@@ -210,12 +210,12 @@ def role_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH g AS (SELECT l_orderkey AS graph_id, min(l_partkey) AS first, count(*) AS n, string_agg(l_partkey || ':' || l_returnflag, ',' ORDER BY l_partkey, l_returnflag) AS rows FROM lineitem GROUP BY l_orderkey)
-SELECT graph_id, first, n, rows FROM g""")
+SELECT graph_id, first, n, (sum(n) OVER (ORDER BY first, graph_id) - n)::BIGINT AS "offset", rows FROM g""")
 def regroup_by_graph(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("graph_id"), "l_partkey", "l_returnflag")
     g = Q.regroup(li, ["l_returnflag"], "l_partkey")
     text = F.array_join(F.transform("rows", lambda r: F.concat_ws(":", r["l_partkey"].cast("string"), r["l_returnflag"])), ",")
-    return g.select("graph_id", "first", "n", text.alias("rows"))
+    return g.select("graph_id", "first", "n", "offset", text.alias("rows"))
 
 
 @query("""SELECT c_custkey AS row_id, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END, CASE WHEN c_custkey % 2 = 0 THEN 'group-' || c_nationkey END) AS question_group FROM customer""")

@@ -6,9 +6,10 @@ A prediction log has ``question_id, true_hop, recurrence_k, adapter_control, spl
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.plans import sum_before
+
 
 def with_defaults(log: DataFrame) -> DataFrame:
     """The control is 'correct' and the split 'unknown' where absent."""
@@ -60,10 +61,9 @@ def solved_counts(best: DataFrame) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Adds fractional ranks from the counts of distinct values, of which there is one row each in the window."""
-    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(W.orderBy(value))
-    ranks = counts.select(value, (upto - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(name))
+    """Adds fractional ranks, from the counts of distinct values."""
+    counts = sum_before(df.groupBy(value).agg(F.count("*").alias("_ties")), "_ties", "_less", [value])
+    ranks = counts.select(value, (F.col("_less") + (F.col("_ties") + 1) / 2.0).alias(name))
     return df.join(ranks, value)
 
 

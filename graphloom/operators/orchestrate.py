@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.plans import dense_index
+
 CONTROLS = ("correct", "shuffled", "none")
 
 
@@ -17,8 +18,6 @@ def round_robin(df: DataFrame, n: int, index: str = "idx") -> DataFrame:
 
 def interleave(df: DataFrame) -> DataFrame:
     """Adds ``idx``, the inverse of ``round_robin`` for parts of any length: by place, then part."""
-    from graphloom.plans import dense_index
-
     return dense_index(df, "idx", ["place", "part"])
 
 
@@ -44,13 +43,14 @@ def reference_file(spark, *paths: str) -> str | None:
 
 def adapter_graphs(graphs: DataFrame, index: str = "idx") -> DataFrame:
     """``graph_id, adapter_control, adapter_graph``: each graph with its own adapter, the next graph's (cyclically) and
-    none. With one graph there is no shuffled adapter. A row for each graph is in the window."""
-    w = W.orderBy(index)
-    nxt = F.coalesce(F.lead("graph_id").over(w), F.first("graph_id").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    rows = graphs.select("graph_id", nxt.alias("_next"), F.count("*").over(W.partitionBy()).alias("_n"))
+    none. With one graph there is no shuffled adapter."""
+    rows = dense_index(graphs.select("graph_id", index), "_i", [index, "graph_id"])
+    n = rows.count()
+    nxt = rows.select(((F.col("_i") - 1 + n) % max(n, 1)).alias("_i"), F.col("graph_id").alias("_next"))
+    rows = rows.join(nxt, "_i").select("graph_id", "_next")
     own = F.when(F.col("adapter_control") == "correct", F.col("graph_id")).when(F.col("adapter_control") == "shuffled", F.col("_next"))
     rows = rows.withColumn("adapter_control", F.explode(F.array(*map(F.lit, CONTROLS)))).withColumn("adapter_graph", own)
-    return rows.filter((F.col("_n") > 1) | (F.col("adapter_control") != "shuffled")).drop("_next", "_n")
+    return (rows if n > 1 else rows.filter("adapter_control <> 'shuffled'")).drop("_next")
 
 
 def evaluation_grid(questions: DataFrame, controls: list[str], depths: list[int]) -> DataFrame:

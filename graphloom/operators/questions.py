@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as X
 from graphloom.operators.paths import bfs, pair_distances
 from graphloom.operators.sample import hash_key, sample_rows
+from graphloom.plans import sum_before
 
 # Defaults of the question sets.
 SEED = 2026
@@ -146,6 +147,4 @@ def regroup(rows: DataFrame, values: list[str | Column], order: str) -> DataFram
     """Parallel arrays by graph in row order, with each graph's offset in order of first sight."""
     lists = F.array_sort(F.collect_list(F.struct(order, *values)))
     groups = rows.groupBy("graph_id").agg(F.min(order).alias("first"), F.count("*").alias("n"), lists.alias("rows"))
-    # one row for each graph
-    offset = F.coalesce(F.sum("n").over(W.orderBy("first").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return groups.withColumn("offset", offset)
+    return sum_before(groups, "n", "offset", ["first", "graph_id"])

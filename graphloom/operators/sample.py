@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.plans import dense_index
+
 
 def hash_key(seed: int, scope: str, *parts: Column) -> Column:
     """md5 of 'seed:scope:parts', the order of all random choices."""
@@ -49,12 +51,8 @@ def sample_weighted_replace(df: DataFrame, group: list[str], keys: list[str], we
     return rows.join(draws, group).filter((F.col("_from") <= at) & (at < F.col("_to"))).drop("_to", "_from", "_all", "_u")
 
 
-def bernoulli_split(df: DataFrame, keys: list[str], share: float, seed: int, scope: str, name: str = "split") -> DataFrame:
-    """Marks the ``floor(share * n)`` rows of least hash 'train', the others 'test'.
-
-    The number follows from a count; the cut is found as a distributed top-k, not by a sort of all rows.
-    """
-    n = int(share * df.count())
-    order = [hash_key(seed, scope, *map(F.col, keys)).alias("_h"), *keys]
-    train = df.select(*order).orderBy("_h", *keys).limit(n).select(*keys).withColumn("_train", F.lit(True)) if n else df.limit(0).select(*keys).withColumn("_train", F.lit(True))
-    return df.join(train, keys, "left").withColumn(name, F.when(F.col("_train"), "train").otherwise("test")).drop("_train")
+def share_split(df: DataFrame, keys: list[str], share: float, seed: int, scope: str, name: str = "split") -> DataFrame:
+    """Marks the ``floor(share * n)`` rows of least hash 'train', the others 'test'."""
+    rows = dense_index(df, "_place", [hash_key(seed, scope, *map(F.col, keys)), *keys])
+    n = int(share * rows.count())
+    return rows.withColumn(name, F.when(F.col("_place") < n, "train").otherwise("test")).drop("_place")

@@ -1,6 +1,6 @@
 """Plan helpers shared by all operators."""
 
-from .ranking import dense_index
+from .ranking import dense_index, sum_before
 from .scratch import Scratch
 
-__all__ = ["Scratch", "dense_index"]
+__all__ = ["Scratch", "dense_index", "sum_before"]

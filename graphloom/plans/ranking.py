@@ -1,4 +1,8 @@
-"""Dense numbers over a whole table without a single-task sort."""
+"""Dense numbers and running sums over a whole table without a single-task sort.
+
+Rows are range-partitioned and treated within each partition; the partitions' totals, one row for each, give the
+offsets. The partitioned table is written once, so that both uses see the same partitions.
+"""
 
 from __future__ import annotations
 
@@ -9,19 +13,30 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 
-def dense_index(df: DataFrame, name: str, order: list[Column | str] | None = None) -> DataFrame:
-    """Adds ``name``: 0, 1, ... in the order of ``order``, or of the rows as they are scanned.
-
-    Rows are range-partitioned and numbered within each partition; the partitions' sizes, one row for each, give the
-    offsets. The numbered table is written once so that both uses see the same partitions.
-    """
-    scratch = Scratch(df.sparkSession, "index")
+def _placed(df: DataFrame, order: list[Column | str] | None) -> DataFrame:
+    """Adds ``_part`` and ``_at``, the partition and the place in it."""
     if order:
         df = df.repartitionByRange(*order).sortWithinPartitions(*order)
     at = F.monotonically_increasing_id()
-    rows = scratch.save(df.withColumns({"_part": F.shiftright(at, 33), "_at": at.bitwiseAND(F.lit((1 << 33) - 1))}), "rows")
-    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(W.orderBy("_part")) - F.col("_n")
-    offsets = sizes.select("_part", before.alias("_before"))
+    return Scratch(df.sparkSession, "index").save(df.withColumns({"_part": F.shiftright(at, 33), "_at": at.bitwiseAND(F.lit((1 << 33) - 1))}), "rows")
+
+
+def _with_offsets(rows: DataFrame, total: Column) -> DataFrame:
+    """Adds ``_before``, the total of the partitions before a row's."""
+    sizes = rows.groupBy("_part").agg(total.alias("_n"))
+    offsets = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
     # one row for each partition of the written table
-    return rows.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_part", "_at", "_before")
+    return rows.join(F.broadcast(offsets), "_part")
+
+
+def dense_index(df: DataFrame, name: str, order: list[Column | str] | None = None) -> DataFrame:
+    """Adds ``name``: 0, 1, ... in the order of ``order``, or of the rows as they are scanned."""
+    rows = _with_offsets(_placed(df, order), F.count("*"))
+    return rows.withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_part", "_at", "_before")
+
+
+def sum_before(df: DataFrame, value: str, name: str, order: list[Column | str]) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over all rows before a row."""
+    rows = _with_offsets(_placed(df, order), F.sum(value))
+    inside = F.sum(value).over(W.partitionBy("_part").orderBy("_at")) - F.col(value)
+    return rows.withColumn(name, (F.col("_before") + inside)).drop("_part", "_at", "_before")
