@@ -9,22 +9,27 @@ of one anchor are a segment, about 19 bytes apart. Then, by anchor:
    other copies are known to be repeats. Sent rows meet by anchor.
 2. A segment with a copy in a smaller document is a repeat as a whole. Where an
    anchor stands in several different segments, these ask for their bytes.
-3. The bytes of asked segments meet by anchor and their windows are compared
-   byte by byte. An anchor in more than ``HOT_SEGMENTS`` segments is posted with
-   the 17 bytes on its left and on its right instead: a window around it holds
-   the one or the other.
+3. The bytes of asked segments meet by anchor in shards. A shard's suffixes are
+   put in order by external induced sorting, whose disk-backed queues carry
+   suffixes and common prefixes; a run of common prefixes of 50 bytes or more is
+   one string, and all but those in its least document are repeats. An anchor in
+   more than ``HOT_SEGMENTS`` segments is posted with the 17 bytes on its left
+   and on its right instead: a window around it holds the one or the other.
 
 The spans are joined with the texts once, at the end. No step holds more than a
-batch and one anchor's rows; a passage in a third of all documents sends a row
-for each batch it is in. Segments are compared by 64-bit hashes, asked windows
-by their bytes. A null text is an empty one. Rows without id neither remove nor
-lose anything; rows of equal id don't match each other.
+batch, one anchor's rows, or a shard's text in a file; a passage in a third of
+all documents sends a row for each batch it is in. Segments are compared by
+64-bit hashes, asked windows by their bytes. A null text is an empty one. Rows
+without id neither remove nor lose anything; rows of equal id don't match each
+other.
 """
 
 from __future__ import annotations
 
 import gc
 import hashlib
+import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.induced import suffixes_descending
 from graphloom.plans import Scratch
 
 LENGTH = 50
@@ -43,6 +49,8 @@ PIECE_BYTES = 1 << 22
 CHUNK_BYTES = 1 << 24
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _PLACE = np.uint64((1 << 24) - 1)
+#: Anchors only bring segments together; what they don't tell apart their segments' hashes do.
+_ANCHOR_BITS = np.uint64((1 << 40) - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -80,7 +88,7 @@ def segments(data: np.ndarray) -> tuple[np.ndarray, ...]:
     s = (last - first).astype(np.uint64) * _M3 + (anchor - first).astype(np.uint64)
     for k in range(LENGTH // GRAM + 3):
         s = _mix(s * _M2 + h[np.minimum(first + k * GRAM, end)])
-    return h[anchor], s, first, last - first + LENGTH, anchor - first
+    return h[anchor] & _ANCHOR_BITS, s, first, last - first + LENGTH, anchor - first
 
 
 def _packed(tag: np.ndarray, start: np.ndarray, length: np.ndarray, offset: np.ndarray) -> np.ndarray:
@@ -99,9 +107,11 @@ def post(ids: list[int], tags: list[int], texts: list[bytes]) -> tuple[np.ndarra
         return (np.empty(0, np.int64),) * 5
     anchor, segment, doc, span = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((doc, segment, anchor))
-    anchor, segment, doc, span = (x[order] for x in (anchor, segment, doc, span))
-    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1])])
-    least = doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
+    a, s, d = anchor[order], segment[order], doc[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (s[1:] != s[:-1])])
+    least = np.empty(len(doc), np.int64)
+    least[order] = d[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
+    # rows stay in the order of the texts, which packs best
     return (doc == least).astype(np.int64), anchor.view(np.int64), segment.view(np.int64), doc, span
 
 
@@ -196,26 +206,66 @@ def _field(name: str) -> Column:
     }[name].alias(name)
 
 
-def window_repeats(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int, int]]:
-    """(doc, tag, start, length) of windows of (doc, tag, start, bytes) that are in a smaller document, as runs."""
-    least: dict[bytes, int] = {}
-    for doc, _, _, data in rows:
-        for i in range(len(data) - LENGTH + 1):
-            w = data[i : i + LENGTH]
-            if least.get(w, doc) >= doc:
-                least[w] = doc
-    found = []
-    for doc, tag_, start, data in rows:
-        run = None
-        for i in range(len(data) - LENGTH + 1):
-            if least[data[i : i + LENGTH]] < doc:
-                run = i if run is None else run
-            elif run is not None:
-                found.append((doc, tag_, start + run, i - run + LENGTH - 1))
-                run = None
-        if run is not None:
-            found.append((doc, tag_, start + run, len(data) - run))
-    return found
+class Shard:
+    """Segments of a shard: their text in a file, characters 1 to 256 for bytes and 0 after each segment."""
+
+    def __init__(self):
+        self.file, self.n = tempfile.TemporaryFile(), 0
+        self.rows: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, doc: np.ndarray, tag_: np.ndarray, start: np.ndarray, data: pa.Array) -> None:
+        pieces = data.to_pylist()
+        sizes = np.array([len(x) for x in pieces], np.int64)
+        ends = np.cumsum(sizes + 1)
+        text = np.ones(int(ends[-1]), np.uint16)
+        inside = np.ones(len(text), bool)
+        inside[ends - 1] = False
+        text[inside] += np.frombuffer(b"".join(pieces), np.uint8)
+        text[~inside] = 0
+        self.file.write(text.tobytes())
+        self.rows.append((doc, tag_, start, self.n + ends - sizes - 1, self.n + ends - 1))
+        self.n += len(text)
+
+    def repeats(self) -> list[np.ndarray]:
+        """doc, tag, start and length of the runs of windows that are in a smaller document."""
+        if not self.n:
+            return [np.empty(0, np.int64)] * 4
+        self.file.flush()
+        text = np.memmap(self.file, np.uint16, "r", shape=(self.n,))
+        doc, tag_, start, first, end = (np.concatenate(x) for x in zip(*self.rows, strict=True))
+        gone = np.zeros(self.n, bool)
+
+        def close(at: np.ndarray, group: np.ndarray) -> None:
+            """Marks the suffixes of whole groups of equal windows that have a smaller document among them."""
+            k = np.searchsorted(first, at, "right") - 1
+            whole = at + LENGTH <= end[k]
+            at, k, group = at[whole], k[whole], group[whole]
+            if len(at):
+                starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+                least = np.repeat(np.minimum.reduceat(doc[k], starts), np.diff(np.append(starts, len(at))))
+                gone[at[doc[k] > least]] = True
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        group = 0
+        for at, lcp in suffixes_descending(text, 257):
+            groups = group + np.cumsum(lcp < LENGTH)
+            group = int(groups[-1])
+            held.append((at, groups))
+            if groups[0] != group:
+                at, groups = (np.concatenate(x) for x in zip(*held, strict=True))
+                done = int(np.searchsorted(groups, group))
+                close(at[:done], groups[:done])
+                held = [(at[done:], groups[done:])]
+        if held:
+            close(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        at = np.flatnonzero(gone)
+        if not len(at):
+            return [np.empty(0, np.int64)] * 4
+        new = np.append(True, np.diff(at) > 1)
+        run = at[new]
+        length = np.diff(np.append(np.flatnonzero(new), len(at))) + LENGTH - 1
+        k = np.searchsorted(first, run, "right") - 1
+        return [doc[k], tag_[k], start[k] + run - first[k], length]
 
 
 def asked_repeats(asked: DataFrame, docs: DataFrame) -> DataFrame:
@@ -232,13 +282,15 @@ def asked_repeats(asked: DataFrame, docs: DataFrame) -> DataFrame:
     rows = rows.select(F.explode(keys).alias("key"), "doc", "tag", "start", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = Shard()
         for cols in _by_runs(batches, "key", ["key", "doc", "tag", "start", "data"]):
             key = cols[0].to_numpy()
-            starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-            rows = list(zip(*(c.to_pylist() for c in cols[1:]), strict=True))
-            found = [x for a, b in zip(starts[:-1], starts[1:], strict=True) if b - a > 1 for x in window_repeats(rows[a:b])]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["doc", "tag", "start", "length"])
+            same = key[1:] == key[:-1]
+            met = np.append(False, same) | np.append(same, False)
+            if met.any():
+                doc, tag_, start = (c.to_numpy()[met] for c in cols[1:4])
+                shard.add(doc, tag_, start, cols[4].filter(pa.array(met)))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in shard.repeats()], ["doc", "tag", "start", "length"])
 
     return rows.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(run, "doc long, tag long, start long, length long")
 
@@ -257,9 +309,11 @@ REMOVED_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_
 
 
 def _release(scratch: Scratch) -> None:
-    """Lets Spark drop the shuffle files of finished steps."""
-    gc.collect()
-    scratch.spark._jvm.System.gc()
+    """Lets Spark delete the shuffle files of finished steps, which it does once their plans are collected."""
+    for _ in range(3):
+        gc.collect()
+        scratch.spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def repeat_spans(docs: DataFrame, scratch: Scratch, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
