@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,8 +14,13 @@ from graphloom.functions.text import answer_tokens, normalize_answer
 RETRIEVAL_THRESHOLD = 0.8
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once; an expression within a lambda is evaluated for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def exact_match(prediction: Column, targets: Column) -> Column:
-    return F.exists(targets, lambda t: normalize_answer(t) == normalize_answer(prediction))
+    return _let(normalize_answer(prediction), lambda p: F.exists(targets, lambda t: normalize_answer(t) == p))
 
 
 def em_score(prediction: Column, targets: Column) -> Column:
@@ -22,18 +29,26 @@ def em_score(prediction: Column, targets: Column) -> Column:
 
 def hit_score(prediction: Column, targets: Column) -> Column:
     """Whether a normalised target is within the normalised prediction; an empty one is."""
-    return F.coalesce(F.exists(targets, lambda t: F.contains(normalize_answer(prediction), normalize_answer(t))).cast("double"), F.lit(0.0))
+    hit = _let(normalize_answer(prediction), lambda p: F.exists(targets, lambda t: F.contains(p, normalize_answer(t))))
+    return F.coalesce(hit.cast("double"), F.lit(0.0))
+
+
+def _numbered(tokens: Column) -> Column:
+    """Tokens of a multiset told apart: each with its number among equal ones."""
+    name = lambda s: lambda x, i: F.concat_ws(" ", x, (i + 1 - F.array_position(s, x)).cast("string"))
+    return _let(F.array_sort(tokens), lambda s: F.transform(s, name(s)))
 
 
 def token_f1(a: Column, b: Column) -> Column:
-    """F1 of two token arrays as multisets, 0 if nothing is shared."""
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    shared = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
-    return F.when(shared > 0, 2.0 * shared / (F.size(a) + F.size(b))).otherwise(0.0)
+    """F1 of two numbered token sets, 0 if nothing is shared."""
+    f1 = lambda n: F.when(n > 0, 2.0 * n / (F.size(a) + F.size(b))).otherwise(0.0)
+    return _let(F.size(F.array_intersect(a, b)), f1)
 
 
 def f1_score(prediction: Column, targets: Column) -> Column:
-    return F.coalesce(F.array_max(F.transform(targets, lambda t: token_f1(answer_tokens(prediction), answer_tokens(t)))), F.lit(0.0))
+    of = lambda p: lambda t: _let(_numbered(answer_tokens(t)), lambda b: token_f1(p, b))
+    best = _let(_numbered(answer_tokens(prediction)), lambda p: F.array_max(F.transform(targets, of(p))))
+    return F.coalesce(best, F.lit(0.0))
 
 
 METRICS = {"em": em_score, "f1": f1_score, "hit": hit_score}
