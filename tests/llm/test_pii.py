@@ -35,3 +35,9 @@ def test_clean_texts_columns_and_empty_tables(make_docs):
     out = pii.pseudonymize_documents(docs)
     assert out.columns == docs.columns and {tuple(r) for r in out.collect()} == {tuple(r) for r in docs.collect()}
     assert pii.pii_digest(docs.limit(0)).count() == 0
+
+
+def test_long_runs(make_docs):
+    texts = ["x@" + "a." * 100_000, "1" * 200_000, "1." * 100_000, "1-" * 100_000, "+" * 100_000, "a@" * 50_000, "(" * 100_000]
+    assert pii.pii_digest(make_docs(texts)).count() == len(texts)
+    assert pii.pii_digest(make_docs(texts)).agg({"n_card": "sum", "text": "max"}).count() == 1

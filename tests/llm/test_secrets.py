@@ -38,6 +38,10 @@ def test_linking(make_docs):
     assert spans[3] == "identifier:0:9,opaque:10:32"
 
 
+def test_long_runs(make_docs):
+    check(make_docs(["token" + " " * 100_000, "0" * 100_000, "AKIA" * 20_000, "https://" * 20_000, "a1" * 60_000 + "=", "password=" * 20_000, "user:x " * 3_000 + "secret=abcdef", "\n" * 100_000]))
+
+
 def test_all_documents(spark):
     check(table(spark, SF, "documents"))
     assert registry.op8_secret_scan(spark, SF).limit(0).count() == 0
