@@ -29,7 +29,7 @@ WORD, WORDS = 7, 8
 DEPTH = WORD * WORDS
 BITS = 9
 CHUNK = 1 << 18
-BUFFER = 1 << 15
+BUFFER = 1 << 14
 ITEM = np.dtype([("at", np.int64), ("lcp", np.int32)])
 
 

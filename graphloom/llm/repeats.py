@@ -46,7 +46,9 @@ GRAMS = LENGTH - GRAM + 1
 SIDE = (LENGTH - GRAM) // 2
 HOT_SEGMENTS = 256
 PIECE_BYTES = 1 << 22
-CHUNK_BYTES = 1 << 24
+CHUNK_BYTES = 1 << 23
+#: Asked segments of a shard, about 4 MB of text.
+SHARD_ROWS = 50_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _PLACE = np.uint64((1 << 24) - 1)
 #: Anchors only bring segments together; what they don't tell apart their segments' hashes do.
@@ -270,6 +272,7 @@ class Shard:
 
 def asked_repeats(asked: DataFrame, docs: DataFrame) -> DataFrame:
     """``doc, tag, start, length`` of repeats within the segments that ask for their bytes."""
+    shards = max(1, -(-asked.count() // SHARD_ROWS))
     asked = asked.select("kind", "anchor", "doc", _field("tag"), _field("start"), _field("length"), _field("offset"))
     texts = docs.select(F.col("doc_id").alias("doc"), "tag", F.col("text").cast("binary").alias("data"))
     data = F.substring(F.col("data"), (F.col("start") + 1).cast("int"), F.col("length").cast("int"))
@@ -292,7 +295,7 @@ def asked_repeats(asked: DataFrame, docs: DataFrame) -> DataFrame:
                 shard.add(doc, tag_, start, cols[4].filter(pa.array(met)))
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in shard.repeats()], ["doc", "tag", "start", "length"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(run, "doc long, tag long, start long, length long")
+    return rows.repartition(shards, "key").sortWithinPartitions("key", "doc").mapInArrow(run, "doc long, tag long, start long, length long")
 
 
 def merge(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
