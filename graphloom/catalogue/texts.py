@@ -155,17 +155,18 @@ def average_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return T.average_tokens(table(spark, sf, "conversations"), "text").withColumn("avg_tokens", F.round("avg_tokens", 9))
 
 
-#: Prompts are conversation turns; the cache holds those of even turns, in several versions.
+#: Prompts are conversation turns; the cache holds those of users, in one to three versions.
 CACHE = """prompts AS (SELECT conv_id * 100 + turn AS index, text AS prompt, sha256(text) AS prompt_sha256 FROM conversations WHERE text IS NOT NULL),
-cache AS (SELECT index, prompt_sha256, v AS pos, 'r' || v AS response FROM prompts, (SELECT unnest(range(3)) AS v) WHERE index % 2 = 0 AND (index + v) % 3 <> 2),
+cache AS (SELECT conv_id * 100 + turn AS index, sha256(text) AS prompt_sha256, unnest(range(1 + length(text) % 3)) AS pos, 'r' || unnest(range(1 + length(text) % 3)) AS response FROM conversations WHERE text IS NOT NULL AND role = 'user'),
 latest AS (SELECT index, prompt_sha256, arg_max(response, pos) AS response FROM cache GROUP BY index, prompt_sha256)"""
 
 
 def _cache(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    p = table(spark, sf, "conversations").filter("text is not null").select((F.col("conv_id") * 100 + F.col("turn")).alias("index"), F.col("text").alias("prompt"))
-    v = I.with_prompt_hash(p).withColumn("pos", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])))
-    cache = v.filter((F.col("index") % 2 == 0) & ((F.col("index") + F.col("pos")) % 3 != 2))
-    return p, cache.select("index", "prompt_sha256", "pos", F.concat(F.lit("r"), F.col("pos").cast("string")).alias("response"))
+    c = table(spark, sf, "conversations").filter("text is not null")
+    prompt = [(F.col("conv_id") * 100 + F.col("turn")).alias("index"), F.col("text").alias("prompt")]
+    versions = F.sequence(F.lit(0).cast("long"), (F.length("prompt") % 3).cast("long"))
+    cache = I.with_prompt_hash(c.filter("role = 'user'").select(*prompt)).withColumn("pos", F.explode(versions))
+    return c.select(*prompt), cache.select("index", "prompt_sha256", "pos", F.concat(F.lit("r"), F.col("pos").cast("string")).alias("response"))
 
 
 @query(f"WITH {CACHE} SELECT p.index, p.prompt_sha256, p.prompt, response FROM prompts p JOIN latest l ON l.index = p.index AND l.prompt_sha256 = p.prompt_sha256")
