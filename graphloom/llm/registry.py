@@ -71,4 +71,4 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": mixing.ORACLE_MIX}
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": mixing.ORACLE_MIX, "op7_suffix_dedup": repeats.ORACLE_REPEATS}

@@ -360,3 +360,22 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False, hot_segments: int
     schema = REMOVED_SCHEMA if with_bytes else REMOVED_SCHEMA.rpartition(",")[0]
     names = [x.split()[0] for x in schema.split(", ")]
     return joined.mapInArrow(run, schema)
+
+
+ORACLE_REPEATS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+-- windows are cut from chunks of 2048 starts, as a substring reads its string from the beginning
+c AS (SELECT doc_id, n, k, substr(h, 4096 * k + 1, 4096 + 98) AS part FROM (SELECT *, unnest(range(n // 2048 + 1)) AS k FROM d)),
+w AS (SELECT doc_id, 2048 * k + i AS pos, substr(part, 2 * i + 1, 100) AS s
+      FROM (SELECT *, unnest(range(greatest(0, least(2048, n - 49 - 2048 * k)))) AS i FROM c)),
+r AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY s) AS least_id FROM w) WHERE least_id < doc_id),
+o AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run
+      FROM (SELECT *, (pos > coalesce(lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 50, -1))::INT AS fresh FROM r)),
+s AS (SELECT doc_id, min(pos) AS a, max(pos) + 50 AS b FROM o GROUP BY doc_id, run),
+g AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prior FROM s),
+p AS (SELECT g.doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS stop,
+             string_agg(substr(h, 2 * prior + 1, 2 * (a - prior)), '' ORDER BY a) AS head FROM g JOIN d ON d.doc_id = g.doc_id GROUP BY g.doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN p ON p.doc_id = d.doc_id
+"""

@@ -3,8 +3,13 @@ import random
 
 from pyspark.sql import functions as F
 
+from graphloom.llm import registry
 from graphloom.llm import repeats as R
 
+from ..oracle import assert_same, connect
+
+SF = "/root/testdata/sf0.001"
+
 
 def brute(rows):
     least = {}
@@ -66,3 +71,7 @@ def test_ids_nulls_extra_columns_and_empty_table(spark, make_docs):
     docs = make_docs([t, t, t, "x" + t, t + "y"], ids=[4, 4, None, 4, 2]).withColumns({"tag": F.lit(1), "start": F.lit(2), "data": F.lit("d"), "kind": F.lit(0)})
     check(docs)
     assert R.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_against_oracle(spark):
+    assert_same(registry.op7_suffix_dedup(spark, SF), registry.ORACLE_SQL["op7_suffix_dedup"], connect(SF))
