@@ -202,13 +202,13 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def component_ids(rows: DataFrame) -> DataFrame:
-    """``fp, component_id`` of every fingerprint of a written table ``doc_id, fp``."""
+    """``fp, component_id, root`` of every fingerprint of a written table ``doc_id, fp``; the root is a component's least fingerprint."""
     scratch = Scratch(rows.sparkSession, "simhash")
     fps = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(near_links(fps.select("fp"), scratch), scratch)
     rooted = fps.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first", F.coalesce("v", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return scratch.save(rooted.join(least, "root").select("fp", "component_id"), "components")
+    return scratch.save(rooted.join(least, "root").select("fp", "component_id", "root"), "components")
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
@@ -219,12 +219,16 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each component, that with its least doc_id, with the columns of ``docs``."""
+    """One document of each component, that with its least doc_id, with the columns of ``docs``.
+
+    A component is known by its root, as null and repeated ids don't tell components apart. Null ids come last; of
+    rows that repeat an id in a component, that with the least fingerprint stays.
+    """
     scratch = Scratch(docs.sparkSession, "simhash-stage")
     rows = scratch.save(with_fingerprint(docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), "text")), "rows")
-    ids = component_ids(rows.select(F.col("id").alias("doc_id"), "fp"))
-    # of rows that repeat an id, that with the least fingerprint
-    first = rows.select("id", "fp").join(ids, "fp").filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fp").alias("keep_fp"))
-    first = scratch.save(first, "first")
-    match = rows["id"].eqNullSafe(first["component_id"]) & (rows["fp"] == first["keep_fp"])
+    roots = component_ids(rows.select(F.col("id").alias("doc_id"), "fp")).select("fp", "root")
+    least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "fp")).alias("least")
+    first = rows.select("id", "fp").join(roots, "fp").groupBy("root").agg(least)
+    first = scratch.save(first.select(F.col("least.id").alias("keep_id"), F.col("least.fp").alias("keep_fp")), "first")
+    match = rows["id"].eqNullSafe(first["keep_id"]) & (rows["fp"] == first["keep_fp"])
     return rows.join(first, match, "left_semi").dropDuplicates(["id", "fp"]).select("row.*")

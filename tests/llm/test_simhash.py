@@ -69,3 +69,14 @@ def test_stage_keeps_one_of_each_group(spark, make_docs):
     assert S.drop_near_duplicates(docs.limit(0)).count() == 0
     digest = {r.doc_id: r for r in S.simhash_digest(docs).collect()}
     assert digest[8].fingerprint == "0" * 16 and digest[8].component_id == 3
+
+
+def test_stage_keeps_components_of_null_and_repeated_ids(spark, make_docs):
+    rng = random.Random(5)
+    text = lambda: " ".join(f"w{rng.getrandbits(30)}" for _ in range(60))
+    different = [text() for _ in range(30)]
+    out = S.drop_near_duplicates(make_docs(different + different[:3], ids=[None] * 33))
+    assert sorted(r.text for r in out.collect()) == sorted(different)
+    a, b = different[:2]
+    out = S.drop_near_duplicates(make_docs([a, b, b, b], ids=[1, 1, 7, None]))
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted([(1, a), (1, b)])
