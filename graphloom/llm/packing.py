@@ -7,7 +7,8 @@
    whose number follows from their count. Each group streams its pieces, longest
    first, through ``BestFit``: a fixed number of open bins in a bitset keyed by
    free space. A piece goes to the open bin with the least space that holds it;
-   when a new bin is needed and all are open, the fullest closes first.
+   when a new bin is needed and all are open, the fullest closes first. Groups
+   have fewer pieces than bins, so that only repeated rows reach the limit.
 
 A group's state is the open bins, whatever its number of pieces. Null and empty
 texts give one piece with the closing id. Repeated rows are packed as often as
@@ -32,7 +33,8 @@ from graphloom.plans import Scratch
 SEQUENCE = 1024
 END_ID = 2
 OPEN_BINS = 4096
-PIECES_PER_GROUP = 200_000
+#: Fewer than ``OPEN_BINS`` by more than hashing varies, so that no bin closes while a shorter piece is to come.
+PIECES_PER_GROUP = 3_700
 
 #: Without runs of white space the look-ahead of the published pattern changes nothing.
 _SIMPLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
@@ -145,7 +147,7 @@ def pack_pieces(pieces: DataFrame, size: int = SEQUENCE, bins: int = OPEN_BINS,
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     packed = (
-        short.repartition(groups, "doc_id", "piece")
+        short.repartition(groups, "doc_id", "piece", "ids_crc32")
         .sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
         .mapInArrow(run, schema)
     )

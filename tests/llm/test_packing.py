@@ -73,3 +73,12 @@ def test_groups(spark, make_docs, groups):
     n = pieces.filter("length < 1024").count()
     rows = packing.pack_pieces(pieces, per_group=-(-n // groups)).collect()
     assert len(rows) == pieces.count() and len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+
+
+def test_fill_of_full_groups(spark):
+    # four in ten pieces above half a sequence, as in documents
+    n = F.when(F.rand(1) < 0.41, 513 + F.floor(F.rand(2) * 511)).otherwise(1 + F.floor(F.rand(3) * 512)).cast("long")
+    pieces = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), n.alias("length"), F.col("id").alias("ids_crc32"))
+    pieces = packing.Scratch(spark, "t").save(pieces, "fill")
+    least = -(-pieces.agg({"length": "sum"}).first()[0] // 1024)
+    assert packing.pack_pieces(pieces).select("sequence_id").distinct().count() <= 1.02 * least
