@@ -1,6 +1,7 @@
 """Best-fit packing of token sequences.
 
-1. ``tokenize_pieces``: each text becomes byte-level BPE ids and a closing id.
+1. ``tokenize_pieces``: each text becomes byte-level BPE ids, with the ids of
+   added tokens for their strings, and a closing id.
    A document longer than a sequence is cut into full pieces, the first piece
    taking what is left over.
 2. ``pack_pieces``: pieces shorter than a sequence are dealt to packing groups
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 import array
 import base64
+import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -40,12 +43,13 @@ PIECES_PER_GROUP = 3_700
 _SIMPLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
 _RUN = re.compile(r"\s\s")
 _encoders: dict[str, tuple] = {}
+_added: dict[str, dict[str, int]] = {}
 
 
 def encoder(vocabulary: str | None = None):
     """Function text -> ids of the byte-level BPE vocabulary (a .tiktoken file), cached in the process.
 
-    The strings of special tokens in a text are ordinary text.
+    The strings of added tokens are ordinary text; ``document_encoder`` knows them.
     """
     import public_tokenizers
     import tiktoken
@@ -62,6 +66,46 @@ def encoder(vocabulary: str | None = None):
     return lambda text: (full if _RUN.search(text) else simple)(text)
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """String -> id of the tokens that a tokenizer file (.json) adds to its vocabulary, cached in the process."""
+    if path not in _added:
+        with open(path, encoding="utf-8") as f:
+            tokens = json.load(f).get("added_tokens") or []
+        if any(t.get(k) for t in tokens for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"added tokens with strip or word rules: {path}")
+        _added[path] = {t["content"]: t["id"] for t in tokens}
+    return _added[path]
+
+
+def document_encoder(vocabulary: str | None = None):
+    """As ``encoder``, but the strings of added tokens become their ids, as in the tokenizer's default settings.
+
+    The tokenizer file lies beside the ranks; ranks without one have no added tokens.
+    """
+    import public_tokenizers
+
+    path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    file = os.path.splitext(path)[0] + ".json"
+    added = added_tokens(file) if os.path.exists(file) else {}
+    plain = encoder(vocabulary)
+    if not added:
+        return plain
+    find = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+
+    def encode(text: str) -> list[int]:
+        if not find.search(text):
+            return plain(text)
+        ids: list[int] = []
+        for k, part in enumerate(find.split(text)):
+            if k % 2:
+                ids.append(added[part])
+            elif part:
+                ids += plain(part)
+        return ids
+
+    return encode
+
+
 def cut(n: int, size: int = SEQUENCE) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` ids."""
     first = n % size
@@ -112,7 +156,7 @@ def tokenize_pieces(docs: DataFrame, size: int = SEQUENCE, vocabulary: str | Non
     """``doc_id, piece, start, length, ids_crc32`` of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = document_encoder(vocabulary)
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):

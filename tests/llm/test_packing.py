@@ -82,3 +82,15 @@ def test_fill_of_full_groups(spark):
     pieces = packing.Scratch(spark, "t").save(pieces, "fill")
     least = -(-pieces.agg({"length": "sum"}).first()[0] // 1024)
     assert packing.pack_pieces(pieces).select("sequence_id").distinct().count() <= 1.02 * least
+
+
+def test_added_tokens_have_their_ids(spark, make_docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "a  <|endoftext|>  b", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n\n", "<|endoftext|", "a <|<|endoftext|>|>", "é\n <|endoftext|>日本"]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert 50256 in want[0] and [packing.document_encoder()(x) for x in texts] == want
+    crc = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack_documents(make_docs(texts)).collect()}
+    assert crc == {i: (len(ids) + 1, zlib.crc32(b"".join(x.to_bytes(4, "little") for x in [*ids, 2]))) for i, ids in enumerate(want)}
