@@ -8,7 +8,9 @@ eight rounds add SHA-256 of key, format, round and one half to the other. The
 network is a permutation of the domain, so equal values get equal pseudonyms in
 every document, different values different ones, and formats stay valid:
 
-* payment card: 13 to 19 digits with a correct check digit; so is the pseudonym's
+* payment card: 13 to 19 digits with a correct check digit; so is the pseudonym's.
+  Where a match with its neighbouring numbers fails the check, a run of its digit
+  groups that passes is the card
 * IPv4 address: four octets
 * phone number: North American with area and exchange from 200, others by digits
 * social security number: nine digits as 3-2-4
@@ -30,8 +32,8 @@ ROUNDS = 8
 FIRST_DAY, DAYS_X, DAYS_Y = "1800-01-01", 365, 400
 KINDS = ("email", "ip", "date", "ssn", "phone", "card")
 
-# at most ten labels of a domain: Java matches repeated groups by recursion
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,10}[A-Za-z]{2,}"
+# Java matches repeated groups by recursion unless they are possessive, so each turn takes the labels up to the next one that may end the domain
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.(?:(?![A-Za-z]{2})[A-Za-z0-9-]++\.)*+(?=[A-Za-z]{2}))++[A-Za-z]{2,}"
 IP = r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])"
 DATE = r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\1[0-9]{4})(?![\w/-]|\.[0-9])"
 SSN = r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"
@@ -95,10 +97,23 @@ def card(key: str, m: Column) -> Column:
         tries = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: F.concat(body, c.cast("string")))
         return F.filter(tries, lambda t: F.call_function("luhn_check", t))[0]
 
-    def permuted(d: Column) -> Column:
-        return _let(permute_digits(key, "card", F.substring(d, F.lit(1), F.length(d) - 1)), lambda body: _refill(m, checked(body)))
+    def permuted(s: Column, d: Column) -> Column:
+        return _let(permute_digits(key, "card", F.substring(d, F.lit(1), F.length(d) - 1)), lambda body: _refill(s, checked(body)))
 
-    return _let(_digits(m), lambda d: F.when(F.call_function("luhn_check", d), permuted(d)))
+    def whole(s: Column) -> Column:
+        return _let(_digits(s), lambda d: F.when(F.call_function("luhn_check", d), permuted(s, d)))
+
+    def part(groups: Column) -> Column:
+        """The first run of whole groups that is a card, by its start and then the longest, with the rest of the match around it."""
+        n = F.size(groups)
+        text = lambda i, k: F.array_join(F.slice(groups, i, k), "")
+        runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(n - i + 1, F.lit(1), F.lit(-1)), lambda k: F.struct(i.alias("i"), k.alias("k")))))
+        valid = lambda d: F.length(d).between(13, 19) & F.call_function("luhn_check", d)
+        found = F.filter(runs, lambda r: valid(_digits(text(r["i"], r["k"]))))
+        around = lambda r: F.concat(text(F.lit(1), r["i"] - 1), whole(text(r["i"], r["k"])), text(r["i"] + r["k"], n))
+        return F.get(F.transform(F.slice(found, 1, 1), around), F.lit(0))
+
+    return F.coalesce(whole(m), F.when(m.rlike("[ -]"), _let(F.split(m, "(?=[ -])"), part)))
 
 
 def ip(key: str, m: Column) -> Column:

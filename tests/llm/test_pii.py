@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from graphloom.llm import pii
@@ -41,3 +43,22 @@ def test_long_runs(make_docs):
     texts = ["x@" + "a." * 100_000, "1" * 200_000, "1." * 100_000, "1-" * 100_000, "+" * 100_000, "a@" * 50_000, "(" * 100_000]
     assert pii.pii_digest(make_docs(texts)).count() == len(texts)
     assert pii.pii_digest(make_docs(texts)).agg({"n_card": "sum", "text": "max"}).count() == 1
+
+
+def test_cards_beside_numbers(make_docs):
+    card = "4111 1111 1111 1111"
+    texts = [card, f"{card} 123", f"{card} 12/27", f"{card.replace(' ', '-')} 12/27", f"12 {card} x", "4111111111111111 123", "1234567890123456 12"]
+    rows = pii.pii_digest(make_docs(texts)).orderBy("doc_id").collect()
+    new = rows[0].text
+    assert new != card and luhn(new)
+    dashed, plain = new.replace(" ", "-"), new.replace(" ", "")
+    assert [r.text for r in rows] == [new, f"{new} 123", f"{new} 12/27", f"{dashed} 12/27", f"12 {new} x", f"{plain} 123", "1234567890123456 12"]
+    assert [r.n_card for r in rows] == [1] * 6 + [0]
+
+
+def test_domains_of_any_length(make_docs):
+    texts = ["u@a.b.c.d.e.f.g.h.i.j.k.l.example.com", "u@" + "ab." * 50_000 + "com", "u@b.com.123 x", "u@b.com9", "u@b..com", "u@x.1.2.3.org.", "u@b.c0m"]
+    out = [r.text for r in pii.pii_digest(make_docs(texts)).orderBy("doc_id").collect()]
+    user = r"user-[0-9a-f]{16}@mail\.invalid"
+    for text, want in zip(out, (user, user, user + r"\.123 x", user + "9", r"u@b\.\.com", user + r"\.", r"u@b\.c0m"), strict=True):
+        assert re.fullmatch(want, text)
