@@ -5,26 +5,29 @@ branch it stands in: the tags and class names below ``body``. Elements that are
 never article text (scripts, navigation, forms, or class names that say so) are
 noise; ``article`` and ``main`` are main content.
 
-The pages of a host are merged to a style tree: nodes are branches down to
-``DEPTH``. A node's presentation importance is the entropy of the child
-sequences seen there, its content importance one less the mean entropy of its
-text blocks over the pages (a block on all pages has 1, one on a single page 0).
-They are composed as (1 - g^l) * presentation + g^l * content for l different
-child sequences. Branches below ``LEAST`` are removed from each page. A node of
-fewer than ``MIN_PAGES`` pages tells nothing and stays. In a page with main
-content its text is that content; the tree decides on pages that have none and
-on nothing inside an article, whose repeated passages are still text.
-
-Sums are partial by host, branch and block, so no host is ever in one task, and
-only pages with undecided branches are shuffled, as blocks. Pages of null url
-form a host of their own. Null and empty html gives an empty text. Repeated rows
-are pages in their own right.
+The pages of a host, identical ones once, are merged to a style tree: nodes are
+branches of any depth that HTML parsers allow. A node's presentation importance
+is the entropy of the child sequences seen there, its content importance one
+less the mean entropy of the text blocks below it over the pages (a block on all
+pages has 1, one on a single page 0). They are composed as (1 - g^l) *
+presentation + g^l * content for l different child sequences. Branches below
+``LEAST`` are removed from each page, inside main content too; ``article`` and
+``main`` themselves stay, whatever is above them. A node of fewer than ``MIN_PAGES`` different pages
+tells nothing and stays. Main content is a page's text, unless it is less than
+half of what the tree leaves: then it is a teaser, and all that is left stays.
+
+Sums are partial by host, branch and block, so no host is ever in one task.
+Blocks count for the branch they stand in, and only these sums, not the blocks,
+go to the branches above. Pages of null url form a host of their own. Null and
+empty html gives an empty text. Repeated rows give a text each.
 """
 
 from __future__ import annotations
 
 import html
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,10 +39,13 @@ from pyspark.sql import functions as F
 
 from graphloom.plans import Scratch
 
-DEPTH = 3
+#: Nesting at which HTML parsers of browsers stop; what is deeper keeps its text and stands in its ancestor's branch.
+NESTING = 512
 GAMMA = 0.9
 LEAST = 0.4
 MIN_PAGES = 3
+SALTS = 32
+SLICE = 256
 
 # Element names of the HTML standard by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -72,7 +78,7 @@ def _key(path: str) -> int:
 
 
 class _Element:
-    __slots__ = ("children", "keys", "main", "noise", "path", "tag", "undecided")
+    __slots__ = ("children", "main", "node", "noise", "own", "tag")
 
     def __init__(self, tag: str, up: _Element | None, names: str, hidden: bool):
         self.tag, self.children = tag, []
@@ -81,21 +87,19 @@ class _Element:
         self.main = in_main or tag in ("article", "main")
         noise = tag in NOISE_TAGS or hidden or (tag == "header" and not in_main) or (tag not in ("body", "html", "article", "main") and not words.isdisjoint(NOISE_WORDS))
         self.noise = noise or (up is not None and up.noise)
-        self.path = self.keys = self.undecided = None
-        if tag == "body" or up is None:
-            self.path, self.keys, self.undecided = "", (), ()
-        elif up.path is not None and len(up.keys) < DEPTH and tag in BLOCKS:
-            self.path = f"{up.path}/{tag}.{'.'.join(sorted(words))}"
-            self.keys = (*up.keys, _key(self.path))
-            self.undecided = up.undecided if self.noise or self.main else (*up.undecided, self.keys[-1])
-        else:
-            self.keys, self.undecided = up.keys, up.undecided
+        # (key, node above, whether the tree may remove it, depth) of the branch it stands in, None for the body
+        self.node, self.own = up.node if up is not None and tag != "body" else None, False
+        if up is not None and tag in BLOCKS and tag != "body" and (self.node is None or self.node[3] < NESTING):
+            above, self.own = self.node, True
+            path = f"{above[0] if above else ''}/{tag}.{'.'.join(sorted(words))}"
+            self.node = (_key(path), above, tag not in ("article", "main"), above[3] + 1 if above else 1)
 
 
-def parse(page: str | None) -> tuple[list[tuple[str, bool, tuple[int, ...]]], list[tuple[int, int]], list[tuple[int, int]]]:
-    """(blocks, styles, contents) of a page: its text blocks that aren't noise, with whether they are main content
-    and their undecided branches; (branch, child sequence) and (branch, block) hashes of the whole style tree."""
-    blocks, styles, contents = [], [], []
+def parse(page: str | None) -> tuple[list[tuple[str, bool, tuple | None]], list[tuple[int, int]], list[tuple[int, int]], dict[int, int]]:
+    """(blocks, styles, contents, edges) of a page: its text blocks that aren't noise, with whether they are main content
+    and their node; (branch, child sequence) and (nearest branch, block) hashes of the whole style tree; the branch
+    above each branch, 0 for the body."""
+    blocks, styles, contents, edges = [], [], [], {}
     stack = [_Element("html", None, "", False)]
     held: list[str] = []
     open_ = Counter()  # saves the search of the stack for what isn't there
@@ -105,18 +109,18 @@ def parse(page: str | None) -> tuple[list[tuple[str, bool, tuple[int, ...]]], li
         held.clear()
         if text:
             e = stack[-1]
-            if e.keys:
-                h = xxhash.xxh64_intdigest(text) - (1 << 63)
-                contents.extend((k, h) for k in e.keys)
+            if e.node:
+                contents.append((e.node[0], _key(text)))
             if not e.noise:
-                blocks.append((text, e.main, () if e.main else e.undecided))
+                blocks.append((text, e.main, e.node))
 
     def close(upto: int) -> None:
         while len(stack) > upto:
             e = stack.pop()
             open_[e.tag] -= 1
-            if e.path:
-                styles.append((e.keys[-1], _key(">".join(e.children))))
+            if e.own:
+                styles.append((e.node[0], _key(">".join(e.children))))
+                edges[e.node[0]] = e.node[1][0] if e.node[1] else 0
 
     pos, page = 0, page or ""
     while True:
@@ -164,36 +168,84 @@ def parse(page: str | None) -> tuple[list[tuple[str, bool, tuple[int, ...]]], li
             stack.append(_Element(tag, stack[-1], names, bool(m[3]) and _HIDDEN.search(m[3]) is not None))
     flush()
     close(0)
-    return blocks, styles, contents
+    return blocks, styles, contents, edges
 
 
 def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, as pages are long."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
+def _rows_of(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.int64).reshape(-1, 3)
+
+
 def site_style_tree(pages: DataFrame) -> DataFrame:
     """``host, branch, n_pages, importance`` of the merged pages of each host."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hosts, rows = [], []
-            for h, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                _, styles, contents = parse(page)
-                seen = [(k, 0, v) for k, v in set(styles)] + [(k, 1, v) for k, v in set(contents)] + [(k, 2, 0) for k in {k for k, _ in styles}]
-                hosts += [h] * len(seen)
-                rows += seen
-            if rows:
-                table = np.array(rows, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(table[:, i]) for i in range(3))], ["host", "branch", "kind", "value"])
-
-    seen = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, branch long, kind long, value long")
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            texts = [x or "" for x in b.column("html").to_pylist()]
+            packed = []
+            for page in texts:
+                _, styles, contents, edges = parse(page)
+                rows = [(k, 0, v) for k, v in set(styles)] + [(k, 1, v) for k, v in set(contents)] + [(k, 2, v) for k, v in edges.items()]
+                packed.append(np.array(rows, np.int64).tobytes())
+            ids = [xxhash.xxh3_128_digest(x) for x in texts]
+            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(ids, pa.binary()), pa.array(packed, pa.binary())], ["host", "page", "packed"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(hosts: list, parts: list) -> pa.RecordBatch:
+            table = np.concatenate(parts)
+            at = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()).take(pa.array(at)), *(pa.array(table[:, i]) for i in range(3))], ["host", "branch", "kind", "value"])
+
+        for b in _slices(batches):
+            hosts, parts, held = [], [], 0
+            for h, data in zip(b.column("host").to_pylist(), b.column("packed").to_pylist(), strict=True):
+                rows = _rows_of(data)
+                if not len(rows):
+                    continue
+                up = dict(rows[rows[:, 1] == 2][:, ::2].tolist())
+                hosts.append(h)
+                parts.append(np.where(rows[:, 1:2] == 2, rows * (1, 1, 0), rows))
+                held += len(rows)
+                for leaf in set(rows[rows[:, 1] == 1][:, 0].tolist()):
+                    chain, k = [], leaf
+                    while k:
+                        chain.append((leaf, 3, k))
+                        k = up.get(k, 0)
+                    hosts.append(h)
+                    parts.append(np.array(chain, np.int64))
+                    held += len(chain)
+                    if held > 1 << 16:
+                        yield out(hosts, parts)
+                        hosts, parts, held = [], [], 0
+            if parts:
+                yield out(hosts, parts)
+
+    packed = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(pack, "host string, page binary, packed binary")
+    # copies of a page count once, so that they don't lower the importance of their own content
+    once = packed.groupBy("host", "page").agg(F.first("packed").alias("packed")).select("host", "packed")
+    seen = once.mapInArrow(unpack, "host string, branch long, kind long, value long")
     counted = seen.groupBy("host", "branch", "kind", "value").agg(F.count("*").alias("n"))
+    counted = Scratch(pages.sparkSession, "html-tree").save(counted, "counted")
+    # sums of the blocks that stand in a branch itself, then of all below it
+    blocks = counted.filter("kind = 1").groupBy("host", "branch").agg(F.count("*").alias("n_own"), F.sum(F.log("n")).alias("own_log"))
+    below = counted.filter("kind = 3").select("host", "branch", F.col("value").alias("above")).join(blocks, ["host", "branch"])
+    below = below.groupBy("host", F.col("above").alias("branch")).agg(F.sum("n_own").alias("n_blocks"), F.sum("own_log").alias("block_log"))
     n, kind = F.col("n").cast("double"), F.col("kind")
-    sums = counted.groupBy("host", "branch").agg(
+    sums = counted.filter("kind in (0, 2)").groupBy("host", "branch").agg(
         F.coalesce(F.sum(F.when(kind == 2, F.col("n"))), F.lit(0)).alias("n_pages"),
         F.count(F.when(kind == 0, 1)).alias("n_styles"), F.sum(F.when(kind == 0, n)).alias("seen"), F.sum(F.when(kind == 0, n * F.log(n))).alias("seen_log"),
-        F.count(F.when(kind == 1, 1)).alias("n_blocks"), F.sum(F.when(kind == 1, F.log(n))).alias("block_log"),
     )
+    sums = sums.join(below, ["host", "branch"], "left")
     log_pages = F.log(F.greatest(F.col("n_pages"), F.lit(2)).cast("double"))
     presentation = (F.log("seen") - F.col("seen_log") / F.col("seen")) / log_pages
     content = F.when(F.col("n_blocks") > 0, 1 - F.col("block_log") / F.col("n_blocks") / log_pages).otherwise(0.0)
@@ -202,30 +254,66 @@ def site_style_tree(pages: DataFrame) -> DataFrame:
     return sums.select("host", "branch", "n_pages", importance.alias("importance"))
 
 
+def keep_blocks(blocks: list[tuple[str, bool, int]], nodes: list[tuple[int, int, bool]], low: set[int]) -> str:
+    """Text of a page from its blocks (text, main, place of its node), its nodes (key, place of the node above, whether
+    the tree may remove it) and the keys that the tree removes. Main content is the page's text unless other branches of the site say more."""
+    gone = []
+    for key, above, open_ in nodes:  # what is above comes first
+        gone.append(open_ and (key in low or (above >= 0 and gone[above])))
+    left = [(t, m) for t, m, k in blocks if k < 0 or not gone[k]]
+    main = [t for t, m in left if m]
+    if main and 2 * sum(map(len, main)) >= sum(len(t) for t, _ in left):
+        return "\n\n".join(main)
+    return "\n\n".join(t for t, _ in left)
+
+
+def _nodes_of(blocks: list[tuple[str, bool, tuple | None]]) -> tuple[list[tuple[str, bool, int]], list[tuple[int, int, bool]]]:
+    """Blocks with the place of their node, and nodes as (key, place of the node above, whether the tree may remove it)."""
+    places: dict[int, int] = {}
+    nodes: list[tuple[int, int, bool]] = []
+    out = []
+    for text, main, node in blocks:
+        chain = []
+        while node is not None and node[0] not in places:
+            chain.append(node)
+            node = node[1]
+        at = places[node[0]] if node is not None else -1
+        for x in reversed(chain):
+            nodes.append((x[0], at, x[2]))
+            at = places[x[0]] = len(nodes) - 1
+        out.append((text, main, at))
+    return out, nodes
+
+
 def extract_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
     scratch = Scratch(pages.sparkSession, "html")
     low = scratch.save(site_style_tree(pages).filter(F.col("importance") < LEAST).select("host", "branch"), "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("text", pa.string()), ("branches", pa.list_(pa.int64()))]))
-        for b in batches:
-            out = []
+        for b in _slices(batches):
+            data, asked = [], []
             for page in b.column("html").to_pylist():
-                blocks, _, _ = parse(page)
-                main = [x for x in blocks if x[1]]
-                out.append([{"text": t, "branches": k} for t, _, k in main or blocks])
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("host"), pa.array(out, kind)], ["page_id", "url", "host", "blocks"])
+                blocks, nodes = _nodes_of(parse(page)[0])
+                data.append(zlib.compress(pickle.dumps((blocks, nodes)), 1))
+                asked.append([k for k, _, open_ in nodes if open_])
+            columns = [b.column("page_id"), b.column("url"), b.column("host"), pa.array(data, pa.binary()), pa.array(asked, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "data", "asked"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            found = zip(b.column("data").to_pylist(), b.column("removed").to_pylist(), strict=True)
+            texts = [keep_blocks(*pickle.loads(zlib.decompress(data)), set(low or ())) for data, low in found]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, host string, blocks array<struct<text string, branches array<bigint>>>"
-    parsed = pages.select("page_id", "url", host(F.col("url")).alias("host"), "html").mapInArrow(run, schema)
+    id_kind = pages.schema["page_id"].dataType.simpleString()
+    parsed = pages.select("page_id", "url", host(F.col("url")).alias("host"), "html")
+    parsed = parsed.mapInArrow(run, f"page_id {id_kind}, url string, host string, data binary, asked array<bigint>")
     parsed = scratch.save(parsed.withColumn("row", F.monotonically_increasing_id()), "blocks")
-    branches = F.array_distinct(F.flatten(F.col("blocks.branches")))
-    open_ = F.size(branches) > 0
-    asked = parsed.filter(open_).select("row", "host", F.explode(branches).alias("branch"))
-    removed = asked.join(low, ["host", "branch"]).groupBy("row").agg(F.collect_set("branch").alias("removed"))
-    decided = parsed.filter(~open_).select("page_id", "url", F.col("blocks.text").alias("texts"))
-    left = F.filter("blocks", lambda x: F.col("removed").isNull() | ~F.arrays_overlap(x["branches"], F.col("removed")))
-    judged = parsed.filter(open_).join(removed, "row", "left").select("page_id", "url", F.transform(left, lambda x: x["text"]).alias("texts"))
-    text = F.array_join("texts", "\n\n")
-    return decided.unionAll(judged).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+    # a branch that all pages of a large host have is asked for in SALTS parts
+    asked = parsed.select("row", "host", F.pmod(F.hash("row"), F.lit(SALTS)).alias("salt"), F.explode("asked").alias("branch"))
+    salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    removed = asked.join(salted, ["host", "branch", "salt"]).groupBy("row").agg(F.collect_set("branch").alias("removed"))
+    judged = parsed.join(removed, "row", "left").select("page_id", "url", "data", "removed")
+    judged = judged.mapInArrow(judge, f"page_id {id_kind}, url string, text string")
+    return judged.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -39,3 +39,26 @@ def test_long_pages_and_empty_table(spark):
 def test_runs_of_markup():
     for page in ("<" * 100_000, "<div>" * 100_000 + "x", "</p>" * 100_000, "<a '" * 50_000, "<script>" * 50_000, "<!--" * 50_000, "<p>" * 100_000 + "x", "&" * 100_000, "<li>" * 50_000):
         H.parse(page)
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    copy = "<body><div class=story><p>All of it</p></div></body>"
+    rows = [(i, f"http://h.example.com/{i}", copy) for i in range(5)]
+    other = [(10 + i, f"http://h.example.com/o{i}", f"<body><div class=story><p>Other {i}</p></div></body>") for i in range(4)]
+    found = texts(spark, rows + other)
+    assert {found[i].text for i in range(5)} == {"All of it"} and found[12].text == "Other 2"
+    assert {r.text for r in texts(spark, rows).values()} == {"All of it"}
+
+
+def test_deep_branches_are_judged_apart(spark):
+    page = lambda i: f"<body><div class=wrap><div class=row><div class=col><span><div class=offer><p>Buy now</p></div></span><div class=story><p>Story {i}</p><p>ends {i * 7}</p></div></div></div></div></body>"
+    found = texts(spark, [(i, f"http://s.example.com/{i}", page(i)) for i in range(8)])
+    assert all(found[i].text == f"Story {i}\n\nends {i * 7}" for i in range(8))
+
+
+def test_the_tree_judges_pages_with_articles(spark):
+    within = lambda i: f"<body><article><div class=hint><p>Read our rules</p></div><p>Story {i} begins</p><p>and ends {i * 7}</p></article></body>"
+    teaser = lambda i: f"<body><div class=text><p>A long text number {i} that has many words</p></div><article><p>Teaser {i}</p></article></body>"
+    found = texts(spark, [(i, "http://a.example.com/", within(i)) for i in range(6)] + [(10 + i, "http://b.example.com/", teaser(i)) for i in range(6)])
+    assert all(found[i].text == f"Story {i} begins\n\nand ends {i * 7}" for i in range(6))
+    assert all(found[10 + i].text == f"A long text number {i} that has many words\n\nTeaser {i}" for i in range(6))
