@@ -1,19 +1,34 @@
 """Quality rules: fixed base rules and robust multivariate outliers.
 
-The transformed statistics of a text are a vector. For each language and source
-the minimum covariance determinant (MCD) estimates location and scatter from
-the h = 75 % most concentrated documents: from coordinate-wise medians the
-C-steps take the h documents of least Mahalanobis distance and estimate anew.
-A document is rejected if its distance from the estimate of its group exceeds a
-chi-square quantile. Variances have a floor for each coordinate, as clean texts
-hold no symbols or repeats at all and any would be infinitely far off.
-
-Every document counts in every step. Distances are summed up by group and
-distance bin with map-side partial sums, so a group of any size is never in one
-task. A group of fewer than ``MIN_ROWS`` documents uses its language's
-estimate, then that of all. Null languages and sources are groups of their own.
-Null and empty texts have no words and fail the base rules; an empty table
-gives an empty result; repeated rows count as often as they occur.
+The transformed statistics of a text (``STYLES``) are a vector. For each language
+and source the minimum covariance determinant (MCD) estimates location and
+scatter from the h = 75 % of documents whose scatter has the least determinant.
+A document is rejected if its Mahalanobis distance from the estimate of its group
+exceeds a chi-square quantile.
+
+1. Statistics of a text of n words scatter as 1 + ``NOISE_WORDS`` / n, so squared
+   distances are taken times n / (n + ``NOISE_WORDS``).
+2. Each group has three deterministic starts around its medians: the correlations
+   of tanh-bounded coordinates, of spatial signs, and none, each with the
+   quartiles' scales. From each, C-steps take the h documents of least distance
+   and estimate anew; after ``FIRST_STEPS`` the start of least determinant goes on
+   until its determinant stops falling.
+3. The same estimates are made for each language and for all documents. A group's
+   location and scatter are pooled with its language's, and these with those of
+   all, as if ``POOL_ROWS`` documents came from there. So a group of any size has
+   an estimate of its own, without a least size.
+
+Estimates are over all documents that pass the base rules; those of one group
+with equal statistics, which copies have, count once. Sums are by group and bin
+of distance with map-side partial sums, so a group of any size is never in one
+task; of the bin in which the h-th document lies its share is taken. The only
+floor is numerical, ``GUARD`` of a coordinate's variance over all documents.
+
+Null languages and sources are groups of their own. Null and empty texts have no
+words and fail the base rules, as does any text of fewer than 50 words; texts of
+any length are read whole. An empty table gives an empty result; repeated rows
+and ties get equal verdicts. Extra columns pass through ``keep_good`` whatever
+their names; ``quality_digest`` doesn't read them.
 """
 
 from __future__ import annotations
@@ -27,20 +42,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.textstats import SHAPES, with_stats
+from graphloom.llm.textstats import COUNTS, STYLES, styles, with_stats
 from graphloom.plans import Scratch
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 CORE_SHARE = 0.75
-C_STEPS = 4
-MIN_ROWS = 200
-#: A clean document of a normal group is rejected with this probability.
-TAIL = 1e-4
-#: Least standard deviation by coordinate, in the order of ``SHAPES``.
-FLOORS = (0.12, 0.04, 0.06, 0.08, 0.12, 0.15, 0.10)
-P = len(SHAPES)
+FIRST_STEPS = 2
+#: C-steps end when the log of the determinant falls by less.
+TOLERANCE = 1e-3
+NOISE_WORDS = 400
+POOL_ROWS = 50
+GUARD = 1e-6
+#: Chance of a normal vector to be rejected. Statistics of clean texts have heavier tails, hence so small a chance.
+TAIL = 1e-10
+P = len(STYLES)
+STARTS = ("tanh", "sign", "scale")
 _BINS_PER_OCTAVE = 16
+_LEAST_DISTANCE = 2.0**-20
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
 
@@ -81,90 +100,181 @@ def group_keys() -> Column:
     return F.array(F.concat(F.lit("2"), F.to_json(F.array(lang, source))), F.concat(F.lit("1"), lang), F.lit("0"))
 
 
+def steadiness() -> Column:
+    """Factor of squared distances by a text's length."""
+    return F.col("n_words") / (F.col("n_words") + NOISE_WORDS)
+
+
 def squared_distance() -> Column:
-    """Of ``vector`` from ``location`` under ``precision``."""
+    """Of ``vector`` from ``location`` under ``precision``, times ``steadiness``."""
     z = [F.col("vector")[i] - F.col("location")[i] for i in range(P)]
     total = F.lit(0.0)
     for i, j in _PAIRS:
         total = total + z[i] * z[j] * F.col("precision")[i * P + j] * (1.0 if i == j else 2.0)
-    return total
+    return F.greatest(total, F.lit(0.0)) * F.col("steady")
+
+
+def symmetric(upper: np.ndarray) -> np.ndarray:
+    """Matrix from its upper triangle by rows."""
+    out = np.zeros((P, P))
+    for (i, j), v in zip(_PAIRS, upper, strict=True):
+        out[i, j] = out[j, i] = v
+    return out
+
+
+def estimate(total: float, weight: float, sums: np.ndarray, products: np.ndarray, guard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(location, scatter) from the number, the sum of factors and the weighted sums of a core."""
+    location = sums / weight
+    scatter = symmetric(products) - weight * np.outer(location, location)
+    return location, _CONSISTENT * scatter / total + np.diag(guard)
+
 
+def start_scatters(n: float, scale: np.ndarray, tanh: np.ndarray, tanh2: np.ndarray, sign2: np.ndarray, guard: np.ndarray) -> list[np.ndarray]:
+    """Scatters of ``STARTS`` from sums of tanh-bounded coordinates and of products of these and of spatial signs."""
+    out = []
+    for moment in (symmetric(tanh2) / n - np.outer(tanh, tanh) / n**2, symmetric(sign2) / n, np.eye(P)):
+        size = np.sqrt(np.maximum(np.diag(moment), 1e-12))
+        correlation = moment / np.outer(size, size)
+        # a share of the identity keeps starts of few documents regular
+        correlation = 0.99 * correlation + 0.01 * np.eye(P)
+        out.append(correlation * np.outer(scale, scale) + np.diag(guard))
+    return out
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Coordinate-wise medians and the floors; medians of rounded values, of which there are few."""
-    location = F.array(*[F.percentile(F.round(F.least(F.col("vector")[i], F.lit(20.0)), 2), 0.5) for i in range(P)])
-    precision = np.diag([f**-2 for f in FLOORS]).ravel().tolist()
-    return rows.groupBy("group").agg(F.count("*").alias("n_rows"), location.alias("location")).withColumn("precision", F.array(*map(F.lit, precision)))
 
+_FIT = "group string, start int, n_rows long, location array<double>, scatter array<double>, precision array<double>, log_det double, done boolean"
 
-def _estimate(sums: DataFrame) -> DataFrame:
-    """Location and precision from a group's count and sums."""
+
+def _fit_row(group: str, start: int, n: int, location: np.ndarray, scatter: np.ndarray, log_det: float, done: bool) -> tuple:
+    return group, start, n, location.tolist(), scatter.ravel().tolist(), np.linalg.inv(scatter).ravel().tolist(), log_det, done
+
+
+def _fits(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in _FIT.split(", ")])
+
+
+def _starts(rows: DataFrame, guard: np.ndarray, scratch: Scratch) -> DataFrame:
+    """Fits to start from, of every group."""
+    quartiles = [F.percentile(F.round(F.col("vector")[i], 3), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in range(P)]
+    medians = rows.groupBy("group").agg(F.count("*").alias("n_rows"), *quartiles)
+    scales = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(float(np.sqrt(guard[i])))) for i in range(P)]
+    medians = medians.select("group", "n_rows", F.array(*[F.col(f"q{i}")[1] for i in range(P)]).alias("location"), F.array(*scales).alias("scale"))
+    medians = scratch.save(medians, "medians")
+    z = [((F.col("vector")[i] - F.col("location")[i]) / F.col("scale")[i]).alias(f"z{i}") for i in range(P)]
+    around = rows.join(medians.drop("n_rows"), "group").select("group", *z)
+    norm = F.greatest(F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)), F.lit(0.0))), F.lit(1e-12))
+    around = around.select("group", *[F.tanh(f"z{i}").alias(f"t{i}") for i in range(P)], *[(F.col(f"z{i}") / norm).alias(f"u{i}") for i in range(P)])
+    names = [*(f"t{i}" for i in range(P)), *(f"t{i}{j}" for i, j in _PAIRS), *(f"u{i}{j}" for i, j in _PAIRS)]
+    terms = [*(F.col(f"t{i}") for i in range(P)), *(F.col(f"{k}{i}") * F.col(f"{k}{j}") for k in "tu" for i, j in _PAIRS)]
+    sums = around.groupBy("group").agg(*[F.sum(t).alias(k) for t, k in zip(terms, names, strict=True)])
+    n = len(_PAIRS)
+    sums = sums.select("group", *(F.array(*x).alias(k) for x, k in ((names[:P], "tanh"), (names[P : P + n], "tanh2"), (names[P + n :], "sign2"))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
-                mean = np.array(r.sums) / r.n
-                scatter = np.zeros((P, P))
-                for (i, j), s in zip(_PAIRS, r.products, strict=True):
-                    scatter[i, j] = scatter[j, i] = s / r.n - mean[i] * mean[j]
-                scatter = _CONSISTENT * scatter + np.diag(np.square(FLOORS))
-                out.append((r.group, r.n_rows, mean.tolist(), np.linalg.inv(scatter).ravel().tolist()))
-            yield pd.DataFrame(out, columns=["group", "n_rows", "location", "precision"])
-
-    return sums.mapInPandas(run, "group string, n_rows long, location array<double>, precision array<double>")
-
-
-def _c_step(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    """Estimates from the bins of least distance that hold the core share of each group."""
-    v = F.col("vector")
-    bin_ = F.floor(F.log2(1 + F.greatest(squared_distance(), F.lit(0.0))) * _BINS_PER_OCTAVE).cast("int").alias("bin")
-    by_bin = rows.join(fit, "group").groupBy("group", "n_rows", bin_)
-    names = [f"s{i}" for i in range(P)] + [f"p{i}_{j}" for i, j in _PAIRS]
-    terms = [v[i] for i in range(P)] + [v[i] * v[j] for i, j in _PAIRS]
-    binned = by_bin.agg(F.count("*").alias("n"), *[F.sum(t).alias(k) for t, k in zip(terms, names, strict=True)])
-    before = F.sum("n").over(W.partitionBy("group").orderBy("bin")) - F.col("n")
-    core = binned.withColumn("before", before).filter(F.col("before") < CORE_SHARE * F.col("n_rows"))
-    sums = core.groupBy("group", "n_rows").agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in names])
-    return _estimate(sums.select("group", "n_rows", "n", F.array(*names[:P]).alias("sums"), F.array(*names[P:]).alias("products")))
-
-
-def fit_outliers(stats: DataFrame, steps: int = C_STEPS) -> DataFrame:
-    """``group, n_rows, location, precision`` of every group of a written table ``lang, source, vector``."""
+                scatters = start_scatters(r.n_rows, *(np.array(x) for x in (r.scale, r.tanh, r.tanh2, r.sign2)), guard)
+                out += [_fit_row(r.group, k, r.n_rows, np.array(r.location), s, math.inf, False) for k, s in enumerate(scatters)]
+            yield _fits(out)
+
+    return scratch.save(medians.join(sums, "group").mapInPandas(run, _FIT), "starts")
+
+
+def _c_step(rows: DataFrame, fit: DataFrame, guard: np.ndarray) -> DataFrame:
+    """The fits after a C-step; a fit whose determinant doesn't fall by ``TOLERANCE`` is done and keeps the lesser one."""
+    v, w = F.col("vector"), F.col("steady")
+    bin_ = F.floor(F.log2(F.greatest(squared_distance(), F.lit(_LEAST_DISTANCE))) * _BINS_PER_OCTAVE).cast("int").alias("bin")
+    names = ["w", *(f"s{i}" for i in range(P)), *(f"p{i}{j}" for i, j in _PAIRS)]
+    terms = [w, *(w * v[i] for i in range(P)), *(w * v[i] * v[j] for i, j in _PAIRS)]
+    binned = rows.join(fit.select("group", "start", "n_rows", "location", "precision"), "group").groupBy("group", "start", "n_rows", bin_)
+    binned = binned.agg(F.count("*").alias("n"), *[F.sum(t).alias(k) for t, k in zip(terms, names, strict=True)])
+    before = F.sum("n").over(W.partitionBy("group", "start").orderBy("bin")) - F.col("n")
+    share = F.least((CORE_SHARE * F.col("n_rows") - F.col("before")) / F.col("n"), F.lit(1.0))
+    core = binned.withColumn("before", before).withColumn("share", share).filter("share > 0")
+    sums = core.groupBy("group", "start").agg(F.sum(F.col("n") * F.col("share")).alias("n"), *[F.sum(F.col(k) * F.col("share")).alias(k) for k in names])
+    sums = sums.select("group", "start", "n", "w", F.array(*names[1 : 1 + P]).alias("sums"), F.array(*names[1 + P :]).alias("products"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                location, scatter = estimate(r.n, r.w, np.array(r.sums), np.array(r.products), guard)
+                log_det = float(np.linalg.slogdet(scatter)[1])
+                if log_det > r.log_det:
+                    location, scatter, log_det = np.array(r.location), np.array(r.scatter).reshape(P, P), r.log_det
+                out.append(_fit_row(r.group, r.start, r.n_rows, location, scatter, log_det, bool(log_det > r.log_det - TOLERANCE)))
+            yield _fits(out)
+
+    return fit.drop("precision", "done").join(sums, ["group", "start"]).mapInPandas(run, _FIT)
+
+
+def pooled(fits: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(location, scatter) of (rows, location, scatter) from all documents to the narrowest group, each pooled with the one before."""
+    _, location, scatter = fits[0]
+    for n, own, own_scatter in fits[1:]:
+        a = n / (n + POOL_ROWS)
+        location, scatter = a * own + (1 - a) * location, a * own_scatter + (1 - a) * scatter
+    return location, scatter
+
+
+def fit_outliers(stats: DataFrame) -> DataFrame:
+    """``group, location, precision`` for each language and source of a written table ``lang, source, vector, n_words, n_repeat_words``."""
     scratch = Scratch(stats.sparkSession, "mcd")
-    rows = stats.select(F.explode(group_keys()).alias("group"), "vector")
-    fit = scratch.save(_start(rows), "fit-0")
-    for k in range(steps):
-        fit = scratch.save(_c_step(rows, fit), f"fit-{k + 1}")
-    return fit
+    good = stats.filter(~base_failed()).select(group_keys().alias("keys"), "vector", steadiness().alias("steady"))
+    rows = scratch.save(good.distinct(), "rows")
+    spread = rows.agg(F.array(*[F.coalesce(F.var_pop(F.col("vector")[i]), F.lit(0.0)) for i in range(P)])).first()[0]
+    guard = GUARD * np.maximum(np.array(spread), 1e-6)
+    groups = rows.select(F.explode("keys").alias("group"), "vector", "steady")
+    fit = _starts(groups, guard, scratch)
+    for k in range(FIRST_STEPS):
+        fit = scratch.save(_c_step(groups, fit, guard), f"first-{k}")
+    columns = [F.col(c) for c in fit.columns if c not in ("group", "start")]
+    best = fit.groupBy("group").agg(F.min_by(F.struct("start", *columns), F.struct("log_det", "start")).alias("f")).select("group", "f.*")
+    fits, active, k = [], scratch.save(best.withColumn("done", F.lit(False)), "best"), 0
+    while not active.isEmpty():
+        step = scratch.save(_c_step(groups, active, guard), f"step-{k}")
+        fits.append(step.filter("done"))
+        active, k = step.filter("not done"), k + 1
+    done = fits[0] if fits else active
+    for f in fits[1:]:
+        done = done.unionAll(f)
+    done = done.select("group", "n_rows", "location", "scatter")
+    at = lambda level: done.filter(F.col("group").startswith(str(level))).select(*[F.col(c).alias(f"{c}{level}") for c in done.columns])
+    keys = rows.select(F.col("keys")[0].alias("group2"), F.col("keys")[1].alias("group1"), F.col("keys")[2].alias("group0")).distinct()
+    joined = keys.join(at(0), "group0").join(at(1), "group1").join(at(2), "group2")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.to_dict("records"):
+                levels = [(r[f"n_rows{k}"], np.array(r[f"location{k}"]), np.array(r[f"scatter{k}"]).reshape(P, P)) for k in range(3)]
+                location, scatter = pooled(levels)
+                out.append((r["group2"], location.tolist(), np.linalg.inv(scatter).ravel().tolist()))
+            yield pd.DataFrame(out, columns=["group", "location", "precision"])
+
+    result = scratch.save(joined.mapInPandas(run, "group string, location array<double>, precision array<double>"), "fit")
+    scratch.drop("rows", "medians", "starts", "best", *(f"first-{i}" for i in range(FIRST_STEPS)), *(f"step-{i}" for i in range(k)))
+    return result
 
 
 def judge(stats: DataFrame, fit: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """Adds ``base_failed``, ``distance`` (squared) and ``kept``."""
-    keys = group_keys()
-    fits = fit.filter((F.col("n_rows") >= MIN_ROWS) | (F.col("group") == "0"))
-    known = fits.select(F.col("group").alias("narrow"))
-    # the group tables hold a row for each language and source; each lookup is an equi-join
-    df = stats.withColumn("keys", keys)
-    for i in (0, 1):
-        df = df.join(known.withColumnRenamed("narrow", f"k{i}"), F.col("keys")[i] == F.col(f"k{i}"), "left")
-    df = df.withColumn("group", F.coalesce("k0", "k1", F.lit("0"))).join(fits.drop("n_rows"), "group", "left")
+    """Adds ``base_failed``, ``distance`` (squared; null where no document of the group passes the base rules) and ``kept``."""
+    df = stats.withColumn("group", group_keys()[0]).join(fit, "group", "left").withColumn("steady", steadiness())
     df = df.withColumn("distance", squared_distance()).withColumn("base_failed", base_failed())
-    kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)
-    return df.withColumn("kept", kept).drop("keys", "k0", "k1", "group", "location", "precision")
+    kept = ~F.col("base_failed") & (F.col("distance") <= cutoff)
+    return df.withColumn("kept", kept).drop("group", "steady", "location", "precision")
 
 
 def quality_digest(docs: DataFrame) -> DataFrame:
     """Statistics and verdict of every document."""
     scratch = Scratch(docs.sparkSession, "quality")
-    stats = scratch.save(with_stats(docs.select("doc_id", "lang", "source", "text")), "stats")
-    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"]
-    return judge(stats, fit_outliers(stats)).select(*columns)
+    stats = scratch.save(with_stats(docs.select("doc_id", "lang", "source", "text"), styles), "stats")
+    return judge(stats, fit_outliers(stats)).select("doc_id", *COUNTS, "base_failed", "kept", "distance")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with the columns of ``docs``."""
+    """The documents that are kept, with the columns of ``docs``. They are written once beside their statistics."""
     scratch = Scratch(docs.sparkSession, "quality")
-    stats = with_stats(docs.select(F.struct("*").alias("row"), "lang", "source", "text"))
-    slim = scratch.save(with_stats(docs.select("lang", "source", "text")).select("lang", "source", "vector"), "stats")
-    return judge(stats, fit_outliers(slim)).filter("kept").select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), "lang", "source", "text")
+    stats = scratch.save(with_stats(rows, styles), "stats")
+    return judge(stats, fit_outliers(stats)).filter("kept").select("row.*")
