@@ -54,6 +54,7 @@ TOLERANCE = 1e-3
 NOISE_WORDS = 400
 POOL_ROWS = 50
 GUARD = 1e-6
+FEW_GROUPS = 4_000
 #: Chance of a normal vector to be rejected. Statistics of clean texts have heavier tails, hence so small a chance.
 TAIL = 1e-10
 P = len(STYLES)
@@ -152,6 +153,13 @@ def _fits(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[x.split()[0] for x in _FIT.split(", ")])
 
 
+def _join_groups(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of the written table ``groups``. Up to ``FEW_GROUPS`` rows of less than 1 kB each are
+    broadcast, so that a hot group isn't dealt to one task; more are joined by size, where adaptive execution splits it."""
+    few = groups.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    return rows.join(F.broadcast(groups) if few else groups, "group", how)
+
+
 def _starts(rows: DataFrame, guard: np.ndarray, scratch: Scratch) -> DataFrame:
     """Fits to start from, of every group."""
     quartiles = [F.percentile(F.round(F.col("vector")[i], 3), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in range(P)]
@@ -160,7 +168,7 @@ def _starts(rows: DataFrame, guard: np.ndarray, scratch: Scratch) -> DataFrame:
     medians = medians.select("group", "n_rows", F.array(*[F.col(f"q{i}")[1] for i in range(P)]).alias("location"), F.array(*scales).alias("scale"))
     medians = scratch.save(medians, "medians")
     z = [((F.col("vector")[i] - F.col("location")[i]) / F.col("scale")[i]).alias(f"z{i}") for i in range(P)]
-    around = rows.join(medians.drop("n_rows"), "group").select("group", *z)
+    around = _join_groups(rows, medians.drop("n_rows")).select("group", *z)
     norm = F.greatest(F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)), F.lit(0.0))), F.lit(1e-12))
     around = around.select("group", *[F.tanh(f"z{i}").alias(f"t{i}") for i in range(P)], *[(F.col(f"z{i}") / norm).alias(f"u{i}") for i in range(P)])
     names = [*(f"t{i}" for i in range(P)), *(f"t{i}{j}" for i, j in _PAIRS), *(f"u{i}{j}" for i, j in _PAIRS)]
@@ -186,7 +194,7 @@ def _c_step(rows: DataFrame, fit: DataFrame, guard: np.ndarray) -> DataFrame:
     bin_ = F.floor(F.log2(F.greatest(squared_distance(), F.lit(_LEAST_DISTANCE))) * _BINS_PER_OCTAVE).cast("int").alias("bin")
     names = ["w", *(f"s{i}" for i in range(P)), *(f"p{i}{j}" for i, j in _PAIRS)]
     terms = [w, *(w * v[i] for i in range(P)), *(w * v[i] * v[j] for i, j in _PAIRS)]
-    binned = rows.join(fit.select("group", "start", "n_rows", "location", "precision"), "group").groupBy("group", "start", "n_rows", bin_)
+    binned = _join_groups(rows, fit.select("group", "start", "n_rows", "location", "precision")).groupBy("group", "start", "n_rows", bin_)
     binned = binned.agg(F.count("*").alias("n"), *[F.sum(t).alias(k) for t, k in zip(terms, names, strict=True)])
     before = F.sum("n").over(W.partitionBy("group", "start").orderBy("bin")) - F.col("n")
     share = F.least((CORE_SHARE * F.col("n_rows") - F.col("before")) / F.col("n"), F.lit(1.0))
@@ -259,7 +267,7 @@ def fit_outliers(stats: DataFrame) -> DataFrame:
 
 def judge(stats: DataFrame, fit: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """Adds ``base_failed``, ``distance`` (squared; null where no document of the group passes the base rules) and ``kept``."""
-    df = stats.withColumn("group", group_keys()[0]).join(fit, "group", "left").withColumn("steady", steadiness())
+    df = _join_groups(stats.withColumn("group", group_keys()[0]), fit, "left").withColumn("steady", steadiness())
     df = df.withColumn("distance", squared_distance()).withColumn("base_failed", base_failed())
     kept = ~F.col("base_failed") & (F.col("distance") <= cutoff)
     return df.withColumn("kept", kept).drop("group", "steady", "location", "precision")
