@@ -1,4 +1,12 @@
+import math
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
 from graphloom.llm import html_text as H
+from graphloom.sources import table
 
 PAGE = (
     "<!DOCTYPE html><html><head><title>T</title><script>var t='</p>';</script></head><body><nav><ul><li><a href=x>menu</a></ul></nav><!-- c --><div class=\"ad\">buy</div>"
@@ -62,3 +70,125 @@ def test_the_tree_judges_pages_with_articles(spark):
     found = texts(spark, [(i, "http://a.example.com/", within(i)) for i in range(6)] + [(10 + i, "http://b.example.com/", teaser(i)) for i in range(6)])
     assert all(found[i].text == f"Story {i} begins\n\nand ends {i * 7}" for i in range(6))
     assert all(found[10 + i].text == f"A long text number {i} that has many words\n\nTeaser {i}" for i in range(6))
+
+
+def test_words_inside_the_article_are_no_roles(spark):
+    page = (
+        "<body><article><h1>T</h1><h2 id=login>How to login</h2><p>Use it.</p><h2 id=related>Related work</h2><p>Much.</p><section id=social><p>The social history</p></section>"
+        "<div class=comment-free><p>No comment</p></div><p>Let <math><mi>x</mi></math> be.</p><div class='comment-list'><p>First!</p></div><ul class=share><li>Tweet</li></ul></article>"
+        "<div id=related><p>More</p></div></body>"
+    )
+    assert texts(spark, [(1, "http://h/", page)])[1].text == "T\n\nHow to login\n\nUse it.\n\nRelated work\n\nMuch.\n\nThe social history\n\nNo comment\n\nLet x be."
+
+
+def test_names_of_noise():
+    for names in ("ad", "AD-box".lower(), "site-footer", "x cookie_notice", "comments-area"):
+        assert H.says_noise(names)
+    for names in ("", "comment-free", "article-header", "adder", "main-content", "social-history-of-rome"):
+        assert not H.says_noise(names)
+
+
+def test_repeating_main_content_keeps_its_branches(spark):
+    """Pages of one host that are nearly copies."""
+    page = lambda i: f"<body><article><p>The same</p><p>on every page</p><p>but {i}</p></article></body>"
+    found = texts(spark, [(i, "http://h.example.com/", page(i)) for i in range(9)])
+    assert all(found[i].text == f"The same\n\non every page\n\nbut {i}" for i in range(9))
+
+
+def slow_tree(pages):
+    """Importance by path of one host, from pages as nested (tag, children) with texts as strings."""
+    seen = defaultdict(Counter)
+    blocks = defaultdict(list)
+    for body in {repr(p): p for p in pages}.values():
+        here = defaultdict(set)
+
+        def walk(node, path, here=here):
+            own = path and path[-1]
+            tags = [c[0] for c in node[1] if not isinstance(c, str)]
+            if own:
+                here[path].add(("style", tuple(t for k, t in enumerate(tags) if not k or tags[k - 1] != t)))
+            for c in node[1]:
+                if isinstance(c, str):
+                    for k in range(1, len(path) + 1):
+                        here[path[:k]].add(("block", path, c))
+                else:
+                    walk(c, (*path, c[0]))
+
+        walk(body, ())
+        for path, things in here.items():
+            for x in things:
+                (seen if x[0] == "style" else blocks)[path] += Counter([x]) if x[0] == "style" else [x]
+    pages_of = {path: sum(1 for p in {repr(p): p for p in pages}.values() if has(p, path)) for path in seen}
+    out = {}
+    for path, styles in seen.items():
+        total = sum(styles.values())
+        entropy = -sum(n / total * math.log(n / total) for n in styles.values()) / math.log(max(2, pages_of[path]))
+        places = Counter(blocks[path])
+        content = 1 - sum(n * (1 - 1 / n) for n in places.values()) / sum(places.values()) if places else 0.0
+        weight = 0.9 ** len(styles)
+        out[path] = max(content, (1 - weight) * entropy + weight * content)
+    return out
+
+
+def has(node, path):
+    return not path or any(not isinstance(c, str) and c[0] == path[0] and has(c, path[1:]) for c in node[1])
+
+
+def markup(node):
+    return f"<{node[0]}>" + "".join(c if isinstance(c, str) else markup(c) for c in node[1]) + f"</{node[0]}>"
+
+
+def test_tree_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+
+    def node(depth):
+        kids = [node(depth - 1) for _ in range(rng.randrange(1, 4))] if depth else []
+        return (rng.choice(["div", "section", "ul"]), kids or [f"text {rng.randrange(12)}"])
+
+    pages = [("body", [node(2) for _ in range(rng.randrange(1, 4))]) for _ in range(40)]
+    pages += pages[:10]
+    df = spark.createDataFrame([(i, "http://h.example.com/", markup(p)) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    found = {r.branch: r.importance for r in H.site_style_tree(df).collect()}
+    expected = slow_tree(pages)
+    assert len(found) == len(expected)
+    for path, importance in expected.items():
+        key = "h.example.com"
+        for tag in path:
+            key = H._key(f"{key}/{tag}.")
+        assert found[key] == pytest.approx(importance), path
+
+
+def test_many_branches_give_the_same_texts(spark):
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(H.extract_text(pages, few_branches=0)) == rows(H.extract_text(pages))
+
+
+def test_articles_of_the_table(spark):
+    """Brute force by the one markup that the table has: the blocks of the article element."""
+    import html
+
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    found = {r.page_id: r.text for r in H.extract_text(pages).collect()}
+    for r in pages.collect():
+        body = re.search("<article>(.*?)</article>", r.html, re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split("</?(?:p|h1)>", body)]
+        assert found[r.page_id] == "\n\n".join(b for b in blocks if b)
+
+
+def test_the_tree_alone_on_large_hosts(spark):
+    """Without roles the tree removes menus, adverts and footers where a host has enough pages."""
+    pages = table(spark, "/root/testdata/sf0.1", "pages")
+    large = pages.groupBy(H.host(F.col("url")).alias("host")).count().filter("count > 250").select("host")
+    some = pages.join(large, H.host(F.col("url")) == F.col("host"), "left_semi")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(H.extract_text(some, roles=False)) == rows(H.extract_text(some))
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    pages = spark.createDataFrame([(1, "http://h/", PAGE), (1, "http://h/", PAGE)], "page_id long, url string, html string")
+    pages = pages.withColumns({c: F.lit(7) for c in ("host", "row", "blocks", "removed", "branch", "packed", "data", "text", "n_chars")})
+    found = H.extract_text(pages).collect()
+    assert len(found) == 2 and {r.text for r in found} == {"A & B\n\nOne two three\n\nFour <5"}
