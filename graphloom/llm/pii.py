@@ -6,7 +6,8 @@ pieces are joined again. Numbers and dates go through a keyed Feistel network
 over the exact domain of their format: a value is a pair (x mod a, y mod b), and
 eight rounds add SHA-256 of key, format, round and one half to the other. The
 network is a permutation of the domain, so equal values get equal pseudonyms in
-every document, different values different ones, and formats stay valid:
+every document, different values of a format different ones, and formats stay
+valid:
 
 * payment card: 13 to 19 digits with a correct check digit; so is the pseudonym's.
   Where a match with its neighbouring numbers fails the check, a run of its digit
@@ -14,22 +15,31 @@ every document, different values different ones, and formats stay valid:
 * IPv4 address: four octets
 * phone number: North American with area and exchange from 200, others by digits
 * social security number: nine digits as 3-2-4
-* date: ISO, dd.mm.yyyy, mm/dd/yyyy or dd/mm/yyyy, from 1800 to 2199
+* date: ISO, dd.mm.yyyy or mm/dd/yyyy, from 1800 to 2199, the 146,097 days of a
+  Gregorian cycle; a date in slashes that only reads as dd/mm/yyyy has a day above
+  12, and is permuted among these 88,497 dates, so its pseudonym reads so too
 
-An e-mail address has no numeric format; it gets a keyed hash as local part in a
+The key comes from the caller; whoever has it can invert the permutations. An
+e-mail address has no numeric format; it gets a keyed hash as local part in a
 reserved domain. Candidates that fail validation stay as they are. A null text
-stays null, an empty one empty. All steps are linear in the text; patterns only
-start at token starts and don't backtrack over long runs.
+stays null, an empty one empty, an empty table gives an empty result. Repeated
+rows get the same text each. All steps are linear in the text; patterns only
+start at token starts and don't backtrack over long runs. Where patterns match
+equally the first of ``KINDS`` counts. Extra columns of any name pass through
+``pseudonymize_documents`` and aren't read elsewhere.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "graphloom-pseudonyms"
+#: Setting of the session that holds the key.
+KEY_SETTING = "spark.graphloom.pii.key"
 ROUNDS = 8
-FIRST_DAY, DAYS_X, DAYS_Y = "1800-01-01", 365, 400
+FIRST_DAY, MONTHS = "1800-01-01", 400 * 12
+#: All days of a Gregorian cycle, 189 * 773, and those after the 12th of a month, 9 * 9833.
+ALL_DAYS, LATE_DAYS = (189, 773), (9, 9833)
 KINDS = ("email", "ip", "date", "ssn", "phone", "card")
 
 # Java matches repeated groups by recursion unless they are possessive, so each turn takes the labels up to the next one that may end the domain
@@ -42,6 +52,14 @@ CARD = r"(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])"
 ANY = "|".join((EMAIL, IP, DATE, SSN, PHONE, CARD))
 
 
+def key_of(spark: SparkSession) -> str:
+    """The key of the session's settings; there is no default."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"{KEY_SETTING} must hold the key of the pseudonyms")
+    return key
+
+
 def _keyed(key: str, *parts: Column) -> Column:
     """Keyed hash as 60 bits."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts]), 256)
@@ -127,18 +145,41 @@ def ip(key: str, m: Column) -> Column:
 
 
 def date(key: str, m: Column) -> Column:
+    first = F.lit(FIRST_DAY).cast("date")
+    number = lambda fmt: F.datediff(F.try_to_timestamp(m, F.lit(fmt)).cast("date"), first)
+    month_start = lambda k: F.datediff(F.add_months(first, k.cast("int")), first)
+
+    def permuted(n: Column, kind: str, size: tuple[int, int]) -> Column:
+        """``n`` permuted among ``size[0] * size[1]`` numbers."""
+        pair = feistel(key, F.lit(kind), F.floor(n / size[1]), n % size[1], F.lit(size[0]), F.lit(size[1]))
+        return _let(pair, lambda h: h["l"] * size[1] + h["r"])
+
     def in_format(fmt: str) -> Column:
-        days = F.datediff(F.try_to_timestamp(m, F.lit(fmt)).cast("date"), F.lit(FIRST_DAY).cast("date"))
+        def of(n: Column) -> Column:
+            back = F.date_format(F.date_add(first, permuted(n, "date", ALL_DAYS).cast("int")), fmt)
+            return F.when((n >= 0) & (n < ALL_DAYS[0] * ALL_DAYS[1]), back)
+
+        return _let(number(fmt), of)
+
+    def late_in_format(fmt: str) -> Column:
+        """Dates after the 12th are numbered without the first twelve days of each month."""
+
+        def back(rank: Column) -> Column:
+            # months have 16 to 19 late days, on average 18.44; the guess is less than two months off
+            guess = F.floor(rank * MONTHS / (LATE_DAYS[0] * LATE_DAYS[1]))
+            months = F.filter(F.sequence(F.greatest(guess - 2, F.lit(0)), F.least(guess + 2, F.lit(MONTHS - 1))), lambda k: month_start(k) - 12 * k <= rank)
+            return _let(F.array_max(months), lambda k: F.date_format(F.date_add(first, (rank + 12 * (k + 1)).cast("int")), fmt))
 
-        def permuted(n: Column) -> Column:
-            pair = feistel(key, F.lit("date"), F.floor(n / DAYS_Y), n % DAYS_Y, F.lit(DAYS_X), F.lit(DAYS_Y))
-            back = lambda h: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (h["l"] * DAYS_Y + h["r"]).cast("int")), fmt)
-            return F.when((n >= 0) & (n < DAYS_X * DAYS_Y), _let(pair, back))
+        def of(n: Column) -> Column:
+            day = F.date_add(first, n)
+            months = (F.year(day) - 1800) * 12 + F.month(day)
+            rank = permuted(n - 12 * months, "late-date", LATE_DAYS)
+            return F.when((n >= 0) & (n < ALL_DAYS[0] * ALL_DAYS[1]), _let(rank, back))
 
-        return _let(days, permuted)
+        return _let(number(fmt), of)
 
-    of = lambda shape, *fmts: F.when(m.rlike(shape), F.coalesce(*map(in_format, fmts)))
-    return F.coalesce(of("-", "yyyy-MM-dd"), of(r"\.", "dd.MM.yyyy"), of("/", "MM/dd/yyyy", "dd/MM/yyyy"))
+    slashed = F.coalesce(in_format("MM/dd/yyyy"), late_in_format("dd/MM/yyyy"))
+    return F.when(m.contains("-"), in_format("yyyy-MM-dd")).when(m.contains("."), in_format("dd.MM.yyyy")).when(m.contains("/"), slashed)
 
 
 def phone(key: str, m: Column) -> Column:
@@ -178,7 +219,7 @@ def replace_match(key: str, m: Column) -> Column:
     return found
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """``row`` (all columns of ``docs``), ``new_text`` and ``found`` (array of kind and value for each match)."""
     text = F.col("row.text")
     candidates = F.when(text.contains("@") | text.rlike("[0-9]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
@@ -190,7 +231,7 @@ def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
     return df.select("row", F.when(some, joined).otherwise(text).alias("new_text"), "found")
 
 
-def pii_digest(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pii_digest(docs: DataFrame, key: str) -> DataFrame:
     """``doc_id, text`` with pseudonyms, and the number of each kind."""
     df = pseudonymize(docs.select("doc_id", "text"), key)
     of = lambda kind: F.coalesce(F.size(F.filter("found", lambda f: (f["kind"] == kind) & f["value"].isNotNull())), F.lit(0))
@@ -198,7 +239,7 @@ def pii_digest(docs: DataFrame, key: str = KEY) -> DataFrame:
     return df.select("row.doc_id", F.col("new_text").alias("text"), *counts)
 
 
-def pseudonymize_documents(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymize_documents(docs: DataFrame, key: str) -> DataFrame:
     """The documents with pseudonyms in ``text`` and its length in ``n_chars``."""
     row = F.col("row").withField("text", F.col("new_text"))
     if "n_chars" in docs.columns:

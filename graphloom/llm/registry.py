@@ -8,6 +8,10 @@ from graphloom.llm import html_text, media, mixing, packing, pii, preference, qu
 from graphloom.sources import table
 
 
+#: Key of the registered queries where the session has none. It is public, so it hides nothing; ``pii`` has no default.
+PUBLIC_KEY = "graphloom-pseudonyms"
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixes all documents to the weights of their sources."""
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
@@ -25,7 +29,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replaces personal data in every text by format-preserving pseudonyms."""
-    return pii.pii_digest(table(spark, sf_dir, "documents"))
+    return pii.pii_digest(table(spark, sf_dir, "documents"), spark.conf.get(pii.KEY_SETTING, PUBLIC_KEY))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ def test_stages_apply_the_operators(spark):
     assert {r.doc_id for r in good.collect()} == kept_ids
     first = {r.doc_id for r in simhash.simhash_digest(good).collect() if r.doc_id == r.component_id}
     assert {r.doc_id for r in state["near_dedup"].collect()} == first
-    texts = {r.doc_id: r.text for r in pii.pii_digest(state["near_dedup"]).collect()}
+    texts = {r.doc_id: r.text for r in pii.pii_digest(state["near_dedup"], corpus_pipeline.PUBLIC_KEY).collect()}
     assert {r.doc_id: r.text for r in state["pii"].collect()} == texts
     taken = {r.doc_id: r.taken for r in mixing.mix_digest(state["pii"]).collect() if r.taken}
     words = {r[0]: r[1] for r in state["mixing"].groupBy("doc_id").agg({"n_chars": "count"}).collect()}
