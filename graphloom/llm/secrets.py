@@ -10,12 +10,21 @@ part is reported only if complementary parts are within reach:
 * an identifier or an endpoint next to a secret, be it a base span or a token
 
 Positions are code points. ``split`` and ``regexp_extract_all`` by the same
-pattern give gaps and matches in turn; their lengths add up to positions. All
-joins of intervals are within a document. A null text is an empty one.
+pattern give gaps and matches in turn; their lengths add up to positions. The
+join of intervals is a merge: parts and their possible partners are sorted by
+start, and running maxima tell each part the end of the last partner before it
+and the start of the first one after it. Running sums and maxima of n values take
+log n passes, so a text of any length takes n log n steps.
+
+A null text is an empty one; an empty text has no spans. Spans that start equal
+are in the order of their kinds. Repeated rows give a row each, an empty table an
+empty one. Extra columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,37 +40,83 @@ REACH = 300
 KINDS = ("assign", "access", "hex", "opaque", "identifier", "endpoint")
 
 
+_NONE = "array<struct<start:int,k:int,stop:int,scope:int>>"
+_POWERS = [1 << i for i in range(31)]
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Running results of an associative ``op`` over an array, by doubling."""
+    shifts = F.slice(F.array(*map(F.lit, _POWERS)), F.lit(1), F.length(F.bin(F.size(values))))
+    step = lambda a, d: F.transform(a, lambda x, i: F.when(i >= d, op(x, F.get(a, i - d))).otherwise(x))
+    return F.aggregate(shifts, values, step)
+
+
 def _spans(text: Column, pattern: str, kind: str, least: int = 0) -> Column:
     """array of struct(start, k, stop, scope) of the matches; ``least``: length of group 2 of those that stay."""
     all_ = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
     gaps = F.split(text, pattern, -1)
-    both = F.zip_with(gaps, all_(0), lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
-    steps = F.zip_with(both, all_(2) if least else all_(0), lambda b, v: F.struct(b["gap"].alias("gap"), b["m"].alias("m"), v.alias("v")))
-    steps = F.filter(steps, lambda s: s["m"].isNotNull())
-    k = F.lit(KINDS.index(kind))
-    none = F.array().cast("array<struct<start:int,k:int,stop:int,scope:int>>")
+    both = F.zip_with(gaps, all_(0), lambda g, m: F.struct(g.alias("gap"), F.length(m).alias("n")))
+    steps = F.zip_with(both, all_(2) if least else all_(0), lambda b, v: F.struct(b["gap"].alias("gap"), b["n"].alias("n"), F.length(v).alias("v")))
+    steps = F.filter(steps, lambda s: s["n"].isNotNull())
     # a blank line ends a scope
-    breaks = lambda s: (F.length(s) - F.length(F.regexp_replace(s, r"\n[\x20\t\r]*\n", "\n"))).cast("int")
+    breaks = lambda s: F.length(s) - F.length(F.regexp_replace(s, r"\n[\x20\t\r]*\n", "\n"))
+    # scope and position are summed as one number, the scope in its upper half
+    moves = lambda some: F.transform(some, lambda s: breaks(s["gap"]).cast("long") * (1 << 32) + F.length(s["gap"]) + s["n"])
+
+    def span(s: Column, at: Column) -> Column:
+        stop = (at % (1 << 32)).cast("int")
+        fields = (stop - s["n"]).alias("start"), F.lit(KINDS.index(kind)).alias("k"), stop.alias("stop"), F.floor(at / (1 << 32)).cast("int").alias("scope")
+        return F.struct(F.struct(*fields).alias("span"), s["v"].alias("v"))
+
+    placed = _let(steps, lambda some: F.zip_with(some, _running(moves(some), lambda x, y: x + y), span))
+    found = F.transform(F.filter(placed, lambda p: p["v"] >= least), lambda p: p["span"])
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_NONE))
+
+
+def _with_neighbours(items: Column, others: Column, keep: Callable[[Column, Column, Column], Column], scoped: bool) -> Column:
+    """The ``items`` for which ``keep(item, before, after)`` holds: the last end of ``others`` that start up to the item's
+    start, and the first start of the others; both are null if there is none, with ``scoped`` in the item's scope."""
+    mark = lambda spans, other: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(other).alias("other"), s.alias("s")))
+    merged = F.array_sort(F.concat(mark(items, False), mark(others, True)))
+    scope = lambda s: s["scope"].cast("long") * (1 << 32) if scoped else F.lit(0).cast("long")
+    at_most = F.lit(-1).cast("long")
+
+    def found(all_: Column) -> Column:
+        ends = F.transform(all_, lambda x: F.when(x["other"], scope(x["s"]) + x["s"]["stop"]).otherwise(at_most))
+        # from the end, the greatest complement is the least start
+        top = 1 << 62
+        starts = F.transform(F.reverse(all_), lambda x: F.when(x["other"], top - scope(x["s"]) - x["s"]["start"]).otherwise(at_most))
+        before, after = _running(ends, F.greatest), F.reverse(_running(starts, F.greatest))
+        sides = F.zip_with(before, after, lambda b, a: F.struct(b.alias("b"), F.when(a >= 0, top - a).alias("a")))
+        joined = F.zip_with(all_, sides, lambda x, y: F.struct(x.alias("x"), y["b"].alias("b"), y["a"].alias("a")))
+
+        def test(j: Column) -> Column:
+            s = j["x"]["s"]
+            here = lambda v: F.when((v >= scope(s)) & (v < scope(s) + (1 << 32)), v - scope(s)) if scoped else F.when(v >= 0, v)
+            return ~j["x"]["other"] & F.coalesce(keep(s, here(j["b"]), here(j["a"])), F.lit(False))
 
-    def step(s: Column, e: Column) -> Column:
-        start, scope = s["pos"] + F.length(e["gap"]), s["scope"] + breaks(e["gap"])
-        stop = start + F.length(e["m"])
-        span = F.struct(start.alias("start"), k.alias("k"), stop.alias("stop"), scope.alias("scope"))
-        found = F.when(F.length(e["v"]) >= least, F.concat(s["found"], F.array(span))).otherwise(s["found"])
-        return F.struct(stop.alias("pos"), scope.alias("scope"), found.alias("found"))
+        return F.transform(F.filter(joined, test), lambda j: j["x"]["s"])
 
-    first = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("scope"), none.alias("found"))
-    found = F.aggregate(steps, first, step, lambda s: s["found"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    return _let(merged, found)
 
 
-def _within_reach(a: Column, others: Column) -> Column:
-    """Whether an interval of ``others`` is in the scope of ``a`` and at most ``REACH`` away."""
-    return F.exists(others, lambda b: (a["scope"] == b["scope"]) & (b["start"] <= a["stop"] + REACH) & (a["start"] <= b["stop"] + REACH))
+def _within_reach(items: Column, others: Column) -> Column:
+    """The items with an interval of ``others`` in their scope at most ``REACH`` away."""
+    near = lambda s, before, after: F.coalesce(before + REACH >= s["start"], F.lit(False)) | F.coalesce(after <= s["stop"] + REACH, F.lit(False))
+    some = (F.size(items) > 0) & (F.size(others) > 0)
+    return F.when(some, _with_neighbours(items, others, near, scoped=True)).otherwise(F.array().cast(_NONE))
 
 
-def _apart(a: Column, others: Column) -> Column:
-    return ~F.exists(others, lambda b: (b["start"] < a["stop"]) & (a["start"] < b["stop"]))
+def _apart(items: Column, others: Column) -> Column:
+    """The items that overlap no interval of ``others``."""
+    free = lambda s, before, after: F.coalesce(before <= s["start"], F.lit(True)) & F.coalesce(after >= s["stop"], F.lit(True))
+    some = (F.size(items) > 0) & (F.size(others) > 0)
+    return F.when(some, _with_neighbours(items, others, free, scoped=False)).otherwise(items)
 
 
 def _joined(spans: Column) -> Column:
@@ -80,23 +135,15 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     )
     df = df.withColumn("strong", F.concat("assign", "access", "hex"))
     none = F.slice("strong", 1, 0)
-    digits = text.rlike("[0-9]")
-    weak = lambda kind, pattern: F.when(digits, F.filter(_spans(text, pattern, kind), lambda s: _apart(s, F.col("strong")))).otherwise(none)
-    df = df.withColumn("opaque", weak("opaque", OPAQUE))
+    df = df.withColumn("opaque", F.when(text.rlike("[0-9]"), _spans(text, OPAQUE, "opaque")).otherwise(none))
+    df = df.withColumn("opaque", _apart(F.col("opaque"), F.col("strong")))
     some = (F.size("strong") > 0) | (F.size("opaque") > 0)
-    named = F.filter(_spans(text, IDENTIFIER, "identifier"), lambda s: _apart(s, F.concat("strong", "opaque")))
-    df = df.withColumn("identifier", F.when(some, named).otherwise(none))
+    df = df.withColumn("identifier", F.when(some, _spans(text, IDENTIFIER, "identifier")).otherwise(none))
     df = df.withColumn("endpoint", F.when(some, _spans(text, ENDPOINT, "endpoint")).otherwise(none)).drop("text")
-    secrets = F.concat("assign", "hex", "opaque")
-    parts = F.concat("identifier", "access", "endpoint")
-    return df.withColumn(
-        "linked",
-        F.concat(
-            F.filter("opaque", lambda s: _within_reach(s, parts)),
-            F.filter("identifier", lambda s: _within_reach(s, secrets)),
-            F.filter("endpoint", lambda s: _within_reach(s, secrets)),
-        ),
-    )
+    df = df.withColumn("identifier", _apart(F.col("identifier"), F.concat("strong", "opaque")))
+    df = df.withColumns({"secrets": F.concat("assign", "hex", "opaque"), "parts": F.concat("identifier", "access", "endpoint")})
+    partners = {"opaque": "parts", "identifier": "secrets", "endpoint": "secrets"}
+    return df.withColumn("linked", F.concat(*[_within_reach(F.col(a), F.col(b)) for a, b in partners.items()])).drop("secrets", "parts")
 
 
 def secrets_digest(docs: DataFrame) -> DataFrame:
