@@ -1,12 +1,18 @@
 """Media columns: store bytes in a media container and sniff what they really are.
 
 ``sniff`` runs one Aho-Corasick pass over the bytes to locate magic numbers and
-lets a validator of each format confirm the structure and find the length. The
-format found at offset 0 corrects the declared type; formats confirmed further
-inside are carved as embedded media.
-
-A text of any length is handled row by row. A null text is an empty one; an
-empty one stores 64 zero bytes. Repeated rows give repeated results.
+the end marks of formats, and lets a validator of each format confirm the
+structure and find the length. The format found at offset 0 corrects the declared
+type; formats confirmed further inside are carved as embedded media. Validators
+look end marks up in the list of the pass, and chains of blocks that meet are
+walked once, so text of any kind takes time in proportion to its length. (Binary
+files made for it can still let checksums or gzip streams overlap.)
+
+A text of any length is handled row by row, in memory of a few times its size. A
+null text is an empty one; an empty one stores 64 zero bytes. Repeated rows and
+equal texts give equal results, an empty table an empty one. Magic numbers that
+end at one place count in the order of the automaton. Extra columns aren't read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ import io
 import struct
 import wave
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -27,7 +34,43 @@ SAMPLE_RATE = 8000
 BLOCK = 64
 
 
-def _wav(b: bytes, at: int) -> int | None:
+class Blob:
+    """Bytes with the places of all marks, and what is known of chains of blocks."""
+
+    def __init__(self, data: bytes, marks: dict[bytes, list[int]]):
+        self.data, self.marks = data, marks
+        self.known: dict[tuple[str, int], int | None] = {}
+        self.archives: dict[int, int] | None = None
+
+    def next_mark(self, mark: bytes, at: int) -> int:
+        """The first place of ``mark`` from ``at`` on, or -1."""
+        places = self.marks.get(mark, [])
+        i = bisect_left(places, at)
+        return places[i] if i < len(places) else -1
+
+    def chain(self, kind: str, pos: int, step: Callable[[bytes, int], tuple[int | None, bool]]) -> int | None:
+        """The end of the chain of blocks at ``pos``, None if it breaks; ``step`` gives the next place and whether it is the end."""
+        passed = []
+        while True:
+            if (kind, pos) in self.known:
+                end = self.known[kind, pos]
+                break
+            passed.append(pos)
+            try:
+                after, last = step(self.data, pos)
+            except (struct.error, IndexError):
+                after, last = None, True
+            if last:
+                end = after
+                break
+            pos = after
+        for p in passed:
+            self.known[kind, p] = end
+        return end
+
+
+def _wav(blob: Blob, at: int) -> int | None:
+    b = blob.data
     if b[at + 8 : at + 12] != b"WAVE":
         return None
     end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
@@ -39,80 +82,80 @@ def _wav(b: bytes, at: int) -> int | None:
     return end - at if pos == end and {b"fmt ", b"data"} <= seen else None
 
 
-def _png(b: bytes, at: int) -> int | None:
-    pos = at + 8
-    while pos + 12 <= len(b):
+def _png(blob: Blob, at: int) -> int | None:
+    def chunk(b: bytes, pos: int) -> tuple[int | None, bool]:
         n, kind = struct.unpack_from(">I4s", b, pos)
         stop = pos + 12 + n
-        if stop > len(b) or zlib.crc32(b[pos + 4 : stop - 4]) != struct.unpack_from(">I", b, stop - 4)[0]:
-            return None
-        if (pos == at + 8) != (kind == b"IHDR"):
-            return None
-        if kind == b"IEND":
-            return stop - at
-        pos = stop
-    return None
+        if not kind.isalpha() or stop > len(b) or zlib.crc32(memoryview(b)[pos + 4 : stop - 4]) != struct.unpack_from(">I", b, stop - 4)[0]:
+            return None, True
+        return stop, kind == b"IEND"
 
-
-def _gif(b: bytes, at: int) -> int | None:
-    if at + 13 > len(b):
-        return None
-    flags = b[at + 10]
-    pos = at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
-
-    def blocks(pos: int) -> int | None:
-        while pos < len(b):
-            if b[pos] == 0:
-                return pos + 1
-            pos += 1 + b[pos]
+    # the header is a chunk of 13 bytes, and the first alone
+    if blob.data[at + 8 : at + 16] != b"\0\0\0\x0dIHDR":
         return None
+    end = blob.chain("png", at + 8, chunk)
+    return end - at if end is not None else None
 
-    while pos is not None and pos < len(b):
+
+def _gif(blob: Blob, at: int) -> int | None:
+    def sub_block(b: bytes, pos: int) -> tuple[int | None, bool]:
+        return pos + 1 + b[pos], b[pos] == 0
+
+    def block(b: bytes, pos: int) -> tuple[int | None, bool]:
         if b[pos] == 0x3B:
-            return pos + 1 - at
+            return pos + 1, True
         if b[pos] == 0x21:
-            pos = blocks(pos + 2)
-        elif b[pos] == 0x2C and pos + 10 < len(b):
+            start = pos + 2
+        elif b[pos] == 0x2C:
             flags = b[pos + 9]
-            pos = blocks(pos + 11 + (3 << (flags & 7) + 1 if flags & 0x80 else 0))
+            start = pos + 11 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
         else:
-            return None
-    return None
+            return None, True
+        end = blob.chain("gif-sub", start, sub_block)
+        return end, end is None
 
+    flags = blob.data[at + 10]
+    end = blob.chain("gif", at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0), block)
+    return end - at if end is not None else None
 
-def _jpeg(b: bytes, at: int) -> int | None:
-    pos = at + 2
-    while pos + 4 <= len(b) and b[pos] == 0xFF:
+
+def _jpeg(blob: Blob, at: int) -> int | None:
+    def segment(b: bytes, pos: int) -> tuple[int | None, bool]:
         kind = b[pos + 1]
-        pos += 2 + struct.unpack_from(">H", b, pos + 2)[0]
-        if kind == 0xDA:  # entropy-coded data ends at the end marker
-            end = b.find(b"\xff\xd9", pos)
-            return end + 2 - at if end >= 0 else None
-        if not 0xC0 <= kind <= 0xFE:
-            return None
-    return None
+        if b[pos] != 0xFF or not 0xC0 <= kind <= 0xFE:
+            return None, True
+        after = pos + 2 + struct.unpack_from(">H", b, pos + 2)[0]
+        if kind != 0xDA:
+            return after, False
+        end = blob.next_mark(b"\xff\xd9", after)  # entropy-coded data ends at the end mark
+        return (end + 2 if end >= 0 else None), True
 
+    end = blob.chain("jpeg", at + 2, segment)
+    return end - at if end is not None else None
 
-def _pdf(b: bytes, at: int) -> int | None:
-    if not b[at + 5 : at + 6].isdigit():
+
+def _pdf(blob: Blob, at: int) -> int | None:
+    if not blob.data[at + 5 : at + 6].isdigit():
         return None
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
-
-
-def _zip(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
-    while 0 <= end <= len(b) - 22:
-        size, offset, comment = struct.unpack_from("<IIH", b, end + 12)
-        stop = end + 22 + comment
-        if offset + size == end - at and stop <= len(b) and b[at + offset : at + offset + 4] == b"PK\x01\x02":
-            return stop - at
-        end = b.find(b"PK\x05\x06", end + 1)
-    return None
+    end = blob.next_mark(b"%%EOF", at)
+    return end + 5 - at if end >= 0 and 0 <= blob.next_mark(b"startxref", at) < end else None
 
 
-def _gzip(b: bytes, at: int) -> int | None:
-    d = zlib.decompressobj(31)
+def _zip(blob: Blob, at: int) -> int | None:
+    """An end record tells where its archive starts."""
+    if blob.archives is None:
+        b, blob.archives = blob.data, {}
+        for end in blob.marks.get(b"PK\x05\x06", []):
+            if end <= len(b) - 22:
+                size, offset, comment = struct.unpack_from("<IIH", b, end + 12)
+                start, stop = end - offset - size, end + 22 + comment
+                if start >= 0 and stop <= len(b) and b[start + offset : start + offset + 4] == b"PK\x01\x02":
+                    blob.archives.setdefault(start, stop)
+    return blob.archives[at] - at if at in blob.archives else None
+
+
+def _gzip(blob: Blob, at: int) -> int | None:
+    b, d = blob.data, zlib.decompressobj(31)
     try:
         for pos in range(at, len(b), 65536):
             d.decompress(b[pos : pos + 65536])
@@ -124,7 +167,7 @@ def _gzip(b: bytes, at: int) -> int | None:
 
 
 # Magic bytes of the formats and their media types.
-SIGNATURES: dict[bytes, tuple[str, Callable[[bytes, int], int | None]]] = {
+SIGNATURES: dict[bytes, tuple[str, Callable[[Blob, int], int | None]]] = {
     b"RIFF": ("audio/wav", _wav),
     b"\x89PNG\r\n\x1a\n": ("image/png", _png),
     b"GIF87a": ("image/gif", _gif),
@@ -134,12 +177,14 @@ SIGNATURES: dict[bytes, tuple[str, Callable[[bytes, int], int | None]]] = {
     b"PK\x03\x04": ("application/zip", _zip),
     b"\x1f\x8b\x08": ("application/gzip", _gzip),
 }
+# Marks that end a format or that its end must have before it.
+MARKS = (b"%%EOF", b"startxref", b"PK\x05\x06", b"\xff\xd9")
 
 
 def automaton() -> ahocorasick.Automaton:
-    """Aho-Corasick automaton of all magic bytes, over latin-1 text."""
+    """Aho-Corasick automaton of all magic bytes and marks, over latin-1 text."""
     a = ahocorasick.Automaton()
-    for magic in SIGNATURES:
+    for magic in (*SIGNATURES, *MARKS):
         a.add_word(magic.decode("latin-1"), magic)
     a.make_automaton()
     return a
@@ -147,12 +192,19 @@ def automaton() -> ahocorasick.Automaton:
 
 def sniff(blob: bytes, declared: str | None, a: ahocorasick.Automaton) -> tuple[str | None, list[tuple[str, int, int]]]:
     """The type confirmed at offset 0 (else the declared one), and (type, offset, length) of embedded media."""
-    found, carved = declared, []
-    for end, magic in a.iter(blob.decode("latin-1")):
-        at = end + 1 - len(magic)
+    starts: list[tuple[int, bytes]] = []
+    marks: dict[bytes, list[int]] = {}
+    for end, word in a.iter(blob.decode("latin-1")):
+        at = end + 1 - len(word)
+        if word in SIGNATURES:
+            starts.append((at, word))
+        else:
+            marks.setdefault(word, []).append(at)
+    found, carved, known = declared, [], Blob(blob, marks)
+    for at, magic in starts:
         kind, validate = SIGNATURES[magic]
         try:
-            n = validate(blob, at)
+            n = validate(known, at)
         except (struct.error, IndexError):
             n = None
         if n is not None:
