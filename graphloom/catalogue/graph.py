@@ -131,7 +131,22 @@ reached AS (SELECT w.source, w.node, w.d AS distance, min(w.path) AS path FROM w
 
 def _reached(spark: SparkSession, sf: str, paths: bool = False) -> DataFrame:
     sources = table(spark, sf, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("source"))
-    return P.bfs(P.adjacency(kg_small(spark, sf)), sources, paths=paths)
+    return P.bfs(P.adjacency(kg_small(spark, sf)), sources, paths=paths, symmetric=True)
+
+
+#: Directed cycles of three, five and seven customers that share customer 0, and a chain that leaves them.
+CYCLES = """cyc AS (SELECT 0 AS src, 1 AS dst UNION SELECT 1, 2 UNION SELECT 2, 0 UNION SELECT c_custkey + 100, c_custkey + 101 FROM customer WHERE c_custkey < 40
+  UNION SELECT 140, 101 UNION SELECT 0, 101 UNION SELECT 2, 120 UNION SELECT 130, 1)"""
+
+
+@query(f"""WITH RECURSIVE {CYCLES}, walk AS (SELECT DISTINCT src AS source, src AS node, 0 AS d FROM cyc
+  UNION SELECT w.source, c.dst, d + 1 FROM walk w JOIN cyc c ON c.src = w.node WHERE d < 60)
+SELECT source::VARCHAR AS source, node::VARCHAR AS node, min(d)::INT AS distance FROM walk GROUP BY source, node""")
+def bfs_directed(spark: SparkSession, sf: str) -> DataFrame:
+    some = table(spark, sf, "customer").filter("c_custkey < 40").select((F.col("c_custkey") + 100).cast("string").alias("src"), (F.col("c_custkey") + 101).cast("string").alias("dst"))
+    extra = spark.createDataFrame([(str(a), str(b)) for a, b in [(0, 1), (1, 2), (2, 0), (140, 101), (0, 101), (2, 120), (130, 1)]], "src string, dst string")
+    edges = some.unionAll(extra)
+    return P.bfs(P.adjacency(edges, directed=True), edges.select(F.col("src").alias("source")).distinct())
 
 
 @query(f"{REACHED} SELECT source, node, distance FROM reached")

@@ -101,7 +101,7 @@ walk AS (SELECT src AS source, src AS node, 0 AS d, [src] AS path FROM q
   UNION ALL SELECT w.source, a.next, d + 1, list_append(path, a.next) FROM walk w JOIN adj a ON a.node = w.node WHERE d < 4 AND NOT list_contains(path, a.next)),
 best AS (SELECT source, node, min(d) AS distance FROM walk GROUP BY source, node),
 r AS (SELECT w.source, w.node, w.d AS distance, min(w.path) AS path FROM walk w JOIN best b ON w.source = b.source AND w.node = b.node AND w.d = b.distance GROUP BY w.source, w.node, w.d)
-SELECT q.question_id, 'What is the relation between word node ' || src || ' and word node ' || dst || '? Selected from the following candidate answers: ' || array_to_string(candidates, ', ') || '.' AS question,
+SELECT q.question_id, 'What is the relation between word node ' || src || ' and word node ' || dst || '? Selected from the following candidate answers: ' || array_to_string(candidates, '; ') || '.' AS question,
   answer, 'test' AS split, CASE WHEN distance >= 1 THEN distance END AS true_hop, 'RelationPrediction' AS question_type, src AS source_node, dst AS target_node,
   array_to_string(coalesce(path, []), '>') AS shortest_path, distance AS structural_distance, distance IS NOT NULL AS structural_reachable,
   array_to_string(candidates, '|') AS candidate_relations, idx AS source_triple_index
@@ -112,12 +112,13 @@ def kg_questions(spark: SparkSession, sf: str) -> DataFrame:
     return q.withColumns({"shortest_path": F.array_join("shortest_path", ">"), "candidate_relations": F.array_join("candidate_relations", "|")})
 
 
-#: Five line graphs of five nations each; questions on all ordered pairs, some with a wrong label, type or name.
+#: Five line graphs of five nations each, one of them broken in two; questions on all pairs, some with a wrong label, type or name.
 STATIONS = """nodes AS (SELECT n_nationkey // 5 AS graph_id, n_nationkey % 5 AS node_id, n_name || CASE WHEN n_nationkey % 2 = 0 THEN ' has disabled access' ELSE ' does not have disabled access' END AS text, n_name AS name FROM nation),
 asked AS (SELECT a.graph_id, a.graph_id || ':' || a.node_id || ':' || b.node_id AS question_id,
   CASE WHEN (a.node_id + b.node_id) % 7 = 6 THEN 'Where is ' || a.name || '?' ELSE 'How many stations are between ' || a.name || ' and ' || CASE WHEN b.node_id = 3 AND a.node_id = 0 THEN 'nowhere' ELSE b.name END || '?' END AS question,
-  (greatest(abs(a.node_id - b.node_id) - 1, 0) + CASE WHEN a.node_id = 4 AND b.node_id = 1 THEN 1 ELSE 0 END)::VARCHAR AS answer,
-  a.node_id AS a, b.node_id AS b FROM nodes a JOIN nodes b ON a.graph_id = b.graph_id AND a.node_id <> b.node_id)"""
+  CASE WHEN a.node_id = 3 AND b.node_id = 1 THEN 'one' ELSE (greatest(abs(a.node_id - b.node_id) - 1, 0) + CASE WHEN a.node_id = 4 AND b.node_id = 1 THEN 1 ELSE 0 END)::VARCHAR END AS answer,
+  CASE WHEN a.node_id = 4 AND b.node_id = 2 THEN 'StationShortestCount' END AS question_type,
+  a.node_id AS a, b.node_id AS b FROM nodes a JOIN nodes b ON a.graph_id = b.graph_id)"""
 
 
 def _stations(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -125,13 +126,15 @@ def _stations(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataF
     access = F.when(key % 2 == 0, " has disabled access").otherwise(" does not have disabled access")
     nodes = table(spark, sf, "nation").select(F.floor(key / 5).alias("graph_id"), (key % 5).alias("node_id"), F.concat("n_name", access).alias("text"), F.col("n_name").alias("name"))
     a, b = (nodes.select("graph_id", F.col("node_id").alias(x), F.col("name").alias(f"name_{x}")) for x in "ab")
-    p = a.join(b, "graph_id").filter("a <> b")
+    p = a.join(b, "graph_id")
     to = F.when((F.col("b") == 3) & (F.col("a") == 0), "nowhere").otherwise(F.col("name_b"))
     question = F.when((F.col("a") + F.col("b")) % 7 == 6, F.format_string("Where is %s?", "name_a")).otherwise(F.format_string("How many stations are between %s and %s?", "name_a", to))
     wrong = F.when((F.col("a") == 4) & (F.col("b") == 1), 1).otherwise(0)
-    answer = (F.greatest(F.abs(F.col("a") - F.col("b")) - 1, F.lit(0)) + wrong).cast("string")
-    asked = p.select("graph_id", F.concat_ws(":", "graph_id", "a", "b").alias("question_id"), question.alias("question"), answer.alias("answer"), F.lit(None).cast("string").alias("question_type"))
-    edges = nodes.filter("node_id < 4").select("graph_id", F.col("node_id").alias("src"), (F.col("node_id") + 1).alias("dst"))
+    at = lambda x, y: (F.col("a") == x) & (F.col("b") == y)
+    answer = F.when(at(3, 1), "one").otherwise((F.greatest(F.abs(F.col("a") - F.col("b")) - 1, F.lit(0)) + wrong).cast("string"))
+    kind = F.when(at(4, 2), Q.STATION_TYPE).alias("question_type")
+    asked = p.select("graph_id", F.concat_ws(":", "graph_id", "a", "b").alias("question_id"), question.alias("question"), answer.alias("answer"), kind)
+    edges = nodes.filter("node_id < 4 and not (graph_id = 4 and node_id = 1)").select("graph_id", F.col("node_id").alias("src"), (F.col("node_id") + 1).alias("dst"))
     return asked, nodes.select("graph_id", "node_id", "text"), edges
 
 
@@ -139,30 +142,36 @@ def _stations(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataF
 p AS (SELECT *, regexp_matches(question, '(?is)How many stations are between\\s+(.+?)\\s+and\\s+(.+?)\\?') AS station,
   regexp_extract(question, '(?is)How many stations are between\\s+(.+?)\\s+and\\s+(.+?)\\?', 1) AS s, regexp_extract(question, '(?is)How many stations are between\\s+(.+?)\\s+and\\s+(.+?)\\?', 2) AS t FROM asked)
 SELECT question_id, x.node_id AS source_node, y.node_id AS target_node,
-  CASE WHEN NOT station THEN 'rejected_question_type' WHEN x.node_id IS NULL OR y.node_id IS NULL THEN 'rejected_ambiguous_endpoint' END AS reason
+  CASE WHEN NOT station AND question_type IS NULL THEN 'rejected_question_type' WHEN NOT station THEN 'rejected_question_does_not_match_StationShortestCount'
+    WHEN x.node_id IS NULL OR y.node_id IS NULL THEN 'rejected_endpoint_extraction_ambiguous' WHEN x.node_id = y.node_id THEN 'rejected_source_and_target_must_be_distinct' END AS reason
 FROM p LEFT JOIN n x ON x.graph_id = p.graph_id AND x.name = p.s AND station LEFT JOIN n y ON y.graph_id = p.graph_id AND y.name = p.t AND station""")
 def station_endpoints(spark: SparkSession, sf: str) -> DataFrame:
     asked, nodes, _ = _stations(spark, sf)
     return Q.station_questions(asked, nodes).select("question_id", "source_node", "target_node", "reason")
 
 
-VALID = f"""WITH {STATIONS}, judged AS (SELECT *, CASE WHEN (a + b) % 7 = 6 THEN 'rejected_question_type' WHEN b = 3 AND a = 0 THEN 'rejected_ambiguous_endpoint'
-  WHEN a = 4 AND b = 1 THEN 'rejected_label/path_mismatch' END AS reason, CASE WHEN (a + b) % 7 = 6 OR (b = 3 AND a = 0) THEN NULL ELSE abs(a - b) END::INT AS true_hop FROM asked)"""
+VALID = f"""WITH {STATIONS}, judged AS (SELECT *, CASE WHEN (a + b) % 7 = 6 AND question_type IS NULL THEN 'rejected_question_type' WHEN (a + b) % 7 = 6 THEN 'rejected_question_does_not_match_StationShortestCount'
+  WHEN b = 3 AND a = 0 THEN 'rejected_endpoint_extraction_ambiguous' WHEN a = b THEN 'rejected_source_and_target_must_be_distinct'
+  WHEN graph_id = 4 AND (a <= 1) <> (b <= 1) THEN 'rejected_endpoints_are_disconnected' WHEN answer = 'one' THEN 'rejected_answer_is_not_an_integer'
+  WHEN a = 4 AND b = 1 THEN 'rejected_label/path_mismatch' END AS reason,
+  CASE WHEN (a + b) % 7 = 6 OR (b = 3 AND a = 0) OR a = b OR (graph_id = 4 AND (a <= 1) <> (b <= 1)) THEN NULL ELSE abs(a - b) END::INT AS true_hop FROM asked)"""
 
 
 @query(f"""{VALID} SELECT question_id, true_hop, reason,
-  CASE WHEN reason IS NULL THEN array_to_string(CASE WHEN a < b THEN range(a, b + 1) ELSE list_reverse(range(b, a + 1)) END, '>') END AS shortest_path FROM judged""")
+  CASE WHEN reason IS NULL THEN array_to_string(CASE WHEN a < b THEN range(a, b + 1) ELSE list_reverse(range(b, a + 1)) END, '>') END AS shortest_path,
+  CASE WHEN reason IS NULL THEN array_to_string([array_to_string([y FOR y IN range(5) IF abs(y - a) = d AND NOT (graph_id = 4 AND (y <= 1) <> (a <= 1))], ',') FOR d IN range(abs(a - b) + 1)], '|') END AS frontiers FROM judged""")
 def path_questions(spark: SparkSession, sf: str) -> DataFrame:
     asked, nodes, edges = _stations(spark, sf)
     q = Q.path_questions(asked, nodes, edges)
     path = F.array_join(F.transform("shortest_path", lambda p: p.cast("string")), ">")
-    return q.select("question_id", "true_hop", "reason", path.alias("shortest_path"))
+    fronts = F.array_join(F.transform("frontiers", lambda f: F.array_join(F.transform(f, lambda n: n.cast("string")), ",")), "|")
+    return q.select("question_id", "true_hop", "reason", path.alias("shortest_path"), fronts.alias("frontiers"))
 
 
-def _hop_split_sql(rows: str) -> str:
+def _hop_split_sql(rows: str, fraction: float = 0.2) -> str:
     return f"""placed AS (SELECT graph_id, question_id, true_hop, row_number() OVER (PARTITION BY graph_id, true_hop ORDER BY md5('2026:hop:' || graph_id || ':' || question_id), question_id) AS place FROM {rows} WHERE true_hop BETWEEN 1 AND 4),
 capped AS (SELECT *, count(*) OVER (PARTITION BY graph_id, true_hop) AS n FROM placed WHERE place <= 32),
-split AS (SELECT graph_id, question_id, true_hop, CASE WHEN true_hop >= 3 THEN 'test' WHEN place <= CASE WHEN n > 1 THEN least(n - 1, greatest(1, round_even(n * 0.2::DOUBLE, 0)::BIGINT)) ELSE 0 END THEN 'validation' ELSE 'train' END AS split FROM capped)"""
+split AS (SELECT graph_id, question_id, true_hop, CASE WHEN true_hop >= 3 THEN 'test' WHEN place <= CASE WHEN n > 1 AND {fraction} > 0 THEN least(n - 1, greatest(1, round_even(n * {fraction}::DOUBLE, 0)::BIGINT)) ELSE 0 END THEN 'validation' ELSE 'train' END AS split FROM capped)"""
 
 
 EVENT_HOPS = """hops AS (SELECT user_id % 40 AS graph_id, event_id AS question_id, (1 + try_cast(regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS INT) % 5)::INT AS true_hop FROM events)"""
@@ -178,13 +187,39 @@ def hop_split(spark: SparkSession, sf: str) -> DataFrame:
     return Q.hop_split(_event_hops(spark, sf))
 
 
+@query(f"WITH {EVENT_HOPS}, {_hop_split_sql('hops', 0)} SELECT * FROM split")
+def hop_split_without_validation(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.hop_split(_event_hops(spark, sf), fraction=0)
+
+
+#: Counts by name; a hop of training questions has both names, if only with 0.
+_COUNTS = """SELECT 'accepted_test_hop_' || true_hop AS name, count(*) AS n FROM split WHERE split = 'test' GROUP BY true_hop
+UNION ALL SELECT 'accepted_' || s || '_hop_' || true_hop, sum((split = s)::BIGINT)::BIGINT FROM split, (SELECT unnest(['train', 'validation']) AS s) WHERE split <> 'test' GROUP BY s, true_hop"""
+
+
 @query(f"""{VALID}, valid AS (SELECT graph_id, question_id, true_hop FROM judged WHERE reason IS NULL), {_hop_split_sql('valid')}
-SELECT name, count(*) AS n FROM (SELECT 'accepted_' || split || '_hop_' || true_hop AS name FROM split UNION ALL SELECT reason FROM judged WHERE reason IS NOT NULL) GROUP BY name""")
+{_COUNTS} UNION ALL SELECT reason, count(*) FROM judged WHERE reason IS NOT NULL GROUP BY reason""")
 def split_rejections(spark: SparkSession, sf: str) -> DataFrame:
     q = Scratch(spark, "split").save(Q.path_questions(*_stations(spark, sf)), "questions")
     return Q.split_statistics(Q.hop_split(q.filter("reason is null")), q.filter("reason is not null"))
 
 
+#: Graphs are users by 97; the hops of some of them are all beyond the range or all in training.
+USER_HOPS = """uhops AS (SELECT user_id % 97 AS graph_id, event_id AS question_id, CASE WHEN user_id % 97 % 5 = 0 THEN 1 + event_id % 2 ELSE 1 + event_id % 6 END::INT AS true_hop FROM events)"""
+
+
+@query(f"""WITH {USER_HOPS}, {_hop_split_sql('uhops')}, g AS (SELECT u.graph_id, coalesce(bool_or(s.split = 'train') AND bool_or(s.split = 'test'), false) AS ok FROM (SELECT DISTINCT graph_id FROM uhops) u LEFT JOIN split s ON s.graph_id = u.graph_id GROUP BY u.graph_id),
+p AS (SELECT *, coalesce(sum(ok::INT) OVER (ORDER BY graph_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g), seen AS (SELECT * FROM p WHERE before < 16),
+s2 AS (SELECT * FROM split WHERE graph_id IN (SELECT graph_id FROM seen WHERE ok)), out AS (SELECT * FROM uhops WHERE true_hop > 4 AND graph_id IN (SELECT graph_id FROM seen WHERE ok))
+{_COUNTS.replace('FROM split', 'FROM s2')} UNION ALL SELECT 'rejected_hop_outside_requested_range', count(*) FROM out HAVING count(*) > 0
+UNION ALL SELECT CASE WHEN ok THEN 'accepted_graphs' ELSE 'rejected_graph_missing_train_or_test' END, count(*) FROM seen GROUP BY ok""")
+def dataset_split_stats(spark: SparkSession, sf: str) -> DataFrame:
+    graph = F.col("user_id") % 97
+    hop = F.when(graph % 5 == 0, 1 + F.col("event_id") % 2).otherwise(1 + F.col("event_id") % 6).cast("int")
+    q = table(spark, sf, "events").select(graph.alias("graph_id"), F.col("event_id").alias("question_id"), hop.alias("true_hop"))
+    return Q.dataset_statistics(q.select("graph_id").distinct(), Q.hop_split(q), Q.outside_hops(q))
+
+
 @query(f"""WITH {EVENT_HOPS}, {_hop_split_sql('hops')}, good AS (SELECT graph_id FROM split GROUP BY graph_id HAVING bool_or(split = 'train') AND bool_or(split = 'test') ORDER BY graph_id LIMIT 16)
 SELECT * FROM split WHERE graph_id IN (SELECT graph_id FROM good)""")
 def graph_filter(spark: SparkSession, sf: str) -> DataFrame:

@@ -70,6 +70,25 @@ def metrics_by_variant(spark: SparkSession, sf: str) -> DataFrame:
     return M.metric_means(rows, names, ["variant"]).select("variant", *[F.round(n, 9).alias(n) for n in names])
 
 
+_ALL_TARGETS = """sc AS (SELECT id, [CASE WHEN t = p THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FOR t IN ts] AS em, [CASE WHEN contains(p, t) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FOR t IN ts] AS hit FROM normed)"""
+
+
+@query(f"""WITH {QA_PAIRS}, {NORMED}, {_ALL_TARGETS} SELECT id, list_min(em) AS em_min, round(list_avg(em), 9) AS em_mean, list_min(hit) AS hit_min, round(list_avg(hit), 9) AS hit_mean FROM sc""")
+def metrics_by_aggregate(spark: SparkSession, sf: str) -> DataFrame:
+    p, t = F.col("prediction"), F.col("targets")
+    names = [(n, a) for n in ("em", "hit") for a in ("min", "mean")]
+    return qa_pairs(spark, sf).select("id", *[F.round(M.aggregated_score(n, p, t, a), 9).alias(f"{n}_{a}") for n, a in names])
+
+
+@query(f"""WITH {QA_PAIRS}, {SCORED} SELECT 'em' AS metric, round(avg(em), 9) AS value FROM scored UNION ALL SELECT 'f1', round(avg(f1), 9) FROM scored UNION ALL SELECT 'hit', round(avg(hit), 9) FROM scored""")
+def evaluate_metric(spark: SparkSession, sf: str) -> DataFrame:
+    out = None
+    for name in M.METRICS:
+        row = M.evaluate(name, qa_pairs(spark, sf)).select(F.lit(name).alias("metric"), F.round(name, 9).alias("value"))
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
 @query("""WITH e AS (SELECT vec_id AS id, label, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings), u AS (SELECT id, label, [x / sqrt(list_inner_product(v, v)) FOR x IN v] AS v FROM e),
 b AS (SELECT s.id, max(list_inner_product(s.v, t.v)) AS best FROM u s, u t WHERE s.label = 0 AND t.label = 1 GROUP BY s.id)
 SELECT id, round(best, 6) AS best, best > 0.8 AS hit FROM b""")

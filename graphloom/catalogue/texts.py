@@ -10,6 +10,7 @@ from graphloom.operators import graph as G
 from graphloom.operators import infer as I
 from graphloom.operators import sample as S
 from graphloom.operators import tasks as T
+from graphloom.plans import Scratch
 from graphloom.sources import table
 
 from .graph import UPSAMPLED
@@ -74,6 +75,27 @@ def subgraph_context(spark: SparkSession, sf: str) -> DataFrame:
     return T.subgraph_contexts(kg_small(spark, sf).withColumnRenamed("idx", "edge_id"), table(spark, sf, "nation").select(name.alias("query"), name.alias("node")))
 
 
+@query(f"""WITH {KG_MULTI}, {CLEAN}, {_draws_sql('sum', 2)}, n AS (SELECT graph_id, node, count(*) AS w FROM (SELECT graph_id, src AS node FROM clean UNION ALL SELECT graph_id, dst FROM clean) GROUP BY graph_id, node),
+nc AS (SELECT *, sum(w) OVER (PARTITION BY graph_id ORDER BY node) AS upto, sum(w) OVER (PARTITION BY graph_id) AS total FROM n),
+nd AS (SELECT graph_id, draw, md5('2026:sumn:' || graph_id || ':' || draw) AS h FROM (SELECT DISTINCT graph_id FROM clean), (SELECT unnest(range(2)) AS draw))
+SELECT graph_id, 'edge' AS kind, draw, 'the ' || src || ' is ' || rel || ' the ' || dst || '; ' AS context FROM draws
+UNION ALL SELECT c.graph_id, 'node', d.draw::INT, node FROM nc c JOIN nd d ON c.graph_id = d.graph_id AND upto - w <= (1 - {_unit('h')}) * total AND (1 - {_unit('h')}) * total < upto""")
+def summary_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    edges = S.sample_weighted_replace(_weighted(spark, sf), ["graph_id"], ["edge_id", "rel", "dst"], "weight", 2, 2026, "sum")
+    d = G.degrees(G.clean_edges(kg_multi(spark, sf))).withColumn("w", F.col("n_in") + F.col("n_out"))
+    nodes = S.sample_weighted_replace(d, ["graph_id"], ["node"], "w", 2, 2026, "sumn")
+    parts = {"edge": T.edge_contexts(edges), "node": T.node_contexts(nodes)}
+    out = [df.select("graph_id", F.lit(k).alias("kind"), "draw", "context") for k, df in parts.items()]
+    return out[0].unionAll(out[1])
+
+
+@query(f"""WITH {QA_PAIRS}, {KG_MULTI}, {CLEAN}, {_draws_sql('reason', 24)}, shots AS (SELECT string_agg(question, '; ' ORDER BY md5('2026:shots:' || question), question) AS s FROM (SELECT question FROM qa_pairs ORDER BY md5('2026:shots:' || question), question LIMIT 8))
+SELECT graph_id, (draw // 6)::INT AS sample, CASE WHEN draw // 6 = 3 THEN any_value(s) END AS sample_questions, string_agg('the ' || src || ' is ' || rel || ' the ' || dst || '; ', '' ORDER BY draw) AS context FROM draws, shots GROUP BY graph_id, draw // 6""")
+def reasoning_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    shots = T.shot_questions(qa_pairs(spark, sf), 2026)
+    return T.reasoning_prompts(T.reasoning_contexts(_weighted(spark, sf), 4, 2026), shots).drop("prompt_kind")
+
+
 BLOCKS = f"""WITH {RESPONSES}, pieces AS (SELECT item_id, CASE WHEN contains(response, '<|>') THEN string_split(response, '<|>') ELSE string_split(response, chr(10) || chr(10)) END AS ps FROM responses),
 lines AS (SELECT item_id, generate_subscripts(ps, 1) AS i, string_split(trim(unnest(ps), E' \\n'), chr(10)) AS b FROM pieces)"""
 
@@ -150,6 +172,26 @@ def subgraph_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return T.subgraph_prompts(q, kg_small(spark, sf).withColumnRenamed("idx", "edge_id"))
 
 
+@query(f"""WITH {KG_SMALL}, o AS (SELECT c_custkey AS q, 'C' || c_custkey AS c, 'N' || c_nationkey AS n, 'R' || n_regionkey AS r, c_custkey AS i, c_nationkey AS j FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT q AS question_id, 'This is the graph contains relevant context that can answer the question: <graph><node>ID: 0. ' || c || '</node>' || chr(10) || '<node>ID: 1. ' || n || '</node>' || chr(10) || '<node>ID: 2. ' || r || '</node>' || chr(10) ||
+  '<rel>Node 0 and node 1 has relation lives_in</rel>' || chr(10) || '<rel>Node 1 and node 2 has relation part_of</rel>' || chr(10) || '</graph>' || chr(10) || {_PROMPT.format("'kg'", "'Where?'")} AS prompt FROM o""")
+def indexed_subgraph_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("c_custkey")
+    q = table(spark, sf, "customer").select(F.lit("kg").alias("graph_id"), key.alias("question_id"), F.lit("Where?").alias("question"), F.array(F.concat(F.lit("C"), key.cast("string"))).alias("roots"))
+    return T.eval_prompts("standard", q, kg_small(spark, sf).withColumnRenamed("idx", "edge_id"), subgraph=True, indexed=True)
+
+
+@query(f"WITH {QA_PAIRS} SELECT id AS question_id, {_PROMPT.format('graph', 'question')} AS prompt FROM qa_pairs")
+def adapter_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    q = qa_pairs(spark, sf).select(F.col("id").alias("question_id"), F.col("graph").alias("graph_id"), "question")
+    return T.eval_prompts("adapter", q, kg_multi(spark, sf))
+
+
+@query(f"""WITH {QA_PAIRS} SELECT id, '{{}}' || question || chr(10) || 'Candidate answer: ' || prediction || chr(10) || 'Ground truth: [' || array_to_string(targets, ', ') || ']' || chr(10) || 'Evaluation: ' AS prompt FROM qa_pairs""".replace("{}", I.judge_head().replace("'", "''")))
+def judge_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    return qa_pairs(spark, sf).select("id", I.judge_prompt(F.col("question"), F.col("prediction"), F.col("targets")).alias("prompt"))
+
+
 @query("SELECT round(avg(len([t FOR t IN regexp_split_to_array(text, '[\\s ]+') IF t <> ''])), 9) AS avg_tokens FROM conversations")
 def average_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return T.average_tokens(table(spark, sf, "conversations"), "text").withColumn("avg_tokens", F.round("avg_tokens", 9))
@@ -184,6 +226,15 @@ def infer_cached(spark: SparkSession, sf: str) -> DataFrame:
     return I.infer_cached(*_cache(spark, sf), I.backend("echo-1"))
 
 
+@query(f"""WITH {CACHE} SELECT p.index, p.prompt_sha256, p.prompt, 'Answer: ' || p.prompt AS response FROM prompts p""")
+def infer_with_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the prompts are answered and written to the cache, then all."""
+    prompts, _ = _cache(spark, sf)
+    path = f"{Scratch(spark, 'prompt-cache').base}/cache.jsonl"
+    I.infer_with_cache(prompts.filter("index % 2 = 0"), path, I.backend("echo-1")).count()
+    return I.infer_with_cache(prompts, path, I.backend("echo-1")).drop("error", "pos")
+
+
 @query("""WITH j AS (SELECT CASE event_type WHEN 'click' THEN ' Yes.' WHEN 'view' THEN 'the yes!' ELSE 'no' END AS response, event_type FROM events)
 SELECT round(avg(CASE WHEN event_type IN ('click', 'view') THEN 1.0 ELSE 0.0 END), 9) AS llm FROM j""")
 def judged_share(spark: SparkSession, sf: str) -> DataFrame:

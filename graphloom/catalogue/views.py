@@ -84,10 +84,11 @@ QA_PAIRS = """qa_pairs AS (
          CASE b.turn % 3 WHEN 0 THEN [a.text] WHEN 1 THEN [a.text, substr(b.text, 1, 40)] ELSE [b.text] END AS targets
   FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant')"""
 
+#: An article stands between characters that are neither letters nor digits; neighbours share one, hence two passes.
 _SQL_NORM = (
     "[CASE t WHEN 'man' THEN 'men' WHEN 'woman' THEN 'women' ELSE t END FOR t IN "
-    "regexp_split_to_array(translate(lower(coalesce({0}, '')), '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~', ''), '[\\s  ]+') "
-    "IF t NOT IN ('', 'a', 'an', 'the')]"
+    "regexp_split_to_array(regexp_replace(regexp_replace(translate(lower(coalesce({0}, '')), '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~', ''), '(^|[^\\p{{L}}\\p{{N}}])(a|an|the)($|[^\\p{{L}}\\p{{N}}])', '\\1 \\3', 'g'), '(^|[^\\p{{L}}\\p{{N}}])(a|an|the)($|[^\\p{{L}}\\p{{N}}])', '\\1 \\3', 'g'), '[\\s  ]+') "
+    "IF t <> '']"
 )
 
 

@@ -19,9 +19,12 @@ def tokens(text: Column) -> Column:
 
 
 def answer_tokens(text: Column) -> Column:
-    """Tokens of an answer, lower-cased, without punctuation and articles, with synonyms mapped."""
+    """Tokens of an answer, lower-cased, without punctuation and articles, with synonyms mapped. An article stands
+    between characters that are neither letters nor digits, such as curly quotes and dashes."""
     plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), PUNCTUATION, "")
-    kept = F.filter(tokens(plain), lambda t: ~t.isin(*ARTICLES))
+    # most texts are ASCII once punctuation is gone; there an article is a token
+    others = F.regexp_replace(plain, f"(?<![\\p{{L}}\\p{{N}}])(?:{'|'.join(ARTICLES)})(?![\\p{{L}}\\p{{N}}])", " ")
+    kept = F.filter(tokens(F.when(plain.rlike("[^\\x20-\\x7E\\s]"), others).otherwise(plain)), lambda t: ~t.isin(*ARTICLES))
 
     def synonym(t: Column) -> Column:
         out = t
@@ -70,11 +73,16 @@ def object_text(name: Column, attributes: Column, x: Column, y: Column, w: Colum
     return F.btrim(F.concat_ws(" ", F.array_join(attributes, ", "), place))
 
 
+def key_text(entity: Column) -> Column:
+    """Text of entities that are named by their key: without outer blanks and full stops."""
+    return F.btrim(F.btrim(entity), F.lit("."))
+
+
 def relation_question(source: Column, target: Column, candidates: Column, node: str = "word node") -> Column:
     """Asks for the relation of two entities, chosen from candidates."""
     # Fixed value: the question's wording.
     wording = f"What is the relation between {node} %s and {node} %s? Selected from the following candidate answers: %s."
-    return F.format_string(wording, source, target, F.array_join(candidates, ", "))
+    return F.format_string(wording, source, target, F.array_join(candidates, "; "))
 
 
 STATIONS = r"(?is)How many stations are between\s+(.+?)\s+and\s+(.+?)\?"
@@ -87,7 +95,9 @@ def station_endpoint(question: Column, which: int) -> Column:
 
 def canonical_node_name(text: Column) -> Column:
     """The name before ' does not have ' or else ' has '."""
-    cut = lambda mark: F.substring_index(text, mark, 1)
+    strip = lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")
+    text = strip(text)
+    cut = lambda mark: strip(F.substring_index(text, mark, 1))
     return F.when(text.contains(" does not have "), cut(" does not have ")).when(text.contains(" has "), cut(" has ")).otherwise(text)
 
 
@@ -130,5 +140,10 @@ def append_end(text: Column, end: str) -> Column:
     return F.when(text.endswith(end), text).otherwise(F.concat(text, F.lit(end)))
 
 
+def append_end_all(texts: Column, end: str) -> Column:
+    """``append_end`` of each text of a list."""
+    return F.transform(texts, lambda t: append_end(t, end))
+
+
 def qa_text(question: Column, answer: Column) -> Column:
     return F.concat(F.lit("Question: "), question, F.lit("\nAnswer: "), answer)

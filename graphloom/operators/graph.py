@@ -27,10 +27,10 @@ def clean_edges_compat(edges: DataFrame) -> DataFrame:
     return kept.join(labels, ["graph_id", "k"]).select("graph_id", "edge_id", "src", "rel", "dst")
 
 
-def node_ids(dictionary: DataFrame, triples: DataFrame) -> DataFrame:
-    """``node_id, entity, in_dictionary``: dictionary entries in order, then entities seen only in triples, in order of
-    first sight, heads before tails."""
-    known = dense_index(dictionary.select("entity"), "node_id", ["entity"])
+def node_ids(dictionary: DataFrame, triples: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """``node_id, entity, in_dictionary``: dictionary entries in order, of their names or of ``pos`` in ``places``, then
+    entities seen only in triples, in order of first sight, heads before tails."""
+    known = dense_index(dictionary.select("entity"), "node_id", ["entity"]) if places is None else dense_index(places, "node_id", ["pos"]).drop("pos")
     n = known.count()
     seen = triples.select(F.explode(F.array(F.struct(F.col("src").alias("entity"), (2 * F.col("idx")).alias("at")), F.struct(F.col("dst").alias("entity"), (2 * F.col("idx") + 1).alias("at")))).alias("s")).select("s.*")
     unseen = seen.groupBy("entity").agg(F.min("at").alias("at")).join(known, "entity", "left_anti")
@@ -49,6 +49,13 @@ def unknown_relations(train: DataFrame, other: DataFrame) -> DataFrame:
     return missing.agg(F.array_join(F.array_sort(F.collect_set("rel")), ",").alias("relations"), F.count("*").alias("n"))
 
 
+def require_known_relations(train: DataFrame, other: DataFrame) -> None:
+    """Raises if ``other`` has relations that ``train`` lacks."""
+    r = unknown_relations(train, other).first()
+    if r.n:
+        raise ValueError(f"relations outside of the training vocabulary: {r.relations}")
+
+
 def materialize_edges(triples: DataFrame, nodes: DataFrame) -> DataFrame:
     """Ids of both endpoints by two equi-joins."""
     ids = nodes.select("entity", "node_id")

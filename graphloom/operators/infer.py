@@ -1,15 +1,25 @@
-"""Inference hook and prompt cache."""
+"""Inference hook, prompt cache and judge.
+
+A back end is a function from a batch of prompts, with an optional system prompt and histories, to responses.
+"""
 
 from __future__ import annotations
 
+import random
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-Model = Callable[[list[str]], list[str]]
+from graphloom.functions.text import normalize_answer
+from graphloom.operators.metrics import l2_normalized
+from graphloom.plans import Scratch
+
+Model = Callable[..., list[str]]
 BACKENDS: dict[str, Callable[[str], Model]] = {}
 
 
@@ -25,30 +35,59 @@ def backend(model_name: str) -> Model:
     raise ValueError(f"no back end for {model_name}")
 
 
-register_backend("echo", lambda name: lambda prompts: [f"Answer: {p}" for p in prompts])
+def _echo(prompts: list[str], system: str | None = None, histories: list | None = None) -> list[str]:
+    head = f"{system} " if system else ""
+    return [f"Answer: {head}{p}" for p in prompts]
+
+
+register_backend("echo", lambda name: _echo)
 
+#: Errors of a back end that may pass; others are a row's error at once.
+PASSING_ERRORS = (ConnectionError, TimeoutError, OSError)
 
-def infer(prompts: DataFrame, column: str, model: Model, attempts: int = 3) -> DataFrame:
-    """Adds ``response`` and ``error`` by batches of ``model(prompts)``. A batch that fails is tried again prompt by
-    prompt; a prompt that fails ``attempts`` times has an error and no response."""
+
+def infer(
+    prompts: DataFrame, column: str, model: Model, attempts: int = 3, system: str | None = None, histories: str | None = None,
+    passing: tuple[type[Exception], ...] = PASSING_ERRORS, first_wait: float = 0.1, longest_wait: float = 10.0, threads: int = 8,
+) -> DataFrame:
+    """Adds ``response`` and ``error`` by batches of ``model(prompts)``.
+
+    A batch that fails is tried again prompt by prompt, ``threads`` at a time. Errors of ``passing`` are tried up to
+    ``attempts`` times, after waits that double and vary; what still fails, or fails otherwise, has an error and no
+    response. So has a batch with another number of responses than prompts. ``system`` is a system prompt, ``histories``
+    a column with the turns before; they are passed on only if given.
+    """
     schema = T.StructType([*prompts.schema, T.StructField("response", T.StringType()), T.StructField("error", T.StringType())])
 
-    def one(prompt: str) -> tuple[str | None, str | None]:
+    def call(asked: list[str], before: list | None) -> list[str]:
+        extra = ({"system": system} if system is not None else {}) | ({"histories": before} if before is not None else {})
+        out = list(model(asked, **extra))
+        if len(out) != len(asked):
+            raise RuntimeError(f"{len(out)} responses to {len(asked)} prompts")
+        return out
+
+    def one(prompt: str, before: list | None) -> tuple[str | None, str | None]:
         error = None
-        for _ in range(attempts):
+        for k in range(attempts):
             try:
-                return model([prompt])[0], None
-            except Exception as e:  # noqa: BLE001  any failure of a back end is a row's error
+                return call([prompt], None if before is None else [before])[0], None
+            except passing as e:
                 error = f"{type(e).__name__}: {e}"
+                if k + 1 < attempts:
+                    time.sleep(min(longest_wait, first_wait * 2**k) * random.uniform(0.5, 1.0))
+            except Exception as e:  # noqa: BLE001  any failure of a back end is a row's error
+                return None, f"{type(e).__name__}: {e}"
         return None, error
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             asked = b.column(column).to_pylist()
+            before = b.column(histories).to_pylist() if histories else None
             try:
-                out = [(r, None) for r in model(asked)]
+                out = [(r, None) for r in call(asked, before)]
             except Exception:  # noqa: BLE001
-                out = [one(p) for p in asked]
+                with ThreadPoolExecutor(threads) as pool:
+                    out = list(pool.map(one, asked, before or [None] * len(asked)))
             extra = [pa.array([r for r, _ in out], pa.string()), pa.array([e for _, e in out], pa.string())]
             yield pa.RecordBatch.from_arrays([*b.columns, *extra], [*b.schema.names, "response", "error"])
 
@@ -79,10 +118,71 @@ def infer_cached(prompts: DataFrame, cache: DataFrame, model: Model) -> DataFram
     return cache_hits(prompts, cache).withColumn("error", F.lit(None).cast("string")).unionByName(new)
 
 
+CACHE_SCHEMA = "index long, prompt_sha256 string, response string, pos long"
+
+
+def infer_with_cache(prompts: DataFrame, path: str, model: Model) -> DataFrame:
+    """As ``infer_cached`` with the cache in JSON lines at ``path``, to which new responses are appended.
+
+    What a job wrote before it broke off is reused by the next one. Lines that aren't entries are skipped. ``pos`` is the
+    time of writing.
+    """
+    spark = prompts.sparkSession
+    path_ = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = path_.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path_)
+    read = lambda: spark.read.schema(CACHE_SCHEMA).json(path)
+    cache = read() if there else spark.createDataFrame([], CACHE_SCHEMA)
+    new = Scratch(spark, "answers").save(infer(cache_missing(prompts, cache), "prompt", model), "new")
+    done = new.filter(F.col("error").isNull()).select("index", "prompt_sha256", "response", F.lit(time.time_ns()).alias("pos"))
+    done.write.mode("append").json(path)
+    failed = new.filter(F.col("error").isNotNull())
+    return cache_hits(prompts, read()).withColumn("error", F.lit(None).cast("string")).unionByName(failed)
+
+
+# The judge's task, its examples and the answer that counts.
+JUDGE_TASK = (
+    "Decide whether a model's answer matches one of the true answers. An answer that includes a true one, or says the same "
+    "in other words, matches. Reply with yes or no, without quotes."
+)
+JUDGE_EXAMPLES = (
+    ("What is in the box?", "a pizza slice.", "[pizza, pizza slice]", "yes"),
+    ("On which side of the image are the chairs?", "The chairs are on the left side of the image.", "[right]", "no"),
+    ("Who is wearing the hat?", "the guy at coordinate (410, 163)", "[guy]", "yes"),
+)
+
+
+def judge_head() -> str:
+    """The judge's prompt up to the question."""
+    shown = lambda q, p, t, e: f"Question: {q}\nCandidate answer: {p}\nGround truth: {t}\nEvaluation: {e}"
+    examples = [f"--Example {k}--\n{shown(*x)}" for k, x in enumerate(JUDGE_EXAMPLES, 1)]
+    return "\n\n".join([JUDGE_TASK, *examples, "--Real task--\nQuestion: "])
+
+
+def judge_prompt(question: Column, prediction: Column, targets: Column) -> Column:
+    """Asks a judge whether ``prediction`` matches one of ``targets``."""
+    truth = F.concat(F.lit("["), F.array_join(targets, ", "), F.lit("]"))
+    return F.concat(F.lit(judge_head()), question, F.lit("\nCandidate answer: "), prediction, F.lit("\nGround truth: "), truth, F.lit("\nEvaluation: "))
+
+
+def judge(rows: DataFrame, model: Model) -> DataFrame:
+    """Adds ``prompt``, ``response`` and ``error`` of a judge to ``question, prediction, targets``."""
+    return infer(rows.withColumn("prompt", judge_prompt(F.col("question"), F.col("prediction"), F.col("targets"))), "prompt", model)
+
+
+def encode(texts: DataFrame, column: str, model: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    """Adds ``vector``: what ``model`` makes of each batch of texts, scaled to length 1."""
+    schema = T.StructType([*texts.schema, T.StructField("vector", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vectors = model(b.column(column).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float64()))], [*b.schema.names, "vector"])
+
+    return texts.mapInArrow(run, schema).withColumn("vector", l2_normalized(F.col("vector")))
+
+
 def judged_share(judgements: DataFrame) -> DataFrame:
     """One row: share of responses that are 'yes' after normalisation."""
-    from graphloom.functions.text import normalize_answer
-
     yes = (normalize_answer(F.col("response")) == "yes").cast("double")
     return judgements.agg(F.coalesce(F.avg(yes), F.lit(0.0)).alias("llm"))
 

@@ -22,11 +22,12 @@ def adjacency(edges: DataFrame, directed: bool = False, drop_loops: bool = True)
     return rows.filter("node <> next") if drop_loops else rows
 
 
-def bfs(neighbours: DataFrame, sources: DataFrame, max_depth: int | None = None, paths: bool = False) -> DataFrame:
+def bfs(neighbours: DataFrame, sources: DataFrame, max_depth: int | None = None, paths: bool = False, symmetric: bool = False) -> DataFrame:
     """``source, node, distance`` and, with ``paths``, the lexicographically least shortest ``path``.
 
     Breadth-first search that visits neighbours in sorted order reaches each node by that path: it is the least of its
-    predecessors' least paths, extended. ``sources``: one column ``source``.
+    predecessors' least paths, extended. ``sources``: one column ``source``. A node is visited once. Where each
+    neighbour is known to be one both ways (``symmetric``), only the last two levels need to be looked at for that.
     """
     scratch = Scratch(neighbours.sparkSession, "bfs")
     neighbours = scratch.save(neighbours, "neighbours")
@@ -36,8 +37,11 @@ def bfs(neighbours: DataFrame, sources: DataFrame, max_depth: int | None = None,
     while max_depth is None or depth < max_depth:
         depth += 1
         step = frontier.join(neighbours, "node")
-        # a neighbour of the last level lies on it, on the one before, or is new
-        near = reached[-1].select("source", "node").unionAll(reached[-2].select("source", "node")) if len(reached) > 1 else reached[-1].select("source", "node")
+        # with symmetric neighbours a neighbour of the last level lies on it, on the one before, or is new
+        before = reached[-2:] if symmetric else reached
+        near = before[0].select("source", "node")
+        for level in before[1:]:
+            near = near.unionAll(level.select("source", "node"))
         keys = ["source", F.col("next").alias("node")]
         if paths:
             step = step.groupBy(*keys).agg(F.min(F.array_append("path", F.col("next"))).alias("path"))
@@ -54,12 +58,12 @@ def bfs(neighbours: DataFrame, sources: DataFrame, max_depth: int | None = None,
     return out
 
 
-def pair_distances(neighbours: DataFrame, pairs: DataFrame, max_depth: int | None = None) -> DataFrame:
+def pair_distances(neighbours: DataFrame, pairs: DataFrame, max_depth: int | None = None, symmetric: bool = False) -> DataFrame:
     """Adds ``distance``, ``path``, ``reachable`` and ``true_hop`` to ``source, target``.
 
     An entity reaches itself at distance 0 even if it has no edge; a hop is a distance of 1 or more.
     """
-    reached = bfs(neighbours, pairs.select("source").distinct(), max_depth, paths=True).withColumnRenamed("node", "target")
+    reached = bfs(neighbours, pairs.select("source").distinct(), max_depth, paths=True, symmetric=symmetric).withColumnRenamed("node", "target")
     out = pairs.join(reached, ["source", "target"], "left")
     reachable = F.col("distance").isNotNull()
     return out.withColumns({"reachable": reachable, "true_hop": F.when(F.col("distance") >= 1, F.col("distance"))})

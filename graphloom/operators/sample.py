@@ -26,13 +26,30 @@ def sample_rows(df: DataFrame, seed: int, scope: str, keys: list[str], limit: in
     return df.orderBy(hash_key(seed, scope, *map(F.col, keys)), *keys).limit(limit)
 
 
+def sample_exactly(df: DataFrame, seed: int, scope: str, keys: list[str], size: int) -> DataFrame:
+    """``size`` rows without replacement; an error if there are fewer."""
+    rows = sample_rows(df, seed, scope, keys, size)
+    n = rows.count()
+    if n < size:
+        raise ValueError(f"{size} rows asked for, {n} there")
+    return rows
+
+
+def require_rows(df: DataFrame, group: list[str], k: int) -> None:
+    """Raises if a group has fewer than ``k`` rows to draw without replacement."""
+    short = df.groupBy(*group).count().filter(F.col("count") < k).limit(5).collect()
+    if short:
+        raise ValueError(f"fewer than {k} rows: " + ", ".join("/".join(str(r[g]) for g in group) for r in short))
+
+
 def sample_per_group(df: DataFrame, group: list[str], order: list[Column | str], limit: int) -> DataFrame:
     """The first ``limit`` rows of each group. Spark prunes to the limit before the shuffle."""
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col("_n") <= limit).drop("_n")
 
 
 def sample_weighted(df: DataFrame, group: list[str], keys: list[str], weight: str, k: int, seed: int, scope: str) -> DataFrame:
-    """``k`` rows of each group without replacement with chances by weight (Efraimidis-Spirakis)."""
+    """``k`` rows of each group without replacement with chances by weight (Efraimidis-Spirakis); all of smaller groups,
+    see ``require_rows``."""
     u = uniform(hash_key(seed, scope, *map(F.col, keys)))
     return sample_per_group(df.filter(F.col(weight) > 0), group, [-F.log(u) / F.col(weight), *keys], k)
 

@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
-from graphloom.operators.graph import edge_sequence
+from graphloom.operators.graph import edge_sequence, indexed_sequence, qa_subgraph
 from graphloom.operators.paths import khop_subgraph
-from graphloom.operators.sample import hash_key, sample_weighted_replace
+from graphloom.operators.sample import hash_key, sample_rows, sample_weighted_replace
 
 # Wordings of samples and prompts.
 NODE_CONTEXT = "In context graph %s, there is a node %s."
 EDGE_CONTEXT = "In context graph %s, the node %s is %s the node %s."
-RECITE = "Recite the information in the context graph %s accurately."
 EDGE_PHRASE = "the %s is %s the %s; "
 QUESTION = "Given the context graph titled %s, please answer the following question: %s Response in the following format:<answer>[answer]</answer>"
 CONTEXT = "This is the graph contains relevant context that can answer the question: %s"
@@ -22,6 +21,7 @@ SUBGRAPH_PHRASE = "the source node %s is %s the target node %s; "
 LINK_QUESTION = "what is the relation between %s and %s?"
 SOURCE_QUESTION = "which entity has the relation %s to %s?"
 TARGET_QUESTION = "Which entity has the relation %s from %s?"
+SHOTS = 8
 CONTEXT_EDGES, PROMPT_KINDS = 6, ("global", "multihop", "binary", "kshot")
 
 
@@ -54,6 +54,29 @@ def reasoning_contexts(weighted: DataFrame, n: int, seed: int, with_reference: b
     return rows.select("graph_id", "sample", kind.alias("prompt_kind"), "context")
 
 
+def shot_questions(questions: DataFrame, seed: int, n: int = SHOTS) -> DataFrame:
+    """One row: ``n`` sampled ``question`` texts of the reference data, joined by '; '."""
+    some = sample_rows(questions.select("question"), seed, "shots", ["question"], n)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(hash_key(seed, "shots", F.col("question")).alias("k"), "question"))), lambda x: x["question"])
+    return some.agg(F.array_join(ordered, "; ").alias("sample_questions"))
+
+
+def reasoning_prompts(contexts: DataFrame, shots: DataFrame) -> DataFrame:
+    """Adds ``sample_questions`` to the contexts of kind ``kshot``; ``shots`` has one row."""
+    joined = contexts.join(F.broadcast(shots))
+    return joined.withColumn("sample_questions", F.when(F.col("prompt_kind") == "kshot", F.col("sample_questions")))
+
+
+def node_contexts(drawn: DataFrame) -> DataFrame:
+    """``graph_id, draw, context`` for summaries of drawn nodes ``node``."""
+    return drawn.select("graph_id", "draw", F.col("node").alias("context"))
+
+
+def edge_contexts(drawn: DataFrame) -> DataFrame:
+    """``graph_id, draw, context`` for summaries of drawn edges ``src, rel, dst``."""
+    return drawn.select("graph_id", "draw", F.format_string(EDGE_PHRASE, "src", "rel", "dst").alias("context"))
+
+
 def subgraph_contexts(edges: DataFrame, roots: DataFrame, hops: int = 3, cap: int | None = 3, seed: int = 0) -> DataFrame:
     """``query, context`` for summaries of the neighbourhood of one root for each query."""
     sub = khop_subgraph(edges, roots, hops, cap, seed)
@@ -64,33 +87,65 @@ def subgraph_contexts(edges: DataFrame, roots: DataFrame, hops: int = 3, cap: in
     return roots.join(found, "query", "left").select("query", F.concat(head, F.coalesce("phrases", F.lit(""))).alias("context"))
 
 
+def _filled(wording: str, *values: Column) -> Column:
+    """A wording with its marks %s filled in; texts of any length are only copied."""
+    parts = wording.split("%s")
+    out = [F.lit(parts[0])]
+    for value, part in zip(values, parts[1:], strict=True):
+        out += [value, F.lit(part)]
+    return F.concat(*out)
+
+
 def eval_question(title: Column, question: Column) -> Column:
     """Prompt without context."""
-    return F.format_string(QUESTION, title.cast("string"), question)
+    return _filled(QUESTION, title.cast("string"), question)
 
 
 def with_context(context: Column, prompt: Column) -> Column:
-    return F.concat(F.format_string(CONTEXT, context), F.lit("\n"), prompt)
+    return F.concat(_filled(CONTEXT, context), F.lit("\n"), prompt)
+
+
+def graph_text(edges: DataFrame, indexed: bool = False) -> DataFrame:
+    """``graph_id, sequence`` in one of the two encodings."""
+    return indexed_sequence(edges, qa_subgraph(edges)[1]) if indexed else edge_sequence(edges)
 
 
-def graph_prompts(questions: DataFrame, edges: DataFrame) -> DataFrame:
+def graph_prompts(questions: DataFrame, edges: DataFrame, indexed: bool = False) -> DataFrame:
     """``question_id, prompt`` with the whole graph as context."""
-    rows = questions.join(edge_sequence(edges), "graph_id", "left")
+    rows = questions.join(graph_text(edges, indexed), "graph_id", "left")
     prompt = with_context(F.coalesce("sequence", F.lit("")), eval_question(F.col("graph_id"), F.col("question")))
     return rows.select("question_id", prompt.alias("prompt"))
 
 
-def subgraph_prompts(questions: DataFrame, edges: DataFrame, hops: int = 3, cap: int | None = 5, seed: int = 0) -> DataFrame:
+def subgraph_prompts(questions: DataFrame, edges: DataFrame, hops: int = 3, cap: int | None = 5, seed: int = 0, indexed: bool = False) -> DataFrame:
     """``question_id, prompt`` with each question's own neighbourhood as context, blank for questions without roots.
-    ``questions``: graph_id, question_id, question, roots (array)."""
+    ``questions``: graph_id, question_id, question, roots (array). ``indexed`` chooses the encoding by node numbers."""
     roots = questions.select(F.col("question_id").alias("query"), F.explode("roots").alias("node"))
     sub = khop_subgraph(edges, roots, hops, cap, seed).withColumnRenamed("query", "graph_id")
-    rows = questions.join(edge_sequence(sub).withColumnRenamed("graph_id", "question_id"), "question_id", "left")
+    rows = questions.join(graph_text(sub, indexed).withColumnRenamed("graph_id", "question_id"), "question_id", "left")
     none = F.coalesce(F.size("roots"), F.lit(0)) < 1
     context = F.when(none, "").otherwise(F.coalesce("sequence", F.lit("<graph></graph>")))
     return rows.select("question_id", with_context(context, eval_question(F.col("graph_id"), F.col("question"))).alias("prompt"))
 
 
+def closed_book_prompts(questions: DataFrame) -> DataFrame:
+    """``question_id, prompt`` without context."""
+    return questions.select("question_id", eval_question(F.col("graph_id"), F.col("question")).alias("prompt"))
+
+
+EVAL_MODES = ("adapter", "standard")
+
+
+def eval_prompts(mode: str, questions: DataFrame, edges: DataFrame, graph_context: bool | None = None, subgraph: bool = False, indexed: bool = False, seed: int = 0) -> DataFrame:
+    """``question_id, prompt`` of an evaluation mode: 'adapter' asks without context unless told otherwise, as the graph is
+    in the adapter; 'standard' has the graph, or each question's neighbourhood, in the prompt."""
+    if mode not in EVAL_MODES:
+        raise ValueError(f"unknown evaluation mode: {mode}")
+    if not (graph_context if graph_context is not None else mode == "standard"):
+        return closed_book_prompts(questions)
+    return subgraph_prompts(questions, edges, seed=seed, indexed=indexed) if subgraph else graph_prompts(questions, edges, indexed)
+
+
 def chat_message(system_prompts: list[str], key: Column, user: Column, assistant: Column | None = None) -> Column:
     """array of struct(role, content) with the system prompt that the key chooses."""
     pick = F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % len(system_prompts)
@@ -101,9 +156,12 @@ def chat_message(system_prompts: list[str], key: Column, user: Column, assistant
 
 
 def reference_qa(records: DataFrame) -> DataFrame:
-    """``graph_id, place, text`` of parallel arrays ``questions`` and ``answers``."""
+    """``graph_id, place, text`` of parallel arrays ``questions`` and ``answers``; of a question that is the JSON of
+    [text, [roots]] the text counts."""
     rows = records.select("graph_id", F.posexplode(F.arrays_zip("questions", "answers")).alias("place", "qa"))
-    return rows.select("graph_id", "place", X.qa_text(F.col("qa.questions"), F.col("qa.answers")).alias("text"))
+    q = F.col("qa.questions")
+    text = F.when(q.startswith("["), F.coalesce(F.get_json_object(q, "$[0]"), q)).otherwise(q)
+    return rows.select("graph_id", "place", X.qa_text(text, F.col("qa.answers")).alias("text"))
 
 
 def recurrent_samples(questions: DataFrame, end: str = "") -> DataFrame:

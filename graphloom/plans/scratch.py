@@ -8,22 +8,40 @@ lets Catalyst choose the join strategy of the next step by itself.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folders of local sessions without ``spark.checkpoint.dir``, by application; deleted at exit.
+_local: dict[str, str] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path_ = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path_.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path_, True)
+
+
 def shared_root(spark: SparkSession) -> str:
-    """Folder of ``spark.checkpoint.dir``; a temporary one where it is unset in local mode."""
+    """The application's folder below ``spark.checkpoint.dir``; a temporary one where it is unset in local mode."""
+    app = spark.sparkContext.applicationId
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+        return f"{root.rstrip('/')}/graphloom-{app}"
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    root = tempfile.mkdtemp(prefix="graphloom-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="graphloom-")
+        atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
+    return _local[app]
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of the application; results that still read them must be written before."""
+    _delete(spark, shared_root(spark))
 
 
 class Scratch:
@@ -41,7 +59,5 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, f"{self.base}/{name}")

@@ -17,16 +17,31 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(~F.col("value").rlike(r"^[\s ]*$"))
 
 
-def read_triples(spark: SparkSession, path: str, lenient: bool = False, separator: str | None = None) -> DataFrame:
+def _numbered(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """Lines that aren't blank with their number: by file name, and in a file by place."""
+    lines = spark.read.text(path)
+    if len(lines.inputFiles()) == 1:
+        return dense_index(lines.filter(~F.col("value").rlike(r"^[\s ]*$")), name)
+    at = {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_row": F.monotonically_increasing_id()}
+    lines = lines.select("value", *[c.alias(k) for k, c in at.items()]).filter(~F.col("value").rlike(r"^[\s ]*$"))
+    return dense_index(lines, name, ["_file", "_block", "_row"]).select("value", name)
+
+
+def read_triples(spark: SparkSession, path: str, lenient: bool = False, separator: str | None = None, drop_last: bool = False) -> DataFrame:
     """``idx, src, rel, dst`` of lines of three fields, numbered in line order; blank lines are skipped.
 
-    Another number of fields is an error, or dropped if ``lenient``.
+    Another number of fields is an error, or dropped if ``lenient``. ``drop_last`` leaves out the last line, as older
+    scans did with a file that doesn't end in a line break.
     """
+    rows = _numbered(spark, path, "_line")
+    if drop_last:
+        rows = rows.join(F.broadcast(rows.agg(F.max("_line").alias("_last"))), F.col("_line") < F.col("_last")).drop("_last")
     trimmed = F.regexp_replace("value", r"^[\s ]+|[\s ]+$", "")
-    fields = F.split(trimmed, separator or SPACE)
-    rows = _lines(spark, path).select("value", fields.alias("f"))
-    rows = rows.filter(F.size("f") == 3) if lenient else rows.withColumn("f", F.when(F.size("f") == 3, F.col("f")).otherwise(F.raise_error(F.concat(F.lit("not a triple: "), "value"))))
-    return dense_index(rows.select(F.col("f")[0].alias("src"), F.col("f")[1].alias("rel"), F.col("f")[2].alias("dst")), "idx")
+    rows = rows.select("value", "_line", F.split(trimmed, separator or SPACE).alias("f"))
+    bad = F.raise_error(F.concat(F.lit("not a triple: "), "value")).cast("array<string>")
+    rows = rows.filter(F.size("f") == 3) if lenient else rows.withColumn("f", F.when(F.size("f") == 3, F.col("f")).otherwise(bad))
+    triples = rows.select("_line", F.col("f")[0].alias("src"), F.col("f")[1].alias("rel"), F.col("f")[2].alias("dst"))
+    return dense_index(triples, "idx", ["_line"]).drop("_line") if lenient else triples.withColumnRenamed("_line", "idx")
 
 
 def read_entities(spark: SparkSession, path: str) -> DataFrame:
@@ -77,12 +92,36 @@ def read_scenes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_scene_questions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.SCENE_QUESTIONS).option("header", True).csv(path)
+    """Questions of a CSV file; quotes within fields are doubled, and fields may go over several lines."""
+    return spark.read.schema(schemas.SCENE_QUESTIONS).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+
+
+#: Splits of exported question sets and the names of their files.
+EXPORTED_SPLITS = {"train": "train", "val": "validation", "test": "test"}
 
 
 def read_exported(spark: SparkSession, path: str) -> DataFrame:
-    """A question set exported as Parquet, split by split."""
-    return spark.read.parquet(path)
+    """A question set exported as Parquet, one file or folder for each split: its columns with ``split``, and ``answer``
+    as an array also where it is a single text."""
+    out = None
+    for split, name in EXPORTED_SPLITS.items():
+        df = spark.read.parquet(f"{path}/{name}.parquet")
+        if df.schema["answer"].dataType.simpleString() == "string":
+            df = df.withColumn("answer", F.array("answer"))
+        df = df.withColumn("split", F.lit(split))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def exported_records(rows: DataFrame) -> DataFrame:
+    """Graph records of an exported question set: a graph for each question, its triples ``graph`` without repeats and
+    its nodes in order."""
+    edges = F.array_distinct(F.col("graph"))
+    nodes = F.array_sort(F.array_distinct(F.flatten(F.transform(edges, lambda e: F.array(e[0], e[2])))))
+    rows = rows.withColumns({"_edges": edges, "_nodes": nodes})
+    place = lambda x: F.array_position("_nodes", x) - 1
+    graph = F.struct(F.col("_nodes").alias("node_list"), F.col("_edges").alias("edge_list"), F.transform("_edges", lambda e: F.array(place(e[0]), place(e[2]))).alias("edge_index"))
+    return rows.select("split", F.col("id").cast("string").alias("id"), graph.alias("graph"), F.array("question").alias("questions"), F.array("answer").alias("answers"), F.array("q_entity").alias("q_entities"), F.array("a_entity").alias("a_entities"))
 
 
 def concept_triples(lines: DataFrame) -> DataFrame:
@@ -92,12 +131,31 @@ def concept_triples(lines: DataFrame) -> DataFrame:
     return rows.select(F.col("f")[0].alias("src"), F.col("f")[2].alias("rel"), F.col("f")[1].alias("dst"))
 
 
+def concept_splits(train: DataFrame, dev: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(triples with ``split`` train, valid or test; distinct ``entity``) of three sets of concept lines."""
+    parts = {"train": train, "valid": dev, "test": test}
+    triples = None
+    for name, lines in parts.items():
+        df = concept_triples(lines).withColumn("split", F.lit(name))
+        triples = df if triples is None else triples.unionByName(df)
+    return triples, triples.select(F.explode(F.array("src", "dst")).alias("entity")).distinct()
+
+
 def used_entries(dictionary: DataFrame, triples: DataFrame) -> DataFrame:
     """Entries of a dictionary that occur in triples."""
     ends = triples.select(F.explode(F.array("src", "dst")).alias("entity")).distinct()
     return dictionary.join(ends, "entity", "left_semi")
 
 
+def require_entries(dictionary: DataFrame, triples: DataFrame) -> DataFrame:
+    """``used_entries``; an error if an entity of the triples has no entry."""
+    used = used_entries(dictionary, triples)
+    n, there = triples.select(F.explode(F.array("src", "dst")).alias("entity")).distinct().count(), used.select("entity").distinct().count()
+    if n != there:
+        raise ValueError(f"{n} entities, {there} entries")
+    return used
+
+
 def file_digest(spark: SparkSession, path: str) -> DataFrame:
     """``path, sha256`` of files."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))

@@ -1,11 +1,14 @@
 from collections import deque
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from graphloom.operators import graph as G
 from graphloom.operators import paths as P
 from graphloom.operators import questions as Q
+from graphloom.operators import sample as S
 
 EDGES = "graph_id long, edge_id long, src string, rel string, dst string"
 
@@ -46,11 +49,13 @@ def test_path_graph(spark):
     nodes = spark.createDataFrame([(0, i, f"{n} {'has' if i % 2 == 0 else 'does not have'} disabled access") for i, n in enumerate("ABCDEF")], "graph_id long, node_id long, text string")
     e = spark.createDataFrame([(0, a, b) for a, b in [(0, 1), (1, 2), (2, 3), (0, 4), (4, 5)]], "graph_id long, src long, dst long")
     ask = lambda i, a, b, answer: (0, i, f"How many stations are between {a} and {b}?", answer, None)
-    q = spark.createDataFrame([ask("x", "A", "D", "2"), ask("y", "A", "F", "2"), ask("z", "A", "F", "one")], "graph_id long, question_id string, question string, answer string, question_type string")
+    q = spark.createDataFrame([ask("x", "A", "D", "2"), ask("y", "A", "F", "2"), ask("z", "A", "F", "one"), ask("w", "A", "A", "0")], "graph_id long, question_id string, question string, answer string, question_type string")
     r = {x.question_id: x for x in Q.path_questions(q, nodes, e).collect()}
     assert r["x"].true_hop == 3 and r["x"].shortest_path == [0, 1, 2, 3] and r["x"].reason is None
     assert r["y"].true_hop == 2 and r["y"].reason == "rejected_label/path_mismatch"
-    assert r["z"].reason == "rejected_label_not_integer"
+    assert r["z"].reason == "rejected_answer_is_not_an_integer"
+    assert r["x"].frontiers == [[0], [1, 4], [2, 5], [3]] and r["y"].frontiers is None
+    assert r["w"].reason == "rejected_source_and_target_must_be_distinct"
 
 
 def test_line_graph_hop_split(spark):
@@ -63,6 +68,37 @@ def test_line_graph_hop_split(spark):
     assert {tuple(r) for r in rows} == {tuple(r) for r in again}
 
 
+def test_hop_split_without_validation_and_outside_of_the_range(spark):
+    q = spark.createDataFrame([(0, f"{k}", 1 + k % 6) for k in range(60)], "graph_id long, question_id string, true_hop int")
+    split = Q.hop_split(q, fraction=0)
+    assert {r.split for r in split.collect()} == {"train", "test"}
+    counts = {r.name: r.n for r in Q.split_statistics(split, Q.outside_hops(q)).collect()}
+    assert counts == {"accepted_train_hop_1": 10, "accepted_train_hop_2": 10, "accepted_validation_hop_1": 0, "accepted_validation_hop_2": 0, "accepted_test_hop_3": 10, "accepted_test_hop_4": 10, "rejected_hop_outside_requested_range": 20}
+
+
+def test_directed_cycles_end(spark):
+    e = edges(spark, [("a", "r", "b"), ("b", "r", "c"), ("c", "r", "a"), ("c", "r", "d"), ("d", "r", "b")])
+    sources = spark.createDataFrame([("a",), ("d",)], "source string")
+    found = {(r.source, r.node): (r.distance, list(r.path)) for r in P.bfs(P.adjacency(e, directed=True), sources, paths=True).collect()}
+    assert found == {
+        ("a", "a"): (0, ["a"]), ("a", "b"): (1, ["a", "b"]), ("a", "c"): (2, ["a", "b", "c"]), ("a", "d"): (3, ["a", "b", "c", "d"]),
+        ("d", "d"): (0, ["d"]), ("d", "b"): (1, ["d", "b"]), ("d", "c"): (2, ["d", "b", "c"]), ("d", "a"): (3, ["d", "b", "c", "a"]),
+    }
+
+
+def test_guards(spark):
+    e = edges(spark, [("a", "r1", "b"), ("b", "r2", "c")])
+    with pytest.raises(ValueError, match="r2"):
+        G.require_known_relations(e.filter("rel = 'r1'"), e)
+    with pytest.raises(ValueError, match="r2"):
+        Q.require_known_answers(e.select(F.col("rel").alias("answer")), e.filter("rel = 'r1'").select("rel"))
+    with pytest.raises(ValueError, match="3 rows"):
+        S.sample_exactly(e, 1, "x", ["edge_id"], 3)
+    with pytest.raises(ValueError, match="fewer than 3"):
+        S.require_rows(e, ["graph_id"], 3)
+    assert S.sample_exactly(e, 1, "x", ["edge_id"], 2).count() == 2
+
+
 def test_parallel_edges_and_frontiers(spark):
     e = edges(spark, [("A", "r", "B"), ("B", "r", "C"), ("C", "r", "D"), ("A", "r", "E"), ("E", "r", "F"), ("A", "q", "B")])
     sources = spark.createDataFrame([("A",)], "source string")

@@ -1,11 +1,14 @@
 import json
+import os
+import subprocess
+import sys
 
 import pytest
 
 from graphloom.functions import text as X
 from graphloom.operators.analysis import accuracy_buckets
 from graphloom.sources import readers as R
-from graphloom.sources import schemas, sinks
+from graphloom.sources import datasets, schemas, sinks
 from graphloom.streaming import bucket_counts, read_log
 
 
@@ -63,3 +66,48 @@ def test_sinks_and_stream(spark, tmp_path):
     q.stop()
     assert {(r.recurrence_k, r.n, r.accuracy) for r in spark.table("buckets").collect()} == {(1, 2, 1.0), (2, 2, 0.0)}
     assert schemas.PREDICTION
+
+
+def test_lines_of_several_files_and_a_lost_last_line(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for k in range(3):
+        (tmp_path / "d" / f"part-{k}").write_text("".join(f"a{k}{i} r b\n" for i in range(4 + 5 * (k == 0))))
+    rows = [(r.idx, r.src) for r in R.read_triples(spark, str(tmp_path / "d")).orderBy("idx").collect()]
+    assert [s for _, s in rows] == sorted(s for _, s in rows) and [i for i, _ in rows] == list(range(17))
+    (tmp_path / "t.txt").write_text("a r b\nc r d\ne r f")
+    assert [r.src for r in R.read_triples(spark, str(tmp_path / "t.txt"), drop_last=True).orderBy("idx").collect()] == ["a", "c"]
+
+
+def test_entries(spark):
+    triples = spark.createDataFrame([(0, "a", "r", "b")], "idx long, src string, rel string, dst string")
+    entries = spark.createDataFrame([("a",), ("b",), ("c",)], "entity string")
+    assert R.require_entries(entries, triples).count() == 2
+    with pytest.raises(ValueError, match="2 entities, 1 entries"):
+        R.require_entries(entries.filter("entity <> 'b'"), triples)
+
+
+def test_unknown_names(spark):
+    with pytest.raises(ValueError, match="unknown data set"):
+        datasets.load_dataset(spark, "other", "x")
+    with pytest.raises(ValueError, match="unknown source"):
+        R.load(spark, "other", "x")
+
+
+def test_graph_record(spark):
+    nodes = spark.createDataFrame([(1, "b", "B"), (0, "a", "A")], "node_id long, entity string, text string")
+    edges = spark.createDataFrame([(0, 0, "A", "r", 1, "B")], "idx long, src_id long, src string, rel string, dst_id long, dst string")
+    r = datasets.graph_record("t", nodes, edges).first()
+    assert (r.title, r.graph.node_list, r.graph.edge_list, r.graph.edge_index) == ("t", ["A", "B"], [["A", "r", "B"]], [[0, 1]])
+
+
+def test_tables_without_a_shared_folder():
+    """In a process of its own, as its session has no spark.checkpoint.dir."""
+    code = (
+        "from pyspark.sql import SparkSession; from graphloom.plans import Scratch, clear\n"
+        "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "assert s.conf.get('spark.checkpoint.dir', None) is None\n"
+        "assert Scratch(s, 'x').save(s.range(3), 'a').count() == 3; clear(s); print('fine')"
+    )
+    env = dict(os.environ, SPARK_CONF_DIR="/nonexistent")
+    out = subprocess.run([sys.executable, "-c", code], env=env, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True, timeout=120)
+    assert out.stdout.strip() == "fine", out.stderr[-2000:]
