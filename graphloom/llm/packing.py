@@ -11,9 +11,13 @@
    when a new bin is needed and all are open, the fullest closes first. Groups
    have fewer pieces than bins, so that only repeated rows reach the limit.
 
-A group's state is the open bins, whatever its number of pieces. Null and empty
-texts give one piece with the closing id. Repeated rows are packed as often as
-they occur. An empty table packs to an empty table.
+A group's state is the open bins, whatever its number of pieces. Up to
+``PARTITIONS`` tasks pack one group after the other, so that their number doesn't
+grow with the corpus. Null and empty texts give one piece with the closing id;
+texts of any length are tokenized whole. Repeated rows are packed as often as
+they occur; pieces of equal length are in order of id, piece and checksum. An
+empty table packs to an empty table. Extra columns aren't read, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -38,6 +42,7 @@ END_ID = 2
 OPEN_BINS = 4096
 #: Fewer than ``OPEN_BINS`` by more than hashing varies, so that no bin closes while a shorter piece is to come.
 PIECES_PER_GROUP = 3_700
+PARTITIONS = 8_000
 
 #: Without runs of white space the look-ahead of the published pattern changes nothing.
 _SIMPLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
@@ -172,7 +177,7 @@ def tokenize_pieces(docs: DataFrame, size: int = SEQUENCE, vocabulary: str | Non
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE_SCHEMA)
 
 
-def pack_pieces(pieces: DataFrame, size: int = SEQUENCE, bins: int = OPEN_BINS, per_group: int = PIECES_PER_GROUP) -> DataFrame:
+def pack_pieces(pieces: DataFrame, size: int = SEQUENCE, bins: int = OPEN_BINS, per_group: int = PIECES_PER_GROUP, partitions: int = PARTITIONS) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to a written table of pieces.
 
     A full piece is a sequence of its own and isn't shuffled; its id is negative.
@@ -182,17 +187,25 @@ def pack_pieces(pieces: DataFrame, size: int = SEQUENCE, bins: int = OPEN_BINS,
     names = [f.name for f in pieces.schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fit = BestFit(size, bins)
+        fit, group = BestFit(size, bins), None
         first = TaskContext.get().partitionId() << 40
         for b in batches:
-            at = [fit.place(n) for n in b.column("length").to_pylist()]
-            placed = [pa.array((first + x for x, _ in at), pa.int64()), pa.array((y for _, y in at), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *placed], [*b.schema.names, "sequence_id", "offset"])
+            sequences, offsets = [], []
+            for g, n in zip(b.column("_group").to_pylist(), b.column("length").to_pylist(), strict=True):
+                if g != group:
+                    first += fit.next
+                    fit, group = BestFit(size, bins), g
+                x, y = fit.place(n)
+                sequences.append(first + x)
+                offsets.append(y)
+            columns = [*(b.column(n) for n in names), pa.array(sequences, pa.int64()), pa.array(offsets, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     packed = (
-        short.repartition(groups, "doc_id", "piece", "ids_crc32")
-        .sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
+        short.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+        .repartition(min(groups, partitions), "_group")
+        .sortWithinPartitions("_group", F.desc("length"), "doc_id", "piece", "ids_crc32")
         .mapInArrow(run, schema)
     )
     whole = pieces.filter(F.col("length") >= size).select(

@@ -17,11 +17,14 @@ of one anchor are a segment, about 19 bytes apart. Then, by anchor:
    and on its right instead: a window around it holds the one or the other.
 
 The spans are joined with the texts once, at the end. No step holds more than a
-batch, one anchor's rows, or a shard's text in a file; a passage in a third of
-all documents sends a row for each batch it is in. Segments are compared by
+batch, the rows of ``HOT_SEGMENTS`` segments of an anchor, or a shard's text in a
+file and its tables in memory; a task sorts one shard after the other, so that
+the number of tasks has a limit. A passage in a third of all documents sends a
+row for each batch it is in. Segments are compared by
 64-bit hashes, asked windows by their bytes. A null text is an empty one. Rows
 without id neither remove nor lose anything; rows of equal id don't match each
-other.
+other. An empty table gives an empty result; a text of any length is posted in
+pieces. Extra columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -49,6 +52,7 @@ PIECE_BYTES = 1 << 22
 CHUNK_BYTES = 1 << 23
 #: Asked segments of a shard, about 4 MB of text.
 SHARD_ROWS = 50_000
+SHARD_TASKS = 8_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _PLACE = np.uint64((1 << 24) - 1)
 #: Anchors only bring segments together; what they don't tell apart their segments' hashes do.
@@ -272,7 +276,7 @@ class Shard:
 
 def asked_repeats(asked: DataFrame, docs: DataFrame) -> DataFrame:
     """``doc, tag, start, length`` of repeats within the segments that ask for their bytes."""
-    shards = max(1, -(-asked.count() // SHARD_ROWS))
+    shards = max(1, min(SHARD_TASKS, -(-asked.count() // SHARD_ROWS)))
     asked = asked.select("kind", "anchor", "doc", _field("tag"), _field("start"), _field("length"), _field("offset"))
     texts = docs.select(F.col("doc_id").alias("doc"), "tag", F.col("text").cast("binary").alias("data"))
     data = F.substring(F.col("data"), (F.col("start") + 1).cast("int"), F.col("length").cast("int"))
@@ -283,17 +287,22 @@ def asked_repeats(asked: DataFrame, docs: DataFrame) -> DataFrame:
     right = F.when(has_right, F.xxhash64(F.lit(1), "anchor", F.substring("data", offset + GRAM + 1, F.lit(SIDE))))
     keys = F.when(F.col("kind") == 1, F.array("anchor")).otherwise(F.array_compact(F.array(left, right)))
     rows = rows.select(F.explode(keys).alias("key"), "doc", "tag", "start", "data")
+    names = ["doc", "tag", "start", "length"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard()
+        shard, rows = Shard(), 0
         for cols in _by_runs(batches, "key", ["key", "doc", "tag", "start", "data"]):
             key = cols[0].to_numpy()
             same = key[1:] == key[:-1]
             met = np.append(False, same) | np.append(same, False)
             if met.any():
+                if rows + int(met.sum()) > 2 * SHARD_ROWS and rows:  # keys are whole, so a shard can end here
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in shard.repeats()], names)
+                    shard, rows = Shard(), 0
                 doc, tag_, start = (c.to_numpy()[met] for c in cols[1:4])
                 shard.add(doc, tag_, start, cols[4].filter(pa.array(met)))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in shard.repeats()], ["doc", "tag", "start", "length"])
+                rows += int(met.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in shard.repeats()], names)
 
     return rows.repartition(shards, "key").sortWithinPartitions("key", "doc").mapInArrow(run, "doc long, tag long, start long, length long")
 

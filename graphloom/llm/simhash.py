@@ -8,7 +8,10 @@ that reaches 5 shared bytes meets in some list. In a list the shared positional
 bytes of a pair are tallied, pairs below 5 dropped and the others verified.
 
 A list longer than ``LONG_LIST`` is split: its pairs share 2 more of the 5 other
-bytes, so its members are posted anew under the 10 pairs of these. Within a list
+bytes, so its members are posted anew under the 10 pairs of these. Members of
+such a list differ in three bytes only; where they are many, each looks up the
+2,324 neighbours of its three bytes in a table, so that a list of any length (it
+has at most 2^24 members) takes time in proportion to it. Within a list
 the links are contracted to a spanning forest before they leave the task; no
 link is lost and what is sent grows with the fingerprints, not with their pairs.
 Components of the forest follow by alternating large-star and small-star steps
@@ -17,7 +20,9 @@ over written tables.
 Words are as in ``textstats``; a text of fewer than 3 words is one shingle, a
 null or empty text has fingerprint 0 and links like any other. Repeated rows
 share their fingerprint. Null ids never become a component's id unless a
-component has no other.
+component has no other. Texts of any length are read whole, in pieces; a bit with
+as many ones as zeros is 0. An empty table gives an empty result. Extra columns
+aren't read, whatever their names; ``drop_near_duplicates`` passes them through.
 """
 
 from __future__ import annotations
@@ -39,6 +44,8 @@ SHINGLE = 3
 MAX_BITS = 3
 MIN_SHARED = 8 - MAX_BITS
 LONG_LIST = 2048
+#: Members of a list from which on looking up neighbours is less work than comparing pairs.
+MANY = 4700
 TRIPLES = [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
 _CHUNK = 1 << 16
 
@@ -105,8 +112,52 @@ def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return found
 
 
+def table_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Spanning forest of the links among fingerprints that differ in three bytes at most, None if they differ in more."""
+    n = len(fps)
+    some = np.bitwise_or.reduce(fps ^ fps[0])
+    places = [i for i in range(8) if int(some) >> 8 * i & 255]
+    if len(places) > 3:
+        return None
+    code = np.zeros(n, np.int64)
+    for i in places:
+        code = code << 8 | (fps >> np.uint64(8 * i) & np.uint64(255)).astype(np.int64)
+    size = 1 << 8 * len(places)
+    table = np.full(size, -1, np.int32)
+    table[code] = np.arange(n, dtype=np.int32)
+    masks = np.arange(1, size)
+    label, starts, ends, pending = np.arange(n), [], [], 0
+    at = np.arange(n)
+    for mask in masks[np.bitwise_count(masks) <= MAX_BITS].tolist():
+        other = table[code ^ mask]
+        hit = other > at
+        starts.append(at[hit])
+        ends.append(other[hit].astype(np.int64))
+        pending += len(starts[-1])
+        if pending > 1 << 20:
+            label = contract(n, np.concatenate([*starts, at]), np.concatenate([*ends, label]))
+            starts, ends, pending = [], [], 0
+    label = contract(n, np.concatenate([*starts, at]), np.concatenate([*ends, label]))
+    leaf = label != at
+    return fps[leaf], fps[label[leaf]]
+
+
 def list_links(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of the links within runs of equal keys, as (fingerprint, root)."""
+    starts_of = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
+    rest, found = np.ones(len(keys), bool), []
+    for k in np.flatnonzero(np.diff(starts_of) > MANY).tolist():
+        run = slice(int(starts_of[k]), int(starts_of[k + 1]))
+        links = table_links(np.unique(fps[run]))
+        if links is not None:
+            found.append(links)
+            rest[run] = False
+    found.append(_pair_links(keys[rest], fps[rest]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _pair_links(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``list_links`` by comparing all pairs of a run."""
     n, step = len(keys), 1
     label = np.arange(n)
     at = np.arange(n)

@@ -136,3 +136,73 @@ def test_the_key_has_no_default(spark, make_docs):
     docs = make_docs(["on 2024-02-29", "on 2024-02-29"], ids=[1, 1])
     one, two = ([r.text for r in pii.pii_digest(docs, k).collect()] for k in "ab")
     assert len(set(one)) == 1 and one != two
+
+
+def slow_digits(kind, digits):
+    u = len(digits) // 2
+    x, y = slow_feistel(f"{kind}{len(digits)}", int(digits[:u]), int(digits[u:]), 10**u, 10 ** (len(digits) - u))
+    return f"{x:0{u}}{y:0{len(digits) - u}}"
+
+
+def refill(shape, digits):
+    rest = iter(digits)
+    return "".join(next(rest) if c.isdigit() else c for c in shape)
+
+
+def slow_card(m):
+    pieces = re.split("(?=[ -])", m)
+    for runs in ([(0, len(pieces))], [(i, k) for i in range(len(pieces)) for k in range(len(pieces), i, -1)]):
+        for i, k in runs:
+            part = "".join(pieces[i:k])
+            digits = re.sub("[^0-9]", "", part)
+            if 13 <= len(digits) <= 19 and luhn(digits):
+                body = slow_digits("card", digits[:-1])
+                return "".join(pieces[:i]) + refill(part, body + next(c for c in "0123456789" if luhn(body + c))) + "".join(pieces[k:])
+    return m
+
+
+def slow_phone(m):
+    d = re.sub("[^0-9]", "", m)
+    if re.fullmatch("1?[2-9][0-9]{2}[2-9][0-9]{6}", d):
+        x, y = slow_feistel("nanp", int(d[-10:-7]) - 200, int(d[-7:]) - 2_000_000, 800, 8_000_000)
+        return refill(m, d[:-10] + str(x + 200) + str(y + 2_000_000))
+    if not 8 <= len(d) <= 15:
+        return m
+    code = re.match(r"\+[0-9]{1,3}(?=[^0-9])", m)
+    keep = len(code[0]) - 1 if code else 0
+    return refill(m, d[:keep] + slow_digits("phone", d[keep:]))
+
+
+def slow_replace(m):
+    m = m[0]
+    is_ = lambda p: re.search(f"^(?:{p})$", m, re.A)
+    if "@" in m:
+        return f"user-{hashlib.sha256((KEY + '|email|' + m.lower()).encode()).hexdigest()[:16]}@mail.invalid"
+    if is_(pii.IP):
+        o = [int(x) for x in m.split(".")]
+        x, y = slow_feistel("ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+        return f"{x // 256}.{x % 256}.{y // 256}.{y % 256}" if max(o) < 256 else m
+    if is_(pii.DATE):
+        try:
+            return slow_date(m) if "." not in m else datetime.datetime.strptime(slow_date("-".join(m.split(".")[::-1])), "%Y-%m-%d").strftime("%d.%m.%Y")
+        except (ValueError, UnboundLocalError, IndexError):
+            return m
+    if is_(pii.SSN):
+        return refill(m, slow_digits("ssn", re.sub("-", "", m)))
+    return slow_phone(m) if is_(pii.PHONE) else slow_card(m)
+
+
+def slow_pii(text):
+    return None if text is None else re.sub(pii.ANY, slow_replace, text, flags=re.A)
+
+
+def test_documents_against_brute_force(spark):
+    from graphloom.sources import table
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = {r.doc_id: r for r in pii.pii_digest(docs, KEY).collect()}
+    assert {i: r.text for i, r in rows.items()} == {i: slow_pii(t) for i, t in texts.items()}
+    assert all(sum(getattr(r, f"n_{k}") for r in rows.values()) for k in ("email", "phone"))
+    twice = pii.pii_digest(docs.unionAll(docs), KEY).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("text").alias("k")).filter("n <> 2 or k > 1")
+    assert twice.isEmpty()

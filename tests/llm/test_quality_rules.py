@@ -81,17 +81,12 @@ def slow_step(x, steady, guard, state):
     return min(new, state, key=lambda s: s[0]), min(new[0], state[0]) > state[0] - 1e-3
 
 
-def test_verdicts_against_brute_force(spark):
-    docs = table(spark, SF, "documents").select("doc_id", "text", "lang", F.when(F.col("doc_id") % 7 > 0, F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b")).alias("source"))
-    rows = {r.doc_id: r for r in Q.quality_digest(docs).collect()}
-    given = sorted((r.doc_id, r.text, r.lang, r.source) for r in docs.collect() if r.source) + sorted((r.doc_id, r.text, r.lang, r.source) for r in docs.collect() if not r.source)
+def slow_verdicts(given):
+    """id -> (distance, kept) of (id, text, lang, source), every group in memory."""
     stats = {i: text_stats(t, styles) for i, t, _, _ in given}
-    for i, t, _, _ in given:
-        r, counts = rows[i], stats[i][0]
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts
-        assert r.base_failed == (counts[0] < 50 or 100 * counts[4] > 50 * counts[0])
-    good = {json.dumps([lang, source, stats[i]]): (lang, source, np.array(stats[i][1]), stats[i][0][0] / (stats[i][0][0] + 400)) for i, _, lang, source in given if not rows[i].base_failed}
-    distinct = {json.dumps([a, b, v.tolist(), s]): (a, b, v, s) for a, b, v, s in good.values()}.values()
+    failed = {i: c[0] < 50 or 100 * c[4] > 50 * c[0] for i, (c, _) in stats.items()}
+    distinct = {json.dumps([a, b, *stats[i]]): (a, b, stats[i][1], stats[i][0][0]) for i, _, a, b in given if not failed[i]}
+    distinct = {json.dumps([a, b, v, n]): (a, b, np.array(v), n / (n + 400)) for a, b, v, n in distinct.values()}.values()
     vectors = np.array([v for _, _, v, _ in distinct])
     guard = 1e-6 * np.maximum(vectors.var(0), 1e-6)
 
@@ -101,6 +96,7 @@ def test_verdicts_against_brute_force(spark):
 
     all_ = fit(lambda a, b: True)
     langs = {x: fit(lambda a, b, x=x: a == x) for x in {a for a, *_ in distinct}}
+    out = {i: (None, False) for i, *_ in given}
     for lang, source in {(a, b) for a, b, *_ in distinct}:
         own = fit(lambda a, b, k=(lang, source): (a, b) == k)
         location, scatter = all_[1:]
@@ -110,8 +106,20 @@ def test_verdicts_against_brute_force(spark):
             if (a, b) == (lang, source):
                 n = stats[i][0][0]
                 d = distances(np.array([stats[i][1]]), n / (n + 400), location, scatter)[0]
-                assert rows[i].distance == pytest.approx(d, rel=1e-4, abs=1e-9)
-                assert rows[i].kept == (not rows[i].base_failed and d <= Q.CUTOFF)
+                out[i] = d, not failed[i] and d <= Q.CUTOFF
+    return out
+
+
+def test_verdicts_against_brute_force(spark):
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang", F.when(F.col("doc_id") % 7 > 0, F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b")).alias("source"))
+    rows = {r.doc_id: r for r in Q.quality_digest(docs).collect()}
+    given = [tuple(r) for r in docs.collect()]
+    verdicts = slow_verdicts(given)
+    for i, t, _, _ in given:
+        r, counts = rows[i], text_stats(t, styles)[0]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts
+        assert r.base_failed == (counts[0] < 50 or 100 * counts[4] > 50 * counts[0])
+        assert r.distance == pytest.approx(verdicts[i][0], rel=1e-4, abs=1e-9) and r.kept == verdicts[i][1]
 
 
 def test_labelled_documents(spark):

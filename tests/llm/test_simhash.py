@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import xxhash
@@ -80,3 +81,28 @@ def test_stage_keeps_components_of_null_and_repeated_ids(spark, make_docs):
     a, b = different[:2]
     out = S.drop_near_duplicates(make_docs([a, b, b, b], ids=[1, 1, 7, None]))
     assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted([(1, a), (1, b)])
+
+
+def test_many_fingerprints_that_differ_in_three_bytes():
+    """Looked up in a table as by pairs; a million take seconds, where pairs would take hours."""
+    rng = np.random.default_rng(2)
+    base = np.uint64(0x0123456789ABCDEF)
+    make = lambda n: np.unique(base ^ (rng.integers(0, 1 << 24, n).astype(np.uint64) << np.uint64(16)))
+    parts = lambda fps, links: S.contract(len(fps), *(np.searchsorted(fps, x) for x in links))
+    fps = make(3000)
+    assert np.array_equal(parts(fps, S.table_links(fps)), parts(fps, S._pair_links(np.zeros(len(fps)), fps)))
+    many = make(400_000)
+    keys = np.zeros(len(many))
+    began = time.monotonic()
+    u, v = S.list_links(keys, many)
+    assert time.monotonic() - began < 120 and len(u) > 100_000 and len(u) == len(v)
+    assert S.table_links(np.array([1, 1 << 20, 1 << 30, 1 << 40], np.uint64)) is None
+
+
+def test_text_of_more_shingles_than_a_piece():
+    words = [f"w{i % 70_001}" for i in range(150_000)]
+    bits = np.zeros(64, int)
+    for i in range(len(words) - 2):
+        h = xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42)
+        bits += [h >> k & 1 for k in range(64)]
+    assert S.fingerprint(" ".join(words)) == sum(1 << k for k in range(64) if 2 * bits[k] > len(words) - 2)
