@@ -76,10 +76,10 @@ def candidate_relations(spark: SparkSession, sf: str) -> DataFrame:
     return Q.candidates(q, _vocab(spark, sf), 4, SEED).withColumn("candidates", F.array_join("candidates", "|"))
 
 
-@query(f"""WITH {KG_SMALL}, {KG_MULTI}, {VOCAB}, q AS (SELECT src || '>' || dst AS question_id, rel AS answer FROM kg_small WHERE rel = 'part_of')
+@query(f"""WITH {KG_SMALL}, {KG_MULTI}, {VOCAB}, q AS (SELECT src || '>' || dst AS question_id, rel AS answer FROM kg_small)
 SELECT q.question_id, string_agg(rel, '|' ORDER BY md5('2026:cand-order:' || question_id || ':' || rel), rel) AS candidates FROM q, vocab GROUP BY q.question_id""")
 def all_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    q = kg_small(spark, sf).filter("rel = 'part_of'").select(F.concat_ws(">", "src", "dst").alias("question_id"), F.col("rel").alias("answer"))
+    q = kg_small(spark, sf).select(F.concat_ws(">", "src", "dst").alias("question_id"), F.col("rel").alias("answer"))
     vocab = _vocab(spark, sf)
     return Q.candidates(q, vocab, max(2, vocab.count()), SEED).select("question_id", F.array_join("candidates", "|").alias("candidates"))
 

@@ -90,11 +90,11 @@ def evaluate_metric(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT vec_id AS id, label, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings), u AS (SELECT id, label, [x / sqrt(list_inner_product(v, v)) FOR x IN v] AS v FROM e),
-b AS (SELECT s.id, max(list_inner_product(s.v, t.v)) AS best FROM u s, u t WHERE s.label = 0 AND t.label = 1 GROUP BY s.id)
+b AS (SELECT s.id, max(list_inner_product(s.v, t.v)) AS best FROM u s, u t WHERE s.label % 2 = 0 AND t.label % 2 = 1 GROUP BY s.id)
 SELECT id, round(best, 6) AS best, best > 0.8 AS hit FROM b""")
 def retrieval_score(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", M.l2_normalized(F.col("embedding")).alias("vector"))
-    found = M.retrieval_score(e.filter("label = 0").select("id", "vector"), e.filter("label = 1").select("id", "vector"))
+    found = M.retrieval_score(e.filter("label % 2 = 0").select("id", "vector"), e.filter("label % 2 = 1").select("id", "vector"))
     return found.select("id", F.round("best", 6).alias("best"), "hit")
 
 
@@ -175,10 +175,10 @@ def prefix_limit(spark: SparkSession, sf: str) -> DataFrame:
     return O.first_rows(table(spark, sf, "events").select("event_id"), 100, "event_id")
 
 
-@query("SELECT event_id, user_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events d WHERE d.user_id = e.user_id AND d.event_type = 'error')")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def resume_remaining(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select("event_id", "user_id", "event_type")
-    return O.remaining(e, e.filter("event_type = 'error'").select("user_id").distinct(), ["user_id"]).drop("event_type")
+    todo = table(spark, sf, "customer").select("c_custkey", "c_name")
+    return O.remaining(todo, table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("""WITH g AS (SELECT c_custkey AS graph_id, coalesce(lead(c_custkey) OVER (ORDER BY c_custkey), first_value(c_custkey) OVER (ORDER BY c_custkey)) AS nxt FROM customer)

@@ -74,14 +74,14 @@ def qa_pairs(spark: SparkSession, sf: str) -> DataFrame:
     ask = c.filter(F.col("role") == "user").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
     say = c.filter(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("prediction"))
     pairs = ask.join(say, ["conv_id", "turn"])
-    head = F.substring("prediction", 1, 40)
-    targets = F.when(F.col("turn") % 3 == 0, F.array("question")).when(F.col("turn") % 3 == 1, F.array("question", head)).otherwise(F.array("prediction"))
+    both = F.concat_ws(" ", "prediction", "question")
+    targets = F.when(F.col("turn") % 3 == 0, F.array("question")).when(F.col("turn") % 3 == 1, F.array("question", both)).otherwise(F.array("prediction"))
     return pairs.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("conv_id").alias("graph"), F.col("turn").alias("pos"), "question", "prediction", targets.alias("targets"))
 
 
 QA_PAIRS = """qa_pairs AS (
   SELECT a.conv_id || '-' || b.turn AS id, a.conv_id AS graph, b.turn AS pos, a.text AS question, b.text AS prediction,
-         CASE b.turn % 3 WHEN 0 THEN [a.text] WHEN 1 THEN [a.text, substr(b.text, 1, 40)] ELSE [b.text] END AS targets
+         CASE b.turn % 3 WHEN 0 THEN [a.text] WHEN 1 THEN [a.text, concat_ws(' ', b.text, a.text)] ELSE [b.text] END AS targets
   FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant')"""
 
 #: An article stands between characters that are neither letters nor digits; neighbours share one, hence two passes.
@@ -105,8 +105,8 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
     """Model responses ``item_id, response`` in the formats that the parsers read."""
     b = table(spark, sf, "benchmark").filter(F.col("text").isNotNull())
     t = F.regexp_replace("text", r"[\n\r]+", " ")
-    block = lambda n: F.concat(F.lit(f"Type: {n}\nQuestion: what about "), F.substring(t, 1, 10 + n), F.lit("\nAnswer: it: "), F.substring(t, 5, 12))
-    pair = F.concat(F.lit("Question: why "), F.substring(t, 1, 15), F.lit("\n\nAnswer: <answer>"), F.substring(t, 1, 8), F.lit("</answer> <Answer> x\ny </Answer>"))
+    block = lambda n: F.concat(F.lit(f"Type: {n}\nQuestion: what about "), t, F.lit("\nAnswer: it: "), t)
+    pair = F.concat(F.lit("Question: why "), t, F.lit("\n\nAnswer: <answer>"), t, F.lit("</answer> <Answer> x\ny </Answer>"))
     m = F.col("item_id") % 4
     text = F.when(m == 0, F.concat(block(1), F.lit("<|>"), block(2))).when(m == 1, F.concat(block(1), F.lit("\n\n"), block(3), F.lit("\n\nrest"))).when(m == 2, pair)
     return b.select("item_id", text.alias("_r"), t.alias("_t")).select("item_id", F.coalesce("_r", F.concat(F.lit("First. Summary: Summary: "), "_t")).alias("response"))
@@ -114,10 +114,10 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
 
 RESPONSES = r"""responses AS (
   SELECT item_id, CASE item_id % 4
-    WHEN 0 THEN 'Type: 1' || chr(10) || 'Question: what about ' || substr(t, 1, 11) || chr(10) || 'Answer: it: ' || substr(t, 5, 12) || '<|>' ||
-                'Type: 2' || chr(10) || 'Question: what about ' || substr(t, 1, 12) || chr(10) || 'Answer: it: ' || substr(t, 5, 12)
-    WHEN 1 THEN 'Type: 1' || chr(10) || 'Question: what about ' || substr(t, 1, 11) || chr(10) || 'Answer: it: ' || substr(t, 5, 12) || chr(10) || chr(10) ||
-                'Type: 3' || chr(10) || 'Question: what about ' || substr(t, 1, 13) || chr(10) || 'Answer: it: ' || substr(t, 5, 12) || chr(10) || chr(10) || 'rest'
-    WHEN 2 THEN 'Question: why ' || substr(t, 1, 15) || chr(10) || chr(10) || 'Answer: <answer>' || substr(t, 1, 8) || '</answer> <Answer> x' || chr(10) || 'y </Answer>'
+    WHEN 0 THEN 'Type: 1' || chr(10) || 'Question: what about ' || t || chr(10) || 'Answer: it: ' || t || '<|>' ||
+                'Type: 2' || chr(10) || 'Question: what about ' || t || chr(10) || 'Answer: it: ' || t
+    WHEN 1 THEN 'Type: 1' || chr(10) || 'Question: what about ' || t || chr(10) || 'Answer: it: ' || t || chr(10) || chr(10) ||
+                'Type: 3' || chr(10) || 'Question: what about ' || t || chr(10) || 'Answer: it: ' || t || chr(10) || chr(10) || 'rest'
+    WHEN 2 THEN 'Question: why ' || t || chr(10) || chr(10) || 'Answer: <answer>' || t || '</answer> <Answer> x' || chr(10) || 'y </Answer>'
     ELSE 'First. Summary: Summary: ' || t END AS response
   FROM (SELECT item_id, regexp_replace(text, '[\n\r]+', ' ', 'g') AS t FROM benchmark WHERE text IS NOT NULL))"""
