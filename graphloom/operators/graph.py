@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.operators.sample import hash_key
-from graphloom.plans import dense_index
+from graphloom.plans import dense_index, dense_index_by
 
 UNKNOWN = "Unknown"
 
@@ -21,9 +21,9 @@ def clean_edges(edges: DataFrame) -> DataFrame:
 
 def clean_edges_compat(edges: DataFrame) -> DataFrame:
     """As ``clean_edges``, but the k-th kept edge has the label of the graph's k-th edge (shifted labels)."""
-    number = lambda: F.row_number().over(W.partitionBy("graph_id").orderBy("edge_id", "rel"))
-    labels = edges.select("graph_id", number().alias("k"), "rel")
-    kept = clean_edges(edges).withColumn("k", number()).drop("rel")
+    number = lambda df: dense_index_by(df, ["graph_id"], "k", ["edge_id", "rel"])
+    labels = number(edges.select("graph_id", "edge_id", "rel")).drop("edge_id")
+    kept = number(clean_edges(edges)).drop("rel")
     return kept.join(labels, ["graph_id", "k"]).select("graph_id", "edge_id", "src", "rel", "dst")
 
 
@@ -68,8 +68,7 @@ def qa_subgraph(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct triples of each graph, and its nodes numbered in order."""
     triples = edges.select("graph_id", "src", "rel", "dst").distinct()
     ends = triples.select("graph_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
-    number = F.row_number().over(W.partitionBy("graph_id").orderBy("node")) - 1
-    return triples, ends.withColumn("node_id", number.cast("long"))
+    return triples, dense_index_by(ends, ["graph_id"], "node_id", ["node"])
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -107,9 +106,9 @@ def upsample_counts(weighted: DataFrame, group: list[str], clip: int = 3) -> Dat
 def shuffle_graph(edges: DataFrame, seed: int) -> DataFrame:
     """Nodes and edges of each graph renumbered in hash order: ``graph_id, edge_id, new_edge_id, new_src, new_dst``."""
     ends = edges.select("graph_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
-    number = lambda scope, key: (F.row_number().over(W.partitionBy("graph_id").orderBy(hash_key(seed, scope, F.col("graph_id"), F.col(key)), key)) - 1).cast("long")
-    new = ends.withColumn("new", number("node", "node"))
-    rows = edges.withColumn("new_edge_id", number("edge", "edge_id"))
+    number = lambda df, name, scope, key: dense_index_by(df, ["graph_id"], name, [hash_key(seed, scope, F.col("graph_id"), F.col(key)), key])
+    new = number(ends, "new", "node", "node")
+    rows = number(edges, "new_edge_id", "edge", "edge_id")
     for end in ("src", "dst"):
         rows = rows.join(new.select("graph_id", F.col("node").alias(end), F.col("new").alias(f"new_{end}")), ["graph_id", end])
     return rows.select("graph_id", "edge_id", "new_edge_id", "new_src", "new_dst")

@@ -1,6 +1,6 @@
 """Plan helpers shared by all operators."""
 
-from .ranking import dense_index, sum_before
+from .ranking import dense_index, dense_index_by, sum_before
 from .scratch import Scratch, clear
 
-__all__ = ["Scratch", "clear", "dense_index", "sum_before"]
+__all__ = ["Scratch", "clear", "dense_index", "dense_index_by", "sum_before"]

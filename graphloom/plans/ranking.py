@@ -40,3 +40,20 @@ def sum_before(df: DataFrame, value: str, name: str, order: list[Column | str])
     rows = _with_offsets(_placed(df, order), F.sum(value))
     inside = F.sum(value).over(W.partitionBy("_part").orderBy("_at")) - F.col(value)
     return rows.withColumn(name, (F.col("_before") + inside)).drop("_part", "_at", "_before")
+
+
+def dense_index_by(df: DataFrame, group: list[str], name: str, order: list[Column | str]) -> DataFrame:
+    """Adds ``name``: 0, 1, ... within each group in the order of ``order``, which must tell its rows apart.
+
+    A group of any size is spread over range partitions. The joined table has a row for each group and partition that it
+    is in, so with one large group it is tiny and Spark broadcasts it.
+    """
+    rows = _placed(df, [*group, *order])
+    parts = rows.groupBy(*group, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*group).orderBy("_part")) - F.col("_n")
+    parts = parts.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(group)], F.col("_part").alias("_p"), "_first", before.alias("_before"))
+    match = rows["_part"] == parts["_p"]
+    for k, g in enumerate(group):
+        match = match & rows[g].eqNullSafe(parts[f"_g{k}"])
+    number = (F.col("_before") + F.col("_at") - F.col("_first")).cast("long")
+    return rows.join(parts, match).select(*df.columns, number.alias(name))

@@ -9,6 +9,7 @@ from graphloom.operators import graph as G
 from graphloom.operators import paths as P
 from graphloom.operators import questions as Q
 from graphloom.operators import sample as S
+from graphloom.plans import dense_index_by
 
 EDGES = "graph_id long, edge_id long, src string, rel string, dst string"
 
@@ -130,3 +131,13 @@ def test_paths_equal_a_sorted_breadth_first_search(spark, pairs):
     e = edges(spark, [(a, "r", b) for a, b in pairs])
     found = P.bfs(P.adjacency(e), spark.createDataFrame([("a",)], "source string"), paths=True).collect()
     assert {r.node: list(r.path) for r in found} == least_paths(pairs, "a")
+
+
+def test_numbers_within_groups(spark):
+    rows = [(None if g == 2 else g, (7 * i) % 101, "x") for g in range(4) for i in range(101 if g else 3)]
+    df = spark.createDataFrame(rows, "g long, v long, name string").repartition(7)
+    got = dense_index_by(df, ["g"], "n", ["v"]).collect()
+    assert len(got) == len(rows)
+    for g in (0, 1, None, 3):
+        mine = sorted((r.n, r.v) for r in got if r.g == g)
+        assert [n for n, _ in mine] == list(range(len(mine))) and [v for _, v in mine] == sorted(v for _, v in mine)
