@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.plans import dense_index
+from graphloom.plans import dense_index, running_sum_by
 
 
 def hash_key(seed: int, scope: str, *parts: Column) -> Column:
@@ -59,9 +59,7 @@ def sample_weighted_replace(df: DataFrame, group: list[str], keys: list[str], we
 
     Adds ``draw`` from 0. The draws of a group meet its rows in an equi-join with a range condition.
     """
-    w = W.partitionBy(*group).orderBy(*keys)
-    upto = F.sum(weight).over(w)
-    rows = df.withColumns({"_to": upto, "_from": upto - F.col(weight), "_all": F.sum(weight).over(W.partitionBy(*group))})
+    rows = running_sum_by(df, weight, group, keys, "_to", "_all").withColumn("_from", F.col("_to") - F.col(weight))
     draws = df.select(*group).distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     draws = draws.withColumn("_u", 1 - uniform(hash_key(seed, scope, *map(F.col, group), F.col("draw"))))
     at = F.col("_u") * F.col("_all")

@@ -57,3 +57,19 @@ def dense_index_by(df: DataFrame, group: list[str], name: str, order: list[Colum
         match = match & rows[g].eqNullSafe(parts[f"_g{k}"])
     number = (F.col("_before") + F.col("_at") - F.col("_first")).cast("long")
     return rows.join(parts, match).select(*df.columns, number.alias(name))
+
+
+def running_sum_by(df: DataFrame, value: str, group: list[str], order: list[Column | str], upto: str, total: str) -> DataFrame:
+    """Adds ``upto``, the sum of ``value`` over the rows of the group up to a row, itself included, and ``total``, that of
+    the group. As in ``dense_index_by`` a group is spread over range partitions; rows of equal order are in one of them."""
+    rows = _placed(df, [*group, *order])
+    parts = rows.groupBy(*group, "_part").agg(F.sum(value).alias("_n"))
+    in_order = W.partitionBy(*group).orderBy("_part")
+    whole = F.sum("_n").over(in_order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    parts = parts.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(group)], F.col("_part").alias("_p"), (F.sum("_n").over(in_order) - F.col("_n")).alias("_before"), whole.alias("_whole"))
+    match = rows["_part"] == parts["_p"]
+    for k, g in enumerate(group):
+        match = match & rows[g].eqNullSafe(parts[f"_g{k}"])
+    inside = F.sum(value).over(W.partitionBy("_part", *group).orderBy("_at"))
+    joined = rows.join(parts, match).withColumn("_inside", inside)
+    return joined.select(*df.columns, (F.col("_before") + F.col("_inside")).alias(upto), F.col("_whole").alias(total))
