@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import html_text, media, mixing, packing, pii, preference, quality_rules, repeats, secrets, simhash
+from graphloom.llm import html_text, infill, media, mixing, packing, pii, preference, quality_rules, repeats, secrets, simhash
 from graphloom.sources import table
 
 
@@ -62,6 +62,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts every document in three and writes the parts in another order."""
+    return infill.infill_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -73,6 +78,11 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_media_columns": op9_media_columns,
     "op10_quality_rules": op10_quality_rules,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": mixing.ORACLE_MIX, "op7_suffix_dedup": repeats.ORACLE_REPEATS}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mix_sources": mixing.ORACLE_MIX,
+    "op7_suffix_dedup": repeats.ORACLE_REPEATS,
+    "op11_fill_in_middle": infill.ORACLE_INFILL,
+}
