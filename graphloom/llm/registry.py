@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import html_text, infill, media, mixing, packing, pii, preference, quality_rules, repeats, secrets, simhash
+from graphloom.llm import html_text, infill, media, mixing, packing, pii, preference, quality_rules, repeats, resampling, secrets, simhash
 from graphloom.sources import table
 
 
@@ -67,6 +67,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.infill_digest(table(spark, sf_dir, "documents"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws a tenth of the long enough documents towards the distribution of the benchmark's texts."""
+    return resampling.resample_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -79,10 +84,12 @@ QUERIES = {
     "op9_media_columns": op9_media_columns,
     "op10_quality_rules": op10_quality_rules,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE_MIX,
     "op7_suffix_dedup": repeats.ORACLE_REPEATS,
     "op11_fill_in_middle": infill.ORACLE_INFILL,
+    "op12_importance_resampling": resampling.ORACLE_RESAMPLE,
 }
