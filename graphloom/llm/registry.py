@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import html_text, infill, media, mixing, packing, pii, preference, quality_rules, repeats, resampling, secrets, simhash
+from graphloom.llm import html_text, infill, katz, media, mixing, packing, pii, preference, quality_rules, repeats, resampling, secrets, simhash
 from graphloom.sources import table
 
 
@@ -72,6 +72,11 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document by a backoff model of those that aren't held out."""
+    return katz.score_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -85,6 +90,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {
