@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import files, graph, questions, scores, texts
+from . import experiments, files, graph, questions, scores, texts
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "files", "graph", "questions", "scores", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "experiments", "files", "graph", "questions", "scores", "texts"]
