@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import graph as G
 from graphloom.operators import paths as P
-from graphloom.plans import Scratch
+from graphloom.plans import Scratch, dense_index
 from graphloom.sources import table
 
 from .registry import query
@@ -134,6 +134,25 @@ def _reached(spark: SparkSession, sf: str, paths: bool = False) -> DataFrame:
     return P.bfs(P.adjacency(kg_small(spark, sf)), sources, paths=paths, symmetric=True)
 
 
+#: Customers and their regions; nations of customers and of suppliers, which meet in one nation, in a region or not at all.
+_MEETINGS = """WITH s AS (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier),
+p AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM customer JOIN s ON i = c_custkey % n),
+q AS (SELECT 'N' || a AS source, 'N' || b AS target, CASE WHEN a = b THEN ['N' || a] WHEN x.n_regionkey = y.n_regionkey THEN ['N' || a, 'R' || x.n_regionkey, 'N' || b] END AS path
+  FROM p JOIN nation x ON x.n_nationkey = a JOIN nation y ON y.n_nationkey = b
+  UNION ALL SELECT 'C' || c_custkey, 'R' || n_regionkey, ['C' || c_custkey, 'N' || n_nationkey, 'R' || n_regionkey] FROM customer JOIN nation ON n_nationkey = c_nationkey)"""
+
+
+@query(f"{_MEETINGS} SELECT source, target, len(path)::INT - 1 AS distance, array_to_string(path, '>') AS path FROM q WHERE path IS NOT NULL")
+def pair_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Shortest paths from both ends, past nations with thousands of customers."""
+    s, c, n = (table(spark, sf, t) for t in ("supplier", "customer", "nation"))
+    numbered = dense_index(s.select("s_suppkey", "s_nationkey"), "i", ["s_suppkey"])
+    name = lambda prefix, k: F.concat(F.lit(prefix), F.col(k).cast("string"))
+    nations = c.select("c_nationkey", (F.col("c_custkey") % s.count()).alias("i")).join(numbered, "i").select(name("N", "c_nationkey").alias("source"), name("N", "s_nationkey").alias("target"))
+    homes = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(name("C", "c_custkey").alias("source"), name("R", "n_regionkey").alias("target"))
+    return P.pair_paths(P.adjacency(kg_small(spark, sf)), nations.unionAll(homes)).withColumn("path", F.array_join("path", ">"))
+
+
 #: Directed cycles of three, five and seven customers that share customer 0, and a chain that leaves them.
 CYCLES = """cyc AS (SELECT 0 AS src, 1 AS dst UNION SELECT 1, 2 UNION SELECT 2, 0 UNION SELECT c_custkey + 100, c_custkey + 101 FROM customer WHERE c_custkey < 40
   UNION SELECT 140, 101 UNION SELECT 0, 101 UNION SELECT 2, 120 UNION SELECT 130, 1)"""

@@ -58,12 +58,82 @@ def bfs(neighbours: DataFrame, sources: DataFrame, max_depth: int | None = None,
     return out
 
 
-def pair_distances(neighbours: DataFrame, pairs: DataFrame, max_depth: int | None = None, symmetric: bool = False) -> DataFrame:
+def pair_paths(neighbours: DataFrame, pairs: DataFrame, max_depth: int | None = None, written: list[int] | None = None) -> DataFrame:
+    """``source, target, distance, path`` of the pairs with a path, the lexicographically least shortest one; each pair once.
+
+    Every pair is searched from both ends, in a graph where neighbours are so both ways. A round extends, for each pair,
+    the side whose last level has fewer edges, so that a hub is only expanded if all ways lead through it. The first
+    level that meets the other side's last one settles the pair: its path is the least of the least halves. Settled pairs
+    and those with an exhausted side leave the state, which holds two levels of each side of the others. Rounds go on
+    until no pair is left, or to ``max_depth``. ``written`` gets the rows of each round's state.
+    """
+    scratch = Scratch(neighbours.sparkSession, "pairs")
+    neighbours = scratch.save(neighbours, "given")
+    degree = neighbours.groupBy("node").agg(F.count("*").alias("degree"))
+    near = scratch.save(neighbours.join(degree.select(F.col("node").alias("next"), "degree"), "next").select("node", "next", "degree"), "neighbours")
+    pairs = scratch.save(pairs.select("source", "target").distinct(), "asked")
+    path = lambda c: F.array(c).alias("path")
+    trivial = pairs.filter("source = target").select("source", "target", F.lit(0).alias("distance"), path("source"))
+    ends = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("node")) for k, c in enumerate(("source", "target"))])).alias("e")
+    start = pairs.filter("source <> target").select("source", "target", ends).select("source", "target", "e.*")
+    # an end without edges has no row here, and its pair no path
+    start = start.join(degree, "node").select("source", "target", "side", "node", path("node"), F.lit(0).alias("age"), F.lit(0).alias("depth"), "degree")
+    state, found, depth = scratch.save(start, "state-0"), [scratch.save(trivial, "settled-0")], 0
+    names, pair, node_type = state.columns, ["source", "target"], state.schema["node"].dataType
+    while not state.isEmpty() and (max_depth is None or depth < max_depth):
+        depth += 1
+        last = state.filter("age = 0")
+        cost = lambda k: F.sum(F.when(F.col("side") == k, F.col("degree")))
+        # with one side missing the pair isn't chosen
+        chosen = last.groupBy(*pair).agg(cost(0).alias("_a"), cost(1).alias("_b")).filter("_a IS NOT NULL AND _b IS NOT NULL")
+        chosen = chosen.select(*pair, F.when(F.col("_a") <= F.col("_b"), 0).otherwise(1).alias("_side"))
+        step = last.join(chosen, pair).filter("side = _side").select(*pair, "side", "node", "path", "depth").join(near, "node")
+        step = step.groupBy(*pair, "side", F.col("next").alias("node")).agg(F.min("path").alias("path"), F.max("depth").alias("depth"), F.max("degree").alias("degree"))
+        new = step.join(state.select(*pair, "side", "node"), [*pair, "side", "node"], "left_anti")
+        longer = F.when(F.col("side") == 0, F.array_append("path", F.col("node"))).otherwise(F.array_prepend("path", F.col("node")))
+        new = new.select(*pair, "side", "node", longer.alias("path"), F.lit(0).alias("age"), (F.col("depth") + 1).alias("depth"), "degree")
+        other = last.select(*pair, (1 - F.col("side")).alias("side"), "node", F.col("path").alias("_other"))
+        tail = lambda c: F.slice(c, F.lit(2), F.size(c))
+        whole = F.when(F.col("side") == 0, F.concat("path", tail("_other"))).otherwise(F.concat("_other", tail("path")))
+        new = scratch.save(new.join(other, [*pair, "side", "node"], "left").withColumn("whole", whole).drop("_other"), f"new-{depth}")
+        # what a pair's round has come to: its side, and its path if the halves have met
+        round_ = new.groupBy(*pair).agg(F.max("side").alias("_side"), F.min("whole").alias("_whole"))
+        settled = round_.filter("_whole IS NOT NULL").select(*pair, F.lit(None).cast("int").alias("side"), F.lit(None).cast(node_type).alias("node"), F.col("_whole").alias("path"), F.lit(-1).alias("age"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("degree"))
+        # the level before the last of a side that moved is no longer needed
+        kept = state.join(round_.filter("_whole IS NULL"), pair).withColumn("age", F.col("age") + (F.col("side") == F.col("_side")).cast("int")).filter("age < 2").select(*names)
+        fresh = new.join(round_.filter("_whole IS NULL").select(*pair), pair, "left_semi").select(*names)
+        parts = settled.unionByName(kept).unionByName(fresh).withColumn("live", F.col("age") >= 0)
+        rows = scratch.save(parts, f"state-{depth}", ["live"])
+        found.append(rows.filter("NOT live").select(*pair, (F.size("path") - 1).alias("distance"), "path"))
+        state = rows.filter("live").select(*names)
+        scratch.drop(*([f"state-{depth - 1}/live=true"] if depth > 1 else ["state-0"]), f"new-{depth}")
+        if written is not None:
+            written.append(state.count())
+    out = found[0]
+    for rows in found[1:]:
+        out = out.unionByName(rows)
+    return out
+
+
+#: Rows of all sources' distances up to which flooding takes less than rounds from both ends.
+FLOOD_ROWS = 50_000_000
+
+
+def pair_distances(neighbours: DataFrame, pairs: DataFrame, max_depth: int | None = None, symmetric: bool = False, both_ends: bool | None = None) -> DataFrame:
     """Adds ``distance``, ``path``, ``reachable`` and ``true_hop`` to ``source, target``.
 
-    An entity reaches itself at distance 0 even if it has no edge; a hop is a distance of 1 or more.
+    An entity reaches itself at distance 0 even if it has no edge; a hop is a distance of 1 or more. Where each
+    neighbour is known to be one both ways (``symmetric``), pairs are searched from both ends if all sources together
+    could reach more than ``FLOOD_ROWS`` nodes, or as ``both_ends`` says; the rows are the same.
     """
-    reached = bfs(neighbours, pairs.select("source").distinct(), max_depth, paths=True, symmetric=symmetric).withColumnRenamed("node", "target")
+    sources = pairs.select("source").distinct()
+    if symmetric and both_ends is None:
+        neighbours = Scratch(neighbours.sparkSession, "distances").save(neighbours, "neighbours")
+        both_ends = sources.count() * neighbours.count() > FLOOD_ROWS
+    if symmetric and both_ends:
+        reached = pair_paths(neighbours, pairs, max_depth)
+    else:
+        reached = bfs(neighbours, sources, max_depth, paths=True, symmetric=symmetric).withColumnRenamed("node", "target")
     out = pairs.join(reached, ["source", "target"], "left")
     reachable = F.col("distance").isNotNull()
     return out.withColumns({"reachable": reachable, "true_hop": F.when(F.col("distance") >= 1, F.col("distance"))})

@@ -51,10 +51,10 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the written table."""
+    def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+        """Write ``df``, below a folder for each value of ``partition_by``, and return the written table."""
         path = f"{self.base}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, partitionBy=partition_by)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -133,6 +133,33 @@ def test_paths_equal_a_sorted_breadth_first_search(spark, pairs):
     assert {r.node: list(r.path) for r in found} == least_paths(pairs, "a")
 
 
+@settings(max_examples=2, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from("abcdefgh"), st.sampled_from("abcdefgh")), min_size=1, max_size=12))
+def test_paths_from_both_ends(spark, links):
+    names = "abcdefghz"
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names] + [("a", "b"), (None, "a")], "source string, target string")
+    found = {(r.source, r.target): (r.distance, list(r.path)) for r in P.pair_paths(P.adjacency(edges(spark, [(a, "r", b) for a, b in links])), pairs).collect()}
+    want = {(a, b): (len(p) - 1, p) for a in names for b, p in least_paths(links, a).items()}
+    assert found == want
+
+
+def test_a_hub_beside_the_way_and_settled_pairs_are_not_extended(spark):
+    """Near the source is a hub of 20,000 leaves; the way leads along a chain on the other side of it."""
+    leaves = spark.range(20_000).select(F.lit("hub").alias("node"), F.concat(F.lit("leaf"), "id").alias("next"))
+    chain = [f"c{k:03}" for k in range(13)]
+    links = spark.createDataFrame([("s", "hub"), ("s", chain[0]), *zip(chain, chain[1:])], "node string, next string")
+    one = leaves.unionAll(links)
+    both = one.unionAll(one.select(F.col("next").alias("node"), F.col("node").alias("next")))
+    pairs = spark.createDataFrame([("s", chain[-1]), ("leaf7", "s"), ("s", "nowhere"), (chain[3], chain[4])], "source string, target string")
+    written = []
+    found = {(r.source, r.target): list(r.path) for r in P.pair_paths(both, pairs, written=written).collect()}
+    assert found == {("s", chain[-1]): ["s", *chain], ("leaf7", "s"): ["leaf7", "hub", "s"], (chain[3], chain[4]): [chain[3], chain[4]]}
+    # the hub is never expanded, and after three rounds one pair is left with at most two levels of each side
+    assert sum(written) < 100 and max(written[3:]) <= 6 and written[-1] == 0
+    assert P.pair_paths(both, pairs, max_depth=2).count() == 2
+    assert P.pair_paths(both, pairs.limit(0)).collect() == []
+
+
 def test_numbers_within_groups(spark):
     rows = [(None if g == 2 else g, (7 * i) % 101, "x") for g in range(4) for i in range(101 if g else 3)]
     df = spark.createDataFrame(rows, "g long, v long, name string").repartition(7)
