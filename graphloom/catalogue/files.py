@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as X
 from graphloom.operators import prepare as P
 from graphloom.operators.analysis import accuracy_buckets
-from graphloom.plans import Scratch
+from graphloom.plans import Scratch, dense_index
 from graphloom.sources import datasets as D
 from graphloom.sources import readers as R
 from graphloom.sources import schemas, sinks, table
@@ -164,7 +164,11 @@ def dataset_scene_graph(spark: SparkSession, sf: str) -> DataFrame:
 SELECT CASE s WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split, id::VARCHAR AS id, question, 'nation ' || n AS answer, 'C' || id || '|' || 'N' || n AS nodes, '0,1' AS edge FROM q""")
 def dataset_question_graphs(spark: SparkSession, sf: str) -> DataFrame:
     """Exported question sets: a graph with a repeated triple for each question."""
-    folder, k, n = _folder(spark, "cwq"), F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    return _question_graphs(spark, sf, "cwq")
+
+
+def _question_graphs(spark: SparkSession, sf: str, data_set: str) -> DataFrame:
+    folder, k, n = _folder(spark, data_set), F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
     edge = F.array(F.concat(F.lit("C"), k), F.lit("in"), F.concat(F.lit("N"), n))
     for i, name in enumerate(R.EXPORTED_SPLITS.values()):
         answer = F.concat(F.lit("nation "), n)
@@ -173,11 +177,16 @@ def dataset_question_graphs(spark: SparkSession, sf: str) -> DataFrame:
             F.array(edge, edge).alias("graph"), F.array(k).alias("q_entity"), F.array(n).alias("a_entity"),
         )
         rows.write.parquet(f"{folder}/{name}.parquet")
-    r = D.load_dataset(spark, "cwq", folder)
+    r = D.load_dataset(spark, data_set, folder)
     places = F.array_join(F.transform(F.col("graph.edge_index")[0], lambda i: i.cast("string")), ",")
     return r.select("split", "id", F.col("questions")[0].alias("question"), F.col("answers")[0][0].alias("answer"), F.array_join("graph.node_list", "|").alias("nodes"), places.alias("edge"))
 
 
+@query("""SELECT CASE c_custkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split, count(*) AS n, count(DISTINCT c_nationkey) AS n_answers FROM customer GROUP BY 1""")
+def dataset_webqsp(spark: SparkSession, sf: str) -> DataFrame:
+    return _question_graphs(spark, sf, "webqsp").groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("answer").alias("n_answers"))
+
+
 @query("SELECT 'concept:c' || c_custkey AS src, 'concept:lives' AS rel, 'concept:n' || c_nationkey AS dst, CASE c_custkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'valid' ELSE 'test' END AS split FROM customer WHERE c_custkey % 7 <> 0")
 def concept_splits(spark: SparkSession, sf: str) -> DataFrame:
     """Heads of every seventh line are no concepts."""
@@ -209,6 +218,73 @@ def dataset_knowledge_graph(spark: SparkSession, sf: str) -> DataFrame:
     return D.load_dataset(spark, "nell23k", folder)["edges"]
 
 
+#: Two triples of every order line; parts have entries, some of them empty ones, suppliers and orders don't.
+_LINES = """ln AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS n, l_orderkey, l_partkey, l_suppkey, l_returnflag FROM lineitem),
+tr AS (SELECT 2 * n AS idx, 'O' || l_orderkey AS src, 'has_part_' || lower(l_returnflag) AS rel, 'P' || l_partkey AS dst FROM ln UNION ALL SELECT 2 * n + 1, 'P' || l_partkey, 'sold_by', 'S' || l_suppkey FROM ln),
+first AS (SELECT e, min("at") AS seen FROM (SELECT src AS e, 2 * idx AS "at" FROM tr UNION ALL SELECT dst, 2 * idx + 1 FROM tr) AS u GROUP BY e)"""
+
+
+def _line_triples(spark: SparkSession, sf: str) -> DataFrame:
+    rows = dense_index(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"), "n", ["l_orderkey", "l_linenumber", "l_partkey"])
+    name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    has = F.struct((2 * F.col("n")).alias("idx"), name("O", "l_orderkey").alias("src"), F.concat(F.lit("has_part_"), F.lower("l_returnflag")).alias("rel"), name("P", "l_partkey").alias("dst"))
+    sold = F.struct((2 * F.col("n") + 1).alias("idx"), name("P", "l_partkey").alias("src"), F.lit("sold_by").alias("rel"), name("S", "l_suppkey").alias("dst"))
+    return rows.select(F.explode(F.array(has, sold)).alias("t")).select("t.*")
+
+
+def _knowledge_graph(spark: SparkSession, sf: str, name: str) -> dict[str, DataFrame]:
+    """Loads a data set by name from a folder of raw files in its formats."""
+    folder, kg, k = _folder(spark, name), D.KNOWLEDGE_GRAPHS[name], F.col("p_partkey")
+    lines = Scratch(spark, "lines").save(_line_triples(spark, sf).select("idx", F.concat_ws("\t", "src", "rel", "dst").alias("value")), "lines")
+    for split in ("train", "valid", "test"):
+        _write_lines(lines, f"{folder}/{split}.txt", "idx")
+    parts = table(spark, sf, "part")
+    if kg.entity_text == "table":
+        _write_lines(parts.select(F.concat(F.lit("P"), k.cast("string"), F.lit("\t"), "p_name").alias("value")), f"{folder}/{kg.entities}")
+    else:
+        described = F.struct(F.when(k % 3 != 0, F.col("p_name")).alias("label"), F.when(k % 4 != 0, F.col("p_brand")).alias("description"))
+        _write_map(spark, parts, F.concat(F.lit("P"), k.cast("string")), described, f"{folder}/{kg.entities}")
+    if kg.relations:
+        rels = lines.select(F.split("value", "\t")[1].alias("rel")).distinct()
+        _write_map(spark, rels, F.col("rel"), F.concat(F.lit("text of "), "rel"), f"{folder}/{kg.relations}")
+    return D.load_dataset(spark, name, folder)
+
+
+def _edges_sql(text: str, rel: str) -> str:
+    """SQL of the edges' texts, with ``text`` of part entries and ``rel`` of relations."""
+    return f"""WITH {_LINES}, tx AS (SELECT 'P' || p_partkey AS e, {text} AS t FROM part)
+SELECT idx, coalesce(a.t, 'Unknown') AS src, {rel} AS rel, coalesce(b.t, 'Unknown') AS dst FROM tr LEFT JOIN tx a ON a.e = src LEFT JOIN tx b ON b.e = dst"""
+
+
+_DESCRIBED = "trim(trim(CASE WHEN p_partkey % 12 = 0 THEN 'missing' ELSE CASE WHEN p_partkey % 3 <> 0 THEN p_name || ', ' ELSE '' END || CASE WHEN p_partkey % 4 <> 0 THEN p_brand ELSE '' END END), '.')"
+
+
+@query(_edges_sql(_DESCRIBED, "'text of ' || rel"))
+def dataset_codexm(spark: SparkSession, sf: str) -> DataFrame:
+    return _knowledge_graph(spark, sf, "codexm")["edges"].select("idx", "src", "rel", "dst")
+
+
+@query(_edges_sql(_DESCRIBED, "'text of ' || rel"))
+def dataset_fb15k237(spark: SparkSession, sf: str) -> DataFrame:
+    return _knowledge_graph(spark, sf, "fb15k237")["edges"].select("idx", "src", "rel", "dst")
+
+
+@query(f"""WITH {_LINES}, tx AS (SELECT 'P' || p_partkey AS e, {_DESCRIBED} AS t FROM part),
+q AS (SELECT split, idx, src, rel, dst FROM tr, (SELECT unnest(['val', 'test']) AS split) QUALIFY row_number() OVER (PARTITION BY split ORDER BY md5('2026:' || split || ':' || idx), idx) <= 10000),
+v AS (SELECT DISTINCT 'text of ' || rel AS rel FROM tr),
+c AS (SELECT split, idx, string_agg(v.rel, '; ' ORDER BY md5('2026:cand-order:fb15k237_2:' || split || ':' || idx || ':' || v.rel), v.rel) AS t FROM q, v GROUP BY split, idx)
+SELECT q.split, q.idx, 'What is the relation between node ' || coalesce(a.t, 'Unknown') || ' and node ' || coalesce(b.t, 'Unknown') || '? Selected from the following candidate answers: ' || c.t || '.' AS question, 'text of ' || rel AS answer
+FROM q JOIN c ON c.split = q.split AND c.idx = q.idx LEFT JOIN tx a ON a.e = src LEFT JOIN tx b ON b.e = dst""")
+def dataset_fb15k237_2(spark: SparkSession, sf: str) -> DataFrame:
+    """10,000 questions of each split."""
+    return _knowledge_graph(spark, sf, "fb15k237_2")["questions"].drop("roots")
+
+
+@query(_edges_sql("p_name", "array_to_string(string_split(rel, '_')[2:], ' ')"))
+def dataset_wn18rr(spark: SparkSession, sf: str) -> DataFrame:
+    return _knowledge_graph(spark, sf, "wn18rr")["edges"].select("idx", "src", "rel", "dst")
+
+
 @query("""SELECT 'clegr graph ' || o_custkey AS title, count(*) AS n_questions, string_agg(o_orderkey || '=' || o_orderstatus, '|' ORDER BY o_orderkey) AS asked FROM orders GROUP BY o_custkey""")
 def dataset_graph_questions(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")

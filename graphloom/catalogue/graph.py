@@ -71,8 +71,7 @@ def qa_subgraph_nodes(spark: SparkSession, sf: str) -> DataFrame:
 _DEGREES = f"""WITH {KG_MULTI}, {CLEAN},
 d AS (SELECT graph_id, node, sum(i) AS i, sum(o) AS o FROM (SELECT graph_id, src AS node, 0 AS i, 1 AS o FROM clean UNION ALL SELECT graph_id, dst, 1, 0 FROM clean) GROUP BY graph_id, node),
 nw AS (SELECT graph_id, node, 1.0::DOUBLE / (greatest(i, 1) + greatest(o, 1)) AS weight FROM d),
-ew AS (SELECT c.graph_id, edge_id, src, rel, dst, 1.0::DOUBLE / sqrt((a.o * b.i)::DOUBLE) AS weight
-       FROM clean c JOIN d a ON a.graph_id = c.graph_id AND a.node = src JOIN d b ON b.graph_id = c.graph_id AND b.node = dst)"""
+ew AS (SELECT graph_id, edge_id, src, rel, dst, 1.0::DOUBLE / sqrt((count(*) OVER (PARTITION BY graph_id, src) * count(*) OVER (PARTITION BY graph_id, dst))::DOUBLE) AS weight FROM clean)"""
 
 
 @query(f"{_DEGREES} SELECT graph_id, node, round(weight, 9) AS weight FROM nw")
@@ -97,8 +96,8 @@ def upsample_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {KG_MULTI}, n AS (SELECT graph_id, src AS node FROM kg_multi UNION SELECT graph_id, dst FROM kg_multi),
-m AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY md5('7:node:' || graph_id || ':' || node), node) - 1 AS new FROM n),
-e AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY md5('7:edge:' || graph_id || ':' || edge_id), edge_id) - 1 AS new_edge_id FROM kg_multi)
+m AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY md5('7:node:' || graph_id || ':' || node), node) - 1 AS new FROM n),
+e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY md5('7:edge:' || graph_id || ':' || edge_id), edge_id) - 1 AS new_edge_id FROM kg_multi)
 SELECT e.graph_id, e.edge_id, new_edge_id, a.new AS new_src, b.new AS new_dst FROM e JOIN m a ON a.graph_id = e.graph_id AND a.node = e.src JOIN m b ON b.graph_id = e.graph_id AND b.node = e.dst""")
 def shuffled_graph(spark: SparkSession, sf: str) -> DataFrame:
     return G.shuffle_graph(kg_multi(spark, sf), 7)

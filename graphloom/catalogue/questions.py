@@ -42,7 +42,7 @@ k AS (SELECT *, md5('3:es:' || graph_id || ':' || src) AS h FROM o)
 SELECT graph_id, src FROM k QUALIFY row_number() OVER (PARTITION BY graph_id ORDER BY -ln({_unit('h')}) / w, graph_id, src) <= 2""")
 def weighted_sample(spark: SparkSession, sf: str) -> DataFrame:
     nodes = G.clean_edges(kg_multi(spark, sf)).groupBy("graph_id", "src").agg(F.count("*").alias("w"))
-    return S.sample_weighted(nodes, ["graph_id"], ["graph_id", "src"], "w", 2, 3, "es").select("graph_id", "src")
+    return S.sample_weighted(nodes, ["graph_id"], ["graph_id", "src"], "w", 2, 3, "es", strict=False).select("graph_id", "src")
 
 
 @query(f"""WITH {KG_MULTI}, {CLEAN}, o AS (SELECT graph_id, src, count(*) AS w FROM clean GROUP BY graph_id, src),
@@ -117,7 +117,7 @@ STATIONS = """nodes AS (SELECT n_nationkey // 5 AS graph_id, n_nationkey % 5 AS
 asked AS (SELECT a.graph_id, a.graph_id || ':' || a.node_id || ':' || b.node_id AS question_id,
   CASE WHEN (a.node_id + b.node_id) % 7 = 6 THEN 'Where is ' || a.name || '?' ELSE 'How many stations are between ' || a.name || ' and ' || CASE WHEN b.node_id = 3 AND a.node_id = 0 THEN 'nowhere' ELSE b.name END || '?' END AS question,
   CASE WHEN a.node_id = 3 AND b.node_id = 1 THEN 'one' ELSE (greatest(abs(a.node_id - b.node_id) - 1, 0) + CASE WHEN a.node_id = 4 AND b.node_id = 1 THEN 1 ELSE 0 END)::VARCHAR END AS answer,
-  CASE WHEN a.node_id = 4 AND b.node_id = 2 THEN 'StationShortestCount' END AS question_type,
+  CASE WHEN a.node_id = 4 AND b.node_id = 2 THEN 'StationShortestCount' WHEN b.node_id = a.node_id + 1 THEN '' END AS question_type,
   a.node_id AS a, b.node_id AS b FROM nodes a JOIN nodes b ON a.graph_id = b.graph_id)"""
 
 
@@ -132,7 +132,7 @@ def _stations(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataF
     wrong = F.when((F.col("a") == 4) & (F.col("b") == 1), 1).otherwise(0)
     at = lambda x, y: (F.col("a") == x) & (F.col("b") == y)
     answer = F.when(at(3, 1), "one").otherwise((F.greatest(F.abs(F.col("a") - F.col("b")) - 1, F.lit(0)) + wrong).cast("string"))
-    kind = F.when(at(4, 2), Q.STATION_TYPE).alias("question_type")
+    kind = F.when(at(4, 2), Q.STATION_TYPE).when(F.col("b") == F.col("a") + 1, "").alias("question_type")
     asked = p.select("graph_id", F.concat_ws(":", "graph_id", "a", "b").alias("question_id"), question.alias("question"), answer.alias("answer"), kind)
     edges = nodes.filter("node_id < 4 and not (graph_id = 4 and node_id = 1)").select("graph_id", F.col("node_id").alias("src"), (F.col("node_id") + 1).alias("dst"))
     return asked, nodes.select("graph_id", "node_id", "text"), edges
@@ -142,7 +142,7 @@ def _stations(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataF
 p AS (SELECT *, regexp_matches(question, '(?is)How many stations are between\\s+(.+?)\\s+and\\s+(.+?)\\?') AS station,
   regexp_extract(question, '(?is)How many stations are between\\s+(.+?)\\s+and\\s+(.+?)\\?', 1) AS s, regexp_extract(question, '(?is)How many stations are between\\s+(.+?)\\s+and\\s+(.+?)\\?', 2) AS t FROM asked)
 SELECT question_id, x.node_id AS source_node, y.node_id AS target_node,
-  CASE WHEN NOT station AND question_type IS NULL THEN 'rejected_question_type' WHEN NOT station THEN 'rejected_question_does_not_match_StationShortestCount'
+  CASE WHEN NOT station AND coalesce(question_type, '') = '' THEN 'rejected_question_type' WHEN NOT station THEN 'rejected_question_does_not_match_StationShortestCount'
     WHEN x.node_id IS NULL OR y.node_id IS NULL THEN 'rejected_endpoint_extraction_ambiguous' WHEN x.node_id = y.node_id THEN 'rejected_source_and_target_must_be_distinct' END AS reason
 FROM p LEFT JOIN n x ON x.graph_id = p.graph_id AND x.name = p.s AND station LEFT JOIN n y ON y.graph_id = p.graph_id AND y.name = p.t AND station""")
 def station_endpoints(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,7 +150,7 @@ def station_endpoints(spark: SparkSession, sf: str) -> DataFrame:
     return Q.station_questions(asked, nodes).select("question_id", "source_node", "target_node", "reason")
 
 
-VALID = f"""WITH {STATIONS}, judged AS (SELECT *, CASE WHEN (a + b) % 7 = 6 AND question_type IS NULL THEN 'rejected_question_type' WHEN (a + b) % 7 = 6 THEN 'rejected_question_does_not_match_StationShortestCount'
+VALID = f"""WITH {STATIONS}, judged AS (SELECT *, CASE WHEN (a + b) % 7 = 6 AND coalesce(question_type, '') = '' THEN 'rejected_question_type' WHEN (a + b) % 7 = 6 THEN 'rejected_question_does_not_match_StationShortestCount'
   WHEN b = 3 AND a = 0 THEN 'rejected_endpoint_extraction_ambiguous' WHEN a = b THEN 'rejected_source_and_target_must_be_distinct'
   WHEN graph_id = 4 AND (a <= 1) <> (b <= 1) THEN 'rejected_endpoints_are_disconnected' WHEN answer = 'one' THEN 'rejected_answer_is_not_an_integer'
   WHEN a = 4 AND b = 1 THEN 'rejected_label/path_mismatch' END AS reason,

@@ -5,7 +5,9 @@ A back end is a function from a batch of prompts, with an optional system prompt
 
 from __future__ import annotations
 
+import math
 import random
+import threading
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -42,52 +44,92 @@ def _echo(prompts: list[str], system: str | None = None, histories: list | None
 
 register_backend("echo", lambda name: _echo)
 
+
+class RateLimited(Exception):
+    """A back end that asks for fewer requests."""
+
+
 #: Errors of a back end that may pass; others are a row's error at once.
-PASSING_ERRORS = (ConnectionError, TimeoutError, OSError)
+PASSING_ERRORS = (RateLimited, ConnectionError, TimeoutError)
+
+
+class Pace:
+    """Grants requests of several threads evenly, ``per_second`` of them."""
+
+    def __init__(self, per_second: float):
+        self.step, self.next, self.lock = 1.0 / per_second, 0.0, threading.Lock()
+
+    def wait(self, before: float) -> bool:
+        """Waits for a turn; False at once if it comes after the time ``before``."""
+        with self.lock:
+            turn = max(self.next, time.monotonic())
+            if turn > before:
+                return False
+            self.next = turn + self.step
+        time.sleep(max(0.0, turn - time.monotonic()))
+        return True
 
 
 def infer(
-    prompts: DataFrame, column: str, model: Model, attempts: int = 3, system: str | None = None, histories: str | None = None,
+    prompts: DataFrame, column: str, model: Model, attempts: int = 10, system: str | None = None, histories: str | None = None,
     passing: tuple[type[Exception], ...] = PASSING_ERRORS, first_wait: float = 0.1, longest_wait: float = 10.0, threads: int = 8,
+    single: bool = False, per_second: float | None = None, deadline: float | None = None,
 ) -> DataFrame:
     """Adds ``response`` and ``error`` by batches of ``model(prompts)``.
 
-    A batch that fails is tried again prompt by prompt, ``threads`` at a time. Errors of ``passing`` are tried up to
-    ``attempts`` times, after waits that double and vary; what still fails, or fails otherwise, has an error and no
-    response. So has a batch with another number of responses than prompts. ``system`` is a system prompt, ``histories``
-    a column with the turns before; they are passed on only if given.
+    A model may give its responses one by one: if it fails, those it gave count, and only the other prompts are asked
+    again, each by itself and ``threads`` at a time. With ``single`` all prompts are, from the start. Errors of
+    ``passing`` are tried up to ``attempts`` times, after waits that double and vary; what still fails, or fails
+    otherwise, has an error and no response. So has a batch with another number of responses than prompts. Rows keep
+    their order. ``per_second`` requests are made by all tasks that can run at a time together, and none is begun
+    ``deadline`` seconds after its batch: what is left then has an error. ``system`` is a system prompt, ``histories`` a
+    column with the turns before; they are passed on only if given.
     """
+    share = per_second / prompts.sparkSession.sparkContext.defaultParallelism if per_second else None
     schema = T.StructType([*prompts.schema, T.StructField("response", T.StringType()), T.StructField("error", T.StringType())])
 
-    def call(asked: list[str], before: list | None) -> list[str]:
+    def call(asked: list[str], before: list | None, into: list[str]) -> None:
+        """Responses go to ``into`` as they come."""
         extra = ({"system": system} if system is not None else {}) | ({"histories": before} if before is not None else {})
-        out = list(model(asked, **extra))
-        if len(out) != len(asked):
-            raise RuntimeError(f"{len(out)} responses to {len(asked)} prompts")
-        return out
+        into.extend(model(asked, **extra))
+        if len(into) != len(asked):
+            n, into[:] = len(into), []
+            raise RuntimeError(f"{n} responses to {len(asked)} prompts")
 
-    def one(prompt: str, before: list | None) -> tuple[str | None, str | None]:
+    def one(prompt: str, before: list | None, pace: Pace | None, end: float) -> tuple[str | None, str | None]:
         error = None
         for k in range(attempts):
+            if time.monotonic() > end or (pace and not pace.wait(end)):
+                return None, error or "TimeoutError: deadline"
             try:
-                return call([prompt], None if before is None else [before])[0], None
+                out: list[str] = []
+                call([prompt], None if before is None else [before], out)
+                return out[0], None
             except passing as e:
                 error = f"{type(e).__name__}: {e}"
                 if k + 1 < attempts:
-                    time.sleep(min(longest_wait, first_wait * 2**k) * random.uniform(0.5, 1.0))
+                    time.sleep(max(0.0, min(min(longest_wait, first_wait * 2**k) * random.uniform(0.5, 1.0), end - time.monotonic())))
             except Exception as e:  # noqa: BLE001  any failure of a back end is a row's error
                 return None, f"{type(e).__name__}: {e}"
         return None, error
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pace = Pace(share) if share else None
         for b in batches:
             asked = b.column(column).to_pylist()
             before = b.column(histories).to_pylist() if histories else None
-            try:
-                out = [(r, None) for r in call(asked, before)]
-            except Exception:  # noqa: BLE001
+            end = time.monotonic() + deadline if deadline is not None else math.inf
+            got: list[str] = []
+            if not single and (pace is None or pace.wait(end)):
+                try:
+                    call(asked, before, got)
+                except Exception:  # noqa: BLE001  what it gave before counts
+                    pass
+            out: list = [(r, None) for r in got]
+            if len(got) < len(asked):
+                left = slice(len(got), None)
                 with ThreadPoolExecutor(threads) as pool:
-                    out = list(pool.map(one, asked, before or [None] * len(asked)))
+                    out += pool.map(lambda p, h: one(p, h, pace, end), asked[left], before[left] if before else [None] * (len(asked) - len(got)))
             extra = [pa.array([r for r, _ in out], pa.string()), pa.array([e for _, e in out], pa.string())]
             yield pa.RecordBatch.from_arrays([*b.columns, *extra], [*b.schema.names, "response", "error"])
 
@@ -121,21 +163,34 @@ def infer_cached(prompts: DataFrame, cache: DataFrame, model: Model) -> DataFram
 CACHE_SCHEMA = "index long, prompt_sha256 string, response string, pos long"
 
 
-def infer_with_cache(prompts: DataFrame, path: str, model: Model) -> DataFrame:
-    """As ``infer_cached`` with the cache in JSON lines at ``path``, to which new responses are appended.
+#: Prompts that are asked before their responses are appended to the cache.
+WAVE_ROWS = 100_000
+
+
+def infer_with_cache(prompts: DataFrame, path: str, model: Model, wave_rows: int = WAVE_ROWS, **how) -> DataFrame:
+    """As ``infer_cached`` with the cache in JSON lines at ``path``, to which new responses are appended in waves of about
+    ``wave_rows`` prompts. ``how`` is passed to ``infer``.
 
-    What a job wrote before it broke off is reused by the next one. Lines that aren't entries are skipped. ``pos`` is the
-    time of writing.
+    The waves that a job wrote before it broke off are reused by the next one. Lines that aren't entries are skipped.
+    ``pos`` is the time of a wave's beginning, so a later wave's or job's entry counts.
     """
     spark = prompts.sparkSession
     path_ = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = path_.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path_)
     read = lambda: spark.read.schema(CACHE_SCHEMA).json(path)
     cache = read() if there else spark.createDataFrame([], CACHE_SCHEMA)
-    new = Scratch(spark, "answers").save(infer(cache_missing(prompts, cache), "prompt", model), "new")
-    done = new.filter(F.col("error").isNull()).select("index", "prompt_sha256", "response", F.lit(time.time_ns()).alias("pos"))
-    done.write.mode("append").json(path)
-    failed = new.filter(F.col("error").isNotNull())
+    scratch = Scratch(spark, "answers")
+    todo = scratch.save(cache_missing(prompts, cache), "todo")
+    waves = max(1, math.ceil(todo.count() / wave_rows))
+    todo = scratch.save(todo.withColumn("_wave", F.pmod(F.xxhash64("index", "prompt_sha256"), F.lit(waves)).cast("int")), "waves", ["_wave"])
+    failed = None
+    for k in range(waves):
+        began = time.time_ns()
+        asked = infer(todo.filter(F.col("_wave") == k).drop("_wave"), "prompt", model, **how)
+        new = scratch.save(asked, f"new-{k}")
+        new.filter(F.col("error").isNull()).select("index", "prompt_sha256", "response", F.lit(began).alias("pos")).write.mode("append").json(path)
+        wrong = new.filter(F.col("error").isNotNull())
+        failed = wrong if failed is None else failed.unionByName(wrong)
     return cache_hits(prompts, read()).withColumn("error", F.lit(None).cast("string")).unionByName(failed)
 
 

@@ -58,8 +58,11 @@ def hit_score(prediction: Column, targets: Column) -> Column:
 
 
 def _numbered(tokens: Column) -> Column:
-    """Tokens of a multiset told apart: each with its number among equal ones."""
-    name = lambda s: lambda x, i: F.concat_ws(" ", x, (i + 1 - F.array_position(s, x)).cast("string"))
+    """Tokens of a multiset told apart: the first of equal ones keeps its name, the others get their number.
+
+    Only repeated tokens, few as a rule, are looked up in the sorted list.
+    """
+    name = lambda s: lambda x, i: F.when(x == F.get(s, i - 1), F.concat_ws(" ", x, (i + 1 - F.array_position(s, x)).cast("string"))).otherwise(x)
     return _let(F.array_sort(tokens), lambda s: F.transform(s, name(s)))
 
 
@@ -91,7 +94,18 @@ def metric_columns(names: list[str], prediction: str = "prediction", targets: st
 
 def metric_means(rows: DataFrame, names: list[str], by: list[str] | None = None) -> DataFrame:
     """Means of the metrics, 0 for no rows, in one pass; ``by`` groups them, such as by response variant."""
-    scored = rows.select(*(by or []), *metric_columns(names))
+    metric_columns(names)  # unknown names are an error
+    # texts are normalised once for all metrics, to columns of tokens
+    split = rows.select(*(by or []), answer_tokens(F.col("prediction")).alias("_p"), F.transform("targets", answer_tokens).alias("_t"))
+    split = split.withColumns({"_pn": F.array_join("_p", " "), "_tn": F.transform("_t", lambda t: F.array_join(t, " "))})
+    p, t, pn, tn = (F.col(c) for c in ("_p", "_t", "_pn", "_tn"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    scores = {
+        "em": zero(F.array_contains(tn, pn).cast("double")),
+        "f1": zero(_let(_numbered(p), lambda a: F.array_max(F.transform(t, lambda x: _let(_numbered(x), lambda b: token_f1(a, b)))))),
+        "hit": zero(F.exists(tn, lambda x: F.contains(pn, x)).cast("double")),
+    }
+    scored = split.select(*(by or []), *[scores[n].alias(n) for n in names])
     return scored.groupBy(*(by or [])).agg(*[F.coalesce(F.avg(n), F.lit(0.0)).alias(n) for n in names])
 
 

@@ -67,7 +67,9 @@ def station_questions(questions: DataFrame, nodes: DataFrame) -> DataFrame:
     A name must fit exactly one node of the graph: ``graph_id, node_id, text``, and the two nodes must differ.
     """
     names = nodes.groupBy("graph_id", X.canonical_node_name(F.col("text")).alias("name")).agg(F.count("*").alias("n"), F.min("node_id").alias("node_id"))
-    out = questions.withColumn("is_station", F.coalesce(F.col("question_type") == STATION_TYPE, F.lit(False)) | (F.col("question_type").isNull() & F.coalesce(F.col("question").rlike(X.STATIONS), F.lit(False))))
+    # an absent or empty type is inferred from the question
+    kind = F.nullif(F.col("question_type"), F.lit(""))
+    out = questions.withColumn("is_station", F.coalesce(kind == STATION_TYPE, F.lit(False)) | (kind.isNull() & F.coalesce(F.col("question").rlike(X.STATIONS), F.lit(False))))
     for k, end in ((1, "source"), (2, "target")):
         side = names.select("graph_id", F.col("name").alias(f"{end}_name"), F.col("n").alias(f"{end}_n"), F.col("node_id").alias(f"{end}_node"))
         out = out.withColumn(f"{end}_name", F.regexp_replace(X.station_endpoint(F.col("question"), k), r"^\s+|\s+$", "")).join(side, ["graph_id", f"{end}_name"], "left")

@@ -47,9 +47,11 @@ def sample_per_group(df: DataFrame, group: list[str], order: list[Column | str],
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col("_n") <= limit).drop("_n")
 
 
-def sample_weighted(df: DataFrame, group: list[str], keys: list[str], weight: str, k: int, seed: int, scope: str) -> DataFrame:
-    """``k`` rows of each group without replacement with chances by weight (Efraimidis-Spirakis); all of smaller groups,
-    see ``require_rows``."""
+def sample_weighted(df: DataFrame, group: list[str], keys: list[str], weight: str, k: int, seed: int, scope: str, strict: bool = True) -> DataFrame:
+    """``k`` rows of each group without replacement with chances by weight (Efraimidis-Spirakis). A group with fewer is an
+    error, or taken whole unless ``strict``."""
+    if strict:
+        require_rows(df.filter(F.col(weight) > 0), group, k)
     u = uniform(hash_key(seed, scope, *map(F.col, keys)))
     return sample_per_group(df.filter(F.col(weight) > 0), group, [-F.log(u) / F.col(weight), *keys], k)
 

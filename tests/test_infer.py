@@ -60,6 +60,86 @@ def test_the_cache_is_appended_to(spark, tmp_path):
     assert second == {"p0": "one p0", "p1": "one p1", "p2": "one p2", "p3": "one p3", "p4": "two p4", "p5": "two p5"}
 
 
+def test_only_what_failed_is_asked_again(spark, tmp_path):
+    """A batch that gives some responses and then breaks off; every request is noted in a file."""
+    notes = str(tmp_path / "notes")
+
+    def model(asked):
+        with open(notes, "a") as f:
+            f.write("|".join(asked) + "\n")
+        for p in asked:
+            if p == "p4" and len(asked) > 1:
+                raise I.RateLimited("429")
+            yield f"to {p}"
+
+    rows = I.infer(prompts(spark).coalesce(1), "prompt", model, first_wait=0.001).collect()
+    assert [r.response for r in rows] == [f"to p{i}" for i in range(6)] and not any(r.error for r in rows)
+    assert sorted(open(notes).read().split()) == ["p0|p1|p2|p3|p4|p5", "p4", "p5"]
+
+
+def test_a_server_with_limits(spark):
+    """Threads are bounded, order is kept, 429s are tried again, and the pace is kept by all."""
+    import threading
+    import time
+
+    state = {"now": 0, "most": 0, "n": 0, "times": []}
+
+    def model(asked):
+        lock = state.setdefault("lock", threading.Lock())
+        with lock:
+            state["now"] += 1
+            state["n"] += 1
+            state["most"] = max(state["most"], state["now"])
+            state["times"].append(time.monotonic())
+            busy = state["n"] % 3 == 0
+        time.sleep(0.01)
+        with lock:
+            state["now"] -= 1
+            n, most, spread = state["n"], state["most"], state["times"][-1] - state["times"][0]
+        if busy:
+            raise I.RateLimited("429")
+        return [f"{asked[0]},{n},{most},{spread}"]
+
+    per_task = 100.0
+    rows = I.infer(prompts(spark, 40).coalesce(1), "prompt", model, first_wait=0.001, single=True, threads=4, per_second=per_task * spark.sparkContext.defaultParallelism).collect()
+    out = [r.response.split(",") for r in rows]
+    assert [o[0] for o in out] == [f"p{i}" for i in range(40)]
+    assert max(int(o[2]) for o in out) <= 4 and max(int(o[1]) for o in out) >= 58
+    assert max(float(o[3]) for o in out) >= 57 / per_task
+
+
+def test_deadline(spark):
+    import time
+
+    def model(asked):
+        time.sleep(0.2)
+        return asked
+
+    rows = I.infer(prompts(spark, 20).coalesce(1), "prompt", model, single=True, threads=2, deadline=0.5).collect()
+    done = [r.response is not None for r in rows]
+    assert 2 <= sum(done) <= 8 and all(r.error == "TimeoutError: deadline" for r in rows if r.response is None)
+
+
+def test_a_job_that_breaks_off_keeps_its_waves(spark, tmp_path, monkeypatch):
+    path, waves = str(tmp_path / "cache"), []
+    inner = I.infer
+
+    def breaking(df, *a, **k):
+        waves.append(1)
+        if len(waves) == 3:
+            raise KeyboardInterrupt
+        return inner(df, *a, **k)
+
+    monkeypatch.setattr(I, "infer", breaking)
+    with pytest.raises(KeyboardInterrupt):
+        I.infer_with_cache(prompts(spark, 40), path, lambda asked: [f"one {p}" for p in asked], wave_rows=10)
+    kept = {r["index"] for r in spark.read.schema(I.CACHE_SCHEMA).json(path).collect()}
+    assert 0 < len(kept) < 40
+    monkeypatch.setattr(I, "infer", inner)
+    rows = {r["index"]: r.response for r in I.infer_with_cache(prompts(spark, 40), path, lambda asked: [f"two {p}" for p in asked], wave_rows=10).collect()}
+    assert rows == {i: f"{'one' if i in kept else 'two'} p{i}" for i in range(40)}
+
+
 def test_encode(spark):
     v = I.encode(prompts(spark, 2), "prompt", lambda texts: [[3.0, 4.0]] * len(texts)).first().vector
     assert list(v) == [0.6, 0.8]
