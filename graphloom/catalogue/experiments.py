@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import experiments as E
+from graphloom.operators import rules as R
 from graphloom.plans import Scratch
 from graphloom.sources import table
 
@@ -110,3 +111,53 @@ def latency_summary(spark: SparkSession, sf: str) -> DataFrame:
     for k, p in _QUANTILES.items():
         agrees = agrees & (F.col(f"b_{k}") <= (p + 0.03) * F.col("_n")) & (F.col(f"u_{k}") >= (p - 0.03) * F.col("_n"))
     return exact.join(ranks, "control").select("control", "n", *_QUANTILES, "peak", agrees.alias("sketch_agrees"))
+
+
+#: Customers live in nations, which are part of regions; two thirds are also in their region, and nations are home of half of them.
+_RULE_GRAPH = """g AS (SELECT 'C' || c_custkey AS src, 'lives_in' AS rel, 'N' || c_nationkey AS dst FROM customer
+  UNION ALL SELECT 'N' || c_nationkey, 'home_of', 'C' || c_custkey FROM customer WHERE c_custkey % 2 = 0
+  UNION ALL SELECT 'C' || c_custkey, 'in_region', 'R' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 <> 0
+  UNION ALL SELECT 'N' || n_nationkey, 'part_of', 'R' || n_regionkey FROM nation)"""
+_RULES = f"""{_RULE_GRAPH}, sz AS (SELECT rel, count(*) AS n FROM g GROUP BY rel),
+inv AS (SELECT a.rel AS r1, b.rel AS head, count(*) AS support FROM g a JOIN g b ON a.src = b.dst AND a.dst = b.src GROUP BY ALL),
+two AS (SELECT a.rel AS r1, b.rel AS r2, a.src AS x, b.dst AS z FROM g a JOIN g b ON a.dst = b.src WHERE a.src <> b.dst),
+tot AS (SELECT r1, r2, count(*) AS n FROM two GROUP BY ALL), com AS (SELECT r1, r2, g.rel AS head, count(*) AS support FROM two JOIN g ON g.src = x AND g.dst = z GROUP BY ALL),
+rules AS (SELECT 'inverse' AS kind, r1, NULL::VARCHAR AS r2, head, support, n AS total, support / n AS confidence FROM inv JOIN sz ON sz.rel = r1
+  UNION ALL SELECT 'composition', com.r1, com.r2, head, support, n, support / n FROM com JOIN tot ON tot.r1 = com.r1 AND tot.r2 = com.r2)"""
+
+
+def _rule_graph(spark: SparkSession, sf: str) -> DataFrame:
+    c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
+    name = lambda prefix, k: F.concat(F.lit(prefix), F.col(k).cast("string"))
+    edge = lambda df, src, rel, dst: df.select(src.alias("src"), F.lit(rel).alias("rel"), dst.alias("dst"))
+    customer, nation, home, region = name("C", "c_custkey"), name("N", "n_nationkey"), name("N", "c_nationkey"), name("R", "n_regionkey")
+    placed = c.join(n, c["c_nationkey"] == n["n_nationkey"])
+    parts = [edge(c, customer, "lives_in", home), edge(c.filter("c_custkey % 2 = 0"), home, "home_of", customer), edge(placed.filter("c_custkey % 3 <> 0"), customer, "in_region", region), edge(n, nation, "part_of", region)]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+
+
+@query(f"WITH {_RULES} SELECT kind, r1, r2, head, support, total, round(confidence, 9) AS confidence FROM rules")
+def relation_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(R.relation_rules(_rule_graph(spark, sf)), "confidence")
+
+
+@query(f"""WITH {_RULES}, q AS (SELECT 'r' || c_custkey AS question_id, 'C' || c_custkey AS source, 'R' || n_regionkey AS target, 'in_region' AS answer, 2 + c_custkey % 2 AS true_hop FROM customer JOIN nation ON n_nationkey = c_nationkey
+  UNION ALL SELECT 'n' || c_custkey, 'C' || c_custkey, 'N' || c_nationkey, 'lives_in', 2 FROM customer),
+good AS (SELECT * FROM rules WHERE support >= 2 AND confidence >= 0.5)
+SELECT question_id, EXISTS (SELECT 1 FROM g WHERE src = source AND dst = target) AS direct, EXISTS (SELECT 1 FROM g WHERE src = target AND dst = source) AS inverse,
+  EXISTS (SELECT 1 FROM customer WHERE 'n' || c_custkey = question_id AND c_custkey % 5 = 0) AS described,
+  EXISTS (SELECT 1 FROM g JOIN good ON kind = 'inverse' AND r1 = g.rel AND head = answer WHERE true_hop > 1 AND g.src = target AND g.dst = source)
+  OR EXISTS (SELECT 1 FROM g a JOIN g b ON a.dst = b.src JOIN good ON kind = 'composition' AND r1 = a.rel AND r2 = b.rel AND head = answer WHERE true_hop > 2 AND a.src = source AND b.dst = target) AS equivalent FROM q""")
+def shortcut_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions on regions and nations of customers; texts of every fifth customer contain its nation's name."""
+    graph, c, n = _rule_graph(spark, sf), table(spark, sf, "customer"), table(spark, sf, "nation")
+    key = F.col("c_custkey").cast("string")
+    name = lambda prefix, k: F.concat(F.lit(prefix), F.col(k).cast("string"))
+    asked = lambda kind, target, answer, hop: F.struct(F.concat(F.lit(kind), key).alias("question_id"), F.concat(F.lit("C"), key).alias("source"), target.alias("target"), F.lit(answer).alias("answer"), hop.cast("long").alias("true_hop"))
+    rows = c.join(n, c["c_nationkey"] == n["n_nationkey"])
+    both = F.array(asked("r", name("R", "n_regionkey"), "in_region", 2 + F.col("c_custkey") % 2), asked("n", name("N", "c_nationkey"), "lives_in", F.lit(2)))
+    q = rows.select(F.explode(both).alias("q")).select("q.*")
+    # each fifth customer has a text that contains its nation's
+    text = F.when(F.col("c_custkey") % 5 == 0, F.concat("n_name", F.lit(" old"))).otherwise(F.lit("someone"))
+    texts = rows.select(F.concat(F.lit("C"), key).alias("entity"), text.alias("text")).unionAll(n.select(name("N", "n_nationkey").alias("entity"), F.upper("n_name").alias("text")))
+    return R.shortcut_checks(q, graph, R.relation_rules(graph), texts)

@@ -219,13 +219,13 @@ def dataset_knowledge_graph(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: Two triples of every order line; parts have entries, some of them empty ones, suppliers and orders don't.
-_LINES = """ln AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS n, l_orderkey, l_partkey, l_suppkey, l_returnflag FROM lineitem),
+_LINES = """ln AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag) - 1 AS n, l_orderkey, l_partkey, l_suppkey, l_returnflag FROM lineitem),
 tr AS (SELECT 2 * n AS idx, 'O' || l_orderkey AS src, 'has_part_' || lower(l_returnflag) AS rel, 'P' || l_partkey AS dst FROM ln UNION ALL SELECT 2 * n + 1, 'P' || l_partkey, 'sold_by', 'S' || l_suppkey FROM ln),
 first AS (SELECT e, min("at") AS seen FROM (SELECT src AS e, 2 * idx AS "at" FROM tr UNION ALL SELECT dst, 2 * idx + 1 FROM tr) AS u GROUP BY e)"""
 
 
 def _line_triples(spark: SparkSession, sf: str) -> DataFrame:
-    rows = dense_index(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"), "n", ["l_orderkey", "l_linenumber", "l_partkey"])
+    rows = dense_index(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"), "n", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"])
     name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
     has = F.struct((2 * F.col("n")).alias("idx"), name("O", "l_orderkey").alias("src"), F.concat(F.lit("has_part_"), F.lower("l_returnflag")).alias("rel"), name("P", "l_partkey").alias("dst"))
     sold = F.struct((2 * F.col("n") + 1).alias("idx"), name("P", "l_partkey").alias("src"), F.lit("sold_by").alias("rel"), name("S", "l_suppkey").alias("dst"))
