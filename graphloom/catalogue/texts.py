@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as X
 from graphloom.operators import graph as G
 from graphloom.operators import infer as I
+from graphloom.operators import orchestrate as O
 from graphloom.operators import sample as S
 from graphloom.operators import tasks as T
 from graphloom.plans import Scratch
@@ -242,3 +243,49 @@ def judged_share(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.col("event_type")
     r = F.when(kind == "click", " Yes.").when(kind == "view", "the yes!").otherwise("no")
     return I.judged_share(table(spark, sf, "events").select(r.alias("response"))).withColumn("llm", F.round("llm", 9))
+
+
+def _busy(prompts: list[str]):
+    """Answers one by one until a batch comes to a prompt that it is asked to send alone."""
+    for p in prompts:
+        if len(prompts) > 1 and len(p) % 7 == 0:
+            raise I.RateLimited("429")
+        yield f"Answer: {p}"
+
+
+@query("SELECT item_id, text AS prompt, 'Answer: ' || text AS response, NULL::VARCHAR AS error FROM benchmark WHERE text IS NOT NULL")
+def infer_retries(spark: SparkSession, sf: str) -> DataFrame:
+    """A back end that breaks off most batches: what it gave counts, the rest is asked again."""
+    prompts = table(spark, sf, "benchmark").filter("text IS NOT NULL").select("item_id", F.col("text").alias("prompt"))
+    return I.infer(prompts, "prompt", _busy, first_wait=0.001)
+
+
+@query("SELECT item_id, round(length(text) / sqrt(length(text) * length(text) + 144), 9) AS x, round(12 / sqrt(length(text) * length(text) + 144), 9) AS y FROM benchmark WHERE text IS NOT NULL")
+def encoded_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Unit vectors of a text's length and a constant."""
+    texts = table(spark, sf, "benchmark").filter("text IS NOT NULL")
+    v = I.encode(texts, "text", lambda some: [[float(len(t)), 12.0] for t in some])
+    return v.select("item_id", F.round(F.col("vector")[0], 9).alias("x"), F.round(F.col("vector")[1], 9).alias("y"))
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY md5('7:fixed:' || c_custkey), c_custkey LIMIT 25")
+def fixed_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """A sample whose size is checked."""
+    return S.sample_exactly(table(spark, sf, "customer").select("c_custkey", "c_name"), 7, "fixed", ["c_custkey"], 25)
+
+
+@query("SELECT c_custkey::VARCHAR AS value FROM customer")
+def fallback_reference(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of the validation file, where the training file isn't there."""
+    base = Scratch(spark, "reference").base
+    table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("value")).write.text(f"{base}/val.txt")
+    return spark.read.text(O.reference_file(spark, f"{base}/train.txt", f"{base}/val.txt"))
+
+
+@query("""WITH c AS (SELECT event_type, count(*) FILTER (value > 50) AS wanted, count(*) AS n FROM events GROUP BY event_type)
+SELECT event_type, n FROM c WHERE wanted > 0""")
+def active_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    """Kinds of events with a positive number of wanted ones."""
+    e = table(spark, sf, "events")
+    counts = {r.event_type: r.n for r in e.groupBy("event_type").agg(F.count(F.when(F.col("value") > 50, 1)).alias("n")).collect()}
+    return e.filter(F.col("event_type").isin(T.active_tasks(counts, 1))).groupBy("event_type").agg(F.count("*").alias("n"))

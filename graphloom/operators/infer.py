@@ -230,7 +230,9 @@ def encode(texts: DataFrame, column: str, model: Callable[[list[str]], list[list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vectors = model(b.column(column).to_pylist())
+            vectors = list(model(b.column(column).to_pylist()))
+            if len(vectors) != b.num_rows:
+                raise ValueError(f"{len(vectors)} vectors for {b.num_rows} texts")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float64()))], [*b.schema.names, "vector"])
 
     return texts.mapInArrow(run, schema).withColumn("vector", l2_normalized(F.col("vector")))
