@@ -25,6 +25,10 @@ well: reader comments differ on every page, which no tree can tell from the
 article. Main content (``article`` and ``main``) is a page's text, unless it is
 less than half of what is left: then it is a teaser, and all that is left stays.
 
+Markup may be malformed: tags that are never closed end with the page, a quote
+that doesn't close a value is a character of its tag, and noise within a line
+(hidden spans, buttons, links to share) goes without the rest of its block.
+
 Sums are partial by branch and block, so no host is ever in one task. Blocks
 count for the branch they stand in, and only these sums, not the blocks, go to
 the branches above. Pages of null url form a host of their own. Null and empty
@@ -83,9 +87,12 @@ LAYOUT_WORDS = frozenset(
     "area bar block body bottom box button buttons container form global group holder inner item items left link links list main message outer "
     "page panel post posts right row section site sticky thread top wrap wrapper".split()
 )
+#: Names inside main content that decide by id too: readers' comments differ on every page, which no tree can tell from the article.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+# a quote opens a value only after =, and only if it ends where a value may; a stray one is a character like any other
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')(?=[\s/>]|\Z)|=)*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[a-z]+")
@@ -112,10 +119,11 @@ class _Element:
         in_main = up is not None and up.main
         self.main = in_main or tag in ("article", "main")
         noise = hidden or tag == "head"
-        if roles and not noise and tag not in ("body", "html", "article", "main"):
+        # an article within main content may be a reader's comment
+        if roles and not noise and (in_main or tag not in ("article", "main")) and tag not in ("body", "html"):
             noise = tag in NOISE_TAGS or (tag == "header" and not in_main)
             if not noise and (classes or ids) and not (in_main and tag in HEADINGS):
-                noise = says_noise(classes) or (not in_main and says_noise(ids))
+                noise = says_noise(classes) or (says_noise(ids) and (not in_main or not COMMENT_WORDS.isdisjoint(_WORDS.findall(ids))))
         self.noise = noise or (up is not None and up.noise)
         # (key, node above, whether the tree may remove it, depth) of the branch it stands in, None for the body
         self.node, self.own = up.node if up is not None and tag != "body" else None, False
@@ -136,11 +144,18 @@ def parse(page: str | None, host: str = "", roles: bool = True) -> tuple[list[tu
     held: list[str] = []
     open_ = Counter()  # saves the search of the stack for what isn't there
 
+    # where the text of noise within a line begins in held, and the element that it began with
+    muted: list[tuple[int, _Element]] = []
+
     def flush() -> None:
+        e = stack[-1]
+        if muted:
+            e = next(stack[i - 1] for i in range(len(stack) - 1, 0, -1) if stack[i] is muted[0][1])
+            del held[muted[0][0] :]
+            muted[0] = (0, muted[0][1])
         text = " ".join(html.unescape("".join(held)).split()) if held else ""
         held.clear()
         if text:
-            e = stack[-1]
             if e.node:
                 contents.append((e.node[0], _key(text)))
             if not e.noise:
@@ -150,6 +165,8 @@ def parse(page: str | None, host: str = "", roles: bool = True) -> tuple[list[tu
         while len(stack) > upto:
             e = stack.pop()
             open_[e.tag] -= 1
+            if muted and muted[0][1] is e:
+                del held[muted.pop()[0] :]
             if e.own:
                 styles.append((e.node[0], _key(">".join(e.children))))
                 edges[e.node[0]] = e.node[1][0] if e.node[1] else 0
@@ -198,7 +215,10 @@ def parse(page: str | None, host: str = "", roles: bool = True) -> tuple[list[tu
             if tag in BLOCKS and (not siblings or siblings[-1] != tag):
                 siblings.append(tag)
             open_[tag] += 1
-            stack.append(_Element(tag, stack[-1], classes, ids, bool(m[3]) and _HIDDEN.search(m[3]) is not None, host, roles))
+            e = _Element(tag, stack[-1], classes, ids, bool(m[3]) and _HIDDEN.search(m[3]) is not None, host, roles)
+            if e.noise and not stack[-1].noise and tag not in BLOCKS:
+                muted[:] = [(len(held), e)]
+            stack.append(e)
     flush()
     close(0)
     return blocks, styles, contents, edges

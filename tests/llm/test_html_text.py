@@ -1,5 +1,6 @@
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -192,3 +193,27 @@ def test_clashing_columns_and_repeated_rows(spark):
     pages = pages.withColumns({c: F.lit(7) for c in ("host", "row", "blocks", "removed", "branch", "packed", "data", "text", "n_chars")})
     found = H.extract_text(pages).collect()
     assert len(found) == 2 and {r.text for r in found} == {"A & B\n\nOne two three\n\nFour <5"}
+
+
+def test_malformed_markup_and_noise_within_lines():
+    def text(page):
+        return "|".join(b[0] for b in H.parse(page)[0])
+
+    assert text("<article><p title=it's>Hello one</p><p>Second</p></article>") == "Hello one|Second"
+    assert text("<article><p data-x='unclosed>Hello one</p><p>it's second</p></article>") == "Hello one|it's second"
+    assert text("<p title=\"a > b\" class = 'x y'>One</p><p title='>'>Two</p><p a=\"b\"c>Three") == "One|Two|Three"
+    assert text("<p a=\">One</p><p>Two") == "One|Two"
+    assert text("<article>Body<article class='comment'>reader</article><article>nested</article></article>") == "Body|nested"
+    assert text("<main><p>Body</p><section id='comments'><p>reader</p></section><div id=comments>more</div><div id='notice-1'>kept</div></main>") == "Body|kept"
+    assert text("<article><p>One <span class='ad'>buy <b>now</b></span>two <a class=share href=x>send</a><button>go</button> three<span hidden>x</span></p></article>") == "One two three"
+    # noise within a line that holds blocks, and that is never closed
+    assert text("<article>One <span class='ad'>buy<p>more</p>yet</span> two</article>") == "One|two"
+    assert text("<article><p>One <span hidden>x<p>y</article><p>Two") == "One|y|Two"
+    assert text("<p><span hidden>x</span></p><p>Two") == "Two"
+
+
+def test_attributes_take_linear_time():
+    began = time.monotonic()
+    for page in ("<p " + "a='x " * 200_000, "<p " + "a=\"" * 300_001, "<p a='" * 200_001, "<p " + "=" * 1_000_000 + "\"", "<span hidden>x" * 100_000, "<p a=\"'" * 100_000):
+        H.parse(page)
+    assert time.monotonic() - began < 30
