@@ -189,7 +189,31 @@ def adapter_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return T.eval_prompts("adapter", q, kg_multi(spark, sf))
 
 
-@query(f"""WITH {QA_PAIRS} SELECT id, '{{}}' || question || chr(10) || 'Candidate answer: ' || prediction || chr(10) || 'Ground truth: [' || array_to_string(targets, ', ') || ']' || chr(10) || 'Evaluation: ' AS prompt FROM qa_pairs""".replace("{}", I.judge_head().replace("'", "''")))
+_JUDGE_HEAD = """Decide whether a model''s answer matches one of the true answers. An answer that includes a true one, or says the same in other words, matches. Reply with yes or no, without quotes.
+
+--Example 1--
+Question: What is in the box?
+Candidate answer: a pizza slice.
+Ground truth: [pizza, pizza slice]
+Evaluation: yes
+
+--Example 2--
+Question: On which side of the image are the chairs?
+Candidate answer: The chairs are on the left side of the image.
+Ground truth: [right]
+Evaluation: no
+
+--Example 3--
+Question: Who is wearing the hat?
+Candidate answer: the guy at coordinate (410, 163)
+Ground truth: [guy]
+Evaluation: yes
+
+--Real task--
+Question: """
+
+
+@query(f"""WITH {QA_PAIRS} SELECT id, '{_JUDGE_HEAD}' || question || chr(10) || 'Candidate answer: ' || prediction || chr(10) || 'Ground truth: [' || array_to_string(targets, ', ') || ']' || chr(10) || 'Evaluation: ' AS prompt FROM qa_pairs""")
 def judge_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return qa_pairs(spark, sf).select("id", I.judge_prompt(F.col("question"), F.col("prediction"), F.col("targets")).alias("prompt"))
 

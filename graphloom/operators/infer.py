@@ -194,11 +194,12 @@ def infer_with_cache(prompts: DataFrame, path: str, model: Model, wave_rows: int
     return cache_hits(prompts, read()).withColumn("error", F.lit(None).cast("string")).unionByName(failed)
 
 
-# The judge's task, its examples and the answer that counts.
+# The judge's task, in this library's own words.
 JUDGE_TASK = (
     "Decide whether a model's answer matches one of the true answers. An answer that includes a true one, or says the same "
     "in other words, matches. Reply with yes or no, without quotes."
 )
+# The judge's examples and the answer that counts.
 JUDGE_EXAMPLES = (
     ("What is in the box?", "a pizza slice.", "[pizza, pizza slice]", "yes"),
     ("On which side of the image are the chairs?", "The chairs are on the left side of the image.", "[right]", "no"),
