@@ -189,18 +189,28 @@ def dataset_webqsp(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT 'concept:c' || c_custkey AS src, 'concept:lives' AS rel, 'concept:n' || c_nationkey AS dst, CASE c_custkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'valid' ELSE 'test' END AS split FROM customer WHERE c_custkey % 7 <> 0")
 def concept_splits(spark: SparkSession, sf: str) -> DataFrame:
+    return _concepts(spark, sf)[0]
+
+
+def _concepts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Heads of every seventh line are no concepts."""
     k = F.col("c_custkey")
     head = F.concat(F.when(k % 7 == 0, "thing:c").otherwise("concept:c"), k.cast("string"))
     lines = table(spark, sf, "customer").select(k, F.concat_ws("\t", head, F.concat(F.lit("concept:n"), F.col("c_nationkey").cast("string")), F.lit("concept:lives")).alias("value"))
-    triples, _ = R.concept_splits(*[lines.filter(k % 3 == i).select("value") for i in range(3)])
-    return triples
+    return R.concept_splits(*[lines.filter(k % 3 == i).select("value") for i in range(3)])
+
+
+@query("SELECT DISTINCT 'concept:c' || c_custkey AS entity FROM customer WHERE c_custkey % 7 <> 0 UNION SELECT 'concept:n' || c_nationkey FROM customer WHERE c_custkey % 7 <> 0")
+def concept_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return _concepts(spark, sf)[1]
 
 
-@query("SELECT 'N' || n_nationkey AS entity, n_name AS text FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier)")
+@query(f"WITH {KG_SMALL}, d AS (SELECT 'N' || n_nationkey AS entity, n_name AS text FROM nation UNION ALL SELECT 'P' || p_partkey, p_name FROM part UNION ALL SELECT 'R' || r_regionkey, r_name FROM region) SELECT entity, text FROM d WHERE entity IN (SELECT src FROM kg_small UNION SELECT dst FROM kg_small)")
 def used_entries(spark: SparkSession, sf: str) -> DataFrame:
-    entries = table(spark, sf, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("entity"), F.col("n_name").alias("text"))
-    return R.used_entries(entries, kg_small(spark, sf).filter("rel <> 'part_of'"))
+    """A dictionary of nations, regions and parts, of which the triples have no part."""
+    named = lambda t, prefix, key, text: table(spark, sf, t).select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("entity"), F.col(text).alias("text"))
+    entries = named("nation", "N", "n_nationkey", "n_name").unionAll(named("part", "P", "p_partkey", "p_name")).unionAll(named("region", "R", "r_regionkey", "r_name"))
+    return R.used_entries(entries, kg_small(spark, sf))
 
 
 @query(f"""WITH {KG_SMALL}, ids AS (SELECT e, row_number() OVER (ORDER BY seen) - 1 AS id FROM (SELECT e, min("at") AS seen FROM (SELECT 'C' || c_custkey AS e, c_custkey AS "at" FROM customer
@@ -300,13 +310,13 @@ def dataset_graph_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {PRED_LOG}, d AS (SELECT *, coalesce(adapter_control, 'correct') AS c, coalesce(split, 'unknown') AS s FROM pred_log),
-r AS (SELECT 'hop' AS family, 'hop=' || true_hop || '|k=' || recurrence_k || '|adapter=' || c AS bucket FROM d WHERE true_hop >= 1
-  UNION ALL SELECT 'k', 'k=' || recurrence_k || '|adapter=' || c FROM d UNION ALL SELECT 'split', 'split=' || s || '|k=' || recurrence_k || '|adapter=' || c FROM d)
-SELECT family, bucket, count(*) AS count FROM r GROUP BY family, bucket""")
+r AS (SELECT 'hop' AS family, 'hop=' || true_hop || '|k=' || recurrence_k || '|adapter=' || c AS bucket, correct FROM d WHERE true_hop >= 1
+  UNION ALL SELECT 'k', 'k=' || recurrence_k || '|adapter=' || c, correct FROM d UNION ALL SELECT 'split', 'split=' || s || '|k=' || recurrence_k || '|adapter=' || c, correct FROM d)
+SELECT family, bucket, count(*) AS count, round(avg(correct::INT), 9) AS accuracy FROM r GROUP BY family, bucket""")
 def sink_buckets(spark: SparkSession, sf: str) -> DataFrame:
     path = _folder(spark, "buckets")
     sinks.write_buckets(accuracy_buckets(pred_log(spark, sf)), path)
-    return spark.read.schema("bucket string, count long, accuracy double, family string").option("header", True).csv(path).select("family", "bucket", "count")
+    return spark.read.schema("bucket string, count long, accuracy double, family string").option("header", True).csv(path).select("family", "bucket", "count", F.round("accuracy", 9).alias("accuracy"))
 
 
 @query("SELECT count(*) AS n, sum(c_acctbal)::DECIMAL(18,2)::VARCHAR AS total FROM customer")

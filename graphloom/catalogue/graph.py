@@ -152,18 +152,18 @@ def pair_paths(spark: SparkSession, sf: str) -> DataFrame:
     return P.pair_paths(P.adjacency(kg_small(spark, sf)), nations.unionAll(homes)).withColumn("path", F.array_join("path", ">"))
 
 
-#: Directed cycles of three, five and seven customers that share customer 0, and a chain that leaves them.
-CYCLES = """cyc AS (SELECT 0 AS src, 1 AS dst UNION SELECT 1, 2 UNION SELECT 2, 0 UNION SELECT c_custkey + 100, c_custkey + 101 FROM customer WHERE c_custkey < 40
-  UNION SELECT 140, 101 UNION SELECT 0, 101 UNION SELECT 2, 120 UNION SELECT 130, 1)"""
+#: The triples, nations of each region, and a ring of all nations: directed cycles of many lengths.
+CYCLES = """cyc AS (SELECT src, dst FROM kg_small UNION SELECT 'R' || n_regionkey, 'N' || n_nationkey FROM nation UNION SELECT 'N' || n_nationkey, 'N' || ((n_nationkey + 1) % 25) FROM nation)"""
 
 
-@query(f"""WITH RECURSIVE {CYCLES}, walk AS (SELECT DISTINCT src AS source, src AS node, 0 AS d FROM cyc
-  UNION SELECT w.source, c.dst, d + 1 FROM walk w JOIN cyc c ON c.src = w.node WHERE d < 60)
-SELECT source::VARCHAR AS source, node::VARCHAR AS node, min(d)::INT AS distance FROM walk GROUP BY source, node""")
+@query(f"""WITH RECURSIVE {KG_SMALL}, {CYCLES}, walk AS (SELECT DISTINCT src AS source, src AS node, 0 AS d FROM cyc
+  UNION SELECT w.source, c.dst, d + 1 FROM walk w JOIN cyc c ON c.src = w.node WHERE d < 12)
+SELECT source, node, min(d)::INT AS distance FROM walk GROUP BY source, node""")
 def bfs_directed(spark: SparkSession, sf: str) -> DataFrame:
-    some = table(spark, sf, "customer").filter("c_custkey < 40").select((F.col("c_custkey") + 100).cast("string").alias("src"), (F.col("c_custkey") + 101).cast("string").alias("dst"))
-    extra = spark.createDataFrame([(str(a), str(b)) for a, b in [(0, 1), (1, 2), (2, 0), (140, 101), (0, 101), (2, 120), (130, 1)]], "src string, dst string")
-    edges = some.unionAll(extra)
+    """Distances from every node with a way out."""
+    n, k = table(spark, sf, "nation"), F.col("n_nationkey")
+    name = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    edges = kg_small(spark, sf).select("src", "dst").unionAll(n.select(name("R", F.col("n_regionkey")), name("N", k))).unionAll(n.select(name("N", k), name("N", (k + 1) % 25)))
     return P.bfs(P.adjacency(edges, directed=True), edges.select(F.col("src").alias("source")).distinct())
 
 
@@ -202,14 +202,14 @@ def khop_subgraph(spark: SparkSession, sf: str) -> DataFrame:
     return P.khop_subgraph(edges, table(spark, sf, "customer").select(name.alias("query"), name.alias("node")), hops=2)
 
 
-@query(f"""WITH {KG_SMALL}, e AS (SELECT 'R' || n_regionkey AS src, 'N' || n_nationkey AS dst FROM nation UNION ALL SELECT dst, src FROM kg_small WHERE rel = 'lives_in'),
+@query(f"""WITH {KG_SMALL}, e AS (SELECT dst AS src, src AS dst FROM kg_small),
 h1 AS (SELECT r.q AS query, dst AS node FROM (SELECT DISTINCT 'R' || n_regionkey AS q FROM nation) r JOIN e ON src = q),
 k1 AS (SELECT * FROM h1 QUALIFY row_number() OVER (PARTITION BY query ORDER BY md5('0:hop1:' || query || ':' || node), node) <= 2),
 h2 AS (SELECT DISTINCT query, dst AS node FROM k1 JOIN e ON src = node),
 k2 AS (SELECT * FROM h2 QUALIFY row_number() OVER (PARTITION BY query ORDER BY md5('0:hop2:' || query || ':' || node), node) <= 2)
 SELECT DISTINCT 'R' || n_regionkey AS query, 'R' || n_regionkey AS node FROM nation UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2""")
 def khop_sampled_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    e = kg_small(spark, sf).filter("rel in ('lives_in', 'part_of')").select(F.col("dst").alias("src"), "rel", F.col("src").alias("dst"))
+    e = kg_small(spark, sf).select(F.col("dst").alias("src"), "rel", F.col("src").alias("dst"))
     roots = table(spark, sf, "nation").select(F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("query")).distinct()
     return P.khop_nodes(e, roots.withColumn("node", F.col("query")), hops=2, cap=2)
 
