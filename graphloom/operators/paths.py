@@ -128,7 +128,8 @@ def pair_distances(neighbours: DataFrame, pairs: DataFrame, max_depth: int | Non
     """
     sources = pairs.select("source").distinct()
     if symmetric and both_ends is None:
-        neighbours = Scratch(neighbours.sparkSession, "distances").save(neighbours, "neighbours")
+        scratch = Scratch(neighbours.sparkSession, "distances")
+        neighbours, sources = scratch.save(neighbours, "neighbours"), scratch.save(sources, "sources")
         both_ends = sources.count() * neighbours.count() > FLOOD_ROWS
     if symmetric and both_ends:
         reached = pair_paths(neighbours, pairs, max_depth)
