@@ -143,6 +143,13 @@ def test_paths_from_both_ends(spark, links):
     assert found == want
 
 
+def test_both_searches_agree(spark):
+    graph = P.adjacency(edges(spark, [(a, "r", b) for a, b in ("ab", "bc", "cd", "ad", "de", "xy")]))
+    pairs = spark.createDataFrame([(a, b, k) for k, (a, b) in enumerate(("ae", "bd", "ax", "zz", "ya", "ca"))], "source string, target string, k int")
+    rows = [sorted(map(tuple, P.pair_distances(graph, pairs, symmetric=True, both_ends=w).select("k", "distance", "path", "reachable", "true_hop").collect())) for w in (True, False, None)]
+    assert rows[0] == rows[1] == rows[2] and [r[1] for r in rows[0]] == [2, 2, None, 0, None, 2]
+
+
 def test_a_hub_beside_the_way_and_settled_pairs_are_not_extended(spark):
     """Near the source is a hub of 20,000 leaves; the way leads along a chain on the other side of it."""
     leaves = spark.range(20_000).select(F.lit("hub").alias("node"), F.concat(F.lit("leaf"), "id").alias("next"))
