@@ -209,17 +209,16 @@ def prediction_violations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {PRED_LOG} SELECT question_id, recurrence_k, adapter_control, arg_max(correct, pos) AS correct, max(pos) AS pos FROM pred_log GROUP BY ALL""")
 def prediction_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The log comes in five files, is appended as a stream, compacted after two of them, and read by its last entries."""
+    """The log comes in five parts, each appended as one batch, so that batches follow the log however many files a part
+    has; it is compacted after two of them and read by its last entries."""
     base = Scratch(spark, "stream").base
     inbox, out, state = (f"{base}/{name}" for name in ("in", "out", "state"))
     log = pred_log(spark, sf).drop("split", "true_hop")
     schema = "question_id string, recurrence_k long, adapter_control string, correct boolean, pos long"
     top = log.agg(F.max("pos")).first()[0] or 0
     for k in range(5):
-        # the last two files are a later run
         log.filter(F.floor(F.col("pos") * 5 / (top + 1)) == k).write.json(f"{inbox}/{k}")
-        if k in (1, 4):
-            L.append_stream(L.read_log(spark, f"{inbox}/*", schema, files_per_batch=1), out, state).awaitTermination()
+        L.append_stream(L.read_log(spark, f"{inbox}/*", schema), out, state).awaitTermination()
         if k == 1:
             L.compact(spark, out, schema=schema)
     return L.read_entries(spark, out, schema=schema)

@@ -25,7 +25,8 @@ PROMPT = ("index", "prompt_sha256")
 
 
 def read_log(spark: SparkSession, path: str, schema: str = PREDICTION, files_per_batch: int | None = None) -> DataFrame:
-    """New files of a folder, as they come."""
+    """New files of a folder, as they come. With ``files_per_batch`` batches follow the files' times, so that no file may
+    hold entries that come before those of an earlier one."""
     reader = spark.readStream.schema(schema)
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).json(path)
 

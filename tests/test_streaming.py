@@ -1,7 +1,9 @@
 import json
+import os
 
 import pytest
 
+import graphloom.catalogue
 from graphloom.streaming import prediction_log as L
 
 SCHEMA = "question_id string, recurrence_k int, adapter_control string, correct boolean, pos long"
@@ -60,3 +62,13 @@ def test_a_compaction_that_broke_off_is_ignored(spark, tmp_path):
     assert entries(spark, str(out)) == [("q", 1, "none", True, 5)]
     assert L.compact(spark, str(out), schema=SCHEMA) == 0 and entries(spark, str(out)) == [("q", 1, "none", True, 5)]
     assert L.read_entries(spark, str(tmp_path / "nothing"), schema=SCHEMA).collect() == []
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_parts_of_many_files_are_read_in_the_order_of_the_log(spark, tmp_path):
+    from .oracle import canonical_rows, connect
+
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(7, "value").write.parquet(str(tmp_path / "events.parquet"))
+    found = graphloom.catalogue.QUERIES["prediction_stream"](spark, str(tmp_path))
+    want = connect("/root/testdata/sf0.001").sql(graphloom.catalogue.ORACLE_SQL["prediction_stream"])
+    assert canonical_rows(found.columns, found.collect()) == canonical_rows(want.columns, want.fetchall())
