@@ -15,7 +15,7 @@ from graphloom.functions import text as X
 from graphloom.operators import graph as G
 from graphloom.operators import questions as Q
 from graphloom.operators.sample import sample_exactly
-from graphloom.plans import dense_index
+from graphloom.plans import dense_index, dense_index_by
 
 from . import readers as R
 
@@ -75,18 +75,16 @@ def load_knowledge_graph(spark: SparkSession, name: str, folder: str, seed: int
     sight = every.withColumn("idx", F.col("_s").cast("long") * (1 << 40) + F.col("idx")).drop("_s")
     ids = G.node_ids(entities.select("entity"), sight, entities.select("entity", "pos"))
     nodes = ids.join(entities.select("entity", "text"), "entity", "left").select("node_id", "entity", F.coalesce("text", F.lit(G.UNKNOWN)).alias("text"))
-    named = {s: _named(t, nodes) for s, t in triples.items()}
     vocab = G.relation_vocab(triples["train"])
     parts = []
     for split, source in (("val", "valid"), ("test", "test")):
-        asked = named[source].select("idx", "src", "dst", F.col("rel").alias("answer"), F.array("src_id", "dst_id").alias("roots"), F.concat_ws(":", F.lit(name), F.lit(split), F.col("idx").cast("string")).alias("question_id"))
-        if kg.limit:
-            asked = sample_exactly(asked, seed, split, ["idx"], kg.limit)
+        chosen = sample_exactly(triples[source], seed, split, ["idx"], kg.limit) if kg.limit else triples[source]
+        asked = _named(chosen, nodes).select("idx", "src", "dst", F.col("rel").alias("answer"), F.array("src_id", "dst_id").alias("roots"), F.concat_ws(":", F.lit(name), F.lit(split), F.col("idx").cast("string")).alias("question_id"))
         n = kg.candidates or max(2, vocab.count())
         asked = Q.candidates(asked, vocab, n, seed)
         question = X.relation_question(F.col("src"), F.col("dst"), F.col("candidates"), kg.node)
         parts.append(asked.select(F.lit(split).alias("split"), "idx", question.alias("question"), "roots", "answer"))
-    return {"nodes": nodes, "edges": named["train"], "questions": parts[0].unionAll(parts[1])}
+    return {"nodes": nodes, "edges": _named(triples["train"], nodes), "questions": parts[0].unionAll(parts[1])}
 
 
 def _named(triples: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -108,14 +106,16 @@ def load_scenes(spark: SparkSession, folder: str, splits: DataFrame) -> DataFram
     """``image_id, split, title, graph, questions, answers, full_answers`` of scenes with questions. ``splits``: image_id
     and split; images without are test."""
     objects, relations = R.read_scenes(spark, f"{folder}/train_sceneGraphs.json")
-    edges = G.scene_edges(objects, relations)
+    # numbered once, as a search in the scene for each end of an edge takes the square of its size
+    objects = dense_index_by(objects, ["image_id"], "place", ["object_id"])
+    end = lambda key, text, place: objects.select("image_id", F.col("object_id").alias(key), F.col("text").alias(text), F.col("place").alias(place))
+    edges = relations.join(end("object_id", "src", "from"), ["image_id", "object_id"]).join(end("target_id", "dst", "to"), ["image_id", "target_id"])
     g = objects.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("object_id", "text"))).alias("o"))
-    e = edges.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("object_id", "target_id", "src", "rel", "dst"))).alias("e"))
-    place = lambda x: F.array_position(F.col("o.object_id"), x) - 1
+    e = edges.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("object_id", "target_id", "src", "rel", "dst", "from", "to"))).alias("e"))
     none = F.array().cast("array<array<string>>")
     graph = F.struct(
         F.col("o.text").alias("node_list"), F.coalesce(F.transform("e", lambda x: F.array(x["src"], x["rel"], x["dst"])), none).alias("edge_list"),
-        F.coalesce(F.transform("e", lambda x: F.array(place(x["object_id"]), place(x["target_id"]))), F.array().cast("array<array<bigint>>")).alias("edge_index"),
+        F.coalesce(F.transform("e", lambda x: F.array(x["from"], x["to"])), F.array().cast("array<array<bigint>>")).alias("edge_index"),
     )
     graphs = g.join(e, "image_id", "left").select("image_id", graph.alias("graph"))
     asked = R.read_scene_questions(spark, f"{folder}/questions.csv")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import SPACE, object_text
-from graphloom.plans import dense_index
+from graphloom.plans import dense_index, dense_index_of_scan
 
 from . import schemas
 
@@ -17,14 +17,14 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(~F.col("value").rlike(r"^[\s ]*$"))
 
 
-def _numbered(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Lines that aren't blank with their number: by file name, and in a file by place."""
-    lines = spark.read.text(path)
-    if len(lines.inputFiles()) == 1:
-        return dense_index(lines.filter(~F.col("value").rlike(r"^[\s ]*$")), name)
-    at = {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_row": F.monotonically_increasing_id()}
-    lines = lines.select("value", *[c.alias(k) for k, c in at.items()]).filter(~F.col("value").rlike(r"^[\s ]*$"))
-    return dense_index(lines, name, ["_file", "_block", "_row"]).select("value", name)
+#: A split of a file: splits are numbered by file name, and in a file by place.
+_SPLIT = ["_file", "_block"]
+
+
+def _split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that aren't blank with the split of a file that they are in."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    return lines.filter(~F.col("value").rlike(r"^[\s ]*$"))
 
 
 def read_triples(spark: SparkSession, path: str, lenient: bool = False, separator: str | None = None, drop_last: bool = False) -> DataFrame:
@@ -33,21 +33,26 @@ def read_triples(spark: SparkSession, path: str, lenient: bool = False, separato
     Another number of fields is an error, or dropped if ``lenient``. ``drop_last`` leaves out the last line, as older
     scans did with a file that doesn't end in a line break.
     """
-    rows = _numbered(spark, path, "_line")
+    rows = _split_lines(spark, path)
     if drop_last:
-        rows = rows.join(F.broadcast(rows.agg(F.max("_line").alias("_last"))), F.col("_line") < F.col("_last")).drop("_last")
+        rows = dense_index_of_scan(rows.withColumns({f"{c}_": F.col(c) for c in _SPLIT}), "_line", _SPLIT).withColumnsRenamed({f"{c}_": c for c in _SPLIT})
+        rows = rows.join(F.broadcast(rows.agg(F.max("_line").alias("_last"))), F.col("_line") < F.col("_last"))
     trimmed = F.regexp_replace("value", r"^[\s ]+|[\s ]+$", "")
-    rows = rows.select("value", "_line", F.split(trimmed, separator or SPACE).alias("f"))
+    kept = [*_SPLIT, *(["_line"] if drop_last else [])]
+    rows = rows.select("value", *kept, F.split(trimmed, separator or SPACE).alias("f"))
     bad = F.raise_error(F.concat(F.lit("not a triple: "), "value")).cast("array<string>")
     rows = rows.filter(F.size("f") == 3) if lenient else rows.withColumn("f", F.when(F.size("f") == 3, F.col("f")).otherwise(bad))
-    triples = rows.select("_line", F.col("f")[0].alias("src"), F.col("f")[1].alias("rel"), F.col("f")[2].alias("dst"))
-    return dense_index(triples, "idx", ["_line"]).drop("_line") if lenient else triples.withColumnRenamed("_line", "idx")
+    triples = rows.select(*kept, F.col("f")[0].alias("src"), F.col("f")[1].alias("rel"), F.col("f")[2].alias("dst"))
+    numbered = dense_index(triples, "idx", ["_line"]).drop("_line", *_SPLIT) if drop_last else dense_index_of_scan(triples, "idx", _SPLIT)
+    return numbered.select("idx", "src", "rel", "dst")
 
 
 def read_entities(spark: SparkSession, path: str) -> DataFrame:
-    """``pos, entity, label, description`` of a JSON map of entities."""
-    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", schemas.ENTITIES).alias("m"))
-    return doc.select(F.posexplode("m").alias("pos", "entity", "v")).select("pos", "entity", "v.label", "v.description")
+    """``pos, entity, label, description`` of a JSON map of entities; a folder may hold several maps, which follow each other
+    by file name."""
+    doc = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.from_json("value", schemas.ENTITIES).alias("m"))
+    rows = doc.select("_file", F.explode("m").alias("entity", "v")).select("_file", "entity", "v.label", "v.description")
+    return dense_index_of_scan(rows, "pos", ["_file"]).select("pos", "entity", "label", "description")
 
 
 def read_entity_table(spark: SparkSession, path: str) -> DataFrame:
@@ -82,7 +87,8 @@ def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_scenes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Objects ``image_id, object_id, text`` and relations ``image_id, object_id, rel, target_id`` of a scene file."""
+    """Objects ``image_id, object_id, text`` and relations ``image_id, object_id, rel, target_id`` of a scene file,
+    or of a folder of them."""
     doc = spark.read.text(path, wholetext=True).select(F.from_json("value", schemas.SCENES).alias("m"))
     objects = doc.select(F.explode("m").alias("image_id", "i")).select("image_id", F.explode("i.objects").alias("object_id", "o"))
     o = lambda f: F.col(f"o.{f}")

@@ -4,6 +4,7 @@ import subprocess
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
 from graphloom.operators.analysis import accuracy_buckets
@@ -111,3 +112,39 @@ def test_tables_without_a_shared_folder():
     env = dict(os.environ, SPARK_CONF_DIR="/nonexistent")
     out = subprocess.run([sys.executable, "-c", code], env=env, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True, timeout=120)
     assert out.stdout.strip() == "fine", out.stderr[-2000:]
+
+
+def test_maps_in_several_files_are_numbered_through(spark, tmp_path):
+    from graphloom.catalogue import files
+
+    entries = spark.range(50).selectExpr("id", "concat('e', id) AS name")
+    path = files._write_map(entries, F.col("name"), F.struct(F.col("name").alias("label")), str(tmp_path / "map"), F.col("id"), entries=7)
+    assert len(list((tmp_path / "map").glob("part-*"))) == 8
+    rows = sorted((r.pos, r.entity, r.label) for r in R.read_entities(spark, path).collect())
+    assert rows == [(i, f"e{i}", f"e{i}") for i in range(50)]
+
+
+def test_lines_are_written_by_many_tasks_and_numbered_without_a_sort(spark, tmp_path):
+    from graphloom.catalogue import files
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lines = spark.range(1000).selectExpr("999 - id AS idx", "concat('a', 999 - id, ' r b') AS value")
+        path = files._write_lines(lines, str(tmp_path / "lines"), "idx")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(list((tmp_path / "lines").glob("part-*"))) > 1
+    for options, n in (({}, 1000), ({"lenient": True}, 1000), ({"lenient": True, "drop_last": True}, 999)):
+        read = R.read_triples(spark, path, **options)
+        assert sorted((r.idx, r.src) for r in read.collect()) == [(i, f"a{i}") for i in range(n)]
+    assert "rangepartitioning" not in R.read_triples(spark, path)._jdf.queryExecution().toString()
+
+
+def test_places_in_a_scene_are_joined_not_searched(spark, tmp_path):
+    from graphloom.sources import datasets as D
+
+    spark.createDataFrame([('{"1":{"objects":{"b":{"name":"b","x":1,"y":1,"w":1,"h":1,"attributes":[],"relations":[{"name":"on","object":"a"}]},"a":{"name":"a","x":1,"y":1,"w":1,"h":1,"attributes":[],"relations":[]}}}}',)], "value string").coalesce(1).write.text(str(tmp_path / "train_sceneGraphs.json"))
+    spark.createDataFrame([("1", "q", "a", "f")], "image_id string, question string, answer string, full_answer string").write.option("header", True).csv(str(tmp_path / "questions.csv"))
+    rows = D.load_scenes(spark, str(tmp_path), spark.createDataFrame([], "image_id string, split string"))
+    assert [r.graph.edge_index for r in rows.collect()] == [[[1, 0]]]
+    assert "array_position" not in rows._jdf.queryExecution().toString()
