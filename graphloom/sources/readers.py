@@ -39,7 +39,8 @@ def read_triples(spark: SparkSession, path: str, lenient: bool = False, separato
         rows = rows.join(F.broadcast(rows.agg(F.max("_line").alias("_last"))), F.col("_line") < F.col("_last"))
     trimmed = F.regexp_replace("value", r"^[\s ]+|[\s ]+$", "")
     kept = [*_SPLIT, *(["_line"] if drop_last else [])]
-    rows = rows.select("value", *kept, F.split(trimmed, separator or SPACE).alias("f"))
+    # by way of explode a line is split once, not for each of its fields
+    rows = rows.select("value", *kept, F.explode(F.array(F.split(trimmed, separator or SPACE))).alias("f"))
     bad = F.raise_error(F.concat(F.lit("not a triple: "), "value")).cast("array<string>")
     rows = rows.filter(F.size("f") == 3) if lenient else rows.withColumn("f", F.when(F.size("f") == 3, F.col("f")).otherwise(bad))
     triples = rows.select(*kept, F.col("f")[0].alias("src"), F.col("f")[1].alias("rel"), F.col("f")[2].alias("dst"))
