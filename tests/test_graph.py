@@ -175,3 +175,10 @@ def test_numbers_within_groups(spark):
     for g in (0, 1, None, 3):
         mine = sorted((r.n, r.v) for r in got if r.g == g)
         assert [n for n, _ in mine] == list(range(len(mine))) and [v for _, v in mine] == sorted(v for _, v in mine)
+
+
+def test_ends_are_dealt_before_they_are_counted(spark):
+    edges = spark.createDataFrame([(0, 0, "a", "r", "b"), (0, 1, "b", "r", "c")], "graph_id long, edge_id long, src string, rel string, dst string")
+    plan = G.degrees(edges)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_sum") < plan.index("hashpartitioning(graph_id")
+    assert sorted(tuple(r) for r in G.degrees(edges).collect()) == [(0, "a", 0, 1), (0, "b", 1, 1), (0, "c", 1, 0)]
