@@ -16,8 +16,9 @@ texts share each with a chance of their similarity (and by chance with 1/256).
 
 The tally's standard error at 0.8 is 0.033 and ``MIN_SHARED`` is 0.75, so that of pairs at exactly 0.8 one in twenty is
 missed in the tally, and of those at 0.85 or more fewer than one in a thousand.
-A forest's link that fails the exact check is dropped, though a weaker pair of the
-same two parts could pass it; each list has a forest of its own, so this is rare.
+A forest's link that fails the exact check may stand before weaker pairs of the same parts that pass it. So the lists
+with such a link are read again, and of the parts that hold its ends all pairs are checked that share enough bytes and
+aren't joined by links that passed.
 
 Words are as in ``textstats``, lower-cased in A-Z; a text of fewer words than a shingle is one shingle, and texts without
 words are copies of each other. Null texts are empty; texts of any length are read whole. Repeated rows are copies; an
@@ -197,13 +198,49 @@ def long_links(rows: np.ndarray, effort: int | None = None) -> tuple[list[tuple[
     return out, outside
 
 
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The lists of rows sorted by ``key``, one at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        keys = b.column("key").to_numpy()
+        if not len(keys):
+            continue
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for start, stop in zip(cuts, cuts[1:], strict=False):
+            if held and keys[start] != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(b.slice(start, stop - start))
+            last = keys[start]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def links_between(rows: np.ndarray, roots: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a list that share enough bytes and have different ``roots``, in the parts of the list that hold one of
+    its rows ``ends``. The rows of a root are never compared with each other."""
+    done, seen = np.zeros(len(rows), bool), set(roots[ends].tolist())
+    pending = sorted(seen)
+    while pending:
+        mine = np.flatnonzero(roots == pending.pop())
+        done[mine] = True
+        others = np.flatnonzero(~done)
+        for at in range(0, len(mine) if len(others) else 0, 256):
+            i, j = np.nonzero(_tallies(rows[mine[at : at + 256]], rows[others]) >= MIN_SHARED)
+            if len(i):
+                yield mine[at + i], others[j]
+                new = set(roots[others[j]].tolist()) - seen
+                seen |= new
+                pending += sorted(new)
+
+
 def _links_of_lists(posted: DataFrame, long_list: int, effort: int | None) -> DataFrame:
     """Links ``u, v`` within the lists of ``key, used, node, signature``, and the rows that are to be posted anew; a task
     holds a list at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(parts).combine_chunks()
+        def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
             if table.num_rows < 2:
                 return
             nodes, rows = table.column("node").to_numpy(), _rows_of(table.column("signature"))
@@ -216,21 +253,8 @@ def _links_of_lists(posted: DataFrame, long_list: int, effort: int | None) -> Da
                     yield pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.int64()), *b.columns], names)
 
         names = ["u", "v", "key", "used", "node", "signature"]
-        held: list[pa.RecordBatch] = []
-        last = None
-        for b in batches:
-            keys = b.column("key").to_numpy()
-            if not len(keys):
-                continue
-            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-            for start, stop in zip(cuts, cuts[1:], strict=False):
-                if held and keys[start] != last:
-                    yield from links(held)
-                    held = []
-                held.append(b.slice(start, stop - start))
-                last = keys[start]
-        if held:
-            yield from links(held)
+        for table in _lists(batches):
+            yield from links(table)
 
     columns = ["key", "used", "node", "signature"]
     return posted.select(*columns).repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long, key long, used long, node long, signature binary")
@@ -244,11 +268,14 @@ def _dealt(listed: DataFrame, huge_list: int) -> DataFrame:
     return listed.withColumn("key", F.explode(F.when(n > 1, others).otherwise(F.array("key"))))
 
 
-def near_links(nodes: DataFrame, scratch: Scratch, long_list: int = LONG_LIST, huge_list: int = HUGE_LIST, effort: int = EFFORT) -> DataFrame:
-    """Links ``u > v`` of a written table ``node, signature`` whose components are those of all pairs that share enough bytes."""
+def near_links(nodes: DataFrame, scratch: Scratch, long_list: int = LONG_LIST, huge_list: int = HUGE_LIST, effort: int = EFFORT, levels: list | None = None) -> DataFrame:
+    """Links ``u > v`` of a written table ``node, signature`` whose components are those of all pairs that share enough bytes.
+    ``levels`` gets the posted table of each level and the sizes of its lists."""
     links, table = None, nodes
     for level in range(LEVELS):
         sizes = scratch.save(_post(table, False).groupBy("key").count().filter("count > 1"), f"lists-{level}")
+        if levels is not None:
+            levels.append((table, sizes))
         listed = _dealt(_post(table, True).join(sizes, "key"), huge_list)
         found = scratch.save(_links_of_lists(listed, long_list, effort if level < LEVELS - 1 else None), f"found-{level}")
         some = found.filter(F.col("u").isNotNull()).select("u", "v")
@@ -259,6 +286,31 @@ def near_links(nodes: DataFrame, scratch: Scratch, long_list: int = LONG_LIST, h
     return links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
 
 
+def links_left_out(levels: list, failed: DataFrame, roots: DataFrame, scratch: Scratch, huge_list: int = HUGE_LIST) -> DataFrame:
+    """Links ``u > v`` that the forests left out for a link that ``failed`` the exact check, and that join two of the
+    components ``roots`` of those that passed it: all that share enough bytes, from the lists with a failed link."""
+    ends = scratch.save(failed.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "failed-ends")
+    out = failed.select("u", "v").limit(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _lists(batches):
+            nodes = table.column("node").to_numpy()
+            for i, j in links_between(_rows_of(table.column("signature")), table.column("root").to_numpy(), np.flatnonzero(table.column("end").to_numpy())):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(nodes[i], nodes[j])), pa.array(np.minimum(nodes[i], nodes[j]))], ["u", "v"])
+
+    for level, (table, sizes) in enumerate(levels):
+        deal = lambda posted, sizes=sizes: _dealt(posted.join(sizes, "key").withColumn("raw", F.col("key")), huge_list)
+        at = scratch.save(deal(_post(table.join(ends, "node", "left_semi"), False)).select("raw", "key", "node"), f"failed-at-{level}")
+        both = failed.join(at.withColumnRenamed("node", "u"), "u").join(at.select("key", F.col("node").alias("v")), ["key", "v"])
+        keys = scratch.save(both.select("raw", "key").distinct(), f"failed-lists-{level}")
+        posted = _post(table, True).join(keys.select(F.col("raw").alias("key")).distinct(), "key", "left_semi")
+        rows = deal(posted).join(keys.select("key"), "key", "left_semi").select("key", "node", "signature")
+        rows = rows.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").join(ends.withColumn("end", F.lit(True)), "node", "left")
+        rows = rows.select("key", "node", "signature", F.coalesce("root", "node").alias("root"), F.coalesce("end", F.lit(False)).alias("end"))
+        out = out.unionAll(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long"))
+    return out.filter("u <> v").distinct().join(failed, ["u", "v"], "left_anti")
+
+
 def verified(links: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """The links whose texts (``node, text``) have a similarity of ``least`` or more."""
 
@@ -286,10 +338,20 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float =
     rows = scratch.save(with_signature(slim, shingle), "rows")
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_key")).alias("first")
     nodes = scratch.save(rows.groupBy("node").agg(F.min("signature").alias("signature"), first), "nodes")
-    links = scratch.save(near_links(nodes.select("node", "signature"), scratch, **limits), "candidates")
-    ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "first.text_key"), "node")
-    texts = slim.select("text_key", "text").join(ends, "text_key").dropDuplicates(["node"]).select("node", "text")
-    roots = components(verified(links, scratch.save(texts, "texts"), shingle, least), scratch)
+    levels: list = []
+    links = scratch.save(near_links(nodes.select("node", "signature"), scratch, **limits, levels=levels), "candidates")
+
+    def passing(some: DataFrame, name: str) -> DataFrame:
+        ends = some.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "first.text_key"), "node")
+        texts = slim.select("text_key", "text").join(ends, "text_key").dropDuplicates(["node"]).select("node", "text")
+        return scratch.save(verified(some, scratch.save(texts, f"texts-{name}"), shingle, least), f"passing-{name}")
+
+    good = passing(links, "forests")
+    roots = components(good, scratch)
+    failed = scratch.save(links.join(good, ["u", "v"], "left_anti"), "failed")
+    if not failed.isEmpty():
+        more = scratch.save(links_left_out(levels, failed, roots, scratch, limits.get("huge_list", HUGE_LIST)), "left-out")
+        roots = components(good.unionAll(passing(more, "left-out")), Scratch(docs.sparkSession, "wordsets"))
     rooted = nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").select(F.coalesce("v", "node").alias("root"), "first")
     # one key of id and text, so that the join and what drops repeated rows share their shuffle
     key = lambda id_, text: F.concat(F.when(id_.isNull(), "n").otherwise(F.concat(F.lit("="), id_.cast("string"))), F.lit(" "), text)

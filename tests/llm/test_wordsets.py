@@ -111,3 +111,21 @@ def test_documents_of_the_table(spark):
     want = {ids[k] for k in slow_kept([texts[i] for i in ids])}
     kept = {r.doc_id for r in N.drop_near_duplicates(docs).collect()}
     assert len(kept ^ want) <= 1
+
+
+def test_a_failed_link_hides_no_weaker_one(make_docs, monkeypatch):
+    """The strongest pairs of each group fail the check, and those that pass it were left out of the forest."""
+    texts = [f"{c}{i} " * 9 for c in "ab" for i in range(4)]
+    base = np.random.default_rng(3).integers(0, 256, (2, N.BYTES), np.uint8)
+    rows = np.repeat(base, 4, 0)
+    for k in range(8):
+        rows[k, N.BYTES - 1 - 4 * (k % 4) :] ^= np.uint8(255)
+    made = {t: r.tobytes() for t, r in zip(texts, rows, strict=True)}
+    near = lambda x, y: abs(x - y) >= 2
+    signatures = {N.shingle_hashes(t).tobytes(): made[t] for t in texts}
+    places = {N.shingle_hashes(t).tobytes(): k for k, t in enumerate(texts)}
+    monkeypatch.setattr(N, "signature", lambda h: signatures[h.tobytes()])
+    monkeypatch.setattr(N, "similarity", lambda x, y: float(near(places[x.tobytes()], places[y.tobytes()])))
+    # of a group 0-1-2-3 the pairs 0-2, 0-3 and 1-3 pass: one component
+    for limits in ({}, {"long_list": 1, "huge_list": 3}):
+        assert sorted(r.doc_id for r in N.drop_near_duplicates(make_docs(texts), **limits).collect()) == [0, 4]
