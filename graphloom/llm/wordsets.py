@@ -16,9 +16,12 @@ texts share each with a chance of their similarity (and by chance with 1/256).
 
 The tally's standard error at 0.8 is 0.033 and ``MIN_SHARED`` is 0.75, so that of pairs at exactly 0.8 one in twenty is
 missed in the tally, and of those at 0.85 or more fewer than one in a thousand.
-A forest's link that fails the exact check may stand before weaker pairs of the same parts that pass it. So the lists
-with such a link are read again, and of the parts that hold its ends all pairs are checked that share enough bytes and
-aren't joined by links that passed.
+A forest's link that fails the exact check may stand before weaker pairs of the same parts that pass it. So the parts
+that failed links hold together are read again with their texts, and their pairs that share enough bytes and aren't joined
+by links that passed are checked within the task, which joins parts as it goes: a link that passes spares the pairs of the
+two parts it joins, and no more links than texts leave the task.
+
+Lists are posted and counted as narrow rows; a signature is fetched once for each list that has another one in it.
 
 Words are as in ``textstats``, lower-cased in A-Z; a text of fewer words than a shingle is one shingle, and texts without
 words are copies of each other. Null texts are empty; texts of any length are read whole. Repeated rows are copies; an
@@ -27,7 +30,7 @@ empty table gives an empty result. Extra columns of any name pass through ``drop
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -50,6 +53,7 @@ LEVELS = 3
 LONG_LIST = 2048
 HUGE_LIST = 1 << 18
 EFFORT = 2048
+GROUP_BYTES = 1 << 23
 SEED = 42
 _CHUNK = 1 << 12
 _RNG = np.random.default_rng(SEED)
@@ -115,8 +119,8 @@ def _rows_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BYTES)
 
 
-def _post(table: DataFrame, with_signatures: bool) -> DataFrame:
-    """``key, used, node[, signature]`` of ``node, signature`` and, above the first level, ``key`` and ``used``."""
+def _post(table: DataFrame, with_used: bool) -> DataFrame:
+    """``key, node[, used]`` of ``node, signature`` and, above the first level, ``key`` and ``used``."""
     again = "key" in table.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,12 +131,12 @@ def _post(table: DataFrame, with_signatures: bool) -> DataFrame:
                 keys, used = block_keys(rows, *(b.column(c).to_numpy() for c in ("key", "used") if again))
                 pick = np.repeat(np.arange(len(rows)), POSTED)
                 columns, names = [pa.array(keys.ravel()), pa.array(np.take(b.column("node").to_numpy(), pick))], ["key", "node"]
-                if with_signatures:
-                    columns += [pa.array(used.ravel()), b.column("signature").take(pa.array(pick))]
-                    names += ["used", "signature"]
+                if with_used:
+                    columns.append(pa.array(used.ravel()))
+                    names.append("used")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return table.mapInArrow(run, "key long, node long" + (", used long, signature binary" if with_signatures else ""))
+    return table.mapInArrow(run, "key long, node long" + (", used long" if with_used else ""))
 
 
 def _tallies(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -217,22 +221,26 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def links_between(rows: np.ndarray, roots: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of a list that share enough bytes and have different ``roots``, in the parts of the list that hold one of
-    its rows ``ends``. The rows of a root are never compared with each other."""
-    done, seen = np.zeros(len(rows), bool), set(roots[ends].tolist())
-    pending = sorted(seen)
-    while pending:
-        mine = np.flatnonzero(roots == pending.pop())
-        done[mine] = True
-        others = np.flatnonzero(~done)
-        for at in range(0, len(mine) if len(others) else 0, 256):
-            i, j = np.nonzero(_tallies(rows[mine[at : at + 256]], rows[others]) >= MIN_SHARED)
-            if len(i):
-                yield mine[at + i], others[j]
-                new = set(roots[others[j]].tolist()) - seen
-                seen |= new
-                pending += sorted(new)
+def links_between(rows: np.ndarray, roots: np.ndarray, same: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Links that pass ``same`` and join different ``roots`` to the components of all such pairs that share enough bytes,
+    the strongest tried first. Pairs that are joined already are passed over, and rows of a root never compared."""
+    _, label = np.unique(roots, return_inverse=True)
+    sizes = np.bincount(label)
+    # all pairs of two roots are met from the smaller ones
+    few = np.flatnonzero(label != sizes.argmax())
+    few = few[np.argsort(sizes[label[few]], kind="stable")]
+    done, out = np.zeros(len(rows), bool), []
+    step = max(1, min(256, (1 << 24) // len(rows)))
+    for at in range(0, len(few), step):
+        some = few[at : at + step]
+        for i, tally in zip(some.tolist(), _tallies(rows[some], rows), strict=True):
+            done[i] = True
+            others = np.flatnonzero((tally >= MIN_SHARED) & (label != label[i]) & ~done)
+            for j in others[np.argsort(-tally[others], kind="stable")].tolist():
+                if label[j] != label[i] and same(i, j):
+                    out.append((i, j))
+                    label[label == label[j]] = label[i]
+    return out
 
 
 def _links_of_lists(posted: DataFrame, long_list: int, effort: int | None) -> DataFrame:
@@ -268,16 +276,13 @@ def _dealt(listed: DataFrame, huge_list: int) -> DataFrame:
     return listed.withColumn("key", F.explode(F.when(n > 1, others).otherwise(F.array("key"))))
 
 
-def near_links(nodes: DataFrame, scratch: Scratch, long_list: int = LONG_LIST, huge_list: int = HUGE_LIST, effort: int = EFFORT, levels: list | None = None) -> DataFrame:
-    """Links ``u > v`` of a written table ``node, signature`` whose components are those of all pairs that share enough bytes.
-    ``levels`` gets the posted table of each level and the sizes of its lists."""
+def near_links(nodes: DataFrame, scratch: Scratch, long_list: int = LONG_LIST, huge_list: int = HUGE_LIST, effort: int = EFFORT) -> DataFrame:
+    """Links ``u > v`` of a written table ``node, signature`` whose components are those of all pairs that share enough bytes."""
     links, table = None, nodes
     for level in range(LEVELS):
         sizes = scratch.save(_post(table, False).groupBy("key").count().filter("count > 1"), f"lists-{level}")
-        if levels is not None:
-            levels.append((table, sizes))
-        listed = _dealt(_post(table, True).join(sizes, "key"), huge_list)
-        found = scratch.save(_links_of_lists(listed, long_list, effort if level < LEVELS - 1 else None), f"found-{level}")
+        listed = scratch.save(_dealt(_post(table, True).join(sizes, "key"), huge_list).drop("count"), f"listed-{level}")
+        found = scratch.save(_links_of_lists(listed.join(nodes, "node"), long_list, effort if level < LEVELS - 1 else None), f"found-{level}")
         some = found.filter(F.col("u").isNotNull()).select("u", "v")
         links = some if links is None else links.unionAll(some)
         table = found.filter(F.col("node").isNotNull()).select("key", "used", "node", "signature")
@@ -286,29 +291,38 @@ def near_links(nodes: DataFrame, scratch: Scratch, long_list: int = LONG_LIST, h
     return links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
 
 
-def links_left_out(levels: list, failed: DataFrame, roots: DataFrame, scratch: Scratch, huge_list: int = HUGE_LIST) -> DataFrame:
-    """Links ``u > v`` that the forests left out for a link that ``failed`` the exact check, and that join two of the
-    components ``roots`` of those that passed it: all that share enough bytes, from the lists with a failed link."""
-    ends = scratch.save(failed.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "failed-ends")
-    out = failed.select("u", "v").limit(0)
+def parts_of(failed: DataFrame, roots: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``key, node, root`` of the nodes that links which ``failed`` the exact check hold together across the components
+    ``roots`` of those that passed it. Of two nodes alone the only pair has failed."""
+    root = lambda side: roots.select(F.col("u").alias(side), F.col("v").alias(f"{side}_root"))
+    ends = failed.join(root("u"), "u", "left").join(root("v"), "v", "left").select(F.coalesce("u_root", "u").alias("a"), F.coalesce("v_root", "v").alias("b"))
+    apart = ends.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    groups = components(apart, scratch)
+    groups = scratch.save(groups.unionAll(groups.select(F.col("v").alias("u"), "v")).distinct().select(F.col("u").alias("root"), F.col("v").alias("key")), "groups")
+    rooted = nodes.select("node").join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    members = scratch.save(rooted.join(groups, "root").select("key", "node", "root"), "members")
+    return members.join(members.groupBy("key").count().filter("count > 2").select("key"), "key")
+
+
+def links_left_out(members: DataFrame, scratch: Scratch, shingle: int = SHINGLE, least: float = SIMILARITY, huge_list: int = HUGE_LIST) -> DataFrame:
+    """Links ``u > v`` at a similarity of ``least`` or more that join the roots of a written table ``key, node, root,
+    signature, text`` to the components of all its pairs of a key that share enough bytes. A task holds the texts of a key
+    at a time, or of two parts of it where they have more than ``GROUP_BYTES``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _lists(batches):
             nodes = table.column("node").to_numpy()
-            for i, j in links_between(_rows_of(table.column("signature")), table.column("root").to_numpy(), np.flatnonzero(table.column("end").to_numpy())):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(nodes[i], nodes[j])), pa.array(np.minimum(nodes[i], nodes[j]))], ["u", "v"])
-
-    for level, (table, sizes) in enumerate(levels):
-        deal = lambda posted, sizes=sizes: _dealt(posted.join(sizes, "key").withColumn("raw", F.col("key")), huge_list)
-        at = scratch.save(deal(_post(table.join(ends, "node", "left_semi"), False)).select("raw", "key", "node"), f"failed-at-{level}")
-        both = failed.join(at.withColumnRenamed("node", "u"), "u").join(at.select("key", F.col("node").alias("v")), ["key", "v"])
-        keys = scratch.save(both.select("raw", "key").distinct(), f"failed-lists-{level}")
-        posted = _post(table, True).join(keys.select(F.col("raw").alias("key")).distinct(), "key", "left_semi")
-        rows = deal(posted).join(keys.select("key"), "key", "left_semi").select("key", "node", "signature")
-        rows = rows.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").join(ends.withColumn("end", F.lit(True)), "node", "left")
-        rows = rows.select("key", "node", "signature", F.coalesce("root", "node").alias("root"), F.coalesce("end", F.lit(False)).alias("end"))
-        out = out.unionAll(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long"))
-    return out.filter("u <> v").distinct().join(failed, ["u", "v"], "left_anti")
+            sets = [shingle_hashes(t.as_py(), shingle) for t in table.column("text")]
+            found = links_between(_rows_of(table.column("signature")), table.column("root").to_numpy(), lambda i, j: similarity(sets[i], sets[j]) >= least)  # noqa: B023
+            if found:
+                i, j = (nodes[list(x)] for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(i, j)), pa.array(np.minimum(i, j))], ["u", "v"])
+
+    sizes = members.groupBy("key").agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes"))
+    count = F.greatest("rows", F.ceil(F.col("bytes") * huge_list / GROUP_BYTES)).alias("count")
+    sizes = scratch.save(sizes.select("key", count), "left-out-sizes")
+    dealt = _dealt(members.join(sizes, "key"), huge_list).select("key", "node", "root", "signature", "text")
+    return dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long").distinct()
 
 
 def verified(links: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
@@ -338,20 +352,21 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float =
     rows = scratch.save(with_signature(slim, shingle), "rows")
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_key")).alias("first")
     nodes = scratch.save(rows.groupBy("node").agg(F.min("signature").alias("signature"), first), "nodes")
-    levels: list = []
-    links = scratch.save(near_links(nodes.select("node", "signature"), scratch, **limits, levels=levels), "candidates")
-
-    def passing(some: DataFrame, name: str) -> DataFrame:
-        ends = some.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "first.text_key"), "node")
-        texts = slim.select("text_key", "text").join(ends, "text_key").dropDuplicates(["node"]).select("node", "text")
-        return scratch.save(verified(some, scratch.save(texts, f"texts-{name}"), shingle, least), f"passing-{name}")
-
-    good = passing(links, "forests")
+    links = scratch.save(near_links(nodes.select("node", "signature"), scratch, **limits), "candidates")
+    # written, so that where few texts are linked the others aren't moved
+    ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    ends = scratch.save(ends.join(nodes.select("node", "first.text_key"), "node"), "ends")
+    texts = scratch.save(slim.select("text_key", "text").join(ends, "text_key").dropDuplicates(["node"]).select("node", "text"), "texts")
+    good = scratch.save(verified(links, texts, shingle, least), "passing")
     roots = components(good, scratch)
     failed = scratch.save(links.join(good, ["u", "v"], "left_anti"), "failed")
     if not failed.isEmpty():
-        more = scratch.save(links_left_out(levels, failed, roots, scratch, limits.get("huge_list", HUGE_LIST)), "left-out")
-        roots = components(good.unionAll(passing(more, "left-out")), Scratch(docs.sparkSession, "wordsets"))
+        again = Scratch(docs.sparkSession, "wordsets")
+        members = parts_of(failed, roots, nodes, again).join(nodes.select("node", "signature"), "node").join(texts, "node")
+        more = links_left_out(again.save(members, "texts"), again, shingle, least, limits.get("huge_list", HUGE_LIST))
+        more = again.save(more, "left-out")
+        if not more.isEmpty():
+            roots = components(good.unionAll(more), Scratch(docs.sparkSession, "wordsets"))
     rooted = nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").select(F.coalesce("v", "node").alias("root"), "first")
     # one key of id and text, so that the join and what drops repeated rows share their shuffle
     key = lambda id_, text: F.concat(F.when(id_.isNull(), "n").otherwise(F.concat(F.lit("="), id_.cast("string"))), F.lit(" "), text)

@@ -129,3 +129,28 @@ def test_a_failed_link_hides_no_weaker_one(make_docs, monkeypatch):
     # of a group 0-1-2-3 the pairs 0-2, 0-3 and 1-3 pass: one component
     for limits in ({}, {"long_list": 1, "huge_list": 3}):
         assert sorted(r.doc_id for r in N.drop_near_duplicates(make_docs(texts), **limits).collect()) == [0, 4]
+
+
+def test_pairs_behind_failed_links_leave_as_a_forest():
+    """All pairs of 300 texts share enough bytes; what is checked and found grows with the texts, not with their pairs."""
+    rows, asked = np.zeros((300, N.BYTES), np.uint8), []
+    same = lambda i, j: asked.append((i, j)) or (i + j) % 3 > 0 and 299 not in (i, j)
+    links = N.links_between(rows, np.arange(300), same)
+    assert len(links) == 298 and len(np.unique(N_contract(300, links))) == 2
+    assert len(asked) == len({frozenset(p) for p in asked}) < 3 * 300
+    # of a part that holds together nothing is asked
+    assert N.links_between(rows, np.zeros(300), same) == [] and len(asked) < 3 * 300
+
+
+def test_a_group_of_near_copies_without_their_original(make_docs):
+    """Copies at about the limit: some links of the forest fail, and what is checked anew isn't all pairs."""
+    rng = random.Random(6)
+    texts = variants(rng, [f"w{i}" for i in range(600)], 80, 7)
+    found, links_left_out = [], N.links_left_out
+    try:
+        N.links_left_out = lambda *a, **k: found.append(links_left_out(*a, **k)) or found[0]
+        kept = {r.doc_id for r in N.drop_near_duplicates(make_docs(texts)).collect()}
+    finally:
+        N.links_left_out = links_left_out
+    assert kept == slow_kept(texts) and len(kept) < 80
+    assert found and found[0].count() < len(texts)
