@@ -66,11 +66,19 @@ def pair_paths(neighbours: DataFrame, pairs: DataFrame, max_depth: int | None =
     level that meets the other side's last one settles the pair: its path is the least of the least halves. Settled pairs
     and those with an exhausted side leave the state, which holds two levels of each side of the others. Rounds go on
     until no pair is left, or to ``max_depth``. ``written`` gets the rows of each round's state.
+
+    A node of one neighbour lies on no way but as its end, so that a hub of any number of leaves is extended only to its
+    other neighbours, and to the pair's other end where that is one of its leaves.
     """
     scratch = Scratch(neighbours.sparkSession, "pairs")
     neighbours = scratch.save(neighbours, "given")
     degree = neighbours.groupBy("node").agg(F.count("*").alias("degree"))
-    near = scratch.save(neighbours.join(degree.select(F.col("node").alias("next"), "degree"), "next").select("node", "next", "degree"), "neighbours")
+    degree = scratch.save(degree, "degrees")
+    leaves = degree.filter("degree = 1").select(F.col("node").alias("next"))
+    inner = scratch.save(neighbours.join(degree.filter("degree > 1").select(F.col("node").alias("next")), "next").select("node", "next"), "inner")
+    # neighbours that are no leaves are what an extension costs
+    degree = scratch.save(degree.select("node").join(inner.groupBy("node").agg(F.count("*").alias("degree")), "node", "left").select("node", F.coalesce("degree", F.lit(0)).cast("long").alias("degree")), "costs")
+    near = scratch.save(inner.join(degree.select(F.col("node").alias("next"), "degree"), "next").select("node", "next", "degree"), "neighbours")
     pairs = scratch.save(pairs.select("source", "target").distinct(), "asked")
     path = lambda c: F.array(c).alias("path")
     trivial = pairs.filter("source = target").select("source", "target", F.lit(0).alias("distance"), path("source"))
@@ -78,6 +86,9 @@ def pair_paths(neighbours: DataFrame, pairs: DataFrame, max_depth: int | None =
     start = pairs.filter("source <> target").select("source", "target", ends).select("source", "target", "e.*")
     # an end without edges has no row here, and its pair no path
     start = start.join(degree, "node").select("source", "target", "side", "node", path("node"), F.lit(0).alias("age"), F.lit(0).alias("depth"), "degree")
+    # the leaf that an end is: its only neighbour and what it costs
+    asked = start.select(F.col("node").alias("next")).distinct().join(leaves, "next")
+    leaf = scratch.save(neighbours.join(asked, "next").join(degree.select(F.col("node").alias("next"), "degree"), "next").select("node", "next", "degree"), "leaves")
     state, found, depth = scratch.save(start, "state-0"), [scratch.save(trivial, "settled-0")], 0
     names, pair, node_type = state.columns, ["source", "target"], state.schema["node"].dataType
     while not state.isEmpty() and (max_depth is None or depth < max_depth):
@@ -87,7 +98,10 @@ def pair_paths(neighbours: DataFrame, pairs: DataFrame, max_depth: int | None =
         # with one side missing the pair isn't chosen
         chosen = last.groupBy(*pair).agg(cost(0).alias("_a"), cost(1).alias("_b")).filter("_a IS NOT NULL AND _b IS NOT NULL")
         chosen = chosen.select(*pair, F.when(F.col("_a") <= F.col("_b"), 0).otherwise(1).alias("_side"))
-        step = last.join(chosen, pair).filter("side = _side").select(*pair, "side", "node", "path", "depth").join(near, "node")
+        step = last.join(chosen, pair).filter("side = _side").select(*pair, "side", "node", "path", "depth")
+        end = F.when(F.col("side") == 0, F.col("target")).otherwise(F.col("source"))
+        at_end = step.withColumn("next", end).join(leaf, ["node", "next"])
+        step = step.join(near, "node").unionByName(at_end)
         step = step.groupBy(*pair, "side", F.col("next").alias("node")).agg(F.min("path").alias("path"), F.max("depth").alias("depth"), F.max("degree").alias("degree"))
         new = step.join(state.select(*pair, "side", "node"), [*pair, "side", "node"], "left_anti")
         longer = F.when(F.col("side") == 0, F.array_append("path", F.col("node"))).otherwise(F.array_prepend("path", F.col("node")))

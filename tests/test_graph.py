@@ -167,6 +167,19 @@ def test_a_hub_beside_the_way_and_settled_pairs_are_not_extended(spark):
     assert P.pair_paths(both, pairs.limit(0)).collect() == []
 
 
+def test_leaves_of_hubs_on_the_way_are_not_extended(spark):
+    """Two hubs of 500 leaves each that meet in a root, and pairs of hubs, of leaves and of a leaf and its own hub."""
+    links = [(f"{h}{k}", h) for h in "ab" for k in range(500)] + [("a", "r"), ("b", "r"), ("r", "top"), ("x", "y")]
+    both = spark.createDataFrame(links + [(v, u) for u, v in links], "node string, next string")
+    ways = [["a", "r", "b"], ["a7", "a", "r", "b", "b9"], ["a3", "a"], ["b", "b4"], ["a1", "a", "a2"], ["top", "r", "a", "a5"], ["x", "y"]]
+    pairs = spark.createDataFrame([(w[0], w[-1]) for w in ways] + [("x", "a"), ("a8", "y")], "source string, target string")
+    written = []
+    found = {(r.source, r.target): list(r.path) for r in P.pair_paths(both, pairs, written=written).collect()}
+    assert found == {(w[0], w[-1]): w for w in ways}
+    assert sum(written) < 100
+    assert {r.target for r in P.pair_paths(both, pairs, max_depth=1).collect()} == {"a", "b4", "y"}
+
+
 def test_numbers_within_groups(spark):
     rows = [(None if g == 2 else g, (7 * i) % 101, "x") for g in range(4) for i in range(101 if g else 3)]
     df = spark.createDataFrame(rows, "g long, v long, name string").repartition(7)
