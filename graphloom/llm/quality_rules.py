@@ -281,8 +281,11 @@ def quality_digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with the columns of ``docs``. They are written once beside their statistics."""
+    """The documents that are kept, with the columns of ``docs``. Only statistics are written, and made once more beside the
+    documents, so that no copy of these is left."""
     scratch = Scratch(docs.sparkSession, "quality")
+    stats = scratch.save(with_stats(docs.select("lang", "source", "text"), styles), "stats")
+    fit = fit_outliers(stats)
+    scratch.drop("stats")
     rows = docs.select(F.struct("*").alias("row"), "lang", "source", "text")
-    stats = scratch.save(with_stats(rows, styles), "stats")
-    return judge(stats, fit_outliers(stats)).filter("kept").select("row.*")
+    return judge(with_stats(rows, styles), fit).filter("kept").select("row.*")

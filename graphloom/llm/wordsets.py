@@ -2,11 +2,12 @@
 
 SimHash can't serve here: at a similarity of 0.8 about 15 % of its bits differ, so that no byte need be shared, whatever
 its width. The ``BYTES`` positional bytes of a text are those of min-wise hashes of its set of shingles instead; two
-texts share each with a chance of their similarity (and by chance with 1/256).
+texts share each with a chance of their similarity (and by chance with 1/256). A check byte for each block of them comes
+from other bits of the same hashes: blocks that are equal by chance alone are told apart by it in all but 1/256.
 
 1. Pairs that share ``MIN_SHARED`` bytes or more differ in ``BYTES - MIN_SHARED`` at most, so of as many blocks of
-   ``BLOCK`` bytes and one more they share one whole. Each distinct signature is posted under these blocks. Only blocks
-   that another signature has too are listed with their signatures.
+   ``BLOCK`` bytes and one more they share one whole. Each distinct signature is posted under these blocks and their check
+   bytes. Only blocks that another signature has too are listed with their signatures.
 2. In a list the shared bytes of pairs are tallied. Only links that join two parts of the list leave the task, the
    strongest first in lists of up to ``LONG_LIST`` signatures. In longer ones a part is compared only with what is
    outside of it, so that a group of copies takes time in proportion to its size; what remains of a list after ``EFFORT``
@@ -21,7 +22,9 @@ that failed links hold together are read again with their texts, and their pairs
 by links that passed are checked within the task, which joins parts as it goes: a link that passes spares the pairs of the
 two parts it joins, and no more links than texts leave the task.
 
-Lists are posted and counted as narrow rows; a signature is fetched once for each list that has another one in it.
+Lists are posted and counted as narrow rows; a signature is fetched once for each list that has another one in it. Texts
+are moved only if they are an end of a link, and whole rows only if they are linked or have a copy, as far as ``among``
+can tell.
 
 Words are as in ``textstats``, lower-cased in A-Z; a text of fewer words than a shingle is one shingle, and texts without
 words are copies of each other. Null texts are empty; texts of any length are read whole. Repeated rows are copies; an
@@ -55,6 +58,8 @@ HUGE_LIST = 1 << 18
 EFFORT = 2048
 GROUP_BYTES = 1 << 23
 SEED = 42
+#: Bits of a bitmap of keys.
+MARKS = 1 << 24
 _CHUNK = 1 << 12
 _RNG = np.random.default_rng(SEED)
 _FACTORS = _RNG.integers(0, 1 << 63, BYTES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,12 +77,16 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> bytes:
-    """The positional bytes of a set; all zero for the empty one."""
+    """The positional bytes of a set and then the check bytes of their blocks; all zero for the empty one."""
     least = np.full(BYTES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), _CHUNK):
         values = (hashes[at : at + _CHUNK, None] ^ _MASKS) * _FACTORS
         least = np.minimum(least, values.min(0))
-    return ((least * _SPREAD) >> np.uint64(56)).astype(np.uint8).tobytes() if len(hashes) else bytes(BYTES)
+    if not len(hashes):
+        return bytes(BYTES + BLOCKS)
+    spread = least * _SPREAD
+    checks = np.bitwise_xor.reduce((spread >> np.uint64(48)).astype(np.uint8).reshape(BLOCKS, BLOCK), 1)
+    return (spread >> np.uint64(56)).astype(np.uint8).tobytes() + checks.tobytes()
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -101,10 +110,13 @@ def with_signature(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def block_keys(signatures: np.ndarray, before: np.ndarray | None = None, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(keys, blocks posted so far) of the posted blocks of each signature. A key is a hash of the key before, a block's
-    number and its bytes; ``used`` has a bit for each block posted before, which is passed over."""
+    number, its bytes and its check byte, where the signatures have them; ``used`` has a bit for each block posted before,
+    which is passed over."""
     n = len(signatures)
-    blocks = signatures.reshape(n, BLOCKS, BLOCK).astype(np.uint64)
+    blocks = signatures[:, :BYTES].reshape(n, BLOCKS, BLOCK).astype(np.uint64)
     values = blocks[:, :, 0] << np.uint64(16) | blocks[:, :, 1] << np.uint64(8) | blocks[:, :, 2]
+    if signatures.shape[1] > BYTES:
+        values = values | signatures[:, BYTES:].astype(np.uint64) << np.uint64(32)
     used = np.zeros(n, np.int64) if used is None else used
     taken = (used[:, None] >> np.arange(BLOCKS)) & 1
     numbers = np.argsort(taken, 1, kind="stable")[:, :POSTED]
@@ -116,7 +128,12 @@ def block_keys(signatures: np.ndarray, before: np.ndarray | None = None, used: n
 
 
 def _rows_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BYTES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _tallied(column: pa.Array) -> np.ndarray:
+    """The positional bytes alone."""
+    return np.ascontiguousarray(_rows_of(column)[:, :BYTES])
 
 
 def _post(table: DataFrame, with_used: bool) -> DataFrame:
@@ -251,7 +268,7 @@ def _links_of_lists(posted: DataFrame, long_list: int, effort: int | None) -> Da
         def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
             if table.num_rows < 2:
                 return
-            nodes, rows = table.column("node").to_numpy(), _rows_of(table.column("signature"))
+            nodes, rows = table.column("node").to_numpy(), _tallied(table.column("signature"))
             found, rest = (short_links(rows), np.empty(0, np.int64)) if len(rows) <= long_list else long_links(rows, effort)
             if found:
                 u, v = (pa.array(nodes[[x[i] for x in found]]) for i in (0, 1))
@@ -313,7 +330,7 @@ def links_left_out(members: DataFrame, scratch: Scratch, shingle: int = SHINGLE,
         for table in _lists(batches):
             nodes = table.column("node").to_numpy()
             sets = [shingle_hashes(t.as_py(), shingle) for t in table.column("text")]
-            found = links_between(_rows_of(table.column("signature")), table.column("root").to_numpy(), lambda i, j: similarity(sets[i], sets[j]) >= least)  # noqa: B023
+            found = links_between(_tallied(table.column("signature")), table.column("root").to_numpy(), lambda i, j: similarity(sets[i], sets[j]) >= least)  # noqa: B023
             if found:
                 i, j = (nodes[list(x)] for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(i, j)), pa.array(np.minimum(i, j))], ["u", "v"])
@@ -340,6 +357,18 @@ def verified(links: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least:
     return links.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def among(df: DataFrame, key: str, keys: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``df`` that may have a ``key`` of the table ``keys``, rows that have none). No row is moved for that: a bitmap
+    of ``MARKS`` hashes, 2 MB whatever the tables, is broadcast. Where it is full more rows may have one."""
+    at = F.pmod(F.xxhash64(key), F.lit(MARKS))
+    place, bit = F.shiftright(at, 15).alias("_place"), at.bitwiseAND(F.lit((1 << 15) - 1))
+    marks = scratch.save(keys.select(place, bit.alias("bit")).groupBy("_place").agg(F.bitmap_construct_agg("bit").alias("_bits")), name)
+    byte = "CAST(conv(hex(substring(_bits, CAST((_bit >> 3) + 1 AS INT), 1)), 16, 10) AS INT)"
+    marked = F.expr(f"coalesce(({byte} >> CAST(_bit & 7 AS INT)) & 1 = 1, false)")
+    rows = df.withColumns({"_place": F.shiftright(at, 15), "_bit": bit}).join(F.broadcast(marks), "_place", "left")
+    return rows.filter(marked).select(*df.columns), rows.filter(~marked).select(*df.columns)
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, **limits: int) -> DataFrame:
     """One document of each component, that with its least doc_id, with the columns of ``docs``.
 
@@ -351,12 +380,13 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float =
     slim = docs.select(F.col("doc_id").alias("id"), text_key.alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     rows = scratch.save(with_signature(slim, shingle), "rows")
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_key")).alias("first")
-    nodes = scratch.save(rows.groupBy("node").agg(F.min("signature").alias("signature"), first), "nodes")
+    nodes = scratch.save(rows.groupBy("node").agg(F.min("signature").alias("signature"), first, F.count("*").alias("copies")), "nodes")
     links = scratch.save(near_links(nodes.select("node", "signature"), scratch, **limits), "candidates")
     # written, so that where few texts are linked the others aren't moved
     ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     ends = scratch.save(ends.join(nodes.select("node", "first.text_key"), "node"), "ends")
-    texts = scratch.save(slim.select("text_key", "text").join(ends, "text_key").dropDuplicates(["node"]).select("node", "text"), "texts")
+    asked, _ = among(slim.select("text_key", "text"), "text_key", ends, scratch, "asked")
+    texts = scratch.save(asked.join(ends, "text_key").dropDuplicates(["node"]).select("node", "text"), "texts")
     good = scratch.save(verified(links, texts, shingle, least), "passing")
     roots = components(good, scratch)
     failed = scratch.save(links.join(good, ["u", "v"], "left_anti"), "failed")
@@ -373,4 +403,9 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float =
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(key(F.col("first.id"), F.col("first.text_key")).alias("doc_key"))
     kept = scratch.save(kept, "kept")
     whole = docs.select(F.struct("*").alias("row"), key(F.col("doc_id"), text_key).alias("doc_key"))
-    return whole.join(kept, "doc_key", "left_semi").dropDuplicates(["doc_key"]).select("row.*")
+    # a row that is neither linked nor has a copy stays where it is
+    several = nodes.filter("copies > 1").select("node").unionAll(roots.select(F.explode(F.array("u", "v")).alias("node")))
+    several, _ = among(rows.select("id", "text_key", "node"), "node", several, scratch, "several")
+    several, alone = among(whole, "doc_key", several.select(key(F.col("id"), F.col("text_key")).alias("doc_key")), scratch, "doubtful")
+    firsts = several.join(kept, "doc_key", "left_semi").dropDuplicates(["doc_key"])
+    return alone.unionByName(firsts).select("row.*")

@@ -164,3 +164,10 @@ def test_long_text_and_lone_groups(spark, make_docs):
     docs = make_docs(texts, sources=[f"s{k}" for k in range(41)], langs=("en",))
     rows = {r.doc_id: r for r in Q.quality_digest(docs).collect()}
     assert rows[40].n_words == 60_000 and len(rows) == 41 and all(r.distance is not None for r in rows.values() if not r.base_failed)
+
+
+def test_no_copy_of_the_documents_is_written(make_docs, monkeypatch):
+    saved, save = [], Q.Scratch.save
+    monkeypatch.setattr(Q.Scratch, "save", lambda self, df, name, *a: saved.append(set(df.columns)) or save(self, df, name, *a))
+    Q.keep_good(make_docs([" ".join(f"word{i}" for i in range(80))] * 3))
+    assert saved and not any(c & {"row", "text"} for c in saved)

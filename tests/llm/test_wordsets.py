@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from graphloom.llm import wordsets as N
+from graphloom.plans import Scratch
 from graphloom.sources import table
 
 
@@ -154,3 +155,24 @@ def test_a_group_of_near_copies_without_their_original(make_docs):
         N.links_left_out = links_left_out
     assert kept == slow_kept(texts) and len(kept) < 80
     assert found and found[0].count() < len(texts)
+
+
+def test_blocks_that_are_equal_by_chance_are_told_apart():
+    """Of sets without a common shingle the same three bytes are no list; of copies every block is one."""
+    rng = np.random.default_rng(8)
+    sets = rng.integers(0, 1 << 63, (3000, 40), np.uint64)
+    rows = np.frombuffer(b"".join(map(N.signature, sets)), np.uint8).reshape(len(sets), -1)
+    common = lambda r: N.block_keys(r)[0].size - len(np.unique(N.block_keys(r)[0]))
+    assert common(rows[:, : N.BYTES]) > 5 and common(rows) <= 1
+    assert (N.block_keys(rows[[0, 0]])[0][0] == N.block_keys(rows[[0, 0]])[0][1]).all()
+
+
+def test_among_moves_no_row(spark):
+    df = spark.range(50_000).selectExpr("CAST(id AS STRING) AS k", "id AS _x")
+    asked = df.filter("_x % 10 = 3").select("k")
+    some, rest = N.among(df, "k", asked, Scratch(spark, "among"), "marks")
+    assert some.columns == rest.columns == df.columns and some.count() + rest.count() == 50_000
+    assert some.filter("_x % 10 = 3").count() == 5_000 and some.count() < 5_200
+    assert "Exchange hash" not in some._jdf.queryExecution().executedPlan().toString()
+    none, all_ = N.among(df, "k", asked.limit(0), Scratch(spark, "among"), "none")
+    assert none.count() == 0 and all_.count() == 50_000
