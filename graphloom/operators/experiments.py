@@ -1,14 +1,20 @@
 """Statistics of experiments: paired comparisons, seeds, generalisation over hops, halting, latencies, sets of answers.
 
 Resampling copies no row. A question's weights in all replicates are one array from hashes of question and replicate,
-and a vector sum over the questions gives all replicates in one aggregate, combined before the shuffle.
+drawn once for all rows of the question, and a vector sum over the questions gives all replicates in one aggregate,
+combined before the shuffle.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
+from itertools import repeat
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -21,14 +27,17 @@ from graphloom.plans import dense_index_by
 #: 65536 times the distribution function of Poisson's law of mean 1 at 0, 1, ..., 7.
 POISSON_STEPS = (24109, 48219, 60273, 64292, 65296, 65497, 65531, 65535)
 SEED = 2026
+#: Groups whose sums a task holds at once.
+MAX_HELD = 256
 #: Seeds whose sign patterns are all tried.
 MAX_SEEDS = 16
 
 
-def hash_draws(key: str, n: int, scope: str, seed: int = SEED) -> Column:
-    """array of ``n`` numbers below 65536 from the hashes of ``seed:scope:key:block``, eight a block."""
-    hashes = f"transform(sequence(0, {(n - 1) // 8}), b -> md5(concat_ws(':', '{seed}', '{scope}', CAST({key} AS STRING), CAST(b AS STRING))))"
-    return F.expr(f"slice(flatten(transform({hashes}, h -> transform(sequence(0, 7), i -> CAST(conv(substring(h, i * 4 + 1, 4), 16, 10) AS INT)))), 1, {n})")
+def hash_draws(keys: list[str | None], n: int, scope: str, seed: int = SEED) -> np.ndarray:
+    """A row for each key of ``n`` numbers below 65536 from the hashes of ``seed:scope:key:block``, eight a block."""
+    names = [f"{seed}:{scope}:" + ("" if k is None else f"{k}:") for k in keys]
+    hashes = b"".join(hashlib.md5(f"{name}{block}".encode()).digest() for name in names for block in range((n - 1) // 8 + 1))
+    return np.frombuffer(hashes, ">u2").reshape(len(keys), -1)[:, :n]
 
 
 def paired(rows: DataFrame, key: str, system: str, score: Column, baseline: str, by: list[str]) -> DataFrame:
@@ -64,18 +73,67 @@ def _quantile(values: str, p: float) -> str:
     return f"({low} + ({at} - floor({at})) * (get({values}, CAST(ceil({at}) AS INT)) - {low}))"
 
 
+def _replicate_sums(pairs: DataFrame, by: list[str], replicates: int, seed: int) -> DataFrame:
+    """``*by, n, sum_a, sum_b, _t, wins, losses, _v`` of parts of each group: counts, sums, and as one array the replicates'
+    sums of weights, of weighted differences and of differences with random signs.
+
+    A task has all rows of a question, so that its numbers are drawn once. The number of tasks is set, as by the size of its
+    rows alone the work would be left to a few.
+    """
+    kinds = [T.StructField(g, pairs.schema[g].dataType) for g in by]
+    names = ["n", "sum_a", "sum_b", "_t", "wins", "losses"]
+    types = [T.LongType(), T.DoubleType(), T.DoubleType(), T.DoubleType(), T.LongType(), T.LongType(), T.ArrayType(T.DoubleType())]
+    schema = T.StructType([*kinds, *(T.StructField(n, t) for n, t in zip([*names, "_v"], types, strict=True))])
+    weights = np.searchsorted(POISSON_STEPS, np.arange(65536), "right").astype(np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+
+        def rows() -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*held, strict=True), group_types, strict=True)]
+            counts = np.array([c for c, _ in held.values()])
+            columns += [pa.array(counts[:, k].astype(np.int64) if n in ("n", "wins", "losses") else counts[:, k]) for k, n in enumerate(names)]
+            columns.append(pa.array([v for _, v in held.values()], pa.list_(pa.float64())))
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, [*by, *names, "_v"])
+
+        for whole in batches:
+            group_types = [whole.schema.field(g).type for g in by]
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                keys = b.column("key").to_pylist()
+                place = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+                mine = np.array([place[k] for k in keys])
+                w = weights[hash_draws(list(place), replicates, "boot", seed)]
+                s = np.where(hash_draws(list(place), replicates, "sign", seed) < 32768, 1.0, -1.0)
+                x, y = (b.column(c).to_numpy() for c in "ab")
+                d = y - x
+                groups: dict[tuple, list[int]] = {}
+                for i, g in enumerate(zip(*(b.column(g).to_pylist() for g in by), strict=True) if by else repeat((), len(keys))):
+                    groups.setdefault(g, []).append(i)
+                for g, i in groups.items():
+                    at_, e = mine[i], d[i]
+                    counts = np.array([len(i), x[i].sum(), y[i].sum(), e.sum(), (e > 0).sum(), (e < 0).sum()], np.float64)
+                    sums = np.concatenate([w[at_].sum(0), e @ w[at_], e @ s[at_]])
+                    before = held.get(g)
+                    held[g] = (before[0] + counts, before[1] + sums) if before else (counts, sums)
+                if len(held) > MAX_HELD:
+                    yield rows()
+        if held:
+            yield rows()
+
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    given = pairs.filter("a IS NOT NULL AND b IS NOT NULL").select(*by, F.col("key").cast("string").alias("key"), F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))
+    return given.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, schema)
+
+
 def paired_bootstrap(pairs: DataFrame, by: list[str], replicates: int = 1000, level: float = 0.95, seed: int = SEED) -> DataFrame:
     """For each group of ``pairs`` (``key, a, b``): ``n, mean_a, mean_b, difference``, its percentile interval ``low``
     to ``high`` over Poisson replicates, ``wins`` and ``losses`` of b, the exact ``p_sign``, and ``p_permutation`` by
     random signs. A replicate without any weight is left out. No group gives no row."""
-    d = "(b - a)"
-    rows = pairs.filter("a IS NOT NULL AND b IS NOT NULL").withColumns({"_u": hash_draws("key", replicates, "boot", seed), "_s": hash_draws("key", replicates, "sign", seed)})
-    count = " + ".join(f"IF(x >= {t}, 1, 0)" for t in POISSON_STEPS)
-    rows = rows.withColumn("_w", F.expr(f"transform(_u, x -> CAST({count} AS DOUBLE))"))
-    vector = F.expr(f"concat(_w, transform(_w, w -> w * {d}), transform(_s, x -> IF(x < 32768, {d}, -{d})))")
-    sums = rows.select(*by, "a", "b", array_to_vector(vector).alias("_v")).groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.sum(F.expr(d)).alias("_t"),
-        F.count(F.when(F.expr(f"{d} > 0"), 1)).alias("wins"), F.count(F.when(F.expr(f"{d} < 0"), 1)).alias("losses"), Summarizer.sum(F.col("_v")).alias("_v"),
+    sums = _replicate_sums(pairs, by, replicates, seed).groupBy(*by).agg(
+        F.sum("n").alias("n"), (F.sum("sum_a") / F.sum("n")).alias("mean_a"), (F.sum("sum_b") / F.sum("n")).alias("mean_b"), F.sum("_t").alias("_t"),
+        F.sum("wins").alias("wins"), F.sum("losses").alias("losses"), Summarizer.sum(array_to_vector("_v")).alias("_v"),
     )
     sums = sums.withColumn("_v", vector_to_array("_v"))
     means = f"array_sort(filter(zip_with(slice(_v, 1, {replicates}), slice(_v, {replicates + 1}, {replicates}), (w, s) -> IF(w > 0, s / w, NULL)), x -> x IS NOT NULL))"

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -38,6 +39,17 @@ def test_replicates_are_not_rows(spark):
     assert "Generate" not in plan
 
 
+def test_numbers_are_drawn_once_for_a_question(spark):
+    """Of a hash's hex digits four are a number. All rows of a question are in one task, and tasks aren't merged by size."""
+    digits = hashlib.md5(b"2026:boot:q:1").hexdigest()
+    assert E.hash_draws(["p", "q"], 11, "boot")[1, 8:].tolist() == [int(digits[i : i + 4], 16) for i in (0, 4, 8)]
+    pairs = spark.createDataFrame([(g, k, 0.0, 1.0) for g in "xyz" for k in map(str, range(40))], "g string, key string, a double, b double")
+    sums = E._replicate_sums(pairs, ["g"], 8, E.SEED)
+    assert sums.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = sorted((r.g, r.n, tuple(r._v[:8])) for r in sums.collect())
+    assert [p[1:] for p in parts if p[0] == "x"] == [p[1:] for p in parts if p[0] == "z"] and sum(p[1] for p in parts) == 120
+
+
 def test_seeds(spark):
     rows = [(s, seed, float(x)) for s, xs in {"none": [0, 0, 1], "correct": [1, 1, 1]}.items() for seed, x in enumerate(xs)] + [("lone", 9, 1.0)]
     df = spark.createDataFrame(rows, "system string, seed int, x double")
