@@ -1,3 +1,4 @@
+import hashlib
 from collections import deque
 
 import pytest
@@ -9,7 +10,7 @@ from graphloom.operators import graph as G
 from graphloom.operators import paths as P
 from graphloom.operators import questions as Q
 from graphloom.operators import sample as S
-from graphloom.plans import dense_index_by
+from graphloom.plans import Scratch, dense_index_by
 
 EDGES = "graph_id long, edge_id long, src string, rel string, dst string"
 
@@ -195,3 +196,15 @@ def test_ends_are_dealt_before_they_are_counted(spark):
     plan = G.degrees(edges)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("partial_sum") < plan.index("hashpartitioning(graph_id")
     assert sorted(tuple(r) for r in G.degrees(edges).collect()) == [(0, "a", 0, 1), (0, "b", 1, 1), (0, "c", 1, 0)]
+
+
+def test_the_order_of_a_shuffle_is_computed_before_the_sort(spark, monkeypatch):
+    """As columns, not within the sort, where each comparison would hash both rows again."""
+    plans, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or save(self, df, name, *a))
+    edges = spark.createDataFrame([(g, e, f"a{e % 5}", "r", f"b{e % 7}") for g in (1, 2) for e in range(30)], "graph_id int, edge_id int, src string, rel string, dst string")
+    rows = G.shuffle_graph(edges, 7).collect()
+    sorts = [x for p in plans for x in p.splitlines() if " Sort [" in x]
+    assert sorts and not any("md5" in x for x in sorts)
+    want = sorted(range(30), key=lambda e: hashlib.md5(f"7:edge:1:{e}".encode()).hexdigest())
+    assert [r.edge_id for r in sorted(rows, key=lambda r: r.new_edge_id) if r.graph_id == 1] == want
