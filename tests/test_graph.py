@@ -34,6 +34,36 @@ def test_isolated_nodes_weigh_a_half(spark):
     assert w == {"a": 0.5, "z": 0.5}
 
 
+def test_weights_of_nodes_and_edges_meet_in_one_table(spark):
+    # b and c are both sources and targets, d is a target only; graph 1 shares names with graph 0
+    rows = [("a", "r", "b"), ("a", "s", "c"), ("b", "r", "c"), ("c", "r", "b"), ("c", "r", "d"), ("b", "x", "c"), ("d", "r", "d")]
+    e = edges(spark, rows).unionAll(spark.createDataFrame([(1, 0, "a", "r", "b"), (None, 0, "a", "r", "b")], EDGES))
+    clean = G.clean_edges(e, by_source=True)
+    assert sorted(map(str, clean.collect())) == sorted(map(str, G.clean_edges(e).collect()))
+    nodes, kept = G.weights(clean)
+    weights = lambda df, *keys: sorted(map(str, df.select("graph_id", *keys, "weight").collect()))
+    assert weights(nodes, "node") == weights(G.node_weights(clean), "node")
+    names = ("edge_id", "src", "rel", "dst")
+    assert weights(kept, *names) == weights(G.edge_weights(clean), *names)
+    w = {(r.src, r.dst): r.weight for r in kept.filter("graph_id = 0").collect()}
+    assert w == {("a", "b"): 0.5, ("a", "c"): 0.5, ("b", "c"): 1 / 2**0.5, ("c", "b"): 0.5, ("c", "d"): 1 / 2**0.5}
+    assert {r.weight for r in kept.filter("graph_id IS NULL").collect()} == {1.0}
+
+
+def test_counts_and_spans_move_no_weights(spark):
+    e = spark.range(20000).select((F.col("id") % 7).alias("graph_id"), F.col("id").alias("edge_id"), F.col("id").cast("string").alias("src"), F.lit("r").alias("rel"), (F.col("id") % 100).cast("string").alias("dst"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    # a shuffle to the source and one to the target
+    assert plan(G.edge_weights(e)).count("Exchange") == 2 and "Join" not in plan(G.edge_weights(e))
+    w = Scratch(spark, "test").save(G.node_weights(e), "weights")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        assert "SortMergeJoin" not in plan(G.upsample_counts(w, ["graph_id"]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_chain_questions(spark):
     chain = [("a", "r1", "b"), ("b", "r2", "c"), ("c", "r3", "d"), ("d", "r1", "e"), ("e", "r2", "f"), ("f", "r3", "g")]
     graph = P.adjacency(edges(spark, chain))
