@@ -10,6 +10,7 @@ from graphloom.operators import graph as G
 from graphloom.operators import paths as P
 from graphloom.operators import questions as Q
 from graphloom.operators import sample as S
+from graphloom.operators import tasks as T
 from graphloom.plans import Scratch, dense_index_by
 
 EDGES = "graph_id long, edge_id long, src string, rel string, dst string"
@@ -64,6 +65,20 @@ def test_counts_and_spans_move_no_weights(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+def test_prompts_are_made_in_as_many_tasks_as_there_are_shuffle_partitions(spark):
+    e = spark.range(400).select((F.col("id") % 40).alias("graph_id"), F.col("id").alias("edge_id"), F.col("id").cast("string").alias("src"), F.lit("r").alias("rel"), F.lit("x").alias("dst"))
+    q = spark.range(800).select((F.col("id") % 41).alias("graph_id"), F.col("id").alias("question_id"), F.lit("Where?").alias("question"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = T.graph_prompts(q, e).select("question_id", F.length("prompt").alias("n"), F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert len(rows) == 800 and len({r.p for r in rows}) == 4
+    # graph 40 has no edges
+    assert {r.question_id % 41 for r in rows if r.n == min(x.n for x in rows)} == {40}
+
+
 def test_chain_questions(spark):
     chain = [("a", "r1", "b"), ("b", "r2", "c"), ("c", "r3", "d"), ("d", "r1", "e"), ("e", "r2", "f"), ("f", "r3", "g")]
     graph = P.adjacency(edges(spark, chain))
