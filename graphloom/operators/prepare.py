@@ -32,14 +32,19 @@ def prepare_questions(
     shifted = [t.withColumn("idx", F.col("idx") + F.lit(k << 40)) for k, t in enumerate(splits.values())]
     nodes = scratch.save(G.node_ids(dictionary, shifted[0].unionByName(shifted[1]).unionByName(shifted[2])), "nodes")
     vocab = scratch.save(G.relation_vocab(train), "vocab")
-    neighbours = P.adjacency(train)
-    questions, stats = None, None
+    # the splits' pairs are searched together: a search's passes over the graph and its rounds are made once
+    asked = [Q.asked_relations(triples, vocab, split, limits[split], n_candidates, seed, name) for split, triples in splits.items()]
+    asked = scratch.save(asked[0].unionByName(asked[1]).unionByName(asked[2]), "asked")
+    questions = scratch.save(Q.with_paths(asked, P.adjacency(train), max_depth), "questions")
+    by = F.coalesce(F.col("structural_distance").cast("string"), F.lit("unreachable"))
+    stats = None
     for split, triples in splits.items():
-        rows = scratch.save(Q.relation_questions(triples, neighbours, vocab, split, limits[split], n_candidates, seed, name, max_depth), split)
-        by = F.coalesce(F.col("structural_distance").cast("string"), F.lit("unreachable"))
+        rows = questions.filter(F.col("split") == split)
         counts = rows.groupBy(by.alias("k")).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias("distance_counts"))
         row = triples.agg(F.lit(split).alias("split"), F.count("*").alias("available")).join(rows.agg(F.count("*").alias("selected"))).join(counts)
-        questions, stats = (rows, row) if questions is None else (questions.unionByName(rows), stats.unionByName(row))
+        stats = row if stats is None else stats.unionByName(row)
+    # three rows, kept in order
+    stats = scratch.save(stats.coalesce(1), "stats")
     return {"nodes": nodes, "edges": G.materialize_edges(train, nodes), "questions": questions, "stats": stats}
 
 

@@ -46,13 +46,22 @@ def require_known_answers(questions: DataFrame, vocab: DataFrame) -> None:
 def relation_questions(triples: DataFrame, graph: DataFrame, vocab: DataFrame, split: str, limit: int, n: int = N_CANDIDATES, seed: int = SEED, name: str = "kg", max_depth: int | None = None) -> DataFrame:
     """Question rows of a split: sampled triples with candidates, distance and path in the undirected ``graph``
     (``node, next``, both ways)."""
+    return with_paths(asked_relations(triples, vocab, split, limit, n, seed, name), graph, max_depth)
+
+
+def asked_relations(triples: DataFrame, vocab: DataFrame, split: str, limit: int, n: int = N_CANDIDATES, seed: int = SEED, name: str = "kg") -> DataFrame:
+    """Sampled triples of a split with candidates, for ``with_paths``, which searches those of all splits together."""
     rows = sample_rows(triples, seed, split, ["idx"], limit)
     rows = rows.select(
         F.concat_ws(":", F.lit(name), F.lit(split), F.col("idx").cast("string")).alias("question_id"), F.col("rel").alias("answer"),
         F.lit(split).alias("split"), F.col("src").alias("source"), F.col("dst").alias("target"), F.col("idx").alias("source_triple_index"),
     )
-    rows = candidates(rows, vocab, n, seed)
-    rows = pair_distances(graph, rows, max_depth, symmetric=True)
+    return candidates(rows, vocab, n, seed)
+
+
+def with_paths(asked: DataFrame, graph: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Question rows of ``asked_relations`` with their distances and paths."""
+    rows = pair_distances(graph, asked, max_depth, symmetric=True)
     return rows.select(
         "question_id", X.relation_question(F.col("source"), F.col("target"), F.col("candidates")).alias("question"), "answer", "split",
         "true_hop", F.lit(QUESTION_TYPE).alias("question_type"), F.col("source").alias("source_node"), F.col("target").alias("target_node"),

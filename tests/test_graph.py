@@ -11,6 +11,7 @@ from graphloom.operators import paths as P
 from graphloom.operators import questions as Q
 from graphloom.operators import sample as S
 from graphloom.operators import tasks as T
+from graphloom.operators.prepare import prepare_questions
 from graphloom.plans import Scratch, dense_index_by
 
 EDGES = "graph_id long, edge_id long, src string, rel string, dst string"
@@ -253,3 +254,19 @@ def test_the_order_of_a_shuffle_is_computed_before_the_sort(spark, monkeypatch):
     assert sorts and not any("md5" in x for x in sorts)
     want = sorted(range(30), key=lambda e: hashlib.md5(f"7:edge:1:{e}".encode()).hexdigest())
     assert [r.edge_id for r in sorted(rows, key=lambda r: r.new_edge_id) if r.graph_id == 1] == want
+
+
+def test_prepared_splits_are_searched_together(spark, monkeypatch):
+    links = [(f"n{i}", "r1" if i % 2 else "r2", f"n{i + 1}") for i in range(12)]
+    triples = lambda rows: spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "idx long, src string, rel string, dst string")
+    train, held = triples(links), triples([("n0", "r1", "n3"), ("n0", "r2", "gone"), ("n5", "r1", "n5")])
+    names = spark.createDataFrame([("n0",)], "entity string")
+    searches, search = [], Q.pair_distances
+    monkeypatch.setattr(Q, "pair_distances", lambda *a, **k: searches.append(1) or search(*a, **k))
+    p = prepare_questions(train, held, held.limit(0), names, "kg", n_candidates=2)
+    assert len(searches) == 1
+    for split, t in (("train", train), ("validation", held), ("test", held.limit(0))):
+        alone = Q.relation_questions(t, P.adjacency(train), G.relation_vocab(train), split, 64, 2)
+        assert sorted(map(str, p["questions"].filter(F.col("split") == split).collect())) == sorted(map(str, alone.collect()))
+    stats = [(r.split, r.available, r.selected, r.distance_counts) for r in p["stats"].collect()]
+    assert stats == [("train", 12, 12, {"1": 12}), ("validation", 3, 3, {"0": 1, "3": 1, "unreachable": 1}), ("test", 0, 0, {})]
