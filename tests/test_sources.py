@@ -148,3 +148,33 @@ def test_places_in_a_scene_are_joined_not_searched(spark, tmp_path):
     rows = D.load_scenes(spark, str(tmp_path), spark.createDataFrame([], "image_id string, split string"))
     assert [r.graph.edge_index for r in rows.collect()] == [[[1, 0]]]
     assert "array_position" not in rows._jdf.queryExecution().toString()
+
+
+def test_triples_of_many_packed_files_are_numbered_in_order(spark, tmp_path, monkeypatch):
+    from graphloom.catalogue import files
+
+    rows = spark.range(3000).selectExpr("2999 - id AS l_orderkey", "1 AS l_linenumber", "id % 7 AS l_partkey", "id % 3 AS l_suppkey", "'R' AS l_returnflag")
+    rows.write.parquet(str(tmp_path / "sf" / "lineitem.parquet"))
+    monkeypatch.setattr(files, "ROWS_PER_FILE", 200)
+    files._write_triples(spark, str(tmp_path / "sf"), str(tmp_path / "kg"))
+    for split in ("train", "valid", "test"):
+        packed = list((tmp_path / "kg" / f"{split}.txt").glob("part-*.gz"))
+        assert len(packed) >= 15
+        read = R.read_triples(spark, str(tmp_path / "kg" / f"{split}.txt"), lenient=True)
+        found = sorted((r.idx, r.src, r.rel, r.dst) for r in read.collect())
+        made = [(f"O{k}", "has_part_r", f"P{(2999 - k) % 7}", f"P{(2999 - k) % 7}", "sold_by", f"S{(2999 - k) % 3}") for k in range(3000)]
+        assert found == [(2 * k + i, *m[3 * i : 3 * i + 3]) for k, m in enumerate(made) for i in (0, 1)]
+    assert not spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+
+
+def test_numbered_lines_take_little_scratch(spark, tmp_path):
+    """Names that count up and places in the scan are stored by their differences."""
+    from graphloom.plans.scratch import shared_root
+
+    lines = spark.range(0, 200_000, 1, 1).select(F.concat_ws("\t", F.concat(F.lit("O"), F.col("id").cast("string")), F.lit("r"), F.concat(F.lit("P"), (F.col("id") % 50).cast("string"))).alias("value"))
+    lines.write.text(str(tmp_path / "train.txt"))
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(shared_root(spark)) for f in names if f.endswith(".parquet"))
+    before = size()
+    read = R.read_triples(spark, str(tmp_path / "train.txt"))
+    assert size() - before < 3 * 200_000
+    assert read.agg(F.min("idx"), F.max("idx"), F.count_distinct("idx"), F.count_if(F.col("src") != F.concat(F.lit("O"), F.col("idx").cast("string")))).first()[:] == (0, 199_999, 200_000, 0)
