@@ -147,6 +147,14 @@ def test_guards(spark):
     assert S.sample_exactly(e, 1, "x", ["edge_id"], 2).count() == 2
 
 
+def test_an_exact_sample_is_drawn_once(spark):
+    e = edges(spark, [(f"a{k}", "r", "b") for k in range(50)])
+    rows = S.sample_exactly(e, 1, "x", ["edge_id"], 20)
+    assert "TakeOrdered" not in rows._jdf.queryExecution().executedPlan().toString()
+    first = sorted(e.collect(), key=lambda r: (hashlib.md5(f"1:x:{r.edge_id}".encode()).hexdigest(), r.edge_id))[:20]
+    assert sorted(r.edge_id for r in rows.collect()) == sorted(r.edge_id for r in first)
+
+
 def test_parallel_edges_and_frontiers(spark):
     e = edges(spark, [("A", "r", "B"), ("B", "r", "C"), ("C", "r", "D"), ("A", "r", "E"), ("E", "r", "F"), ("A", "q", "B")])
     sources = spark.createDataFrame([("A",)], "source string")
